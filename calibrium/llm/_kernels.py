@@ -114,7 +114,12 @@ def hash_words(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, piece:
 
     A-Z count as a-z. A word never spans two documents.
     """
-    hashes, starts_all = [], []
+    return placed_words(buf, offsets, is_word, piece)[:2]
+
+
+def placed_words(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As hash_words, with the first byte of each word and the byte after it."""
+    hashes, starts_all, ends_all = [], [], []
     for lo, hi in _cuts(buf, offsets, is_word, piece):
         b = buf[lo:hi]
         w = is_word[b]
@@ -137,9 +142,11 @@ def hash_words(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, piece:
         h = (pre[ends] - pre[starts]) * inv[starts]
         hashes.append(mix(h ^ ((ends - starts).astype(U64) * U64(0xA24BAED4963EE407))))
         starts_all.append(starts + lo)
+        ends_all.append(ends + lo)
     if not hashes:
-        return np.empty(0, U64), np.zeros(len(offsets), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts_all), offsets)
+        return np.empty(0, U64), np.zeros(len(offsets), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    starts = np.concatenate(starts_all)
+    return np.concatenate(hashes), np.searchsorted(starts, offsets), starts, np.concatenate(ends_all)
 
 
 def shingle_hashes(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

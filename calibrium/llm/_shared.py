@@ -82,26 +82,23 @@ def components(tables: Tables, edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).union(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def ordered_buckets(df: DataFrame, key: str, rows_per_bucket: int = 4096, most: int = 400) -> tuple[DataFrame, int]:
-    """Adds `bucket`, an integer that rises with `key`; equal keys share one.
+def ordered_buckets(df: DataFrame, key: str, rows_per_bucket: int = 1024, most: int = 8192) -> tuple[DataFrame, int]:
+    """Adds `bucket`, an integer that rises with the numeric `key`; equal keys share one.
 
-    The bounds are quantiles from one pass over the key column alone, a fixed
-    number of them. Null keys go to bucket -1.
+    The bounds are at most `most` quantiles from one pass over the key column
+    alone; each row finds its bucket by binary search. Null keys: bucket -1.
     """
     n = df.agg(F.count(key)).first()[0]
     k = max(1, min(most, n // rows_per_bucket))
-    bounds = []
+    bounds: list = []
     if k > 1:
         qs = F.array(*[F.lit(i / k) for i in range(1, k)])
-        bounds = sorted(set(df.agg(F.percentile_approx(key, qs, F.lit(max(10000, 20 * k)))).first()[0] or []))
+        bounds = sorted(set(df.agg(F.percentile_approx(key, qs, F.lit(max(10000, 10 * k)))).first()[0] or []))
     at = F.lit(0)
     if bounds:
-        # a balanced tree of comparisons: log2(k) per row
-        def tree(lo: int, hi: int):
-            if lo == hi:
-                return F.lit(lo)
-            mid = (lo + hi) // 2
-            return F.when(F.col(key) <= F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-        at = tree(0, len(bounds))
+        table = F.lit(bounds)
+        steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+        # the number of bounds below the key
+        below = lambda lo, step: (lo + step <= len(bounds)) & (F.get(table, lo + step - 1) < F.col(key))
+        at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda lo, step: F.when(below(lo, step), lo + step).otherwise(lo))
     return df.withColumn("bucket", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(at)), len(bounds) + 1
