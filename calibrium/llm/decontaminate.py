@@ -178,24 +178,3 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     small_batches(spark)
     blocks = write_phrases(benchmark, shared_folder(spark, "phrases"), window, item_col, item_text_col)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan(blocks, window), FOUND)
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        buf, off = utf8(batch.column(0))
-        _, at, starts, ends = placed_words(buf, off, ALNUM)
-        out = []
-        for d, spans in enumerate(batch.column(1).to_pylist()):
-            first, text, place = int(off[d]), [], int(off[d])
-            for s in spans or []:
-                text.append(buf[place : starts[at[d] + s["first"]]].tobytes())
-                place = int(ends[at[d] + s["end"] - 1])
-            text.append(buf[max(first, place) : off[d + 1]].tobytes())
-            out.append(b"".join(text).decode())
-        yield pa.RecordBatch.from_pydict({"text": batch.column(0), "spans": batch.column(1), "clean_text": pa.array(out, pa.string())})
-
-
-def cut_spans(rows: DataFrame) -> DataFrame:
-    """(text, spans, clean_text): the text without the words of its removal spans."""
-    small_batches(rows.sparkSession)
-    return rows.select("text", "spans").mapInArrow(_cut, "text string, spans array<struct<first:int,end:int>>, clean_text string")

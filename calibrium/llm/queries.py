@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, language_id, lm_scoring, near_dedup, sentencepiece_scan, token_files, url_rules, warc
+from . import decontaminate, fingerprints, language_id, lm_scoring, near_dedup, sentencepiece_scan, substring_dedup, token_files, url_rules, warc
 
 #: The rules of op3: host, path, verdict.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -64,8 +65,14 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_round_trip(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"), WORD_VOCABULARY)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that repeat, near-duplicates included, by document."""
+    found = substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_repeated", "n_removed", "class_id", "repeated", F.transform(F.coalesce("spans", F.array()), lambda s: F.concat_ws("-", s["first"], s["end"])).alias("removed"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_near_dedup, op2_decontaminate, op3_url_rules, op4_warc, op5_fingerprints, op6_sentencepiece, op7_lm_scoring, op8_language_id, op9_token_files)
+    own = (op1_near_dedup, op2_decontaminate, op3_url_rules, op4_warc, op5_fingerprints, op6_sentencepiece, op7_lm_scoring, op8_language_id, op9_token_files, op10_substring_dedup)
     return {f.__name__: f for f in own}
 
 
