@@ -26,8 +26,9 @@ def _cut(is_word: np.ndarray, text_at: int, spans_at: int):
                 _, _, starts, ends = placed_words(own, np.array([0, len(own)]), is_word)
                 parts, place = [], 0
                 for s in spans:
-                    parts.append(own[place : starts[s["first"]]].tobytes())
-                    place = int(ends[s["end"] - 1])
+                    if s["first"] < len(starts):
+                        parts.append(own[place : starts[s["first"]]].tobytes())
+                        place = int(ends[min(s["end"], len(ends)) - 1])
                 texts[d] = b"".join([*parts, own[place:].tobytes()]).decode()
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == text_at else c for i, c in enumerate(batch.columns) if i != spans_at], names=[n for i, n in enumerate(batch.schema.names) if i != spans_at])
 
@@ -38,7 +39,7 @@ def cut_spans(rows: DataFrame, is_word: np.ndarray, text_col: str = "text", span
     """`rows` with the words of their spans cut out of the text, without the spans.
 
     spans: array<struct<first, end>> of word numbers, ascending and apart; null
-    or none leaves the text as it is.
+    or none leaves the text as it is, and words past a text's end are not there to cut.
     """
     small_batches(rows.sparkSession)
     schema = StructType([f for f in rows.schema if f.name != spans_col])

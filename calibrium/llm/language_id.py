@@ -31,7 +31,8 @@ BUCKETS, WIDTH = 1 << 14, 16
 PER_LANGUAGE, MOST_LANGUAGES = 600, 200
 EPOCHS, RATE, SEED = 4, 0.5, 8
 UNKNOWN = "und"
-#: The share of correctly classified calibration rows that rejection may cost.
+#: A text is rejected under half the score that all but this share of rightly
+#: classified calibration rows reach.
 REJECTED = 0.001
 #: 2-, 3- and 4-grams of bytes.
 ORDERS = (2, 3, 4)
@@ -125,7 +126,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") ->
     scale = grid[int(np.argmin(loss))]
     p = _softmax(z * scale)
     right = p.max(axis=1)[p.argmax(axis=1) == y[test]]
-    threshold = min(0.5, float(np.quantile(right, REJECTED))) if len(right) else 0.0
+    threshold = min(0.5, float(np.quantile(right, REJECTED)) / 2) if len(right) else 0.0
     return Model(languages, np.ascontiguousarray((emb @ out * scale).T.astype(np.float32)), (bias * scale).astype(np.float32), threshold)
 
 
@@ -181,6 +182,22 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def _accepted(model: Model, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            two = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(text_at)], names=["doc_id", "text"])
+            for told in _predict(model)(iter([two])):
+                yield batch.filter(pc.invert(told.column(told.schema.names.index("rejected"))))
+
+    return run
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose text is not rejected."""
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(_accepted(model, docs.columns.index(text_col)), docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves 2 modulo 4; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
