@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -32,7 +33,7 @@ from ._shared import Tables, ordered_buckets, shared_folder, shuffle_width, smal
 
 MAGIC, BLOCK, END_ID = b"CBIDS001", 1 << 16, 1
 #: Distinct words whose ids a worker remembers at once; a bound on memory alone.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -140,20 +141,38 @@ def _tokenizer(path: str):
     return t, getattr(t, "encode_batch_fast", t.encode_batch), {}
 
 
+#: A word of ASCII letters and the ASCII marks after it, which the tokenizer always parts.
+PARTS = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)")
+
+
+def _learn(path: str, words: list[bytes]) -> None:
+    """Remember the ids of words; letters and the marks behind them one by one."""
+    _, encode, known = _tokenizer(path)
+    split = [(w, m.groups()) for w in words if (m := PARTS.fullmatch(w))]
+    parts = {p for _, x in split for p in x}.union(w for w in words if not PARTS.fullmatch(w)) - known.keys()
+    fresh = list(parts)
+    for w, e in zip(fresh, encode([w.decode() for w in fresh], add_special_tokens=False), strict=True):
+        known[w] = np.array(e.ids, "<u4").tobytes()
+    for w, (letters, marks) in split:
+        known[w] = known[letters] + known[marks]
+
+
 def encode_texts(path: str, texts: list[bytes]) -> Iterator[np.ndarray]:
-    """Ids of each text. The tokenizer cuts at ASCII white space before anything
-    else, so a text's ids are those of its spaced words one after the other,
-    and a word met before need not be encoded again."""
-    tokenizer, encode, known = _tokenizer(path)
-    for text in texts:
-        words = text.split()
-        fresh = [w for w in set(words) if w not in known]
-        if fresh:
-            if len(known) > REMEMBERED:
-                known.clear()
-                fresh = list(set(words))
-            for w, e in zip(fresh, encode([w.decode() for w in fresh], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+    """Ids of each text, for a tokenizer that lower-cases and then cuts at white space.
+
+    A text's ids are those of its spaced words one after the other, and a word
+    met before need not be encoded again. A-Z are lower-cased here, but for
+    texts that may hold the name of a special token.
+    """
+    _, _, known = _tokenizer(path)
+    split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+    fresh = set().union(*split)
+    if len(known) + len(fresh) > REMEMBERED:
+        known.clear()
+    fresh -= known.keys()
+    if fresh:
+        _learn(path, list(fresh))
+    for words in split:
         yield np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
 
 
