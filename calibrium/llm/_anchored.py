@@ -27,5 +27,6 @@ def anchored(pairs: DataFrame, docs: DataFrame, run, schema: str) -> DataFrame:
     info_type = pairs.schema["info"].dataType
     anchors = counts.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("b"), F.lit(None).cast(info_type).alias("info"))
     wanted = others.union(anchors)
-    rows = wanted.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").select("a", "salt", "role", "b", "info", "text")
+    # a merge join at any size: the ids wanted grow with the documents
+    rows = wanted.join(docs.select(F.col("doc_id").alias("id"), "text").hint("merge"), "id").select("a", "salt", "role", "b", "info", "text")
     return rows.repartition(shuffle_width(spark), "a", "salt").sortWithinPartitions("a", "salt", "role", "b").mapInArrow(run, schema)
