@@ -45,7 +45,7 @@ WORD, CUT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+"), re.compile(f"(?<=[^{SPA
 #: Scores are multiples of 1 / UNIT.
 UNIT = 1 << 16
 CHUNK = 1 << 15
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 NO = float("-inf")
 
 
@@ -70,6 +70,8 @@ class Lattice:
                 self.text[i] = name.replace(SPACE, " ").encode()
         self.unknown = min(s for s, _ in pieces.values()) - 10
         self.pieces, self.most = pieces, max(map(len, pieces))
+        #: All beginnings of pieces: where none begins, the search for longer ones ends.
+        self.prefixes = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
         # A piece that its own parts beat is in no best path.
         for name in sorted((p for p in pieces if len(p) > 1), key=len):
             own = pieces.pop(name)
@@ -84,9 +86,12 @@ class Lattice:
 
     def edges(self, text: str, i: int) -> list[tuple[int, float]]:
         """(length, score) of what may start at i; an uncovered character is one unknown."""
-        get, out = self.pieces.get, []
+        get, prefixes, out = self.pieces.get, self.prefixes, []
         for length in range(1, min(self.most, len(text) - i) + 1):
-            if hit := get(text[i : i + length]):
+            part = text[i : i + length]
+            if part not in prefixes:
+                break
+            if hit := get(part):
                 out.append((length, hit[0]))
         if not out or out[0][0] != 1:
             out.insert(0, (1, self.unknown))
