@@ -98,12 +98,15 @@ def _cuts(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, piece: int)
             gaps = np.flatnonzero(~is_word[buf[pos:end]])
             cut = pos + int(gaps[-1]) + 1 if len(gaps) else pos
             cut = max(cut, int(offsets[np.searchsorted(offsets, end, "right") - 1]))
-            while cut <= pos:  # one word fills the piece: go on to its end
-                more = min(end + piece, n)
-                gaps = np.flatnonzero(~is_word[buf[end:more]])
-                stop = int(offsets[np.searchsorted(offsets, end, "left")])
-                cut = min(end + int(gaps[0]) if len(gaps) else (more if more == n else pos), stop if stop <= more or len(gaps) else n + 1)
-                end = more
+            if cut <= pos:  # one word fills the piece: go on to its end
+                stop = int(offsets[np.searchsorted(offsets, pos, "right")])
+                cut = end
+                while cut < stop:
+                    gaps = np.flatnonzero(~is_word[buf[cut : min(cut + piece, stop)]])
+                    if len(gaps):
+                        cut += int(gaps[0])
+                        break
+                    cut = min(cut + piece, stop)
             end = cut
         yield pos, end
         pos = end
