@@ -86,7 +86,8 @@ class FMIndex:
         suffix = suffix_order(text)
         symbol = text[suffix - 1]  # that of the first suffix wraps to the last separator
         self.before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(self.vocab) + 1))))
-        sampled = suffix % SAMPLE == 0
+        # A step back over a separator is never needed: places after one are sampled too.
+        sampled = (suffix % SAMPLE == 0) | (symbol == 0)
         self.sampled, self.samples = np.concatenate(([0], np.cumsum(sampled))).astype(np.int32), suffix[sampled]
         self.symbol = symbol.astype(np.int32)
         self.levels: list[tuple[int, np.ndarray, int]] = []

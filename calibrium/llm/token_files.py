@@ -52,7 +52,7 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     if bits % 8 == 0:
         wide = np.zeros((n, 4), np.uint8)
-        wide[:, 4 - bits // 8 :] = raw[: n * bits // 8].reshape(n, -1)
+        wide[:, 4 - bits // 8 :] = raw[: n * bits // 8].reshape(n, bits // 8)
     else:
         each = np.zeros((n, 32), np.uint8)
         each[:, 32 - bits :] = np.unpackbits(raw, count=n * bits).reshape(n, bits)
