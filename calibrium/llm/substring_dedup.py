@@ -9,9 +9,10 @@ with probability 0.95, and equal passages always.
 
 Within a key the documents are compared with the first of them (in a shard of
 text, then over all shards), not with each other. A comparison verifies on the
-texts: the diagonals of all keys that two documents share are scanned for equal
-runs, and around keys outside such runs the longest stretch is sought whose
-shingles nearly all occur in the other text, and its similarity is measured.
+texts: all stretches of either that the other has too are found by hashes of
+`LEAST` shingles, at all their places, and around all places of shared keys
+outside such stretches the longest one is sought whose shingles nearly all occur
+in the other text, and its similarity is measured.
 Members of a key that do not match its first are dealt again by what stands
 directly before and after their key's place, so that equal passages among them
 meet. Two near-duplicate passages that share no key, or that are both unlike the
@@ -21,6 +22,7 @@ first of every key they share, are not found.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ LEAST = WORDS - SHINGLE + 1
 SHARD, PIECE = 400_000, MOST - 8
 #: Half of the shortest passage: of any, one half reaches this far from any of its places.
 HALF = LEAST // 2
+#: Shingles to either side of a place in which a near-duplicate stretch is sought.
+REACH = 4 * LEAST
 KEYS = "route long, doc long, pos int, a long, apos int"
 MATCHES = "a long, b long, ok boolean, b_first int, b_end int, a_first int, a_end int, route long, pos int"
 
@@ -113,21 +117,51 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "apos": pa.array(pa_, pa.int32()), "bpos": pa.array(pb, pa.int32())})
 
 
-def equal_runs(a: np.ndarray, b: np.ndarray, shift: int) -> list[tuple[int, int]]:
-    """Runs [x, y) of b that equal a[x + shift : y + shift], LEAST long or longer."""
-    lo, hi = max(0, -shift), min(len(b), len(a) - shift)
-    if hi - lo < LEAST:
-        return []
-    eq = a[lo + shift : hi + shift] == b[lo:hi]
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], eq.astype(np.int8), [0]))))
-    return [(lo + int(x), lo + int(y)) for x, y in zip(edge[::2], edge[1::2]) if y - x >= LEAST]
+class Text:
+    """Shingles of a text, with lookups made when first asked for."""
+
+    def __init__(self, shingles: np.ndarray):
+        self.shingles = shingles
+
+    @cached_property
+    def order(self) -> np.ndarray:
+        return np.argsort(self.shingles, kind="stable")
+
+    @cached_property
+    def windows(self) -> np.ndarray:
+        """Hashes of all stretches of LEAST shingles."""
+        q, n = stream(43, LEAST) | U64(1), max(0, len(self.shingles) - LEAST + 1)
+        rolled = np.zeros(n, U64)
+        for j in range(LEAST):
+            rolled += self.shingles[j : j + n] * q[j]
+        return mix(rolled)
+
+    @cached_property
+    def known(self) -> np.ndarray:
+        return np.unique(self.windows)
+
+    def places(self, shingle: np.uint64) -> list[int]:
+        lo, hi = (np.searchsorted(self.shingles, shingle, side, sorter=self.order) for side in ("left", "right"))
+        return self.order[lo:hi].tolist()
+
+    def shared(self, other: Text) -> np.ndarray:
+        """Whether the stretch of LEAST shingles from each place on occurs in the other text."""
+        if not len(other.known):
+            return np.zeros(len(self.windows), bool)
+        at = np.minimum(np.searchsorted(other.known, self.windows), len(other.known) - 1)
+        return other.known[at] == self.windows
+
+
+def equal_runs(shared: np.ndarray) -> list[tuple[int, int]]:
+    """Runs [x, y) of shingles made up of shared stretches."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], shared.astype(np.int8), [0]))))
+    return [(int(x), int(y) + LEAST - 1) for x, y in zip(edge[::2], edge[1::2])]
 
 
 def near_stretch(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int) -> tuple[int, int, int, int] | None:
     """The longest near-duplicate stretch around a shared shingle: b's and a's [x, y)."""
-    reach = 4 * LEAST
-    lo, la = max(0, at_b - reach), max(0, at_a - reach - LEAST)
-    part, other = b[lo : at_b + reach], a[la : at_a + reach + LEAST]
+    lo, la = max(0, at_b - REACH), max(0, at_a - REACH - LEAST)
+    part, other = b[lo : at_b + REACH], a[la : at_a + REACH + LEAST]
     order = np.argsort(other, kind="stable")
     where = np.minimum(np.searchsorted(other, part, sorter=order), len(other) - 1)
     hit = other[order[where]] == part
@@ -160,20 +194,41 @@ def _context_keys(b: np.ndarray, at: int) -> list[int]:
     return out
 
 
-def matches(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int, int]], list[int]]:
-    """Near-duplicate stretches of b and a, and the places in b whose anchors have none."""
-    found: list[tuple[int, int, int, int]] = []
-    for shift in sorted({pa_ - pb for pb, pa_ in anchors}):
-        found += [(x, y, x + shift, y + shift) for x, y in equal_runs(a, b, shift)]
-    failed = []
-    for pb, pa_ in sorted(anchors):
-        if any(x <= pb < y for x, y, _, _ in found):
-            continue
-        near = near_stretch(a, b, pa_, pb)
-        if near:
-            found.append(near)
-        else:
-            failed.append(pb)
+def matches(a: Text, b: Text, anchors: list[tuple[int, int]]) -> tuple[list[tuple], list[int]]:
+    """Stretches of b and of a that the other has too, and the places in b whose anchors have none.
+
+    Equal stretches are found at all their places in both texts, and stand alone:
+    (x, y, None, None) in b, (None, None, x, y) in a. Near-duplicate ones are
+    sought around all places of the anchors' shingles that no stretch covers.
+    """
+    in_b, in_a = equal_runs(b.shared(a)), equal_runs(a.shared(b))
+    found: list[tuple] = [(x, y, None, None) for x, y in in_b] + [(None, None, x, y) for x, y in in_a]
+    over_b, over_a = np.zeros(len(b.shingles), bool), np.zeros(len(a.shingles), bool)
+    for over, runs in ((over_b, in_b), (over_a, in_a)):
+        for x, y in runs:
+            over[x:y] = True
+    unlike: set[tuple] = set()
+
+    def around(text: Text, at: int) -> tuple[int, int]:
+        lo = max(0, at - REACH - LEAST)
+        return at - lo, hash(text.shingles[lo : at + REACH + LEAST].tobytes())
+
+    failed: list[int] = []
+    for shingle in {b.shingles[pb] for pb, pa_ in anchors if b.shingles[pb] == a.shingles[pa_]}:
+        at_b, at_a = b.places(shingle), a.places(shingle)
+        pairs = [(pb, pa_) for pb in at_b for pa_ in at_a] if not (over_b[at_b].all() and over_a[at_a].all()) else []
+        seen = {(0, p): around(b, p) for p in at_b} | {(1, p): around(a, p) for p in at_a} if pairs else {}
+        for pb, pa_ in pairs:
+            if over_b[pb] and over_a[pa_] or (seen[0, pb], seen[1, pa_]) in unlike:
+                continue
+            near = near_stretch(a.shingles, b.shingles, pa_, pb)
+            if near:
+                found.append(near)
+                over_b[near[0] : near[1]] = True
+                over_a[near[2] : near[3]] = True
+            else:
+                unlike.add((seen[0, pb], seen[1, pa_]))
+        failed += [p for p in at_b if not over_b[p]]
     return found, failed
 
 
@@ -189,13 +244,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for d in range(lo, hi):
                 own = sh[s_at[d - lo] : s_at[d - lo + 1]]
                 if role[d] == 0:
-                    anchor_id, anchor = a[d], own
+                    anchor_id, anchor = a[d], Text(own)
                 elif a[d] == anchor_id:
                     # an id may come with another text: places out of range are not its
-                    pairs = [(x["bpos"], x["apos"]) for x in info[d] if x["bpos"] < len(own) and x["apos"] < len(anchor)]
-                    found, failed = matches(anchor, own, pairs)
+                    pairs = [(x["bpos"], x["apos"]) for x in info[d] if x["bpos"] < len(own) and x["apos"] < len(anchor.shingles)]
+                    found, failed = matches(anchor, Text(own), pairs)
                     more = SHINGLE - 1
-                    out += [(a[d], b[d], True, x, y + more, p, q + more, None, None) for x, y, p, q in found]
+                    out += [(a[d], b[d], True, x, y and y + more, p, q and q + more, None, None) for x, y, p, q in found]
                     out += [(a[d], b[d], False, None, None, None, None, key, p) for p in failed for key in _context_keys(own, p)]
         kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int32()] * 4, pa.int64(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in MATCHES.split(", ")])
@@ -249,6 +304,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ok = first.where("ok").union(second)
     later = ok.select(F.greatest("a", "b").alias("doc_id"), F.when(F.col("a") < F.col("b"), F.col("b_first")).otherwise(F.col("a_first")).alias("first"), F.when(F.col("a") < F.col("b"), F.col("b_end")).otherwise(F.col("a_end")).alias("end"))
     sooner = ok.select(F.least("a", "b").alias("doc_id"), F.when(F.col("a") < F.col("b"), F.col("a_first")).otherwise(F.col("b_first")).alias("first"), F.when(F.col("a") < F.col("b"), F.col("a_end")).otherwise(F.col("b_end")).alias("end"))
+    # an equal stretch is a span of one of the two
+    later, sooner = later.where("first is not null"), sooner.where("first is not null")
     removed = merged(later).select("doc_id", "spans", F.col("n").alias("n_removed"))
     repeated = merged(later.union(sooner)).select("doc_id", F.col("n").alias("n_repeated"))
     classes = components(tables, ok.select("a", "b")).select(F.col("id").alias("doc_id"), F.col("root").alias("class_id"))

@@ -375,6 +375,25 @@ def test_repeated_passages(spark, docs):
     assert substring_dedup.repeated_passages(frame(spark, rows).limit(0)).count() == 0
 
 
+def repeats(spark, texts):
+    return {r.doc_id: r for r in substring_dedup.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in texts.items()])).collect()}
+
+
+def removed(row):
+    return [(s["first"], s["end"]) for s in row.spans or []]
+
+
+def test_passage_twice_in_a_document(spark):
+    p, near, follows = words(60, 50), words(60, 50), words(40, 51)
+    near[30] = "changed"
+    texts = {1: p, 2: p + words(70, 52) + p, 3: words(9, 53) + near + words(70, 54) + near}
+    texts |= {11: words(60, 55) + words(30, 56) + words(60, 55) + follows, 12: words(60, 55) + follows}
+    got = repeats(spark, texts)
+    assert removed(got[2]) == [(0, 60), (130, 190)] and got[2].n_repeated == 120
+    assert removed(got[3]) == [(9, 69), (139, 199)]
+    assert removed(got[12]) == [(0, 100)] and got[11].n_repeated == 160 and not removed(got[11])
+
+
 def test_empty_tables(spark, docs):
     none = frame(spark, docs).limit(0)
     bench = spark.createDataFrame([], "item_id long, text string")
