@@ -13,10 +13,11 @@ texts: all stretches of either that the other has too are found by hashes of
 `LEAST` shingles, at all their places, and around all places of shared keys
 outside such stretches the longest one is sought whose shingles nearly all occur
 in the other text, and its similarity is measured.
-Members of a key that do not match its first are dealt again by what stands
-directly before and after their key's place, so that equal passages among them
-meet. Two near-duplicate passages that share no key, or that are both unlike the
-first of every key they share, are not found.
+What a member of a key has around the key's place and its first lacks is dealt
+again: by each stretch of `LEAST` shingles, so that all equal passages meet, and
+by what stands directly before and after the place. Two near-duplicate passages
+that share no key, or that are both unlike the first of every key they share, in
+both rounds, are not found.
 """
 
 from __future__ import annotations
@@ -194,14 +195,18 @@ def _context_keys(b: np.ndarray, at: int) -> list[int]:
     return out
 
 
-def matches(a: Text, b: Text, anchors: list[tuple[int, int]]) -> tuple[list[tuple], list[int]]:
-    """Stretches of b and of a that the other has too, and the places in b whose anchors have none.
+def matches(a: Text, b: Text, anchors: list[tuple[int, int]]) -> tuple[list[tuple], list[int], list[int]]:
+    """Stretches of b and of a that the other has too; what is left of b's anchors.
+
+    Left are the places in b whose anchors have no such stretch, and the first
+    places of b's own stretches of LEAST shingles around anchors that a lacks.
 
     Equal stretches are found at all their places in both texts, and stand alone:
     (x, y, None, None) in b, (None, None, x, y) in a. Near-duplicate ones are
     sought around all places of the anchors' shingles that no stretch covers.
     """
-    in_b, in_a = equal_runs(b.shared(a)), equal_runs(a.shared(b))
+    equal = b.shared(a)
+    in_b, in_a = equal_runs(equal), equal_runs(a.shared(b))
     found: list[tuple] = [(x, y, None, None) for x, y in in_b] + [(None, None, x, y) for x, y in in_a]
     over_b, over_a = np.zeros(len(b.shingles), bool), np.zeros(len(a.shingles), bool)
     for over, runs in ((over_b, in_b), (over_a, in_a)):
@@ -214,6 +219,7 @@ def matches(a: Text, b: Text, anchors: list[tuple[int, int]]) -> tuple[list[tupl
         return at - lo, hash(text.shingles[lo : at + REACH + LEAST].tobytes())
 
     failed: list[int] = []
+    lacking = np.zeros(len(equal), bool)
     for shingle in {b.shingles[pb] for pb, pa_ in anchors if b.shingles[pb] == a.shingles[pa_]}:
         at_b, at_a = b.places(shingle), a.places(shingle)
         pairs = [(pb, pa_) for pb in at_b for pa_ in at_a] if not (over_b[at_b].all() and over_a[at_a].all()) else []
@@ -229,31 +235,41 @@ def matches(a: Text, b: Text, anchors: list[tuple[int, int]]) -> tuple[list[tupl
             else:
                 unlike.add((seen[0, pb], seen[1, pa_]))
         failed += [p for p in at_b if not over_b[p]]
-    return found, failed
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    anchor_id = anchor = None
-    for batch in batches:
-        a, role, b, info = (batch.column(k).to_pylist() for k in (0, 2, 3, 4))
-        buf, off = utf8(batch.column(5))
-        out: list[tuple] = []
-        for lo, hi in groups(off):
-            words, at = hash_words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], SPACED)
-            sh, s_at = shingle_hashes(words, at, SHINGLE)
-            for d in range(lo, hi):
-                own = sh[s_at[d - lo] : s_at[d - lo + 1]]
-                if role[d] == 0:
-                    anchor_id, anchor = a[d], Text(own)
-                elif a[d] == anchor_id:
-                    # an id may come with another text: places out of range are not its
-                    pairs = [(x["bpos"], x["apos"]) for x in info[d] if x["bpos"] < len(own) and x["apos"] < len(anchor.shingles)]
-                    found, failed = matches(anchor, Text(own), pairs)
-                    more = SHINGLE - 1
-                    out += [(a[d], b[d], True, x, y and y + more, p, q and q + more, None, None) for x, y, p, q in found]
-                    out += [(a[d], b[d], False, None, None, None, None, key, p) for p in failed for key in _context_keys(own, p)]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int32()] * 4, pa.int64(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in MATCHES.split(", ")])
+        for p in at_b:
+            lacking[max(0, p - LEAST + 1) : p + 1] = True
+    return found, failed, np.flatnonzero(lacking & ~equal).tolist()
+
+
+def _verify(deal: bool):
+    """Compares documents with their anchor; `deal`: with keys of what did not match, to deal it again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchor_id = anchor = None
+        for batch in batches:
+            a, role, b, info = (batch.column(k).to_pylist() for k in (0, 2, 3, 4))
+            buf, off = utf8(batch.column(5))
+            for lo, hi in groups(off):
+                out: list[tuple] = []
+                words, at = hash_words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], SPACED)
+                sh, s_at = shingle_hashes(words, at, SHINGLE)
+                for d in range(lo, hi):
+                    own = Text(sh[s_at[d - lo] : s_at[d - lo + 1]])
+                    if role[d] == 0:
+                        anchor_id, anchor = a[d], own
+                    elif a[d] == anchor_id:
+                        # an id may come with another text: places out of range are not its
+                        pairs = [(x["bpos"], x["apos"]) for x in info[d] if x["bpos"] < len(own.shingles) and x["apos"] < len(anchor.shingles)]
+                        found, failed, lacking = matches(anchor, own, pairs)
+                        more = SHINGLE - 1
+                        out += [(a[d], b[d], True, x, y and y + more, p, q and q + more, None, None) for x, y, p, q in found]
+                        if deal:
+                            again = [(key, p) for p in failed for key in _context_keys(own.shingles, p)]
+                            again += zip(own.windows[lacking].view(np.int64).tolist(), lacking)
+                            out += [(a[d], b[d], False, None, None, None, None, key, p) for key, p in again]
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int32()] * 4, pa.int64(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in MATCHES.split(", ")])
+
+    return run
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,13 +309,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keys = known.mapInArrow(_keys, KEYS)
     pairs = keys.repartition(width, "route").sortWithinPartitions("route", "doc").mapInArrow(_stars, "a long, b long, apos int, bpos int").where("a <> b")
     pairs = tables.cut(pairs.groupBy("a", "b").agg(F.collect_set(F.struct("bpos", "apos")).alias("info")))
-    first = tables.cut(anchored(pairs, known, _verify, MATCHES))
+    first = tables.cut(anchored(pairs, known, _verify(True), MATCHES))
 
     failed = first.where("not ok").select("route", F.col("b").alias("doc"), "pos").distinct()
     heads = failed.groupBy("route").agg(F.min(F.struct("doc", "pos")).alias("head"), F.count("*").alias("n")).where("n > 1")
     again = failed.join(heads, "route").where("doc <> head.doc").select(F.col("head.doc").alias("a"), F.col("doc").alias("b"), F.struct(F.col("pos").alias("bpos"), F.col("head.pos").alias("apos")).alias("anchor"))
     again = again.groupBy("a", "b").agg(F.collect_set("anchor").alias("info"))
-    second = tables.cut(anchored(again, known, _verify, MATCHES).where("ok"))
+    second = tables.cut(anchored(again, known, _verify(False), MATCHES).where("ok"))
 
     ok = first.where("ok").union(second)
     later = ok.select(F.greatest("a", "b").alias("doc_id"), F.when(F.col("a") < F.col("b"), F.col("b_first")).otherwise(F.col("a_first")).alias("first"), F.when(F.col("a") < F.col("b"), F.col("b_end")).otherwise(F.col("a_end")).alias("end"))

@@ -394,6 +394,30 @@ def test_passage_twice_in_a_document(spark):
     assert removed(got[12]) == [(0, 100)] and got[11].n_repeated == 160 and not removed(got[11])
 
 
+def test_equal_passages_under_a_common_line(spark):
+    own = lambda i, n: [f"own{i}and{k}" for k in range(n)]
+    texts = {}
+    for k in range(300):
+        line = own(k, 49)
+        # the last two of four documents go on with the same six words
+        texts |= {4 * k + j: own(f"a{k}a{j}", 8) + line + own(f"b{k}b{min(j, 2)}", 6) + own(f"c{k}c{j}", 9) for j in range(4)}
+    got = repeats(spark, texts)
+    assert {i: removed(r) for i, r in got.items() if r.spans} == {i: [(8, 63)] for i in texts if i % 4 == 3}
+    assert {i for i, r in got.items() if r.repeated} == {i for i in texts if i % 4 > 1}
+    # whatever keys two documents share, also where the first of them has part of the passage
+    rng = np.random.default_rng(5)
+    pool = [words(26, 400 + k) for k in range(6)]
+    texts = {i: sum((pool[k] for k in rng.integers(0, 6, 4)), []) for i in range(1, 60)}
+    got, seen = repeats(spark, texts), {}
+    for i, w in texts.items():
+        for j in range(len(w) - 49):
+            seen.setdefault(tuple(w[j : j + 50]), []).append(i)
+    for i, w in texts.items():
+        own = [(j, seen[tuple(w[j : j + 50])]) for j in range(len(w) - 49)]
+        assert {k for j, s in own if s[0] < i for k in range(j, j + 50)} <= {k for x, y in removed(got[i]) for k in range(x, y)}
+        assert got[i].n_repeated >= len({k for j, s in own if len(set(s)) > 1 for k in range(j, j + 50)})
+
+
 def test_empty_tables(spark, docs):
     none = frame(spark, docs).limit(0)
     bench = spark.createDataFrame([], "item_id long, text string")
