@@ -3,9 +3,9 @@
 Passages are sequences of five-word shingles. Under a hash function, all
 passages of a document that share their least shingle form a compact window, so
 a few windows stand for all its passages of `WORDS` words or more. Windows of
-two functions intersect to rectangles keyed by both minima; `BANDS` such pairs
-of functions make near-duplicate passages (Jaccard similarity 0.8) share a key
-with probability 0.95, and equal passages always.
+two functions intersect to rectangles keyed by both minima; with `BANDS` such
+pairs of functions near-duplicate passages (Jaccard similarity 0.8) share no key
+with probability 5e-6, and equal passages always share one.
 
 Within a key the documents are compared with the first of them (in a shard of
 text, then over all shards), not with each other. A comparison verifies on the
@@ -35,7 +35,7 @@ from ._compact import MOST, signatures
 from ._kernels import SPACED, U64, groups, hash_words, mix, shingle_hashes, stream, utf8
 from ._shared import Tables, components, shuffle_width, small_batches
 
-SHINGLE, WORDS, BANDS, SIMILAR = 5, 50, 3, 0.8
+SHINGLE, WORDS, BANDS, SIMILAR = 5, 50, 12, 0.8
 LEAST = WORDS - SHINGLE + 1
 #: Shingles of a shard; of a piece of one long document.
 SHARD, PIECE = 400_000, MOST - 8
@@ -160,29 +160,57 @@ def equal_runs(shared: np.ndarray) -> list[tuple[int, int]]:
 
 
 def near_stretch(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int) -> tuple[int, int, int, int] | None:
-    """The longest near-duplicate stretch around a shared shingle: b's and a's [x, y)."""
+    """The longest near-duplicate stretch around a shared shingle: b's and a's [x, y).
+
+    It begins and ends with shared shingles. All such stretches of b are tried,
+    from the longest to those of LEAST, but for those of which the counts of
+    distinct shingles tell that they cannot be similar enough.
+    """
     lo, la = max(0, at_b - REACH), max(0, at_a - REACH - LEAST)
     part, other = b[lo : at_b + REACH], a[la : at_a + REACH + LEAST]
     order = np.argsort(other, kind="stable")
-    where = np.minimum(np.searchsorted(other, part, sorter=order), len(other) - 1)
-    hit = other[order[where]] == part
-    # sets of equal size are SIMILAR if each has this share of the other
-    total = np.concatenate(([0.0], np.cumsum(hit - 2 * SIMILAR / (1 + SIMILAR))))
-    k = at_b - lo
-    gain = total[None, k + 1 :] - total[: k + 1, None]
-    long = np.where(gain >= -1e-9, np.arange(k + 1, len(total))[None, :] - np.arange(k + 1)[:, None], 0)
-    x, y = np.unravel_index(int(long.argmax()), long.shape)
-    y += k + 1
-    if y - x < LEAST:
+    first, last = (np.searchsorted(other, part, side, sorter=order) for side in ("left", "right"))
+    hit, k = last > first, at_b - lo
+    x, y = np.flatnonzero(hit[: k + 1]), np.flatnonzero(hit[k:]) + k
+    if not len(x) or y[-1] - x[0] + 1 < LEAST:
+        return None
+    if hit.sum() < SIMILAR * LEAST and len(np.unique(part)) == len(part):
         return None
-    inside = np.flatnonzero(hit[x:y]) + x
-    x, y = int(inside[0]), int(inside[-1]) + 1
-    ax, ay = sorted((la + int(order[where[x]]), la + int(order[where[y - 1]])))
-    if min(y - x, ay + 1 - ax) < LEAST:
+    one, shared = _distinct(part, x, hit)
+    one, shared = one[:, y], shared[:, y]
+    wide = y[None, :] - x[:, None] + 1
+    fit = (wide >= LEAST) & (shared >= SIMILAR * one)
+    if not fit.any():
         return None
-    one, two = np.unique(b[lo + x : lo + y]), np.unique(a[ax : ay + 1])
-    both = len(np.intersect1d(one, two, assume_unique=True))
-    return (lo + x, lo + y, ax, ay + 1) if both >= SIMILAR * (len(one) + len(two) - both) else None
+    # of several places of a shingle in a, the nearest to the diagonal
+    ranked = other[order]
+    rank = np.cumsum(np.concatenate(([0], ranked[1:] != ranked[:-1])))
+    first, last = np.minimum(first, len(other) - 1), np.maximum(last - 1, 0)
+    aim = at_a - la + np.arange(len(part)) - k
+    upper = np.searchsorted(rank * len(other) + order, rank[first] * len(other) + np.clip(aim, 0, len(other) - 1))
+    above, below = order[np.clip(upper, first, np.maximum(first, last))], order[np.clip(upper - 1, first, np.maximum(first, last))]
+    where = np.where(np.abs(above - aim) < np.abs(below - aim), above, below)
+    p, q = np.minimum(where[x][:, None], where[y][None, :]), np.maximum(where[x][:, None], where[y][None, :])
+    begins, row = np.unique(p, return_inverse=True)
+    two = _distinct(other, begins, np.ones(len(other), bool))[0][row.reshape(p.shape), q]
+    fit &= (q - p + 1 >= LEAST) & (shared >= SIMILAR * (one + two - shared))
+    i, j = np.nonzero(fit)
+    for n in np.argsort(-wide[i, j], kind="stable"):
+        u, v, s, e = int(x[i[n]]), int(y[j[n]]) + 1, int(p[i[n], j[n]]), int(q[i[n], j[n]]) + 1
+        both = len(np.intersect1d(part[u:v], other[s:e]))
+        if both >= SIMILAR * (one[i[n], j[n]] + two[i[n], j[n]] - both):
+            return lo + u, lo + v, la + s, la + e
+    return None
+
+
+def _distinct(sequence: np.ndarray, begins: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles from each beginning (rows) through each place (columns): all, and the counted ones."""
+    order = np.argsort(sequence, kind="stable")
+    before = np.full(len(sequence), -1)
+    same = sequence[order[1:]] == sequence[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    new = (before[None, :] < begins[:, None]) & (np.arange(len(sequence))[None, :] >= begins[:, None])
+    return np.cumsum(new, axis=1, dtype=np.int32), np.cumsum(new & counted, axis=1, dtype=np.int32)
 
 
 def _context_keys(b: np.ndarray, at: int) -> list[int]:

@@ -418,6 +418,21 @@ def test_equal_passages_under_a_common_line(spark):
         assert got[i].n_repeated >= len({k for j, s in own if len(set(s)) > 1 for k in range(j, j + 50)})
 
 
+def test_near_passages_of_four_fifths(spark):
+    own = lambda i, n: [f"own{i}and{k}" for k in range(n)]
+    texts = {}
+    for k in range(300):
+        p = own(k, 60)
+        # 51 of 61 shingles are alike
+        texts |= {2 * k: own(f"a{k}", 9) + p, 2 * k + 1: own(f"b{k}", 9) + [f"c{w}" if j == 30 else w for j, w in enumerate(p)] + own(f"d{k}", 9)}
+    got = repeats(spark, texts)
+    assert all(removed(got[i]) == ([(9, 69)] if i % 2 else []) and got[i].repeated for i in texts)
+    # the longest stretch is not alike, a shorter one is
+    p1, p2 = own("e", 60), own("f", 80)
+    got = repeats(spark, {1: [*p1[:30], "changed", *p1[31:]] + own("g", 80) + p2, 2: p1 + p2})
+    assert sum(y - x for x, y in removed(got[2])) == 140
+
+
 def test_empty_tables(spark, docs):
     none = frame(spark, docs).limit(0)
     bench = spark.createDataFrame([], "item_id long, text string")
