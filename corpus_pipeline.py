@@ -30,12 +30,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates.
+    """One document, that of the smallest id, of each group of near-duplicates (at 80 %).
 
     Repeated rows are one document. Rows without id stay, as they have none to
     be grouped by.
     """
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = near_dedup.near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
     stay = docs.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return stay.select(docs.columns).unionByName(docs.where("doc_id is null"))
 

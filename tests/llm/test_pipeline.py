@@ -39,6 +39,14 @@ def test_stages(spark):
         assert r.n_chars == len(seen["decontaminate"][i].text) and r.n_tokens == len(r.ids)
 
 
+def test_copies_of_four_fifths_are_near_duplicates(spark):
+    w = [f"w{k}" for k in range(300)]
+    texts = {1: w, 2: [f"x{k}" if k % 50 == 25 else t for k, t in enumerate(w)], 3: [f"y{k}" if k % 40 == 20 else t for k, t in enumerate(w[:200])]}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    # similarities to the first: 266 of 326 shingles, 171 of 321
+    assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
+
+
 def test_run_of_an_empty_table(spark, tmp_path):
     spark.read.parquet(f"{DATA}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
