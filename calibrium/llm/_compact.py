@@ -6,10 +6,10 @@ l..c and end in c..r. The windows are the nodes of the Cartesian tree of the
 hashes; l and r are bounded by the nearest smaller hashes on either side. Only
 places that are the minimum of some subsequence of the least length matter,
 and sliding minima give those; their bounds come from a descent over minima of
-blocks of 1, 2, 4, ... places.
+blocks of 1, 2, 4, ... places, up to `REACH` places to either side. A longer
+passage holds shorter ones, so nothing is lost by that bound.
 
-Windows of two functions that overlap enough hold the subsequences that share
-both minima: their intersection is keyed by both.
+Everything is linear in the length of the shingles, periodic texts included.
 """
 
 from __future__ import annotations
@@ -21,6 +21,32 @@ from ._kernels import U64, mix, stream
 #: Places fit the low 20 bits of a hash's order key.
 MOST = 1 << 20
 _LOW = U64(MOST - 1)
+#: Farthest bound of a window from its minimum; it fits a byte.
+REACH = 255
+_BASE = 0xD6E8FEB86659FD93
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers 0..n-1 of the odd base of sequence hashes, and of its inverse."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, _INVERSE)):
+            p = np.full(max(n, 1 << 16), base, U64)
+            p[0] = 1
+            _powers[k] = np.multiply.accumulate(p)
+    return _powers
+
+
+def stretch_hashes(shingles: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the `width` shingles from each place on, wherever that many follow."""
+    n = max(0, len(shingles) - width + 1)
+    if not n:
+        return np.empty(0, U64)
+    p, inverse = powers(len(shingles))
+    before = np.zeros(len(shingles) + 1, U64)
+    np.cumsum(shingles * p[: len(shingles)], out=before[1:])
+    return mix((before[width:] - before[:n]) * inverse[:n])
 
 
 def order_keys(shingles: np.ndarray, real: np.ndarray, multiplier: np.uint64) -> np.ndarray:
@@ -29,7 +55,7 @@ def order_keys(shingles: np.ndarray, real: np.ndarray, multiplier: np.uint64) ->
 
 
 def block_minima(key: np.ndarray, longest: int) -> list[np.ndarray]:
-    """Minima of 2**k places from each place on, up to the longest document."""
+    """Minima of 2**k places from each place on, as far as `longest`."""
     out, step = [key], 1
     while step <= longest:
         last = out[-1]
@@ -40,21 +66,29 @@ def block_minima(key: np.ndarray, longest: int) -> list[np.ndarray]:
     return out
 
 
+def sliding_minima(minima: list[np.ndarray], least: int) -> np.ndarray:
+    """Least key of the `least` places from each place on; 0 over an end of a document."""
+    k = least.bit_length() - 1
+    span, rest, n = minima[k], least - (1 << k), len(minima[0])
+    return np.minimum(span[: n - least + 1], span[rest : n - least + 1 + rest])
+
+
+def places(minimum: np.ndarray) -> np.ndarray:
+    """Places of sliding minima that are not 0, each once, ascending."""
+    at = (minimum[minimum > 0] & _LOW).astype(np.int64)
+    return at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at
+
+
 def windows(key: np.ndarray, longest: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(c, l, r) of all compact windows at least `least` wide. key starts and ends with 0."""
+    """(c, l, r) of all compact windows at least `least` wide. key starts and ends with 0.
+
+    l and r are bounded by the longest blocks of minima: REACH for `longest` half of that.
+    """
     if len(key) < least:
         return (np.empty(0, np.int64),) * 3
     minima = block_minima(key, max(longest, least))
-    k = least.bit_length() - 1
-    span, n = minima[k], len(key)
-    rest = least - (1 << k)
-    slide = np.minimum(span[: n - least + 1], span[rest : n - least + 1 + rest])
-    slide = slide[slide > 0]  # those that lie in one document
-    if not len(slide):
-        return (np.empty(0, np.int64),) * 3
-    place = (slide & _LOW).astype(np.int64)
-    c = place[np.concatenate(([True], place[1:] != place[:-1]))]
-    own = key[c]
+    c = places(sliding_minima(minima, least))
+    own, n = key[c], len(key)
     right, left = c + 1, c - 1
     for j in range(len(minima) - 1, -1, -1):
         step = 1 << j
@@ -66,26 +100,5 @@ def windows(key: np.ndarray, longest: int, least: int) -> tuple[np.ndarray, np.n
     return c, left + 1, right - 1
 
 
-def multipliers(bands: int) -> np.ndarray:
-    return stream(41, 2 * bands) | U64(1)
-
-
-def signatures(shingles: np.ndarray, real: np.ndarray, longest: int, least: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, place) of all intersections of two functions' windows, for each band."""
-    keys, places = [], []
-    by = multipliers(bands)
-    for band in range(bands):
-        (c, l, r), (d, m, s) = (windows(order_keys(shingles, real, by[2 * band + i]), longest, least) for i in (0, 1))
-        if not len(c) or not len(d):
-            continue
-        lo, hi = np.searchsorted(d, l), np.searchsorted(d, r, "right")
-        n = hi - lo
-        one = np.repeat(np.arange(len(c)), n)
-        two = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        ok = (m[two] <= c[one]) & (s[two] >= c[one]) & (np.minimum(r[one], s[two]) - np.maximum(l[one], m[two]) + 1 >= least)
-        one, two = c[one[ok]], d[two[ok]]
-        keys.append(mix(shingles[one] * U64(0x9FB21C651E98DF25) + mix(shingles[two] + U64(band))))
-        places.append(one)
-    if not keys:
-        return np.empty(0, U64), np.empty(0, np.int64)
-    return np.concatenate(keys), np.concatenate(places)
+def multipliers(functions: int) -> np.ndarray:
+    return stream(41, functions) | U64(1)

@@ -2,28 +2,36 @@
 
 Passages are sequences of five-word shingles. Under a hash function, all
 passages of a document that share their least shingle form a compact window, so
-a few windows stand for all its passages of `WORDS` words or more. Windows of
-two functions intersect to rectangles keyed by both minima; with `BANDS` such
-pairs of functions near-duplicate passages (Jaccard similarity 0.8) share no key
-with probability 5e-6, and equal passages always share one.
-
-Within a key the documents are compared with the first of them (in a shard of
-text, then over all shards), not with each other. A comparison verifies on the
-texts: all stretches of either that the other has too are found by hashes of
-`LEAST` shingles, at all their places, and around all places of shared keys
-outside such stretches the longest one is sought whose shingles nearly all occur
-in the other text, and its similarity is measured.
-What a member of a key has around the key's place and its first lacks is dealt
-again: by each stretch of `LEAST` shingles, so that all equal passages meet, and
-by what stands directly before and after the place. Two near-duplicate passages
-that share no key, or that are both unlike the first of every key they share, in
-both rounds, are not found.
+a few windows stand for all its passages of `WORDS` words or more. Two sorts of
+keys come from them:
+
+* single keys, the least shingle under each of `FUNCTIONS` functions, with its
+  window. Two documents whose windows under `ENOUGH` functions overlap, on both
+  sides, by a passage's length (an interval join) are candidates. Near-duplicate
+  passages (similarity 0.8) agree under a function with that probability, so
+  1.6e-3 of them agree under fewer.
+* context keys, the `HALF` shingles up to and from the least shingle of the first
+  function. Any equal passage holds one of the two, so documents that share one
+  are candidates.
+
+A shard of text compares the documents of a key with the first of them and
+hands on that one alone; so do the shards among each other. Keys travel as
+packed columns, dealt by ranges of keys, and are met in numpy.
+
+Candidates are verified on the texts: all stretches of either that the other
+has too, at all places, and chains of equal runs whose sets of shingles are
+similar. Whatever stretch of a passage's length has a context that the first
+document of the key has, but is not itself in it, is dealt again by its whole
+hash. So all equal passages meet, whatever else their documents share.
+
+Near-duplicate passages without an equal stretch of `WORDS` words are not found
+if they agree under fewer than `ENOUGH` functions with one document each, be it
+that the first of their keys are others, which are unlike them both.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,282 +39,300 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._anchored import anchored
-from ._compact import MOST, signatures
-from ._kernels import SPACED, U64, groups, hash_words, mix, shingle_hashes, stream, utf8
+from ._compact import MOST, REACH, block_minima, multipliers, order_keys, places, powers, sliding_minima, stretch_hashes, windows
+from ._kernels import SPACED, U64, groups, hash_words, mix, shingle_hashes, utf8
 from ._shared import Tables, components, shuffle_width, small_batches
+from ._stretches import aligned, chains, keyed, member, runs, spans_of
 
-SHINGLE, WORDS, BANDS, SIMILAR = 5, 50, 12, 0.8
+SHINGLE, WORDS, SIMILAR = 5, 50, 0.8
 LEAST = WORDS - SHINGLE + 1
-#: Shingles of a shard; of a piece of one long document.
-SHARD, PIECE = 400_000, MOST - 8
-#: Half of the shortest passage: of any, one half reaches this far from any of its places.
+#: Hash functions, and how many of them candidates agree under.
+FUNCTIONS, ENOUGH = 8, 2
+#: Of any passage, one half reaches this far from any of its places.
 HALF = LEAST // 2
-#: Shingles to either side of a place in which a near-duplicate stretch is sought.
-REACH = 4 * LEAST
-KEYS = "route long, doc long, pos int, a long, apos int"
-MATCHES = "a long, b long, ok boolean, b_first int, b_end int, a_first int, a_end int, route long, pos int"
-
-
-def _shard_keys(ids: list[int], shingles: list[np.ndarray], offsets: list[int]) -> pa.RecordBatch:
-    """Keys of a shard: a row for its first document with a key; a pair for each other."""
-    parts, real, docs, places, longest = [np.zeros(1, U64)], [np.zeros(1, bool)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], 1
-    for i, s in enumerate(shingles):
-        parts += [s, np.zeros(1, U64)]
-        real += [np.ones(len(s), bool), np.zeros(1, bool)]
-        docs.append(np.full(len(s) + 1, i))
-        places.append(np.arange(len(s) + 1) + offsets[i])
-        longest = max(longest, len(s))
-    key, at = signatures(np.concatenate(parts), np.concatenate(real), longest, LEAST, BANDS)
-    doc, place = np.array(ids, np.int64)[np.concatenate(docs)[at]], np.concatenate(places)[at]
-    order = np.lexsort((place, doc, key))
-    key, doc, place = key[order], doc[order], place[order]
-    new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
-    head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-    other = (doc != doc[head]) & np.concatenate(([True], (doc[1:] != doc[:-1]) | new[1:])) if len(key) else new
-    keep = new | other
-    key, doc, place, head, new = key[keep], doc[keep], place[keep], head[keep], new[keep]
-    full_doc, full_place = doc, place
-    first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)) if len(key) else head
-    route = np.where(new, key, mix(key + full_doc.astype(U64) * U64(0x9E3779B97F4A7C15)))
-    return pa.RecordBatch.from_pydict({"route": pa.array(route.view(np.int64)), "doc": pa.array(doc), "pos": pa.array(place.astype(np.int32)), "a": pa.array(full_doc[first], mask=new), "apos": pa.array(full_place[first].astype(np.int32), mask=new)})
-
-
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids, held, at, size = [], [], [], 0
-    for batch in batches:
-        names = batch.column(0).to_pylist()
-        buf, off = utf8(batch.column(1))
-        for lo, hi in groups(off):
-            words, w_at = hash_words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], SPACED)
-            sh, s_at = shingle_hashes(words, w_at, SHINGLE)
-            for d in range(hi - lo):
-                own = sh[s_at[d] : s_at[d + 1]]
-                for start in range(0, max(1, len(own) - LEAST + 1), PIECE // 2):
-                    part = own[start : start + PIECE // 2 + LEAST - 1]
-                    if len(part) < LEAST:
+#: Shingles of a shard; of a piece of one long document.
+SHARD, PIECE = 1 << 18, 1 << 17
+#: Ranges of keys for each partition: a range is met at once.
+RANGES = 8
+#: kind 0: a document (a), the hashes h1 and h2 of its words and their number n.
+#: kind 1: a and b agree under function `slot`, FUNCTIONS for a context; windows al..ar and bl..br.
+#: kind 2: packed keys.
+MEETING = "part int, kind int, a long, b long, slot int, al int, ar int, bl int, br int, h1 long, h2 long, n long, packed binary"
+_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 5, *[pa.int64()] * 3, pa.binary()]
+_NAMES = [c.split()[0] for c in MEETING.split(", ")]
+#: kind 0: documents one and two share a passage. 1: words first..end of document `one` are in a document of
+#: smaller id. 2: are in one of larger id. 3: document `two` has a stretch of hash `one` to be dealt again.
+FOUND = "kind int, one long, two long, first int, end int"
+_RECORD = [("key", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("left", "u1"), ("right", "u1"), ("slot", "u1")]
+
+
+def _rows(rows: int, **columns) -> pa.RecordBatch:
+    """Rows of MEETING: the columns given, nulls else."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(rows, t) for c, t in zip(_NAMES, _TYPES)], names=_NAMES)
+
+
+def pack_keys(r: dict[str, np.ndarray]) -> bytes:
+    """Columns of keys, byte plane by byte plane, which compresses well."""
+    return b"".join(np.ascontiguousarray(r[c].astype(t)).view(np.uint8).reshape(len(r[c]), -1).T.tobytes() for c, t in _RECORD)
+
+
+def unpack_keys(data: bytes) -> dict[str, np.ndarray]:
+    raw, at, out = np.frombuffer(data, np.uint8), 0, {}
+    n = len(raw) // sum(np.dtype(t).itemsize for _, t in _RECORD)
+    for c, t in _RECORD:
+        w = np.dtype(t).itemsize
+        out[c] = np.ascontiguousarray(raw[at : at + w * n].reshape(w, n).T).reshape(-1).view(t)
+        at += w * n
+    return out
+
+
+def _stars(r: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Keys sorted by key and document: pairs of each document with the first of its key; where the first stand.
+
+    Of pairs that share a context one row is left, as that is enough.
+    """
+    n = len(r["key"])
+    new = np.ones(n, bool)
+    new[1:] = r["key"][1:] != r["key"][:-1]
+    head = np.maximum.accumulate(np.where(new, np.arange(n), 0)) if n else np.empty(0, np.int64)
+    other = np.flatnonzero((r["doc"] != r["doc"][head]) & np.concatenate(([False], (r["doc"][1:] != r["doc"][:-1]) | new[1:])) if n else np.empty(0, bool))
+    x, y = head[other], other
+    swap = r["doc"][x] > r["doc"][y]
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    slot = np.minimum(r["slot"][y], FUNCTIONS)
+    order = np.lexsort((-slot.astype(np.int8), r["doc"][y], r["doc"][x]))
+    x, y, slot = x[order], y[order], slot[order]
+    a, b = r["doc"][x], r["doc"][y]
+    first = np.ones(len(x), bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    lead = np.maximum.accumulate(np.where(first, np.arange(len(x)), 0)) if len(x) else x
+    keep = first | (slot[lead] < FUNCTIONS)
+    x, y, slot = x[keep], y[keep], slot[keep]
+    pos, left, right = r["pos"], r["left"].astype(np.int32), r["right"].astype(np.int32)
+    return {"a": r["doc"][x], "b": r["doc"][y], "slot": slot.astype(np.int32), "al": pos[x] - left[x], "ar": pos[x] + right[x], "bl": pos[y] - left[y], "br": pos[y] + right[y]}, np.flatnonzero(new)
+
+
+def _shard_keys(ids: list[int], shingles: list[np.ndarray], offsets: list[int], parts: int) -> Iterator[pa.RecordBatch]:
+    """The keys of a shard: packed, the first document of each; pairs for the others."""
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], offsets[i]))
+    gap, size = np.zeros(1, U64), [len(shingles[i]) + 1 for i in order]
+    every = np.concatenate([gap, *(x for i in order for x in (shingles[i], gap))])
+    real = np.ones(len(every), bool)
+    ends = np.cumsum(size)
+    real[0] = False
+    real[ends] = False
+    doc = np.concatenate(([0], np.repeat(np.array([ids[i] for i in order], np.int64), size)))
+    begin = ends - np.array(size) + 1
+    place = np.concatenate(([0], np.arange(1, len(every)) - np.repeat(begin, size) + np.repeat(np.array([offsets[i] for i in order]), size)))
+    first, last = np.concatenate(([0], np.repeat(begin, size))), np.concatenate(([0], np.repeat(ends, size)))
+    got: dict[str, list] = {k: [] for k in ("key", "at", "left", "right", "slot")}
+
+    def add(key, at, left, right, slot):
+        for k, v in zip(got, (key, at, left, right, np.full(len(at), slot, np.uint8))):
+            got[k].append(v)
+
+    context = None
+    for f, by in enumerate(multipliers(FUNCTIONS)):
+        c, l, r = windows(order_keys(every, real, by), REACH // 2, LEAST)
+        add(mix(every[c] * U64(0x9FB21C651E98DF25) + U64(f)), c, (c - l).astype(np.uint8), (r - c).astype(np.uint8), f)
+        if f == 0 and len(c):
+            context = stretch_hashes(every, HALF)
+            for side, at in enumerate((c - HALF + 1, c)):
+                fits = (at >= first[c]) & (at + HALF <= last[c])
+                none = np.zeros(int(fits.sum()), np.uint8)
+                add(mix(context[at[fits]] + U64(side + 11)), c[fits], none, none, FUNCTIONS + side)
+    r = {k: np.concatenate(v) if v else np.empty(0) for k, v in got.items()}
+    at = r.pop("at").astype(np.int64)
+    r |= {"doc": doc[at], "pos": place[at].astype(np.int32)}
+    sort = np.argsort(r["key"], kind="stable")  # with equal keys still by document and place
+    r = {k: v[sort] for k, v in r.items()}
+    pairs, heads = _stars(r)
+    if len(pairs["a"]):
+        part = (mix(pairs["b"].astype(U64)) % U64(parts)).astype(np.int32)
+        yield _rows(len(part), part=part, kind=np.ones(len(part), np.int32), **pairs)
+    r = {k: v[heads] for k, v in r.items()}
+    part = ((r["key"] >> U64(32)) * U64(parts) >> U64(32)).astype(np.int32)
+    cuts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)])) if len(part) else np.zeros(1, np.int64)
+    packed = [pack_keys({k: v[x:y] for k, v in r.items()}) for x, y in zip(cuts, cuts[1:])]
+    if packed:
+        yield _rows(len(packed), part=part[cuts[:-1]], kind=np.full(len(packed), 2, np.int32), packed=packed)
+
+
+def _document_rows(ids: pa.Array, words: np.ndarray, at: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A row per document: two hashes of its words in order, and their number."""
+    n = len(at) - 1
+    p, inverse = powers(len(words) + 1)
+    hashes = []
+    for x in (words, mix(words ^ U64(0x5851F42D4C957F2D))):
+        before = np.zeros(len(words) + 1, U64)
+        np.cumsum(x * p[: len(words)], out=before[1:])
+        hashes.append(mix((before[at[1:]] - before[at[:-1]]) * inverse[at[:-1]]).view(np.int64))
+    return _rows(n, part=(hashes[0].view(U64) % U64(parts)).astype(np.int32), kind=np.zeros(n, np.int32), a=ids, h1=hashes[0], h2=hashes[1], n=np.diff(at))
+
+
+def _scan(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, held, at, size = [], [], [], 0
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            buf, off = utf8(batch.column(1))
+            for lo, hi in groups(off):
+                words, w_at = hash_words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], SPACED)
+                yield _document_rows(batch.column(0).slice(lo, hi - lo), words, w_at, parts)
+                sh, s_at = shingle_hashes(words, w_at, SHINGLE)
+                for d in range(hi - lo):
+                    own = sh[s_at[d] : s_at[d + 1]]
+                    if names[lo + d] is None or len(own) < LEAST:
                         continue
-                    if held and size + len(part) + 1 > SHARD:
-                        yield _shard_keys(ids, held, at)
-                        ids, held, at, size = [], [], [], 0
-                    ids.append(names[lo + d])
-                    held.append(part)
-                    at.append(start)
-                    size += len(part) + 1
-    if held:
-        yield _shard_keys(ids, held, at)
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (route, doc): members of a key with the first of it."""
-    key = first = place = None
+                    for start in range(0, len(own) - LEAST + 1, PIECE):
+                        part = own[start : start + PIECE + LEAST - 1]
+                        if held and size + len(part) > SHARD:
+                            yield from _shard_keys(ids, held, at, parts)
+                            ids, held, at, size = [], [], [], 0
+                        ids.append(names[lo + d])
+                        held.append(part)
+                        at.append(start)
+                        size += len(part) + 1
+        if held:
+            yield from _shard_keys(ids, held, at, parts)
+
+    return run
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of MEETING by part: the packed keys of a part become pairs."""
+    part, held = None, []
+
+    def met() -> Iterator[pa.RecordBatch]:
+        if len(held) < 2:  # within a shard they have met
+            return
+        r = [unpack_keys(x) for x in held]
+        r = {k: np.concatenate([x[k] for x in r]) for k, _ in _RECORD}
+        order = np.lexsort((r["doc"], r["key"]))
+        pairs, _ = _stars({k: v[order] for k, v in r.items()})
+        if len(pairs["a"]):
+            yield _rows(len(pairs["a"]), kind=np.ones(len(pairs["a"]), np.int32), **pairs)
+
     for batch in batches:
-        a, pa_, b, pb = [], [], [], []
-        for route, doc, pos, own, own_pos in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            if own is not None:
-                a.append(own)
-                pa_.append(own_pos)
-            elif route != key:
-                key, first, place = route, doc, pos
-                continue
-            elif doc == first:
-                continue
-            else:
-                a.append(first)
-                pa_.append(place)
-            b.append(doc)
-            pb.append(pos)
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "apos": pa.array(pa_, pa.int32()), "bpos": pa.array(pb, pa.int32())})
-
-
-class Text:
-    """Shingles of a text, with lookups made when first asked for."""
-
-    def __init__(self, shingles: np.ndarray):
-        self.shingles = shingles
-
-    @cached_property
-    def order(self) -> np.ndarray:
-        return np.argsort(self.shingles, kind="stable")
-
-    @cached_property
-    def windows(self) -> np.ndarray:
-        """Hashes of all stretches of LEAST shingles."""
-        q, n = stream(43, LEAST) | U64(1), max(0, len(self.shingles) - LEAST + 1)
-        rolled = np.zeros(n, U64)
-        for j in range(LEAST):
-            rolled += self.shingles[j : j + n] * q[j]
-        return mix(rolled)
-
-    @cached_property
-    def known(self) -> np.ndarray:
-        return np.unique(self.windows)
-
-    def places(self, shingle: np.uint64) -> list[int]:
-        lo, hi = (np.searchsorted(self.shingles, shingle, side, sorter=self.order) for side in ("left", "right"))
-        return self.order[lo:hi].tolist()
-
-    def shared(self, other: Text) -> np.ndarray:
-        """Whether the stretch of LEAST shingles from each place on occurs in the other text."""
-        if not len(other.known):
-            return np.zeros(len(self.windows), bool)
-        at = np.minimum(np.searchsorted(other.known, self.windows), len(other.known) - 1)
-        return other.known[at] == self.windows
-
-
-def equal_runs(shared: np.ndarray) -> list[tuple[int, int]]:
-    """Runs [x, y) of shingles made up of shared stretches."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], shared.astype(np.int8), [0]))))
-    return [(int(x), int(y) + LEAST - 1) for x, y in zip(edge[::2], edge[1::2])]
-
-
-def near_stretch(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int) -> tuple[int, int, int, int] | None:
-    """The longest near-duplicate stretch around a shared shingle: b's and a's [x, y).
-
-    It begins and ends with shared shingles. All such stretches of b are tried,
-    from the longest to those of LEAST, but for those of which the counts of
-    distinct shingles tell that they cannot be similar enough.
-    """
-    lo, la = max(0, at_b - REACH), max(0, at_a - REACH - LEAST)
-    part, other = b[lo : at_b + REACH], a[la : at_a + REACH + LEAST]
-    order = np.argsort(other, kind="stable")
-    first, last = (np.searchsorted(other, part, side, sorter=order) for side in ("left", "right"))
-    hit, k = last > first, at_b - lo
-    x, y = np.flatnonzero(hit[: k + 1]), np.flatnonzero(hit[k:]) + k
-    if not len(x) or y[-1] - x[0] + 1 < LEAST:
-        return None
-    if hit.sum() < SIMILAR * LEAST and len(np.unique(part)) == len(part):
-        return None
-    one, shared = _distinct(part, x, hit)
-    one, shared = one[:, y], shared[:, y]
-    wide = y[None, :] - x[:, None] + 1
-    fit = (wide >= LEAST) & (shared >= SIMILAR * one)
-    if not fit.any():
-        return None
-    # of several places of a shingle in a, the nearest to the diagonal
-    ranked = other[order]
-    rank = np.cumsum(np.concatenate(([0], ranked[1:] != ranked[:-1])))
-    first, last = np.minimum(first, len(other) - 1), np.maximum(last - 1, 0)
-    aim = at_a - la + np.arange(len(part)) - k
-    upper = np.searchsorted(rank * len(other) + order, rank[first] * len(other) + np.clip(aim, 0, len(other) - 1))
-    above, below = order[np.clip(upper, first, np.maximum(first, last))], order[np.clip(upper - 1, first, np.maximum(first, last))]
-    where = np.where(np.abs(above - aim) < np.abs(below - aim), above, below)
-    p, q = np.minimum(where[x][:, None], where[y][None, :]), np.maximum(where[x][:, None], where[y][None, :])
-    begins, row = np.unique(p, return_inverse=True)
-    two = _distinct(other, begins, np.ones(len(other), bool))[0][row.reshape(p.shape), q]
-    fit &= (q - p + 1 >= LEAST) & (shared >= SIMILAR * (one + two - shared))
-    i, j = np.nonzero(fit)
-    for n in np.argsort(-wide[i, j], kind="stable"):
-        u, v, s, e = int(x[i[n]]), int(y[j[n]]) + 1, int(p[i[n], j[n]]), int(q[i[n], j[n]]) + 1
-        both = len(np.intersect1d(part[u:v], other[s:e]))
-        if both >= SIMILAR * (one[i[n], j[n]] + two[i[n], j[n]] - both):
-            return lo + u, lo + v, la + s, la + e
-    return None
-
-
-def _distinct(sequence: np.ndarray, begins: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles from each beginning (rows) through each place (columns): all, and the counted ones."""
-    order = np.argsort(sequence, kind="stable")
-    before = np.full(len(sequence), -1)
-    same = sequence[order[1:]] == sequence[order[:-1]]
-    before[order[1:][same]] = order[:-1][same]
-    new = (before[None, :] < begins[:, None]) & (np.arange(len(sequence))[None, :] >= begins[:, None])
-    return np.cumsum(new, axis=1, dtype=np.int32), np.cumsum(new & counted, axis=1, dtype=np.int32)
-
-
-def _context_keys(b: np.ndarray, at: int) -> list[int]:
-    """Keys of the HALF shingles up to a place and from it on."""
-    q = stream(43, HALF) | U64(1)
-    out = []
-    for lo, salt in ((at - HALF + 1, 1), (at, 2)):
-        if lo >= 0 and lo + HALF <= len(b):
-            out.append(int(mix((b[lo : lo + HALF] * q).sum(keepdims=True) + U64(salt)).view(np.int64)[0]))
+        kind = batch.column(1).to_numpy(zero_copy_only=False)
+        if (rest := np.flatnonzero(kind != 2)).size:
+            yield batch.take(pa.array(rest))
+        for i in np.flatnonzero(kind == 2).tolist():
+            p = batch.column(0)[i].as_py()
+            if p != part:
+                yield from met()
+                part, held = p, []
+            held.append(batch.column(12)[i].as_py())
+    yield from met()
+
+
+def least_places(shingles: np.ndarray) -> np.ndarray:
+    """For each stretch of LEAST shingles, the place of its least under the first function."""
+    out, by = np.empty(max(0, len(shingles) - LEAST + 1), np.int64), multipliers(FUNCTIONS)[0]
+    step = MOST - LEAST
+    for lo in range(0, len(out), step):
+        part = shingles[lo : lo + step + LEAST - 1]
+        key = order_keys(part, np.ones(len(part), bool), by)
+        out[lo : lo + step] = lo + (sliding_minima(block_minima(key, LEAST), LEAST) & U64(MOST - 1)).astype(np.int64)
     return out
 
 
-def matches(a: Text, b: Text, anchors: list[tuple[int, int]]) -> tuple[list[tuple], list[int], list[int]]:
-    """Stretches of b and of a that the other has too; what is left of b's anchors.
+def compare(texts: list[np.ndarray], anchor: np.ndarray, deal: bool) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], list[np.ndarray]]:
+    """Stretches that texts and their anchors share.
 
-    Left are the places in b whose anchors have no such stretch, and the first
-    places of b's own stretches of LEAST shingles around anchors that a lacks.
-
-    Equal stretches are found at all their places in both texts, and stand alone:
-    (x, y, None, None) in b, (None, None, x, y) in a. Near-duplicate ones are
-    sought around all places of the anchors' shingles that no stretch covers.
+    texts: shingles; anchor: for each the number of the text to compare it
+    with, its own for an anchor, which stands before the others. Returned:
+    (text, first, end) of stretches of others and of anchors, and, for each
+    text, the hashes of stretches of LEAST shingles to be dealt again.
     """
-    equal = b.shared(a)
-    in_b, in_a = equal_runs(equal), equal_runs(a.shared(b))
-    found: list[tuple] = [(x, y, None, None) for x, y in in_b] + [(None, None, x, y) for x, y in in_a]
-    over_b, over_a = np.zeros(len(b.shingles), bool), np.zeros(len(a.shingles), bool)
-    for over, runs in ((over_b, in_b), (over_a, in_a)):
-        for x, y in runs:
-            over[x:y] = True
-    unlike: set[tuple] = set()
-
-    def around(text: Text, at: int) -> tuple[int, int]:
-        lo = max(0, at - REACH - LEAST)
-        return at - lo, hash(text.shingles[lo : at + REACH + LEAST].tobytes())
-
-    failed: list[int] = []
-    lacking = np.zeros(len(equal), bool)
-    for shingle in {b.shingles[pb] for pb, pa_ in anchors if b.shingles[pb] == a.shingles[pa_]}:
-        at_b, at_a = b.places(shingle), a.places(shingle)
-        pairs = [(pb, pa_) for pb in at_b for pa_ in at_a] if not (over_b[at_b].all() and over_a[at_a].all()) else []
-        seen = {(0, p): around(b, p) for p in at_b} | {(1, p): around(a, p) for p in at_a} if pairs else {}
-        for pb, pa_ in pairs:
-            if over_b[pb] and over_a[pa_] or (seen[0, pb], seen[1, pa_]) in unlike:
-                continue
-            near = near_stretch(a.shingles, b.shingles, pa_, pb)
-            if near:
-                found.append(near)
-                over_b[near[0] : near[1]] = True
-                over_a[near[2] : near[3]] = True
-            else:
-                unlike.add((seen[0, pb], seen[1, pa_]))
-        failed += [p for p in at_b if not over_b[p]]
-        for p in at_b:
-            lacking[max(0, p - LEAST + 1) : p + 1] = True
-    return found, failed, np.flatnonzero(lacking & ~equal).tolist()
+    every = np.concatenate(texts)
+    size = np.array(list(map(len, texts)))
+    begin = np.cumsum(size) - size
+    of = np.repeat(np.arange(len(texts)), size)
+    group = anchor[of]
+    mine = of != group
+    others: list[tuple[int, int, int]] = []
+    anchors: list[tuple[int, int, int]] = []
+    again = [np.empty(0, U64)] * len(texts)
+
+    whole = stretch_hashes(every, LEAST)
+    fits = of[: len(whole)] == of[len(every) - len(whole) :]
+    key = keyed(whole, group[: len(whole)])
+    own = mine[: len(whole)]
+    equal = np.zeros(len(whole), bool)
+    for side in (own, ~own):
+        at, against = np.flatnonzero(fits & side), np.flatnonzero(fits & ~side)
+        equal[at] = member(key[at], np.unique(key[against]))
+    for x, y in zip(*spans_of(equal)):
+        t = int(of[x])
+        (others if mine[x] else anchors).append((t, int(x - begin[t]), int(y - 1 + LEAST - begin[t])))
+
+    m, n = np.flatnonzero(mine), np.flatnonzero(~mine)
+    match = aligned(every[n], every[m], group[m], group[n])
+    first, length, other = runs(match, of[m])
+    cuts = np.flatnonzero(np.concatenate(([True], of[m[first[1:]]] != of[m[first[:-1]]]))) if len(first) else np.empty(0, np.int64)
+    for lo, hi in zip(cuts, np.concatenate((cuts[1:], [len(first)])).astype(int)):
+        if hi - lo < 2 or length[lo:hi].sum() < SIMILAR * LEAST:
+            continue
+        t = int(of[m[first[lo]]])
+        g = int(anchor[t])
+        for x, y, p, q in chains(m[first[lo:hi]] - begin[t], length[lo:hi], n[other[lo:hi]] - begin[g], texts[g], texts[t], LEAST, SIMILAR):
+            others.append((t, x, y))
+            anchors.append((g, p, q))
+
+    if deal and len(whole):
+        lacking = np.flatnonzero(fits & own & ~equal)
+        if len(lacking):
+            half = stretch_hashes(every, HALF)
+            inside = of[: len(half)] == of[len(every) - len(half) :]
+            half_key = keyed(half, group[: len(half)])
+            known = np.unique(half_key[inside & ~mine[: len(half)]])
+            c = least_places(every)[lacking]
+            start = np.where(c - HALF + 1 >= lacking, c - HALF + 1, c)
+            lacking = lacking[member(half_key[start], known)]
+            for t in np.unique(of[lacking]):
+                again[t] = np.unique(whole[lacking[of[lacking] == t]])
+    return others, anchors, again
 
 
 def _verify(deal: bool):
-    """Compares documents with their anchor; `deal`: with keys of what did not match, to deal it again."""
+    """Compares documents with their anchor; `deal`: with the stretches to be dealt again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor_id = anchor = None
+        anchor_id, anchor = None, None
         for batch in batches:
-            a, role, b, info = (batch.column(k).to_pylist() for k in (0, 2, 3, 4))
+            a, role, b = (batch.column(k).to_pylist() for k in (0, 2, 3))
             buf, off = utf8(batch.column(5))
             for lo, hi in groups(off):
-                out: list[tuple] = []
-                words, at = hash_words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], SPACED)
-                sh, s_at = shingle_hashes(words, at, SHINGLE)
+                words, w_at = hash_words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], SPACED)
+                sh, s_at = shingle_hashes(words, w_at, SHINGLE)
+                texts, to, names = ([anchor], [0], [anchor_id]) if anchor is not None else ([], [], [])
                 for d in range(lo, hi):
-                    own = Text(sh[s_at[d - lo] : s_at[d - lo + 1]])
+                    own = sh[s_at[d - lo] : s_at[d - lo + 1]]
                     if role[d] == 0:
                         anchor_id, anchor = a[d], own
+                        to.append(len(texts))
+                        texts.append(own)
+                        names.append(a[d])
                     elif a[d] == anchor_id:
-                        # an id may come with another text: places out of range are not its
-                        pairs = [(x["bpos"], x["apos"]) for x in info[d] if x["bpos"] < len(own.shingles) and x["apos"] < len(anchor.shingles)]
-                        found, failed, lacking = matches(anchor, own, pairs)
-                        more = SHINGLE - 1
-                        out += [(a[d], b[d], True, x, y and y + more, p, q and q + more, None, None) for x, y, p, q in found]
-                        if deal:
-                            again = [(key, p) for p in failed for key in _context_keys(own.shingles, p)]
-                            again += zip(own.windows[lacking].view(np.int64).tolist(), lacking)
-                            out += [(a[d], b[d], False, None, None, None, None, key, p) for key, p in again]
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int32()] * 4, pa.int64(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in MATCHES.split(", ")])
+                        to.append(next(i for i in range(len(to) - 1, -1, -1) if to[i] == i))
+                        texts.append(own)
+                        names.append(b[d])
+                if not texts:
+                    continue
+                others, anchors, again = compare(texts, np.array(to), deal)
+                linked = sorted({t for t, _, _ in others})
+                rows = [(0, names[to[t]], names[t], None, None) for t in linked]
+                rows += [(1, names[t], None, x, y + SHINGLE - 1) for t, x, y in others] + [(2, names[t], None, x, y + SHINGLE - 1) for t, x, y in anchors]
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], names=["kind", "one", "two", "first", "end"])
+                for t in range(len(texts)):
+                    if n := len(again[t]):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 3, np.int32)), pa.array(again[t].view(np.int64)), pa.array(np.full(n, names[t])), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], names=["kind", "one", "two", "first", "end"])
 
     return run
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        buf, off = utf8(batch.column(1))
-        _, at = hash_words(buf, off, SPACED)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at))], names=["doc_id", "n_words"])
-
-
 def merged(spans: DataFrame) -> DataFrame:
     """(doc_id, spans, n): the union of each document's spans (doc_id, first, end)."""
     spans = spans.distinct()
@@ -318,6 +344,16 @@ def merged(spans: DataFrame) -> DataFrame:
     return islands.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("spans"), F.sum(F.col("end") - F.col("first")).cast("long").alias("n"))
 
 
+def candidates(met: DataFrame) -> DataFrame:
+    """(a, b) of kind 1 that share a context, or whose windows overlap under enough functions."""
+    single = F.when(F.col("slot") < FUNCTIONS, F.struct("slot", "al", "ar", "bl", "br"))
+    found = met.where("kind = 1").groupBy("a", "b").agg(F.max("slot").alias("most"), F.collect_list(single).alias("hits"))
+    wide = lambda x, y, s: F.least(x[f"{s}r"], y[f"{s}r"]) - F.greatest(x[f"{s}l"], y[f"{s}l"]) + 1 >= LEAST
+    agree = lambda x, y: (x["slot"] < y["slot"]) & wide(x, y, "a") & wide(x, y, "b")
+    enough = lambda x: F.size(F.array_distinct(F.transform(F.filter("hits", lambda y: agree(x, y)), lambda y: y["slot"]))) >= ENOUGH - 1
+    return found.where((F.col("most") == FUNCTIONS) | F.exists("hits", enough)).select("a", "b")
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_repeated, n_removed, class_id, repeated, spans), a row per row.
 
@@ -334,26 +370,32 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     tables, width = Tables(spark, "substrings"), shuffle_width(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = docs.where("doc_id is not null")
-    keys = known.mapInArrow(_keys, KEYS)
-    pairs = keys.repartition(width, "route").sortWithinPartitions("route", "doc").mapInArrow(_stars, "a long, b long, apos int, bpos int").where("a <> b")
-    pairs = tables.cut(pairs.groupBy("a", "b").agg(F.collect_set(F.struct("bpos", "apos")).alias("info")))
-    first = tables.cut(anchored(pairs, known, _verify(True), MATCHES))
-
-    failed = first.where("not ok").select("route", F.col("b").alias("doc"), "pos").distinct()
-    heads = failed.groupBy("route").agg(F.min(F.struct("doc", "pos")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    again = failed.join(heads, "route").where("doc <> head.doc").select(F.col("head.doc").alias("a"), F.col("doc").alias("b"), F.struct(F.col("pos").alias("bpos"), F.col("head.pos").alias("apos")).alias("anchor"))
-    again = again.groupBy("a", "b").agg(F.collect_set("anchor").alias("info"))
-    second = tables.cut(anchored(again, known, _verify(False), MATCHES).where("ok"))
-
-    ok = first.where("ok").union(second)
-    later = ok.select(F.greatest("a", "b").alias("doc_id"), F.when(F.col("a") < F.col("b"), F.col("b_first")).otherwise(F.col("a_first")).alias("first"), F.when(F.col("a") < F.col("b"), F.col("b_end")).otherwise(F.col("a_end")).alias("end"))
-    sooner = ok.select(F.least("a", "b").alias("doc_id"), F.when(F.col("a") < F.col("b"), F.col("a_first")).otherwise(F.col("b_first")).alias("first"), F.when(F.col("a") < F.col("b"), F.col("a_end")).otherwise(F.col("b_end")).alias("end"))
-    # an equal stretch is a span of one of the two
-    later, sooner = later.where("first is not null"), sooner.where("first is not null")
+    scanned = docs.mapInArrow(_scan(RANGES * width), MEETING)
+    met = tables.cut(scanned.repartition(width, "part").sortWithinPartitions("part").mapInArrow(_meet, MEETING).drop("part", "packed"))
+    rows = met.where("kind = 0").select(F.col("a").alias("doc_id"), "h1", "h2", F.col("n").alias("n_words"))
+
+    # Documents of the same words: the first stands for all.
+    texts = rows.where(f"doc_id is not null and n_words >= {WORDS}").groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last")
+    copies = tables.cut(rows.join(texts, ["h1", "h2", "n_words"]).where("doc_id > rep").select("doc_id", "rep", F.col("n_words").cast("int").alias("end")).distinct())
+    first_of = copies.select(F.col("doc_id").alias("_id"), "rep")
+    stands = lambda df, c: df.join(first_of, F.col(c) == F.col("_id"), "left").withColumn(c, F.coalesce("rep", c)).drop("_id", "rep")
+    pairs = stands(stands(candidates(met), "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = tables.cut(pairs)
+    compared = lambda p, deal: tables.cut(anchored(p.withColumn("info", F.lit(0)), known, _verify(deal), FOUND))
+    found = compared(pairs, True)
+
+    again = found.where("kind = 3").select(F.col("one").alias("route"), F.col("two").alias("doc")).distinct()
+    heads = again.groupBy("route").agg(F.min("doc").alias("a"), F.max("doc").alias("last")).where("a < last").select("route", "a")
+    more = again.join(heads, "route").where("doc <> a").select("a", F.col("doc").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    found = found.where("kind < 3").union(compared(tables.cut(more), False))
+
+    of = lambda kind: found.where(F.col("kind") == kind).select(F.col("one").alias("doc_id"), "first", "end")
+    later = of(1).union(copies.select("doc_id", F.lit(0).alias("first"), "end"))
+    sooner = of(2).union(copies.select(F.col("rep").alias("doc_id"), F.lit(0).alias("first"), "end").distinct())
     removed = merged(later).select("doc_id", "spans", F.col("n").alias("n_removed"))
     repeated = merged(later.union(sooner)).select("doc_id", F.col("n").alias("n_repeated"))
-    classes = components(tables, ok.select("a", "b")).select(F.col("id").alias("doc_id"), F.col("root").alias("class_id"))
+    edges = found.where("kind = 0").select(F.col("one").alias("a"), F.col("two").alias("b")).union(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    classes = components(tables, edges).select(F.col("id").alias("doc_id"), F.col("root").alias("class_id"))
     marks = tables.cut(repeated.join(removed, "doc_id", "left").join(classes, "doc_id", "left"))
-    rows = docs.mapInArrow(_words, "doc_id long, n_words long").join(marks, "doc_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return rows.select("doc_id", "n_words", zero("n_repeated"), zero("n_removed"), F.coalesce("class_id", "doc_id").alias("class_id"), F.col("n_repeated").isNotNull().alias("repeated"), "spans")
+    return rows.join(marks, "doc_id", "left").select("doc_id", "n_words", zero("n_repeated"), zero("n_removed"), F.coalesce("class_id", "doc_id").alias("class_id"), F.col("n_repeated").isNotNull().alias("repeated"), "spans")
