@@ -59,8 +59,9 @@ def block_minima(key: np.ndarray, longest: int) -> list[np.ndarray]:
     out, step = [key], 1
     while step <= longest:
         last = out[-1]
-        nxt = np.zeros_like(last)
+        nxt = np.empty_like(last)
         np.minimum(last[:-step], last[step:], out=nxt[:-step])
+        nxt[-step:] = 0
         out.append(nxt)
         step *= 2
     return out
@@ -75,8 +76,8 @@ def sliding_minima(minima: list[np.ndarray], least: int) -> np.ndarray:
 
 def places(minimum: np.ndarray) -> np.ndarray:
     """Places of sliding minima that are not 0, each once, ascending."""
-    at = (minimum[minimum > 0] & _LOW).astype(np.int64)
-    return at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at
+    kept = minimum[np.concatenate(([0], np.flatnonzero(minimum[1:] != minimum[:-1]) + 1))]
+    return (kept[kept > 0] & _LOW).astype(np.int64)
 
 
 def windows(key: np.ndarray, longest: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

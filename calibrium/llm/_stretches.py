@@ -53,7 +53,9 @@ def aligned(anchor: np.ndarray, own: np.ndarray, own_group: np.ndarray, anchor_g
     if not len(at):
         return out
     lo = first[at]
-    last = np.searchsorted(ranked, b[at], "right") - 1
+    starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    rank = np.repeat(np.arange(len(starts)), np.diff(np.concatenate((starts, [len(ranked)]))))
+    last = np.concatenate((starts[1:], [len(ranked)]))[rank[lo]] - 1
     sure = lo == last
     out[at] = order[lo]
     if not sure.all():
@@ -67,7 +69,6 @@ def aligned(anchor: np.ndarray, own: np.ndarray, own_group: np.ndarray, anchor_g
         back[back] = own_group[at[nxt[back]]] == own_group[at[back]]
         base = np.where(known, np.maximum(seen, 0), np.where(back, np.minimum(nxt, len(at) - 1), 0))
         aim = np.where(known | back, out[at[base]] + at - at[base], out[at])
-        rank = np.cumsum(np.concatenate(([0], ranked[1:] != ranked[:-1])))
         width = len(a) + 1
         line = rank * width + order
         many = np.flatnonzero(~sure)
@@ -90,6 +91,53 @@ def runs(match: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return first, ends - first, match[first]
 
 
+def before(sequence: np.ndarray) -> np.ndarray:
+    """For each place the last place before it with the same element, or -1."""
+    order = np.argsort(sequence, kind="stable")
+    out = np.full(len(sequence), -1)
+    same = sequence[order[1:]] == sequence[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+class Pair:
+    """The runs of one pair of sequences, and how similar intervals of them are."""
+
+    def __init__(self, first: np.ndarray, length: np.ndarray, other: np.ndarray, a: np.ndarray, b: np.ndarray):
+        self.first, self.end, self.other, self.over, self.a, self.b = first, first + length, other, other + length, a, b
+        self.total = np.concatenate(([0], np.cumsum(length)))
+        self.hits: np.ndarray | None = None
+
+    def table(self, lo: int, hi: int) -> tuple[np.ndarray, ...]:
+        """For runs lo..hi as the first and all from lo on as the last: whether that is
+        an interval, its places in b, the shared ones, the first and last place in a."""
+        later = np.arange(lo, len(self.first))[None, :] >= np.arange(lo, hi)[:, None]
+        shared = self.total[None, lo + 1 :] - self.total[lo:hi, None]
+        wide = self.end[None, lo:] - self.first[lo:hi, None]
+        from_a = np.minimum.accumulate(np.where(later, self.other[None, lo:], 1 << 60), axis=1)
+        to_a = np.maximum.accumulate(np.where(later, self.over[None, lo:], -1), axis=1)
+        return later, wide, shared, from_a, to_a
+
+    def similar(self, x: int, y: int, p: int, q: int, least: float) -> bool:
+        s, t = np.unique(self.b[x:y]), np.unique(self.a[p:q])
+        same = int(member(s, t).sum())
+        return same >= least * (len(s) + len(t) - same)
+
+    def distinct(self, i: int, ends: np.ndarray, from_a: np.ndarray, to_a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct shingles of b, shared ones, and those of a, for intervals from run i to
+        places `ends`; of a, where the interval begins elsewhere in a, no more than the shared."""
+        if self.hits is None:
+            self.hits = np.zeros(len(self.b), bool)
+            for x, y in zip(self.first, self.end):
+                self.hits[x:y] = True
+            self.before_a, self.before_b = before(self.a), before(self.b)
+        x, p = self.first[i], self.other[i]
+        new = self.before_b[x : ends[-1]] < x
+        of_b, shared = np.cumsum(new)[ends - x - 1], np.cumsum(new & self.hits[x : ends[-1]])[ends - x - 1]
+        of_a = np.cumsum(self.before_a[p : to_a.max()] < p)[to_a - p - 1]
+        return of_b, shared, np.where(from_a == p, np.maximum(of_a, shared), shared)
+
+
 def chains(first: np.ndarray, length: np.ndarray, other: np.ndarray, a: np.ndarray, b: np.ndarray, least: int, similar: float) -> list[tuple[int, int, int, int]]:
     """Near-duplicate stretches (b's [x, y), a's [p, q)) made of one pair's runs.
 
@@ -97,32 +145,24 @@ def chains(first: np.ndarray, length: np.ndarray, other: np.ndarray, a: np.ndarr
     similar enough the longest from each first run are measured on their sets
     of shingles, and shorter ones where these fall short. None lies in another.
     """
-    n = len(first)
-    end, over = first + length, other + length
-    total = np.concatenate(([0], np.cumsum(length)))
-    out: list[tuple[int, int, int, int]] = []
-    reached = -1
-    for lo in range(0, n, ROWS):
-        hi = min(n, lo + ROWS)
-        later = np.arange(lo, n)[None, :] >= np.arange(lo, hi)[:, None]
-        shared = total[None, lo + 1 :] - total[lo:hi, None]
-        wide_b = end[None, lo:] - first[lo:hi, None]
-        from_a = np.minimum.accumulate(np.where(later, other[None, lo:], 1 << 60), axis=1)
-        to_a = np.maximum.accumulate(np.where(later, over[None, lo:], -1), axis=1)
+    pair, out, reached = Pair(first, length, other, a, b), [], -1
+    for lo in range(0, len(first), ROWS):
+        hi = min(len(first), lo + ROWS)
+        later, wide_b, shared, from_a, to_a = pair.table(lo, hi)
         wide_a = to_a - from_a
         both = np.minimum(shared, np.minimum(wide_a, wide_b))
         ok = later & (wide_b >= least) & (wide_a >= least) & (both >= similar * (wide_a + wide_b - both))
         for i in np.flatnonzero(ok.any(axis=1)):
-            for j in np.flatnonzero(ok[i])[::-1]:
-                if lo + j <= reached:
+            js, counted = np.flatnonzero(ok[i]), False
+            while len(js) and lo + js[-1] > reached:
+                j = js[-1]
+                x, y, p, q = int(first[lo + i]), int(pair.end[lo + j]), int(from_a[i, j]), int(to_a[i, j])
+                if y - x == length[lo + i] or pair.similar(x, y, p, q, similar):
+                    out.append((x, y, p, q))
+                    reached = lo + j
                     break
-                x, y, p, q = int(first[lo + i]), int(end[lo + j]), int(from_a[i, j]), int(to_a[i, j])
-                if i + lo != j + lo:
-                    s, t = np.unique(b[x:y]), np.unique(a[p:q])
-                    same = int(member(s, t).sum())
-                    if same < similar * (len(s) + len(t) - same):
-                        continue
-                out.append((x, y, p, q))
-                reached = lo + j
-                break
+                js = js[:-1]
+                if not counted and len(js):  # shingles repeat: leave those that their distinct ones rule out
+                    of_b, same, of_a = pair.distinct(lo + i, pair.end[lo + js], from_a[i, js], to_a[i, js])
+                    js, counted = js[same >= similar * (of_b + of_a - same)], True
     return out

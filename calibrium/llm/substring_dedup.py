@@ -262,7 +262,7 @@ def compare(texts: list[np.ndarray], anchor: np.ndarray, deal: bool) -> tuple[li
     equal = np.zeros(len(whole), bool)
     for side in (own, ~own):
         at, against = np.flatnonzero(fits & side), np.flatnonzero(fits & ~side)
-        equal[at] = member(key[at], np.unique(key[against]))
+        equal[at] = member(key[at], np.sort(key[against]))
     for x, y in zip(*spans_of(equal)):
         t = int(of[x])
         (others if mine[x] else anchors).append((t, int(x - begin[t]), int(y - 1 + LEAST - begin[t])))
@@ -286,7 +286,7 @@ def compare(texts: list[np.ndarray], anchor: np.ndarray, deal: bool) -> tuple[li
             half = stretch_hashes(every, HALF)
             inside = of[: len(half)] == of[len(every) - len(half) :]
             half_key = keyed(half, group[: len(half)])
-            known = np.unique(half_key[inside & ~mine[: len(half)]])
+            known = np.sort(half_key[inside & ~mine[: len(half)]])
             c = least_places(every)[lacking]
             start = np.where(c - HALF + 1 >= lacking, c - HALF + 1, c)
             lacking = lacking[member(half_key[start], known)]
