@@ -10,7 +10,8 @@ Loss of a token w after h: -log2 of (max(c(h w) - D, 0) + D n(h) p(w)) / c(h),
 where n(h) is the number of distinct tokens seen after h and p(w) the smoothed
 share of w; of p(w) alone where h was never seen.
 
-Bigrams are counted per shard of tokens in numpy, summed by a shuffle, and
+Texts are tokenised once, to a table of packed ids that counting and scoring
+read. Bigrams are counted per shard of tokens in numpy, summed by a shuffle, and
 written to the shared folder as blocks of bounded size, so the model may be
 larger than any memory. A worker scores a bounded stretch of documents against
 one block after the other. Only what the vocabulary bounds (counts of single
@@ -26,35 +27,49 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._files import make_folder, opened
+from ._kernels import utf8
 from ._shared import Tables, shared_folder, small_batches
-from .token_files import encode_texts
+from ._word_ids import word_ids
 
 DISCOUNT, ADDED = 0.75, 0.5
 #: Tokens counted or scored together; bigrams in a block of the model.
 STRETCH, BLOCK = 3_000_000, 2_000_000
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], tokenizer: str, columns: int) -> Iterator[tuple[list[list], np.ndarray, np.ndarray]]:
-    """(other columns, tokens, offsets) of documents of about STRETCH tokens together."""
-    others, parts, held = [[] for _ in range(columns)], [], 0
+def _tokens(tokenizer: str, kind: str):
+    """(doc_id, text) to (doc_id, ids), the ids little-endian in one binary value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at = word_ids(tokenizer).encode_all(*utf8(batch.column(1)))
+            data, width = ids.astype(kind), np.dtype(kind).itemsize
+            packed = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * width).astype("<i8")), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed.cast(pa.binary())], names=["doc_id", "ids"])
+
+    return run
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(first column, tokens, offsets) of documents of about STRETCH tokens together."""
+    firsts, parts, sizes, held, width = [], [], [], 0, np.dtype(kind).itemsize
     for batch in batches:
-        texts = pc.fill_null(batch.column(columns), "").cast(pa.binary()).to_pylist()
-        rows = zip(*(batch.column(k).to_pylist() for k in range(columns)))
-        for row, ids in zip(rows, encode_texts(tokenizer, texts)):
-            for k, x in enumerate(row):
-                others[k].append(x)
-            parts.append(ids)
-            held += len(ids)
-            if held >= STRETCH:
-                yield others, np.concatenate(parts), np.concatenate(([0], np.cumsum(list(map(len, parts)))))
-                others, parts, held = [[] for _ in range(columns)], [], 0
+        packed = batch.column(1).cast(pa.large_binary())
+        _, offsets, data = packed.buffers()
+        at = np.frombuffer(offsets, np.int64)[packed.offset : packed.offset + len(packed) + 1]
+        own = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
+        parts.append(np.frombuffer(own.tobytes(), kind).astype(np.int64))
+        sizes.append(np.diff(at) // width)
+        firsts += batch.column(0).to_pylist()
+        held += len(parts[-1])
+        if held >= STRETCH:
+            yield firsts, np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+            firsts, parts, sizes, held = [], [], [], 0
     if parts:
-        yield others, np.concatenate(parts), np.concatenate(([0], np.cumsum(list(map(len, parts)))))
+        yield firsts, np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
 
 
 def bigrams(tokens: np.ndarray, offsets: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -66,9 +81,9 @@ def bigrams(tokens: np.ndarray, offsets: np.ndarray, vocabulary: int) -> np.ndar
     return history * (vocabulary + 1) + tokens
 
 
-def _count(tokenizer: str, vocabulary: int):
+def _count(kind: str, vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (target,), tokens, offsets in _stretches(batches, tokenizer, 1):
+        for target, tokens, offsets in _stretches(batches, kind):
             keys = bigrams(tokens, offsets, vocabulary)
             of_target = np.repeat(np.array(target, bool), np.diff(offsets))
             keys = np.sort(keys * 2 + of_target)
@@ -117,9 +132,9 @@ class Singles:
         return -np.log2(p)
 
 
-def _score(tokenizer: str, vocabulary: int, blocks: list[str], target: Singles, background: Singles):
+def _score(kind: str, vocabulary: int, blocks: list[str], target: Singles, background: Singles):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (ids,), tokens, offsets in _stretches(batches, tokenizer, 1):
+        for ids, tokens, offsets in _stretches(batches, kind):
             n_docs = len(ids)
             grams = bigrams(tokens, offsets, vocabulary)
             place = np.argsort(grams)
@@ -158,8 +173,11 @@ def score(docs: DataFrame, target_ids: DataFrame, tokenizer: str, vocabulary: in
     make_folder(folder)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marks = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    told = docs.join(marks, "doc_id", "left").select(F.coalesce("target", F.lit(False)).alias("target"), "text")
-    parts = told.mapInArrow(_count(tokenizer, vocabulary), "gram long, n long, n_target long")
+    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    tokens = tables.cut(docs.mapInArrow(_tokens(tokenizer, kind), "doc_id long, ids binary"))
+    # a merge join at any size: the labels grow with the documents
+    told = tokens.join(marks.hint("merge"), "doc_id", "left").select(F.coalesce("target", F.lit(False)).alias("target"), "ids")
+    parts = told.mapInArrow(_count(kind, vocabulary), "gram long, n long, n_target long")
     counts = tables.cut(parts.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
 
     side = vocabulary + 1
@@ -178,4 +196,4 @@ def score(docs: DataFrame, target_ids: DataFrame, tokenizer: str, vocabulary: in
     dealt = counts.withColumn("block", F.pmod(F.xxhash64("gram"), F.lit(n_blocks)).cast("int"))
     written = tables.cut(dealt.groupBy("block").applyInArrow(_block_writer(folder), "uri string"))
     blocks = sorted(r["uri"] for r in written.collect())
-    return docs.mapInArrow(_score(tokenizer, vocabulary, blocks, target, background), "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
+    return tokens.mapInArrow(_score(kind, vocabulary, blocks, target, background), "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")

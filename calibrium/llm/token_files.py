@@ -14,9 +14,6 @@ that succeeded, so a lost executor leaves at most a file nobody refers to.
 
 from __future__ import annotations
 
-import functools
-import os
-import re
 import struct
 import uuid
 import zlib
@@ -24,16 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._files import make_folder, opened
+from ._kernels import utf8
 from ._shared import Tables, ordered_buckets, shared_folder, shuffle_width, small_batches
+from ._word_ids import word_ids
 
 MAGIC, BLOCK, END_ID = b"CBIDS001", 1 << 16, 1
-#: Distinct words whose ids a worker remembers at once; a bound on memory alone.
-REMEMBERED = 1_000_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -70,8 +66,12 @@ class Writer:
         self.rest, self.held, self.docs, self.counts, self.blocks, self.n = [], 0, [], [], [], 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append(doc_id)
-        self.counts.append(len(ids))
+        self.extend([doc_id], [len(ids)], ids)
+
+    def extend(self, doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> None:
+        """Documents of `counts` ids each, their ids one after the other."""
+        self.docs += doc_ids
+        self.counts += counts
         self.rest.append(ids)
         self.held += len(ids)
         self.n += len(ids)
@@ -132,50 +132,6 @@ class Reader:
         return np.concatenate(parts) if parts else np.empty(0, np.uint32)
 
 
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    return t, getattr(t, "encode_batch_fast", t.encode_batch), {}
-
-
-#: A word of ASCII letters and the ASCII marks after it, which the tokenizer always parts.
-PARTS = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)")
-
-
-def _learn(path: str, words: list[bytes]) -> None:
-    """Remember the ids of words; letters and the marks behind them one by one."""
-    _, encode, known = _tokenizer(path)
-    split = [(w, m.groups()) for w in words if (m := PARTS.fullmatch(w))]
-    parts = {p for _, x in split for p in x}.union(w for w in words if not PARTS.fullmatch(w)) - known.keys()
-    fresh = list(parts)
-    for w, e in zip(fresh, encode([w.decode() for w in fresh], add_special_tokens=False), strict=True):
-        known[w] = np.array(e.ids, "<u4").tobytes()
-    for w, (letters, marks) in split:
-        known[w] = known[letters] + known[marks]
-
-
-def encode_texts(path: str, texts: list[bytes]) -> Iterator[np.ndarray]:
-    """Ids of each text, for a tokenizer that lower-cases and then cuts at white space.
-
-    A text's ids are those of its spaced words one after the other, and a word
-    met before need not be encoded again. A-Z are lower-cased here, but for
-    texts that may hold the name of a special token.
-    """
-    _, _, known = _tokenizer(path)
-    split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-    fresh = set().union(*split)
-    if len(known) + len(fresh) > REMEMBERED:
-        known.clear()
-    fresh -= known.keys()
-    if fresh:
-        _learn(path, list(fresh))
-    for words in split:
-        yield np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
-
-
 def _write(folder: str, tokenizer: str, bits: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, writer, uri, done = None, None, "", []
@@ -185,13 +141,17 @@ def _write(folder: str, tokenizer: str, bits: int, end_id: int):
                 done.append((bucket, uri, *writer.close()))
 
         for batch in batches:
-            texts = pc.fill_null(batch.column(2), "").cast(pa.binary()).to_pylist()
-            for b, doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encode_texts(tokenizer, texts)):
-                if b != bucket or writer is None:
+            buckets, names = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            ids, at = word_ids(tokenizer).encode_all(*utf8(batch.column(2)))
+            ids = np.insert(ids, at[1:], np.uint32(end_id))
+            at = at + np.arange(len(at))
+            cuts = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1]))) if len(names) else np.empty(0, np.int64)
+            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(names)]):
+                if (b := int(buckets[lo])) != bucket or writer is None:
                     finish()
                     bucket, uri = b, f"{folder}/ids-{b + 1:06d}-{uuid.uuid4().hex}.bin"
                     writer = Writer(uri, bits)
-                writer.add(doc_id, np.append(ids, np.uint32(end_id)))
+                writer.extend(names[lo:hi], np.diff(at[lo : hi + 1]).tolist(), ids[at[lo] : at[hi]])
         finish()
         yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in done], pa.int32()), "uri": pa.array([x[1] for x in done], pa.string()), "n_ids": pa.array([x[2] for x in done], pa.int64()), "n_docs": pa.array([x[3] for x in done], pa.int64())})
 
