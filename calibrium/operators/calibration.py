@@ -26,7 +26,7 @@ def objective_terms(x: Column, y: Column, a: Column | float, b: Column | float)
 
 def certificate(strength: float) -> float:
     """A gradient this short is within GAP of the optimum of a `strength`-convex objective."""
-    return float(np.sqrt(2 * strength * GAP))
+    return float(np.sqrt(2.0) * np.sqrt(strength) * np.sqrt(GAP))  # a product under one root would underflow
 
 
 def fit_logistic(rows: DataFrame, x: Column, y: Column, strength: float) -> dict[str, float | bool | int]:
@@ -58,30 +58,37 @@ def fit_logistic(rows: DataFrame, x: Column, y: Column, strength: float) -> dict
     return {"slope": float(v[0]), "intercept": float(v[1]), "objective": float(value), "gradient_norm": norm, "certified": norm <= certificate(strength), "iterations": n}
 
 
-def solve_logistic(x: np.ndarray, y: np.ndarray, strength: float) -> tuple[float, float, bool]:
-    """The same objective on rows of one group, in numpy."""
-    v = np.zeros(2)
+def solve_logistic(x: np.ndarray, y: np.ndarray, strength: float, weight: np.ndarray | None = None) -> tuple[float, float, bool]:
+    """The same objective on rows of one group, in numpy; rows may stand for `weight` equal ones.
+
+    The last value tells whether the gradient at the returned point reaches the
+    certificate; a pair without it is no fit.
+    """
     f = np.column_stack((x, np.ones_like(x)))
     sign = np.where(y == 1, -1.0, 1.0)
+    share = np.full(len(x), 1 / len(x)) if weight is None else weight / weight.sum()
 
     def value(u: np.ndarray) -> float:
-        return float(np.logaddexp(0, sign * (f @ u)).mean() + strength / 2 * u @ u)
+        return float(share @ np.logaddexp(0, sign * (f @ u)) + strength / 2 * u @ u)
 
+    def gradient(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z = sign * (f @ u)
+        s = np.exp(-np.logaddexp(0, -z))
+        return f.T @ (share * sign * s) + strength * u, s * np.exp(-np.logaddexp(0, z))
+
+    v = np.zeros(2)
+    g, w = gradient(v)
     for _ in range(ITERATIONS):
-        z = f @ v
-        s = 1 / (1 + np.exp(-sign * z))
-        g = f.T @ (sign * s) / len(x) + strength * v
         if np.linalg.norm(g) <= certificate(strength):
-            return float(v[0]), float(v[1]), True
-        w = s * (1 - s)
-        step = np.linalg.solve((f * w[:, None]).T @ f / len(x) + strength * np.eye(2), g)
-        size = 1.0
+            break
+        step, size, here = np.linalg.solve((f * (share * w)[:, None]).T @ f + strength * np.eye(2), g), 1.0, value(v)
         for _ in range(HALVINGS):
-            if value(v - size * step) <= value(v) - ARMIJO * size * float(g @ step):
+            new_g, new_w = gradient(v - size * step)
+            if value(v - size * step) <= here - ARMIJO * size * float(g @ step) or np.linalg.norm(new_g) <= certificate(strength):
                 break
             size /= 2
-        v = v - size * step
-    return float(v[0]), float(v[1]), bool(np.linalg.norm(g) <= 1e3 * certificate(strength))
+        v, g, w = v - size * step, new_g, new_w
+    return float(v[0]), float(v[1]), bool(np.linalg.norm(g) <= certificate(strength))
 
 
 def solve_isotonic(score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -56,3 +56,9 @@ def observe_choices(scored: DataFrame) -> DataFrame:
     resolved = F.col("status") == "RESOLVED"
     bucket = F.when(F.col("status") == "UNRESOLVED", "unresolved").when(F.col("status") == "TAXONOMY_MISS", "taxonomy_miss").when(~F.col("adjudicated"), "unadjudicated").otherwise("eligible")
     return rows.withColumns({"correct": F.when(resolved, F.col("winner") == F.col("truth")), "fit_eligible": resolved & F.col("adjudicated"), "bucket": bucket})
+
+
+def coherent_taxonomies(binding: Column, binding_version: Column, truth: Column, truth_version: Column) -> Column:
+    """Whether two declared taxonomies can both be true: what is unknown contradicts nothing."""
+    same_version = binding_version.isNull() | truth_version.isNull() | (binding_version == truth_version)
+    return binding.isNull() | truth.isNull() | ((binding == truth) & same_version)

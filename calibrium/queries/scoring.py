@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as X
 from ..functions import identity as I
 from ..functions import numeric as N
+from ..operators import measure
 from ..operators import scoring as S
 from ..plans import compile as P
 from . import query
@@ -144,15 +145,23 @@ def pl16(spark, d):
     return o.groupBy("item_id").agg(r9(F.sum(N.sigmoid(F.col("x"))), "candidate_score_sum"), F.count("*").alias("n"))
 
 
-@query("pl17_measurement_status", "SELECT doc_id, CASE WHEN n_chars > 10000 THEN 'INELIGIBLE' WHEN n_chars < 50 THEN 'MISSING' ELSE 'SCORED' END AS status FROM documents")
+@query("pl17_measurement_status", "SELECT doc_id, CASE WHEN lang = 'es' OR n_chars > 10000 THEN 'INELIGIBLE' ELSE 'SCORED' END AS status, CASE WHEN lang = 'es' THEN 'UnsupportedDecisionError: no template for es' WHEN n_chars > 10000 THEN 'ScoringLabelError: ' || n_chars || ' characters' END AS reason, CASE WHEN lang <> 'es' AND n_chars <= 10000 THEN round(n_chars / 10000.0, 9) END AS score FROM documents")
 def pl17(spark, d):
-    n = F.col("n_chars")
-    return X.table(spark, d, "documents").select("doc_id", F.when(n > 10000, "INELIGIBLE").when(n < 50, "MISSING").otherwise("SCORED").alias("status"))
+    return measure.measured(X.table(spark, d, "documents").select("doc_id", "lang", "n_chars"), _score_by_length).select("doc_id", "status", "reason", F.round("score", 9).alias("score"))
 
 
-@query("pl18_measure_cell", f"WITH {X.S1} SELECT s1.item_id, s1.winner, round(1 / (1 + exp(-s1.v[1 + s1.item_id % 8])), 9) AS ovr FROM s1 WHERE item_id % 2 = 0")
+def _score_by_length(row: dict) -> float:
+    """A scorer that declares what it can't measure."""
+    if row["lang"] == "es":
+        raise measure.UnsupportedDecisionError("no template for es")
+    if row["n_chars"] > 10000:
+        raise measure.ScoringLabelError(f"{row['n_chars']} characters")
+    return row["n_chars"] / 10000
+
+
+@query("pl18_measure_cell", f"WITH {X.S1} SELECT s1.item_id, s1.winner, round(1 / (1 + exp(-s1.v[1 + s1.item_id % 8])), 9) AS ovr FROM s1")
 def pl18(spark, d):
-    manifest = X.choice_evidence(spark, d).select("item_id").where("item_id % 2 = 0")
+    manifest = X.choice_evidence(spark, d).select("item_id")
     s = S.score_choices(X.choice_evidence(spark, d))
     return manifest.join(s, "item_id").select("item_id", "winner", r9(N.sigmoid(F.get("values", (F.col("item_id") % 8).cast("int"))), "ovr"))
 
@@ -186,17 +195,20 @@ def fi07(spark, d):
     return o.join(F.broadcast(p), o.lang.eqNullSafe(p.lang)).select("doc_id", "profile_fp")
 
 
-@query("fi08_binding_equality", "SELECT a.nationkey AS a, b.nationkey AS b, false AS equal FROM (SELECT n_nationkey AS nationkey FROM nation) a JOIN (SELECT n_nationkey AS nationkey FROM nation) b ON a.nationkey < b.nationkey AND a.nationkey < 3")
+@query("fi08_binding_equality", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, a.n_regionkey = b.n_regionkey AS equal FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
 def fi08(spark, d):
-    n = X.table(spark, d, "nation").select("n_nationkey", I.record_text({"name": I.quoted(F.col("n_name")), "v": F.lit(1)}).alias("t"))
-    a, b = n.select(F.col("n_nationkey").alias("a"), F.col("t").alias("x")).where("a < 3"), n.select(F.col("n_nationkey").alias("b"), F.col("t").alias("y"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", (F.col("x") == F.col("y")).alias("equal"))
+    """Bindings of two nations are equal where their payloads are: those of one region."""
+    n = X.table(spark, d, "nation").select("n_nationkey", I.record_text({"domain": F.col("n_regionkey").cast("string"), "v": F.lit(1)}).alias("t"))
+    a, b = n.select(F.col("n_nationkey").alias("a"), F.col("t").alias("x")), n.select(F.col("n_nationkey").alias("b"), F.col("t").alias("y"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", (F.col("x") == F.col("y")).alias("equal"))
 
 
-@query("fi09_taxonomy_coherent", "SELECT d.doc_id, l.quality IS NULL OR l.toxic IS NULL OR l.quality <> l.toxic AS coherent FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("fi09_taxonomy_coherent", "SELECT d.doc_id, l.quality IS NULL OR l.toxic IS NULL OR (l.quality = l.toxic AND (d.doc_id % 3 = 0 OR d.n_chars % 2 = d.doc_id % 2)) AS coherent FROM documents d LEFT JOIN labels l USING (doc_id)")
 def fi09(spark, d):
-    j = X.table(spark, d, "documents").select("doc_id").join(X.table(spark, d, "labels"), "doc_id", "left")
-    return j.select("doc_id", (F.col("quality").isNull() | F.col("toxic").isNull() | (F.col("quality") != F.col("toxic"))).alias("coherent"))
+    """Taxonomies of binding (quality) and truth (toxic), their versions the parities of n_chars and id, the first unknown for every third."""
+    j = X.table(spark, d, "documents").select("doc_id", "n_chars").join(X.table(spark, d, "labels"), "doc_id", "left")
+    version = F.when(F.col("doc_id") % 3 != 0, F.col("n_chars") % 2)
+    return j.select("doc_id", S.coherent_taxonomies(F.col("quality"), version, F.col("toxic"), F.col("doc_id") % 2).alias("coherent"))
 
 
 @query("fi10_ok_records", "SELECT event_id FROM events WHERE event_type <> 'error'")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 from typing import Any
 
@@ -31,7 +32,16 @@ def nesting(text: str) -> int:
     return most
 
 
+def levels(document: Any) -> int:
+    """Levels of a document: the root is one, and so is all that stands in a level's objects and arrays."""
+    row, n = [document], 0
+    while row:
+        row, n = [x for d in row if isinstance(d, (dict, list)) for x in (d.values() if isinstance(d, dict) else d)], n + 1
+    return n
+
+
 def parse(text: str) -> dict[str, Any]:
+    """The object of a text; ValueError says why there is none, whatever a text holds."""
     if nesting(text) > DEPTH:
         raise ValueError("too deep")
 
@@ -43,9 +53,21 @@ def parse(text: str) -> dict[str, Any]:
     def constant(name: str) -> Any:
         raise ValueError(f"{name} is no number")
 
-    out = json.loads(text, object_pairs_hook=pairs, parse_constant=constant)
+    def finite(digits: str) -> float:
+        out = float(digits)
+        return out if math.isfinite(out) else constant(digits[:40])
+
+    def whole(digits: str) -> int:
+        try:
+            return int(digits)
+        except ValueError:
+            raise ValueError("too many digits") from None
+
+    out = json.loads(text, object_pairs_hook=pairs, parse_constant=constant, parse_float=finite, parse_int=whole)
     if not isinstance(out, dict):
         raise ValueError("not an object")
+    if levels(out) > DEPTH:
+        raise ValueError("too deep")
     return out
 
 
@@ -57,7 +79,9 @@ def reason(text: str | None) -> str | None:
         parse(text)
     except json.JSONDecodeError:
         return "not JSON"
-    except (ValueError, RecursionError) as e:
+    except RecursionError:
+        return "too deep"
+    except ValueError as e:
         return str(e)
     return None
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -25,12 +25,31 @@ def test_isotonic_is_the_max_min_formula(pairs):
 
 @settings(max_examples=40, deadline=None)
 @given(PAIRS, st.sampled_from([1e-4, 1e-2, 1.0]))
+@example([(1, 0), (1, 0), (1, 0), (16, 0), (19, 0)], 1.0)
 def test_logistic_reaches_its_certificate(pairs, strength):
     x, y = np.array([a / 20 for a, _ in pairs]), np.array([b for _, b in pairs])
-    a, b, _ = C.solve_logistic(x, y, strength)
+    a, b, certified = C.solve_logistic(x, y, strength)
     q = 1 / (1 + np.exp(-(a * x + b)))
     g = np.array([((q - y) * x).mean() + strength * a, (q - y).mean() + strength * b])
-    assert np.linalg.norm(g) < 1e-7
+    assert certified and np.linalg.norm(g) <= C.certificate(strength) * (1 + 1e-6)
+
+
+def test_weights_stand_for_repeated_rows():
+    rng = np.random.default_rng(3)
+    x, y, w = rng.random(50), rng.integers(0, 2, 50), rng.integers(1, 5, 50)
+    one, two = C.solve_logistic(x, y, 1e-2, w.astype(float)), C.solve_logistic(np.repeat(x, w), np.repeat(y, w), 1e-2)
+    assert np.allclose(one[:2], two[:2], atol=1e-9) and one[2] and two[2]
+
+
+def test_certificate_of_tiny_strengths():
+    assert C.certificate(1e-310) > 0 and np.isclose(C.certificate(0.5), 1e-7)
+
+
+def test_a_pair_is_certified_or_no_fit(monkeypatch):
+    monkeypatch.setattr(C, "ITERATIONS", 1)
+    x, y = np.array([0.1, 0.2, 0.9]), np.array([0, 1, 1])
+    a, b, certified = C.solve_logistic(x, y, 1e-4)
+    assert not certified
 
 
 def test_distributed_fit_equals_the_local_one(spark):
