@@ -44,7 +44,7 @@ def _byte_table() -> np.ndarray:
     return t
 
 
-BYTE = _byte_table()
+BYTE, CASED = _byte_table(), stream(7, 256)
 #: Bytes of words `[^\x20\x09-\x0D]+`: everything but ASCII white space.
 SPACED = np.ones(256, bool)
 SPACED[[0x20, *range(0x09, 0x0E)]] = False
@@ -120,8 +120,11 @@ def hash_words(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, piece:
     return placed_words(buf, offsets, is_word, piece)[:2]
 
 
-def placed_words(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As hash_words, with the first byte of each word and the byte after it."""
+def placed_words(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, piece: int = PIECE, table: np.ndarray = BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As hash_words, with the first byte of each word and the byte after it.
+
+    `table` has the number of each byte: CASED tells A-Z from a-z.
+    """
     hashes, starts_all, ends_all = [], [], []
     for lo, hi in _cuts(buf, offsets, is_word, piece):
         b = buf[lo:hi]
@@ -141,7 +144,7 @@ def placed_words(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, piec
         p, inv = _power_tables(len(b) + 1)
         pre = np.empty(len(b) + 1, U64)
         pre[0] = 0
-        np.cumsum(BYTE[b] * p[: len(b)], out=pre[1:])
+        np.cumsum(table[b] * p[: len(b)], out=pre[1:])
         h = (pre[ends] - pre[starts]) * inv[starts]
         hashes.append(mix(h ^ ((ends - starts).astype(U64) * U64(0xA24BAED4963EE407))))
         starts_all.append(starts + lo)

@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import itertools
 import os
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -25,24 +26,18 @@ REMEMBERED = 3_000_000
 SPECIAL = b"<|"
 
 
-class WordIds:
-    """The ids of the words met so far, found by hash."""
+class Remembered:
+    """The ids of the words met so far, found by hash; a subclass encodes the others."""
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        self._encode = getattr(t, "encode_batch_fast", t.encode_batch)
+    def __init__(self) -> None:
         self._forget()
 
     def _forget(self) -> None:
         self.hashes, self.starts, self.lengths = np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int32)
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
 
-    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+    def _learn(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
         """hashes: ascending, not known yet."""
-        ids = [e.ids for e in self._encode([w.decode() for w in words], add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int32, len(ids))
         more = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
         starts = self.used + np.cumsum(lengths, dtype=np.int64) - lengths
@@ -58,12 +53,11 @@ class WordIds:
         at[at == len(self.hashes)] = 0
         return at
 
-    def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets by text) of texts of UTF-8 bytes."""
-        hashes, word_at, first, end = placed_words(buf, offsets, SPACED)
+    def gather(self, hashes: np.ndarray, encode: Callable[[np.ndarray], list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets by word) of words by their hashes; encode(places) gives those of words at some places."""
         codes, kinds = pd.factorize(hashes)
         if len(kinds) == 0:
-            return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
+            return np.empty(0, np.uint32), np.zeros(1, np.int64)
         if len(self.hashes) + len(kinds) > REMEMBERED:
             self._forget()
         order = np.argsort(kinds)
@@ -72,13 +66,35 @@ class WordIds:
         if fresh.any():
             top = np.maximum.accumulate(codes)
             met = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))[order[fresh]]
-            text = buf.tobytes()
-            self._learn(ranked[fresh], [text[x:y].lower() for x, y in zip(first[met].tolist(), end[met].tolist())])
+            self._learn(ranked[fresh], encode(met))
         at = np.empty(len(kinds), np.int64)
         at[order] = self._found(ranked)
         starts, lengths = self.starts[at][codes], self.lengths[at][codes]
         ends = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
-        return self.flat[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])], ends[word_at]
+        return self.flat[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])], ends
+
+
+class WordIds(Remembered):
+    """Words of a tokenizer that lower-cases and cuts at white space."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        self._encode = getattr(t, "encode_batch_fast", t.encode_batch)
+
+    def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets by text) of texts of UTF-8 bytes."""
+        hashes, word_at, first, end = placed_words(buf, offsets, SPACED)
+
+        def words(at: np.ndarray) -> list[list[int]]:
+            text = buf.tobytes()
+            return [e.ids for e in self._encode([text[x:y].lower().decode() for x, y in zip(first[at].tolist(), end[at].tolist())], add_special_tokens=False)]
+
+        ids, ends = self.gather(hashes, words)
+        return ids, ends[word_at]
 
     def encode_all(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """As `encode`, a few MB at a time, texts with names of special tokens by the library."""

@@ -1,32 +1,23 @@
 """SentencePiece encoding and decoding as a max-plus parallel scan (op6).
 
-The best segmentation of a text over the pieces of a vocabulary file is a
-longest path over character positions, that is a product of matrices in
-the (max, +) semiring. A giant document is cut into chunks of characters; the
-state at a cut is how far the piece that crosses it reaches into the next
-chunk. Each chunk yields its matrix of best scores from entry state to exit
-state, without knowing its neighbours; the matrices of a document are combined
-(the product is associative), which fixes the state at every cut; then every
-chunk is traced back by itself. Other documents are one chunk.
-
-Inside a chunk the position before a space mark that follows another character
-is a certain cut: no piece that could be part of a best path goes over it.
-Between two such cuts lies a word, whose best segmentation is remembered.
-
-The public vocabulary file is one of merges: its scores are negated ranks, not
-log probabilities. The rank r gives a piece the score -ln(r + 2), the shape of
-Zipf's law, in fixed point, so that sums are exact in any order. Ids are those
-of the file. They are the most probable segmentation, not that of the merges. A
-character that no piece covers costs the least score less 10, as in the
-library, and becomes its UTF-8 bytes. Of equal paths the one whose last piece
-is longest wins, at every position.
+The ids are those of the library for a vocabulary file of merges, whatever a
+text's length. A giant document is cut into chunks of characters; the state at
+a cut is the piece that ends there or goes over it. Each chunk yields its matrix
+of scores from entry state to exit state, without knowing its neighbours; the
+matrices of a document are combined (the max-plus product is associative), which
+fixes the state at every cut; then every chunk is traced back by itself. See
+`_merges` for why the segmentation by merges is a path. Other documents are one
+chunk.
+
+Where no piece goes over a space mark that follows another character, that
+place is a certain cut: what lies between two is a word, encoded when met first
+and remembered, and batches of documents are gathers in numpy. Without such
+cuts every document goes through the scan.
 """
 
 from __future__ import annotations
 
 import functools
-import math
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,215 +27,109 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._kernels import CASED, U64, groups, mix, placed_words, utf8
+from ._merges import SPACE, Pieces, boundary_states, pieces
 from ._shared import Tables, shuffle_width, small_batches
+from ._word_ids import Remembered
 
-#: SentencePiece's visible space.
-SPACE = "▁"
-#: Words: a run of marks and what follows it up to the next mark.
-WORD, CUT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+"), re.compile(f"(?<=[^{SPACE}]){SPACE}")
-#: Scores are multiples of 1 / UNIT.
-UNIT = 1 << 16
 CHUNK = 1 << 15
-REMEMBERED = 1_000_000
-NO = float("-inf")
-
-
-class Lattice:
-    """The pieces of a vocabulary file and the segmentations they allow."""
-
-    def __init__(self, model: str):
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        n = sp.vocab_size()
-        names = [sp.id_to_piece(i) for i in range(n)]
-        self.byte_ids = [0] * 256
-        self.text = [b""] * n
-        pieces: dict[str, tuple[float, int]] = {}
-        for i, name in enumerate(names):
-            if sp.is_byte(i):
-                self.byte_ids[int(name[3:5], 16)] = i
-                self.text[i] = bytes([int(name[3:5], 16)])
-            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                pieces[name] = (-round(UNIT * math.log(2 - min(0.0, sp.get_score(i)))) / UNIT, i)
-                self.text[i] = name.replace(SPACE, " ").encode()
-        self.unknown = min(s for s, _ in pieces.values()) - 10
-        self.pieces, self.most = pieces, max(map(len, pieces))
-        #: All beginnings of pieces: where none begins, the search for longer ones ends.
-        self.prefixes = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
-        # A piece that its own parts beat is in no best path.
-        for name in sorted((p for p in pieces if len(p) > 1), key=len):
-            own = pieces.pop(name)
-            if self.best(name)[0] <= own[0]:
-                pieces[name] = own
-        #: Whether a space mark after another character is a certain cut.
-        self.spaces_cut = not any(SPACE in p.lstrip(SPACE) for p in pieces)
-        self.known: dict[str, tuple[float, bytes]] = {}
-        lengths = np.array(list(map(len, self.text)))
-        self._starts, self._lengths = np.cumsum(lengths) - lengths, lengths
-        self._blob = np.frombuffer(b"".join(self.text), np.uint8)
-
-    def edges(self, text: str, i: int) -> list[tuple[int, float]]:
-        """(length, score) of what may start at i; an uncovered character is one unknown."""
-        get, prefixes, out = self.pieces.get, self.prefixes, []
-        for length in range(1, min(self.most, len(text) - i) + 1):
-            part = text[i : i + length]
-            if part not in prefixes:
-                break
-            if hit := get(part):
-                out.append((length, hit[0]))
-        if not out or out[0][0] != 1:
-            out.insert(0, (1, self.unknown))
-        return out
-
-    def best(self, text: str) -> tuple[float, list[int]]:
-        """Score and ids of the best segmentation of all of `text`."""
-        n = len(text)
-        score, back = [0.0] + [NO] * n, [0] * (n + 1)
-        for i in range(n):
-            here = score[i]
-            for length, s in self.edges(text, i):
-                if here + s > score[i + length]:
-                    score[i + length], back[i + length] = here + s, length
-        ids: list[int] = []
-        while n:
-            part = text[n - back[n] : n]
-            hit = self.pieces.get(part)
-            ids.extend([hit[1]] if hit else [self.byte_ids[b] for b in reversed(part.encode())])
-            n -= back[n]
-        return score[-1], ids[::-1]
-
-    def words(self, marked: str) -> list[str]:
-        """`marked` cut at its certain cuts."""
-        if not self.spaces_cut:
-            return [marked] if marked else []
-        return WORD.findall(marked)
-
-    def encode(self, marked: str) -> tuple[float, bytes]:
-        """Score and ids (little-endian 32-bit) of text whose spaces are marked."""
-        words, known = self.words(marked), self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                score, ids = self.best(w)
-                known[w] = (score, np.array(ids, "<u4").tobytes())
-        parts = list(map(known.__getitem__, words))
-        return float(sum(p[0] for p in parts)), b"".join([p[1] for p in parts])
-
-    def decode(self, ids: np.ndarray) -> str:
-        """Text of ids; the space that encoding put first is taken off."""
-        lengths = self._lengths[ids]
-        if not len(ids) or not lengths.sum():
-            return ""
-        at = np.repeat(self._starts[ids] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-        return self._blob[at].tobytes().decode("utf-8", "replace").removeprefix(" ")
-
-    # --- the scan -----------------------------------------------------------------
-
-    def _certain(self, chunk: str) -> tuple[int, int] | None:
-        """First certain cut that no entry state reaches over, and the last one."""
-        if not self.spaces_cut:
-            return None
-        first, last = CUT.search(chunk, self.most), chunk.rfind(SPACE)
-        while last > 0 and chunk[last - 1] == SPACE:
-            last = chunk.rfind(SPACE, 0, last)
-        return (first.start(), last) if first and first.start() <= last else None
-
-    def _forward(self, chunk: str, ahead: str, start: np.ndarray) -> np.ndarray:
-        """Rows: entry states; columns: best score at each place of chunk and ahead."""
-        n, text = len(chunk), chunk + ahead
-        at = np.full((len(text) + 1, start.shape[0]), NO)
-        at[: start.shape[1]] = start.T[: len(text) + 1]
-        for i in range(n):
-            if at[i].max() > NO:
-                for length, s in self.edges(text, i):
-                    np.maximum(at[i + length], at[i] + s, out=at[i + length])
-        return at.T
-
-    def transfer(self, chunk: str, ahead: str) -> np.ndarray:
-        """Best scores from every entry state (rows) to every exit state (columns).
-
-        State s: the piece over the cut covers s characters behind it. `ahead`
-        is the text behind the chunk, as far as a piece can reach.
-        """
-        states = self.most
-        enter = np.where(np.eye(states, dtype=bool), 0.0, NO)
-        certain = self._certain(chunk)
-        if certain is None:
-            end = self._forward(chunk, ahead, enter)[:, len(chunk) :]
-        else:
-            a, b = certain
-            head = self._forward(chunk[:a], "", enter)[:, a]
-            tail = self._forward(chunk[b:], ahead, np.zeros((1, 1)))[:, len(chunk) - b :]
-            end = head[:, None] + self.encode(chunk[a:b])[0] + tail
-        out = np.full((states, states), NO)
-        width = min(states, end.shape[1])
-        out[:, :width] = end[:, :width]
-        return out
+#: Bytes of words: all but the space.
+UNSPACED = np.ones(256, bool)
+UNSPACED[0x20] = False
 
-    def trace(self, chunk: str, ahead: str, enter: int, leave: int) -> bytes:
-        """Ids of the pieces that start in the chunk, with both its states given."""
-        return np.array(self.best((chunk + ahead)[enter : len(chunk) + leave])[1], "<u4").tobytes() if self._certain(chunk) is None else self._trace_by_words(chunk, ahead, enter, leave)
 
-    def _trace_by_words(self, chunk: str, ahead: str, enter: int, leave: int) -> bytes:
-        a, b = self._certain(chunk)
-        head, tail = self.best(chunk[enter:a])[1], self.best(chunk[b:] + ahead[:leave])[1]
-        return np.array(head, "<u4").tobytes() + self.encode(chunk[a:b])[1] + np.array(tail, "<u4").tobytes()
+def marked(text: str) -> str:
+    return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def combine(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The max-plus product of two transfer matrices."""
-    return (left[:, :, None] + right[None, :, :]).max(axis=1)
+class PieceIds(Remembered):
+    """Ids of texts by words: marks, and the characters up to the next mark."""
+
+    def __init__(self, found: Pieces):
+        super().__init__()
+        self.pieces = found
+
+    def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets by text) of texts of UTF-8 bytes without visible spaces."""
+        hashes, word_at, first, end = placed_words(buf, offsets, UNSPACED, table=CASED)
+        n = np.diff(word_at)
+        of = np.repeat(np.arange(len(n)), n)
+        before = np.concatenate(([0], end[:-1]))[: len(end)]
+        marks = first - np.maximum(before, offsets[of])
+        marks[word_at[:-1][n > 0]] += 1  # a text begins with one more
+        text = buf.tobytes()
+
+        def words(at: np.ndarray) -> list[list[int]]:
+            # the library puts the first mark itself
+            return self.pieces.library.encode([" " * (k - 1) + text[x:y].decode() for k, x, y in zip(marks[at].tolist(), first[at].tolist(), end[at].tolist())])
+
+        ids, ends = self.gather(mix(hashes + marks.astype(U64) * U64(0x9FB21C651E98DF25)), words)
+        at = ends[word_at]
+        size = np.diff(offsets)
+        last = np.flatnonzero((size > 0) & (buf[np.maximum(offsets[1:] - 1, 0)] == 0x20) if len(buf) else np.zeros(len(size), bool))
+        if len(last):  # marks alone at a text's end
+            rows = [ids[x:y] for x, y in zip(at[:-1], at[1:])]
+            for d in last.tolist():
+                own = text[offsets[d] : offsets[d + 1]]
+                k = len(own) - len(own.rstrip(b" "))
+                rows[d] = np.concatenate((rows[d], self.pieces.words(SPACE * (k + (k == len(own)))).astype(np.uint32)))
+            ids, at = np.concatenate(rows), np.concatenate(([0], np.cumsum(list(map(len, rows)))))
+        return ids, at
 
 
-def boundary_states(matrices: list[np.ndarray]) -> tuple[float, list[int]]:
-    """Score of the best path and its state at each of the len + 1 cuts.
+@functools.lru_cache(maxsize=2)
+def _piece_ids(model: str) -> PieceIds:
+    return PieceIds(pieces(model))
 
-    Prefixes are combined by doubling, as a parallel scan does.
-    """
-    prefix, step = list(matrices), 1
-    while step < len(prefix):
-        prefix = [combine(prefix[i - step], m) if i >= step else m for i, m in enumerate(prefix)]
-        step *= 2
-    states = [0]
-    for i in range(len(matrices) - 1, 0, -1):
-        states.append(int(np.argmax(prefix[i - 1][0] + matrices[i][:, states[-1]])))
-    return float(prefix[-1][0, 0]), [0, *states[::-1]]
 
+def _unspaced(column: pa.Array) -> pa.Array:
+    """Texts, null as empty, with plain spaces for visible ones, which the library takes for the same."""
+    return pc.replace_substring(pc.fill_null(column, ""), SPACE, " ")
 
-@functools.lru_cache(maxsize=2)
-def lattice(model: str) -> Lattice:
-    return Lattice(model)
 
-
-def marked(text: str) -> str:
-    return SPACE + text.replace(" ", SPACE) if text else ""
+def _decoded(found: Pieces, ids: np.ndarray, at: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether the ids of each text decode to its bytes behind one space."""
+    back, ends = found.decode(ids)
+    size = np.diff(offsets)
+    sizes = np.diff(ends[at])
+    out = sizes == size + (size > 0)
+    keep = np.repeat(out, sizes)
+    # the bytes wanted: a space, and the text
+    own = np.insert(buf, offsets[:-1][size > 0], np.uint8(0x20))
+    same = back[keep] == own[np.repeat(out, size + (size > 0))]
+    rows = np.flatnonzero(out & (size > 0))
+    if len(rows):
+        out[rows] = np.logical_and.reduceat(same, np.concatenate(([0], np.cumsum(sizes[rows])[:-1])))
+    return out
 
 
 def _whole(model: str, digest: bool):
     """(doc_id, text) of documents of one chunk, encoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = lattice(model)
+        found, words = pieces(model), _piece_ids(model)
         for batch in batches:
-            texts = pc.fill_null(batch.column(1), "").to_pylist()
-            got = [lat.encode(marked(t)) for t in texts]
-            ids = [np.frombuffer(x, "<u4") for _, x in got]
-            out = {"doc_id": batch.column(0), "n_chars": pa.array(map(len, texts), pa.int64()), "n_tokens": pa.array(map(len, ids), pa.int64()), "score": pa.array([s for s, _ in got], pa.float64())}
-            if digest:
-                out["ids_crc32"] = pa.array([zlib.crc32(x) for _, x in got], pa.int64())
-                out["decoded"] = pa.array([lat.decode(i) == t.replace(SPACE, " ") for i, t in zip(ids, texts)], pa.bool_())
-            else:
-                flat = np.concatenate([*ids, np.empty(0, "<u4")]).astype(np.int32)
-                out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(list(map(len, ids))))).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_pydict(out)
+            texts = _unspaced(batch.column(1))
+            buf, off = utf8(texts)
+            n_chars = pc.utf8_length(texts).cast(pa.int64())
+            for lo, hi in groups(off):
+                own, at = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+                ids, ends = words.encode(own, at)
+                total = np.concatenate(([0.0], np.cumsum(found.scores[ids])))
+                out = {"doc_id": batch.column(0).slice(lo, hi - lo), "n_chars": n_chars.slice(lo, hi - lo), "n_tokens": pa.array(np.diff(ends), pa.int64()), "score": pa.array(total[ends[1:]] - total[ends[:-1]])}
+                if digest:
+                    data = memoryview(ids.astype("<u4")).cast("B")
+                    out["ids_crc32"] = pa.array([zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.int64())
+                    out["decoded"] = pa.array(_decoded(found, ids, ends, own, at))
+                else:
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
 def _chunked(most: int):
-    """(gid, text) to chunks (gid, chunk, of, body, ahead)."""
+    """(gid, text) to chunks (gid, chunk, behind, body, ahead)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,58 +138,58 @@ def _chunked(most: int):
                 n = -(-len(m) // CHUNK)
                 for lo in range(0, n, 64):
                     ks = range(lo, min(n, lo + 64))
-                    yield pa.RecordBatch.from_pydict({"gid": pa.array([gid] * len(ks), pa.int64()), "chunk": pa.array(ks, pa.int32()), "of": pa.array([n] * len(ks), pa.int32()), "body": pa.array([m[k * CHUNK : (k + 1) * CHUNK] for k in ks], pa.string()), "ahead": pa.array([m[(k + 1) * CHUNK : (k + 1) * CHUNK + most - 1] for k in ks], pa.string())})
+                    at = [k * CHUNK for k in ks]
+                    yield pa.RecordBatch.from_pydict({"gid": pa.array([gid] * len(ks), pa.int64()), "chunk": pa.array(ks, pa.int32()), "behind": pa.array([m[max(0, x - most) : x] for x in at], pa.string()), "body": pa.array([m[x : x + CHUNK] for x in at], pa.string()), "ahead": pa.array([m[x + CHUNK : x + CHUNK + most] for x in at], pa.string())})
 
     return run
 
 
 def _matrices(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = lattice(model)
+        found = pieces(model)
         for batch in batches:
-            body, ahead = batch.column("body").to_pylist(), batch.column("ahead").to_pylist()
-            yield pa.RecordBatch.from_pydict({"gid": batch.column("gid"), "chunk": batch.column("chunk"), "matrix": pa.array([lat.transfer(b, a).astype("<f8").tobytes() for b, a in zip(body, ahead)], pa.binary())})
+            rows = [found.transfer(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("behind", "body", "ahead")))]
+            yield pa.RecordBatch.from_pydict({"gid": batch.column("gid"), "chunk": batch.column("chunk"), "side": pa.array([x.shape[0] for x in rows], pa.int32()), "matrix": pa.array([x.astype("<f8").tobytes() for x in rows], pa.binary())})
 
     return run
 
 
-def _states(model: str):
-    """All matrices of a document: 2 KB for every CHUNK characters of it."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("chunk").to_pylist(), table.column("matrix").to_pylist()))
-        m = [np.frombuffer(x, "<f8") for _, x in rows]
-        side = int(len(m[0]) ** 0.5)
-        score, states = boundary_states([x.reshape(side, side) for x in m])
-        n = len(rows)
-        return pa.table({"gid": pa.array([key[0].as_py()] * n, pa.int64()), "chunk": pa.array([k for k, _ in rows], pa.int32()), "enter": pa.array(states[:-1], pa.int32()), "leave": pa.array(states[1:], pa.int32()), "doc_score": pa.array([score] * n, pa.float64())})
-
-    return run
+def _states(key: tuple, table: pa.Table) -> pa.Table:
+    """All matrices of a document: a few KB for every CHUNK characters of it."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("chunk", "side", "matrix"))))
+    score, states = boundary_states([np.frombuffer(x, "<f8").reshape(side, -1) for _, side, x in rows])
+    n = len(rows)
+    return pa.table({"gid": pa.array([key[0].as_py()] * n, pa.int64()), "chunk": pa.array([r[0] for r in rows], pa.int32()), "enter": pa.array(states[:-1], pa.int32()), "leave": pa.array(states[1:], pa.int32()), "doc_score": pa.array([score] * n, pa.float64())})
 
 
 def _traced(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = lattice(model)
+        found = pieces(model)
         for batch in batches:
-            c = {k: batch.column(k).to_pylist() for k in ("body", "ahead", "enter", "leave")}
-            ids = [lat.trace(*x) for x in zip(c["body"], c["ahead"], c["enter"], c["leave"])]
+            ids = []
+            for behind, body, ahead, enter, leave in zip(*(batch.column(c).to_pylist() for c in ("behind", "body", "ahead", "enter", "leave"))):
+                before, after = found.states(behind, body + ahead)[enter], found.states(behind + body, ahead)[leave]
+                ids.append(found.trace(behind, body, ahead, before, after).astype("<u4").tobytes())
             yield pa.RecordBatch.from_pydict({"gid": batch.column("gid"), "chunk": batch.column("chunk"), "doc_score": batch.column("doc_score"), "ids": pa.array(ids, pa.binary())})
 
     return run
 
 
+def _text_of(found: Pieces, ids: np.ndarray) -> str:
+    """Text of ids; the space that encoding put first is taken off."""
+    return found.decode(ids)[0].tobytes().decode("utf-8", "replace").removeprefix(" ")
+
+
 def _joined(model: str, digest: bool):
     """Chunks of one document in order; as much memory as its ids take."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        lat = lattice(model)
         rows = sorted(zip(table.column("chunk").to_pylist(), table.column("ids").to_pylist()))
         data = b"".join(x for _, x in rows)
         ids = np.frombuffer(data, "<u4")
-        text = lat.decode(ids)
         out = {"gid": pa.array([key[0].as_py()], pa.int64()), "n_tokens": pa.array([len(ids)], pa.int64()), "score": table.column("doc_score").slice(0, 1).combine_chunks()}
         if digest:
-            out |= {"ids_crc32": pa.array([zlib.crc32(data)], pa.int64()), "text_crc32": pa.array([zlib.crc32(text.encode())], pa.int64())}
+            out |= {"ids_crc32": pa.array([zlib.crc32(data)], pa.int64()), "text_crc32": pa.array([zlib.crc32(_text_of(pieces(model), ids).encode())], pa.int64())}
         else:
             out["ids"] = pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))
         return pa.table(out)
@@ -325,17 +210,17 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     small_batches(spark)
     tables = Tables(spark, "sentencepiece")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    giant = F.length("text") >= CHUNK
+    found = pieces(model)
+    giant = F.length("text") >= CHUNK if found.spaces_cut else F.length("text") > 0
     small_schema = "doc_id long, n_chars long, n_tokens long, score double, " + ("ids_crc32 long, decoded boolean" if digest else "ids array<int>")
     small = docs.where(~F.coalesce(giant, F.lit(False))).mapInArrow(_whole(model, digest), small_schema)
 
-    most = lattice(model).most
     big = tables.cut(docs.where(giant).withColumn("gid", F.xxhash64("doc_id", "text")))
     once = big.groupBy("gid").agg(F.first("text").alias("text"))
-    chunks = tables.cut(once.mapInArrow(_chunked(most), "gid long, chunk int, of int, body string, ahead string"))
+    chunks = tables.cut(once.mapInArrow(_chunked(found.most), "gid long, chunk int, behind string, body string, ahead string"))
     spread = chunks.repartition(shuffle_width(spark), "gid", "chunk")
-    matrices = spread.mapInArrow(_matrices(model), "gid long, chunk int, matrix binary")
-    states = matrices.groupBy("gid").applyInArrow(_states(model), "gid long, chunk int, enter int, leave int, doc_score double")
+    matrices = spread.mapInArrow(_matrices(model), "gid long, chunk int, side int, matrix binary")
+    states = matrices.groupBy("gid").applyInArrow(_states, "gid long, chunk int, enter int, leave int, doc_score double")
     traced = chunks.join(states, ["gid", "chunk"]).mapInArrow(_traced(model), "gid long, chunk int, doc_score double, ids binary")
     joined = traced.groupBy("gid").applyInArrow(_joined(model, digest), "gid long, n_tokens long, score double, " + ("ids_crc32 long, text_crc32 long" if digest else "ids array<int>"))
     rows = big.select("doc_id", "gid", F.length("text").cast("long").alias("n_chars"), F.crc32(F.replace(F.col("text"), F.lit(SPACE), F.lit(" ")).cast("binary")).alias("own_crc32")).join(joined, "gid")
@@ -345,10 +230,10 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
 def _decode(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = lattice(model)
+        found = pieces(model)
         for batch in batches:
             lists = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text": pa.array([None if x is None else lat.decode(np.array(x, np.int64)) for x in lists], pa.string())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text": pa.array([None if x is None else _text_of(found, np.array(x, np.int64)) for x in lists], pa.string())})
 
     return run
 

@@ -7,14 +7,16 @@ import hashlib
 import io
 import random
 import re
-import struct
 import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from calibrium.llm import decontaminate, fingerprints, language_id, lm_scoring, near_dedup, queries, sentencepiece_scan, substring_dedup, token_files, url_rules, warc
+from calibrium.llm._merges import boundary_states, combine, pieces
 
 R = random.Random(5)
 VOCAB = ["".join(R.choice("abcdefghij") for _ in range(R.randint(1, 6))) for _ in range(400)]
@@ -181,82 +183,54 @@ def test_fingerprints(spark, docs):
     assert fingerprints.fingerprints_of_edits(frame(spark, docs).limit(0)).count() == 0
 
 
-def piece_proto(lat):
-    """A Unigram model file with the lattice's pieces and scores, for the library."""
-    import sentencepiece
-
-    sp = sentencepiece.SentencePieceProcessor(model_file=queries.public_tokenizer("piece_bpe_32k.model"))
-
-    def field(n, kind, body):
-        return bytes([n << 3 | kind]) + body
-
-    def chunk(n, body):
-        size, out = len(body), b""
-        while size >= 128:
-            out, size = out + bytes([size & 127 | 128]), size >> 7
-        return field(n, 2, out + bytes([size]) + body)
+@pytest.fixture(scope="module")
+def found():
+    return pieces(queries.public_tokenizer("piece_bpe_32k.model"))
 
-    whole = sentencepiece_scan.Lattice.__new__(sentencepiece_scan.Lattice)
-    out = b""
-    for i in range(sp.vocab_size()):
-        name = sp.id_to_piece(i)
-        kind = 2 if sp.is_unknown(i) else 3 if sp.is_control(i) else 6 if sp.is_byte(i) else 1
-        score = lat.pieces[name][0] if name in lat.pieces and kind == 1 else -25.0
-        out += chunk(1, chunk(1, name.encode()) + field(2, 5, struct.pack("<f", score)) + field(3, 0, bytes([kind])))
-    del whole
-    trainer = field(3, 0, b"\x01") + bytes([35 << 3 & 127 | 128, 35 >> 4]) + b"\x01"
-    normal = chunk(1, b"identity") + field(3, 0, b"\x01") + field(4, 0, b"\x00") + field(5, 0, b"\x01")
-    return out + chunk(2, trainer) + chunk(3, normal)
 
+def scanned(found, text, size):
+    """Score and ids of a text cut into chunks of `size` characters, and the chunks' matrices."""
+    m = sentencepiece_scan.marked(text)
+    cuts = [(m[max(0, k - found.most) : k], m[k : k + size], m[k + size : k + size + found.most]) for k in range(0, len(m), size)]
+    matrices = [found.transfer(*c) for c in cuts]
+    score, at = boundary_states(matrices)
+    ids = [found.trace(b, c, a, found.states(b, c + a)[x], found.states(b + c, a)[y]) for (b, c, a), x, y in zip(cuts, at, at[1:])]
+    return score, np.concatenate(ids).tolist(), matrices
 
-@pytest.fixture(scope="module")
-def lat():
-    return sentencepiece_scan.lattice(queries.public_tokenizer("piece_bpe_32k.model"))
 
+@pytest.mark.parametrize("text", ["the cat sat on the mat " * 9, "abcabcabc" * 40, "   " * 30, "日本語" * 30, "x", "a b" * 60, "internationalization" * 12, "aaaa " * 20 + " ", "-=-=" * 40, " \t\n" * 20])
+@pytest.mark.parametrize("size", [17, 20, 33, 64])
+def test_scan_equals_the_library(found, text, size):
+    score, ids, matrices = scanned(found, text, size)
+    assert ids == found.library.encode(text) and score == found.scores[ids].sum()
+    if len(matrices) > 2:
+        left, right = combine(combine(*matrices[:2]), matrices[2]), combine(matrices[0], combine(*matrices[1:3]))
+        assert np.array_equal(left, right)
 
-def test_best_path_equals_the_library(lat):
-    import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_proto=piece_proto(lat))
-    table = {p: s for p, (s, _) in lat.pieces.items()}
-    for text in ("Hello  world", " leading and   trailing  ", "naïve café", "日本 x", "a\tb\nc", "internationalization of the lattice"):
-        ids = np.frombuffer(lat.encode(sentencepiece_scan.marked(text))[1], "<u4").tolist()
-        assert lat.decode(np.array(ids)) == text
-        theirs = [sp.id_to_piece(i) for i in sp.encode(text)]
-        ours = [sp.id_to_piece(i) for i in ids]
-        score = lambda ps: sum(table.get(p, -25.0) for p in ps)
-        assert abs(score(theirs) - score(ours)) < 1e-3
+@settings(max_examples=150, deadline=None)
+@given(st.one_of(st.text("abcdeiorst é日\n<", min_size=1, max_size=90), st.lists(st.sampled_from(["the", "ing", "al", "ation", " ", "  ", "ab", "日本"]), min_size=1, max_size=25).map("".join)), st.sampled_from([17, 29]))
+def test_scan_of_any_text(found, text, size):
+    assert scanned(found, text, size)[1] == found.library.encode(text)
 
 
-@pytest.mark.parametrize("text", ["the cat sat on the mat " * 9, "abcabcabc" * 40, "   " * 30, "日本語" * 30, "x", "a b" * 60])
-@pytest.mark.parametrize("size", [20, 33, 64])
-def test_scan_equals_the_whole(lat, text, size):
-    m = sentencepiece_scan.marked(text)
-    cuts = [(m[k : k + size], m[k + size : k + size + lat.most - 1]) for k in range(0, len(m), size)]
-    matrices = [lat.transfer(*c) for c in cuts]
-    score, states = sentencepiece_scan.boundary_states(matrices)
-    ids = b"".join(lat.trace(*c, a, b) for c, a, b in zip(cuts, states, states[1:]))
-    assert abs(score - lat.best(m)[0]) < 1e-9 and lat.decode(np.frombuffer(ids, "<u4")) == text
-    by = {i: s for s, i in lat.pieces.values()}
-    if all(i in by for i in np.frombuffer(ids, "<u4").tolist()):
-        assert abs(sum(by[i] for i in np.frombuffer(ids, "<u4").tolist()) - score) < 1e-9
-    left = sentencepiece_scan.combine(sentencepiece_scan.combine(*matrices[:2]), matrices[-1]) if len(matrices) > 2 else None
-    if left is not None:
-        assert np.array_equal(left, sentencepiece_scan.combine(matrices[0], sentencepiece_scan.combine(matrices[1], matrices[-1])))
-
-
-def test_encode_and_decode_rows(spark, docs, lat):
-    rows = [*docs, (2000, "word " * 20000), (2000, "word " * 20000), (2001, "▁ a")]
+def test_encode_and_decode_rows(spark, docs, found):
+    long = " ".join(words(12000, 77))
+    rows = [*docs, (2000, "word " * 20000), (2000, "word " * 20000), (2001, "▁ a"), (2002, "x" * 40000), (2003, long + "  " + long), (2004, " "), (2005, "  lead and trail   "), (2006, "Case case CASE"), (2007, "a" * 32767 + " b")]
     model = queries.public_tokenizer("piece_bpe_32k.model")
     got = sentencepiece_scan.encode(frame(spark, rows), model)
-    for r in got.collect():
+    all_rows = got.collect()
+    for r in all_rows:
         texts = {t or "" for i, t in rows if i == r.doc_id}
-        assert lat.decode(np.array(r.ids, np.int64)) in {t.replace("▁", " ") for t in texts}
-    assert got.count() == len(rows)
+        # the library's ids, whatever the length
+        assert list(r.ids) in [found.library.encode(t) for t in texts] and r.n_tokens == len(r.ids)
+        assert r.n_chars in {len(t) for t in texts} and abs(r.score - found.scores[list(r.ids)].sum()) <= 1e-6 * abs(r.score)
+    assert len(all_rows) == len(rows)
     digest = sentencepiece_scan.encode(frame(spark, rows), model, digest=True)
     assert digest.where("not decoded").count() == 0
-    back = sentencepiece_scan.decode(got, model)
-    assert back.where("doc_id = 2001").first().text == "  a"
+    assert sorted((r.doc_id or 0, r.ids_crc32) for r in digest.collect()) == sorted((r.doc_id or 0, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in all_rows)
+    back = {r.doc_id: r.text for r in sentencepiece_scan.decode(got, model).collect()}
+    assert back[2001] == "  a" and back[2005] == "  lead and trail   " and back[2002] == "x" * 40000
 
 
 def test_language_model_losses(spark):
