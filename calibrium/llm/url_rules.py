@@ -58,14 +58,16 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     urls = pages.where("url is not null").select("url").distinct().select("url", host.alias("host"), path.alias("path"))
     labels = F.reverse(F.split("host", r"\."))
     keys = urls.select("url", "path", labels.alias("labels")).select("url", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("labels")), lambda n: F.array_join(F.slice("labels", F.lit(1), n), ","))).alias("at"))
+    # Counted before any join, so that a host's keys are summed where they are read.
     hosts = rules.groupBy("at").agg(F.count("*").alias("n_rules"))
-    keys = keys.join(hosts, "at")
-    parts = keys.groupBy("at", "n_rules").agg(F.count("*").alias("n")).select("at", F.ceil(F.col("n") / F.greatest(F.lit(SWEEP), F.lit(OVER_RULES) * F.col("n_rules"))).cast("int").alias("parts"))
+    counts = keys.groupBy("at").agg(F.count("*").alias("n"))
+    parts = counts.join(hosts, "at").select("at", F.ceil(F.col("n") / F.greatest(F.lit(SWEEP), F.lit(OVER_RULES) * F.col("n_rules"))).cast("int").alias("parts"))
 
     dealt = keys.join(parts, "at").select("at", F.pmod(F.xxhash64("url"), F.col("parts")).cast("int").alias("part"), F.concat("at", F.lit(")"), "path").alias("key"), F.lit(1).alias("kind"), "url", "path", F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack"))
     opened = stacks.join(parts, "at").select("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.concat("at", F.lit(")"), "path").alias("key"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), "path", "stack")
     sweep = Window.partitionBy("at", "part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = dealt.union(opened).withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1 and open is not null")
+    # by both: dealt by the host alone, all parts of a host would meet in one task
+    swept = dealt.union(opened).repartition("at", "part").withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1 and open is not null")
     top = F.try_element_at(F.filter("open", lambda r: F.col("path").startswith(r["path"])), F.lit(-1))
     fits = swept.select("url", top.alias("top")).where("top is not null")
     best = fits.groupBy("url").agg(F.max(F.struct((F.col("top.n") + F.col("top.host_length")).alias("long"), F.col("top.host_length").alias("of_host"), F.col("top.rule").alias("rule"), F.col("top.verdict").alias("verdict"))).alias("best"))
