@@ -82,14 +82,17 @@ def components(tables: Tables, edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).union(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def ordered_buckets(df: DataFrame, key: str, rows_per_bucket: int = 1024, most: int = 8192) -> tuple[DataFrame, int]:
-    """Adds `bucket`, an integer that rises with the numeric `key`; equal keys share one.
-
-    The bounds are at most `most` quantiles from one pass over the key column
-    alone; each row finds its bucket by binary search. Null keys: bucket -1.
+def ordered_buckets(df: DataFrame, key: str, rows_per_bucket: int = 1024, bounds_at_most: int = 8192) -> tuple[DataFrame, int]:
+    """Adds `bucket`, a number that rises with the numeric `key`; equal keys share one.
+
+    Bounds are quantiles from one pass over the key column alone; each row finds
+    its place among them by binary search. Where `bounds_at_most` of them, which
+    travel with the plan, make larger buckets than wanted, keys between two
+    bounds are dealt evenly by their distance from the lower one, so buckets
+    keep their size at any number of rows. Null keys: bucket -1.
     """
-    n = df.agg(F.count(key)).first()[0]
-    k = max(1, min(most, n // rows_per_bucket))
+    n, low, high = df.agg(F.count(key), F.min(key), F.max(key)).first()
+    k = max(1, min(bounds_at_most, n // rows_per_bucket))
     bounds: list = []
     if k > 1:
         qs = F.array(*[F.lit(i / k) for i in range(1, k)])
@@ -101,4 +104,11 @@ def ordered_buckets(df: DataFrame, key: str, rows_per_bucket: int = 1024, most:
         # the number of bounds below the key
         below = lambda lo, step: (lo + step <= len(bounds)) & (F.get(table, lo + step - 1) < F.col(key))
         at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda lo, step: F.when(below(lo, step), lo + step).otherwise(lo))
-    return df.withColumn("bucket", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(at)), len(bounds) + 1
+    each = -(-n // (k * rows_per_bucket))
+    df = df.withColumn("_at", at.cast("long"))
+    if each > 1 and n:
+        ends = F.lit([float(low), *map(float, bounds), float(high)])
+        from_, to = F.get(ends, F.col("_at").cast("int")), F.get(ends, F.col("_at").cast("int") + 1)
+        inner = F.floor((F.col(key).cast("double") - from_) / F.greatest(to - from_, F.lit(1.0)) * F.lit(each))
+        df = df.withColumn("_at", F.col("_at") * F.lit(each) + F.greatest(F.lit(0), F.least(F.lit(each - 1), inner)))
+    return df.withColumn("bucket", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.col("_at").cast("long"))).drop("_at"), (len(bounds) + 1) * max(1, each)

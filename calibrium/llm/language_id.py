@@ -3,8 +3,9 @@
 A text's features are all byte 2-, 3- and 4-grams of its lower-cased UTF-8,
 hashed to `BUCKETS` embeddings; their average feeds a linear softmax. The model
 is trained by stochastic gradient descent in numpy on a bounded sample of
-labelled rows (`PER_LANGUAGE` for each label, drawn by a hash of the row);
-each row counts with its whole text. A fifth of the sample calibrates: it sets
+distinct labelled texts: of each label those of the least hashes, `PER_LANGUAGE`
+at most and `SAMPLE` in all, so a text that is copied very often is one of them.
+Each counts with its whole text. A fifth of the sample calibrates: it sets
 the softmax temperature, and the score below which a text is rejected.
 
 A linear layer over an average is an average of per-bucket class scores, so the
@@ -20,15 +21,15 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._kernels import groups, utf8
 from ._shared import small_batches
 
 BUCKETS, WIDTH = 1 << 14, 16
-#: The bounds of the training sample: rows for each label, and labels.
-PER_LANGUAGE, MOST_LANGUAGES = 600, 200
+#: The bounds of the training sample: texts for each label, in all, and the fewest a label is learned from if it has them.
+PER_LANGUAGE, SAMPLE, LEAST_SAMPLE = 600, 24_000, 20
 EPOCHS, RATE, SEED = 4, 0.5, 8
 UNKNOWN = "und"
 #: A text is rejected under half the score that all but this share of rightly
@@ -81,23 +82,31 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
     """Train on a bounded sample of rows with label and text.
 
-    No labelled rows: a model without languages, which rejects all.
+    No labelled rows: a model without languages, which rejects all. More labels
+    than SAMPLE / LEAST_SAMPLE: ValueError, as no label is left out.
     """
-    small_batches(labelled.sparkSession)
+    spark = labelled.sparkSession
+    small_batches(spark)
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null and text <> ''")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    # Copies draw alike; the label is no part of the hash but through its share.
+    rows = rows.withColumn("key", F.xxhash64("text", F.lit(SEED)))
+    most = SAMPLE // LEAST_SAMPLE
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).limit(most + 1).collect()
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} labels; SAMPLE bounds them")
     if not sizes:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0, np.float32), 1.0)
-    languages = sorted(r["lang"] for r in sizes)
-    share: Column = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, PER_LANGUAGE / r["count"]))).otherwise(share)
-    # Equal rows draw alike; the label is no part of the key but through its share.
-    rows = rows.withColumn("key", F.xxhash64("text", F.lit(SEED)))
-    drawn = rows.where(F.pmod(F.col("key"), F.lit(1 << 30)) < share * F.lit(1 << 30))
+    languages, each = sorted(r["lang"] for r in sizes), min(PER_LANGUAGE, SAMPLE // len(sizes))
+    # a quarter more than wanted, as the counts are estimates; then exactly the least
+    shares = spark.createDataFrame([(r["lang"], min(1.0, (1.25 * each + 20) / max(1, r["n"]))) for r in sizes], "lang string, share double")
+    drawn = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.col("key"), F.lit(1 << 30)) < F.col("share") * F.lit(1 << 30))
+    drawn = drawn.groupBy("lang", "key").agg(F.first("text").alias("text"))
+    least = Window.partitionBy("lang").orderBy(F.pmod(F.col("key"), F.lit(1 << 30)), "key")
+    drawn = drawn.withColumn("row", F.row_number().over(least)).where(F.col("row") <= each)
     got = drawn.select("key", "lang", "text").mapInArrow(_features, "key long, lang string, at array<int>, n array<long>").toArrow()
-    order = np.argsort(np.array(got.column("key")), kind="stable")
-    y = np.array([languages.index(x) for x in got.column("lang").to_pylist()])[order]
+    order = np.lexsort((np.array(got.column("lang").to_pylist(), object).astype(str), np.array(got.column("key"))))
+    number = {x: i for i, x in enumerate(languages)}
+    y = np.array([number[x] for x in got.column("lang").to_pylist()])[order]
     at = [np.array(x, np.int64) for x in got.column("at").to_pylist()]
     n = [np.array(x, np.float32) for x in got.column("n").to_pylist()]
     at, n = [at[i] for i in order], [n[i] / max(1.0, n[i].sum()) for i in order]

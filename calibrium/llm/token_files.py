@@ -153,7 +153,7 @@ def _write(folder: str, tokenizer: str, bits: int, end_id: int):
                     writer = Writer(uri, bits)
                 writer.extend(names[lo:hi], np.diff(at[lo : hi + 1]).tolist(), ids[at[lo] : at[hi]])
         finish()
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in done], pa.int32()), "uri": pa.array([x[1] for x in done], pa.string()), "n_ids": pa.array([x[2] for x in done], pa.int64()), "n_docs": pa.array([x[3] for x in done], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in done], pa.int64()), "uri": pa.array([x[1] for x in done], pa.string()), "n_ids": pa.array([x[2] for x in done], pa.int64()), "n_docs": pa.array([x[3] for x in done], pa.int64())})
 
     return run
 
@@ -180,7 +180,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, vocabulary:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt, _ = ordered_buckets(docs, "doc_id")
     dealt = dealt.select("bucket", "doc_id", "text").repartition(shuffle_width(spark), "bucket").sortWithinPartitions("bucket", "doc_id", "text")
-    manifest = Tables(spark, "token-manifest").cut(dealt.mapInArrow(_write(folder, tokenizer, bits_for(vocabulary), end_id), "bucket int, uri string, n_ids long, n_docs long"))
+    manifest = Tables(spark, "token-manifest").cut(dealt.mapInArrow(_write(folder, tokenizer, bits_for(vocabulary), end_id), "bucket long, uri string, n_ids long, n_docs long"))
     # One row per file, not per document: a running sum over it is small.
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))

@@ -7,16 +7,19 @@ import hashlib
 import io
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from calibrium.llm import decontaminate, fingerprints, language_id, lm_scoring, near_dedup, queries, sentencepiece_scan, substring_dedup, token_files, url_rules, warc
 from calibrium.llm._merges import boundary_states, combine, pieces
+from calibrium.llm._shared import ordered_buckets
 
 R = random.Random(5)
 VOCAB = ["".join(R.choice("abcdefghij") for _ in range(R.randint(1, 6))) for _ in range(400)]
@@ -91,6 +94,22 @@ def test_near_duplicates_of_a_large_similar_group(spark):
     assert got == {i: find(i) for i in range(len(rows))}
 
 
+def test_near_duplicates_within_a_template_family(spark):
+    # all are 60 to 80 % alike, as they share a template; some of them have copies with two words changed
+    template, rows = words(160, 30), []
+    for i in range(150):
+        own = [f"own{i}x{k}" for k in range(28)]
+        text = template[:100] + own + template[100:]
+        rows.append((2 * i, " ".join(text)))
+        if i % 5 == 0:
+            rows.append((2 * i + 1, " ".join(edited(text, 2, i))))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    sets = {i: frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for i, w in ((i, spaced(t)) for i, t in rows)}
+    linked = {(i, j) for i, a in sets.items() for j, b in sets.items() if i < j and 100 * len(a & b) >= 85 * len(a | b)}
+    assert linked and all(j == i + 1 for i, j in linked)
+    assert got == {i: i - 1 if (i - 1, i) in linked else i for i in sets}
+
+
 def test_decontamination(spark, docs):
     items = [(1, " ".join(words(60, 2)[5:40])), (2, "É é 1"), (3, None), (4, ""), (2, "É É É"), (5, " ".join(words(9, 99))), (None, " ".join(words(250, 6)[7:20])), (6, "w" * 5000)]
     bench = spark.createDataFrame([(a, b, 0) for a, b in items], "item_id long, text string, n_hit int")
@@ -183,6 +202,61 @@ def test_fingerprints(spark, docs):
     assert fingerprints.fingerprints_of_edits(frame(spark, docs).limit(0)).count() == 0
 
 
+def chained(*parts):
+    """Spark's xxhash64 of several columns, as a signed number."""
+    seed = 42
+    for x in parts:
+        seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else struct.pack("<i", x), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def samples(text):
+    """The densified samples of a text, bin by bin."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+    sh = [w[i : i + 5] for i in range(len(w) - 4)] if len(w) >= 5 else [w] if w else []
+    least = {}
+    for s in sh:
+        h = chained(*s)
+        b = (h & (1 << 64) - 1) >> 57
+        least[b] = min(least.get(b, h), h)
+    if not least:
+        return []
+    out = []
+    for i in range(128):
+        picks = [i, *(chained(i, t) % 128 for t in range(1, 13))]
+        b = next((b for b in picks if b in least), None)
+        out.append(least[b] & 255 if b is not None else min((chained(j, i), least[j] & 255) for j in least)[1])
+    return out
+
+
+def alike(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    return max(0.0, (sum(x == y for x, y in zip(a, b)) / 128 - 2**-8) / (1 - 2**-8))
+
+
+def test_fingerprints_bin_by_bin(spark, docs):
+    got = sorted(fingerprints.fingerprints_of_edits(frame(spark, docs)).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    order = sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    for k, (r, (_, t)) in enumerate(zip(got, order)):
+        t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
+        e = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        own, changed = samples(t), samples(e)
+        assert (r.fingerprint, r.edited_fingerprint) == tuple("".join(f"{x:02x}" for x in s) for s in (own, changed))
+        assert abs(r.near_edited - alike(own, changed)) < 1e-12 and abs(r.near_next - alike(own, samples(nxt))) < 1e-12
+    by_id = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint(frame(spark, [x for x in docs if x[0] not in (0, None)])).collect()}
+    assert by_id == {i: "".join(f"{x:02x}" for x in samples(t or "")) for i, t in docs if i not in (0, None)}
+
+
+@pytest.mark.parametrize("most", [1, 3, 8192])
+def test_ordered_buckets_keep_their_size(spark, most):
+    df = spark.range(0, 40000).selectExpr("id * id as k").unionByName(spark.createDataFrame([(None,), (4,), (4,)], "k long"))
+    rows, n = ordered_buckets(df, "k", 500, most)
+    got = sorted((r.k, r.bucket) for r in rows.collect() if r.k is not None)
+    assert all(a[1] <= b[1] for a, b in zip(got, got[1:])) and {r.bucket for r in rows.where("k is null").collect()} == {-1}
+    assert len({b for _, b in got}) > 40 and 0 <= got[0][1] and got[-1][1] < n
+
+
 @pytest.fixture(scope="module")
 def found():
     return pieces(queries.public_tokenizer("piece_bpe_32k.model"))
@@ -290,6 +364,28 @@ def test_language_identification(spark):
     assert {x.lang_pred for x in none} == {"und"}
 
 
+def test_language_sample_is_of_distinct_texts(spark, monkeypatch):
+    r = random.Random(4)
+    own = {"aa": "the ing wh tion".split(), "bb": "xo xu xi xa".split()}
+    text = lambda lang: " ".join("".join(r.choice(own[lang]) for _ in range(3)) for _ in range(20))
+    hot = text("aa")
+    rows = [(i, hot, "aa") for i in range(3000)] + [(4000 + i, text(lang), lang) for i in range(120) for lang in own]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language_id, "PER_LANGUAGE", 50)
+    to_arrow = type(df).toArrow
+    monkeypatch.setattr(type(df), "toArrow", lambda self: seen.append(to_arrow(self)) or seen[-1])
+    model = language_id.fit(df)
+    langs = seen[0].column("lang").to_pylist()
+    assert langs.count("bb") == 50 and langs.count("aa") == 50 and len(set(seen[0].column("key").to_pylist())) == 100
+    fresh = spark.createDataFrame([(i, text(lang)) for i in range(20) for lang in own], "doc_id long, text string")
+    got = [x.lang_pred for x in language_id.predict(fresh, model).collect()]
+    assert got == list(own) * 20
+    monkeypatch.setattr(language_id, "SAMPLE", language_id.LEAST_SAMPLE)
+    with pytest.raises(ValueError, match="labels"):
+        language_id.fit(df)
+
+
 def test_token_files(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
