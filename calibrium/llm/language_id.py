@@ -70,8 +70,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts += np.bincount(g, minlength=BUCKETS)
             k = np.flatnonzero(counts)
             at.append(k.astype(np.int32))
-            ns.append(counts[k])
-        yield pa.RecordBatch.from_pydict({"key": batch.column(0), "lang": batch.column(1), "at": pa.array(at, pa.list_(pa.int32())), "n": pa.array(ns, pa.list_(pa.int64()))})
+            ns.append(counts[k].astype(np.int32))
+        yield pa.RecordBatch.from_pydict({"key": batch.column(0), "lang": batch.column(1), "at": pa.array(at, pa.list_(pa.int32())), "n": pa.array(ns, pa.list_(pa.int32()))})
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -103,13 +103,16 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") ->
     drawn = drawn.groupBy("lang", "key").agg(F.first("text").alias("text"))
     least = Window.partitionBy("lang").orderBy(F.pmod(F.col("key"), F.lit(1 << 30)), "key")
     drawn = drawn.withColumn("row", F.row_number().over(least)).where(F.col("row") <= each)
-    got = drawn.select("key", "lang", "text").mapInArrow(_features, "key long, lang string, at array<int>, n array<long>").toArrow()
+    got = drawn.select("key", "lang", "text").mapInArrow(_features, "key long, lang string, at array<int>, n array<int>").toArrow()
     order = np.lexsort((np.array(got.column("lang").to_pylist(), object).astype(str), np.array(got.column("key"))))
     number = {x: i for i, x in enumerate(languages)}
     y = np.array([number[x] for x in got.column("lang").to_pylist()])[order]
-    at = [np.array(x, np.int64) for x in got.column("at").to_pylist()]
-    n = [np.array(x, np.float32) for x in got.column("n").to_pylist()]
-    at, n = [at[i] for i in order], [n[i] / max(1.0, n[i].sum()) for i in order]
+    # slices of two arrays: no object is made per bucket
+    lists = [got.column(c).combine_chunks() for c in ("at", "n")]
+    ends = lists[0].offsets.to_numpy()
+    values = [x.values.to_numpy() for x in lists]
+    at = [values[0][ends[i] : ends[i + 1]] for i in order]
+    n = [(x / max(1, x.sum())).astype(np.float32) for x in (values[1][ends[i] : ends[i + 1]] for i in order)]
 
     rng = np.random.default_rng(SEED)
     held = np.arange(len(y)) % 5 == 4

@@ -37,7 +37,7 @@ from ._word_ids import word_ids
 
 DISCOUNT, ADDED = 0.75, 0.5
 #: Tokens counted or scored together; bigrams in a block of the model.
-STRETCH, BLOCK = 3_000_000, 2_000_000
+STRETCH, BLOCK = 1_500_000, 2_000_000
 
 
 def _tokens(tokenizer: str, kind: str):
