@@ -15,13 +15,14 @@ from ..functions import numeric as N
 GAP, ITERATIONS, ARMIJO, HALVINGS, KKT = 1e-14, 100, 1e-4, 60, 1e-10
 
 
-def objective_terms(x: Column, y: Column, a: Column | float, b: Column | float) -> dict[str, Column]:
+def objective_terms(x: Column, y: Column, a: Column | float, b: Column | float, weight: Column | None = None) -> dict[str, Column]:
     """Means of the negative log likelihood, its gradient and its Hessian at (a, b)."""
+    mean = F.avg if weight is None else lambda c: F.sum(weight * c) / F.sum(weight)
     z = x * a + b
     q = N.sigmoid(z)
     r = F.when(y == 1, -N.sigmoid(-z)).otherwise(q)  # no q - 1: it would cancel
     w = q * N.sigmoid(-z)
-    return {"nll": F.avg(N.softplus(F.when(y == 1, -z).otherwise(z))), "ga": F.avg(r * x), "gb": F.avg(r), "haa": F.avg(w * x * x), "hab": F.avg(w * x), "hbb": F.avg(w)}
+    return {"nll": mean(N.softplus(F.when(y == 1, -z).otherwise(z))), "ga": mean(r * x), "gb": mean(r), "haa": mean(w * x * x), "hab": mean(w * x), "hbb": mean(w)}
 
 
 def certificate(strength: float) -> float:
@@ -29,33 +30,77 @@ def certificate(strength: float) -> float:
     return float(np.sqrt(2.0) * np.sqrt(strength) * np.sqrt(GAP))  # a product under one root would underflow
 
 
-def fit_logistic(rows: DataFrame, x: Column, y: Column, strength: float) -> dict[str, float | bool | int]:
-    """Slope and intercept of the mean loss plus strength / 2 (a^2 + b^2), by damped Newton from (0, 0).
-
-    Every step is one aggregate of six means over the distributed rows; only
-    these six numbers reach the driver.
+class _Newton:
+    """Damped Newton of one group, fed with the objective's terms at the points it asks for."""
+
+    def __init__(self, strength: float):
+        self.bound, self.point, self.best, self.steps, self.halvings, self.done = certificate(strength), np.zeros(2), None, 0, 0, False
+        self.step, self.size = np.zeros(2), 1.0
+
+    def told(self, value: float, g: np.ndarray, h: np.ndarray) -> None:
+        norm = float(np.linalg.norm(g))
+        if self.best is not None:
+            _, old, old_g, _, old_norm = self.best
+            if old_norm <= self.bound:  # one step beyond the certificate, if it is one
+                self.done = True
+                if norm >= old_norm:
+                    return
+            elif not (value <= old - ARMIJO * self.size * float(old_g @ self.step) or norm <= self.bound):
+                self.size, self.halvings = self.size / 2, self.halvings + 1
+                self.point, self.done = self.best[0] - self.size * self.step, self.halvings > HALVINGS
+                return
+        self.best, self.steps, self.halvings, self.size = (self.point, value, g, h, norm), self.steps + 1, 0, 1.0
+        self.done = self.done or self.steps > ITERATIONS
+        self.step = np.linalg.solve(h, g)
+        self.point = self.point - self.step
+
+
+#: Groups that `fit_many` steers from the driver at once, a few numbers each.
+MOST_GROUPS = 100_000
+
+
+def fit_many(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, strength, slope, intercept, objective, gradient_norm, certified) of all groups at once.
+
+    rows: (by, strength, x, y, w), w rows of one score and label. The loss is the
+    weighted mean negative log likelihood plus strength / 2 (a^2 + b^2). Every
+    step is one aggregate of six sums for all groups that are not done; only
+    these sums reach the driver, so a group may have any number of rows. Without
+    its certificate a pair is none: both are null. No rows: no groups. More than
+    MOST_GROUPS: ValueError.
     """
-    rows = rows.select(x.cast("double").alias("x"), y.alias("y"))
-
-    def at(a: float, b: float) -> tuple[float, np.ndarray, np.ndarray]:
-        t = rows.agg(*[c.alias(k) for k, c in objective_terms(F.col("x"), F.col("y"), a, b).items()]).first()
-        return t["nll"] + strength / 2 * (a * a + b * b), np.array([t["ga"] + strength * a, t["gb"] + strength * b]), np.array([[t["haa"] + strength, t["hab"]], [t["hab"], t["hbb"] + strength]])
-
-    v = np.zeros(2)
-    value, g, h = at(*v)
-    for n in range(ITERATIONS):
-        if np.linalg.norm(g) <= certificate(strength):
-            break
-        step, size = np.linalg.solve(h, g), 1.0
-        for _ in range(HALVINGS):
-            new = v - size * step
-            new_value, new_g, new_h = at(*new)
-            if new_value <= value - ARMIJO * size * float(g @ step) or np.linalg.norm(new_g) <= certificate(strength):
-                break
-            size /= 2
-        v, value, g, h = new, new_value, new_g, new_h
-    norm = float(np.linalg.norm(g))
-    return {"slope": float(v[0]), "intercept": float(v[1]), "objective": float(value), "gradient_norm": norm, "certified": norm <= certificate(strength), "iterations": n}
+    spark = rows.sparkSession
+    keys = [*by, "strength"]
+    rows = rows.groupBy(*keys, "x", "y").agg(F.sum("w").alias("w")).persist()
+    try:
+        found = rows.select(*keys).distinct().limit(MOST_GROUPS + 1).collect()
+        if len(found) > MOST_GROUPS:
+            raise ValueError(f"more than {MOST_GROUPS} groups")
+        kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
+        groups = {tuple(r): _Newton(r["strength"]) for r in found}
+        while open_ := {k: n for k, n in groups.items() if not n.done}:
+            points = F.broadcast(spark.createDataFrame([(*k, float(n.point[0]), float(n.point[1])) for k, n in open_.items()], f"{kinds}, _a double, _b double").toDF(*[f"_{c}" for c in keys], "_a", "_b"))
+            same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+            terms = objective_terms(F.col("x"), F.col("y"), F.col("_a"), F.col("_b"), F.col("w"))
+            for r in rows.join(points, same).groupBy(*keys).agg(*[c.alias(f"_{k}") for k, c in terms.items()]).collect():
+                k = tuple(r[c] for c in keys)
+                (a, b), s = groups[k].point, k[-1]
+                g, h = np.array([r["_ga"] + s * a, r["_gb"] + s * b]), np.array([[r["_haa"] + s, r["_hab"]], [r["_hab"], r["_hbb"] + s]])
+                groups[k].told(r["_nll"] + s / 2 * (a * a + b * b), g, h)
+    finally:
+        rows.unpersist()
+    out = []
+    for k, n in groups.items():
+        (a, b), value, _, _, norm = n.best
+        sure = norm <= n.bound
+        out.append((*k, float(a) if sure else None, float(b) if sure else None, float(value), norm, sure))
+    return spark.createDataFrame(out, f"{kinds}, slope double, intercept double, objective double, gradient_norm double, certified boolean")
+
+
+def fit_logistic(rows: DataFrame, x: Column, y: Column, strength: float) -> dict[str, float | bool]:
+    """`fit_many` of one group: slope, intercept, objective, gradient_norm, certified."""
+    one = rows.select(F.lit(float(strength)).alias("strength"), x.cast("double").alias("x"), y.cast("int").alias("y"), F.lit(1.0).alias("w"))
+    return fit_many(one, []).first().asDict()
 
 
 def solve_logistic(x: np.ndarray, y: np.ndarray, strength: float, weight: np.ndarray | None = None) -> tuple[float, float, bool]:
@@ -88,6 +133,10 @@ def solve_logistic(x: np.ndarray, y: np.ndarray, strength: float, weight: np.nda
                 break
             size /= 2
         v, g, w = v - size * step, new_g, new_w
+    # one step beyond the certificate, if it is one
+    polished = v - np.linalg.solve((f * (share * w)[:, None]).T @ f + strength * np.eye(2), g)
+    if np.linalg.norm(new_g := gradient(polished)[0]) < np.linalg.norm(g):
+        v, g = polished, new_g
     return float(v[0]), float(v[1]), bool(np.linalg.norm(g) <= certificate(strength))
 
 

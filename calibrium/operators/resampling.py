@@ -17,28 +17,64 @@ def draw_text(population: str, replicate: Column, stratum: Column, pool: Column,
     return I.record_text({"draw_index": draw, "pool_size": pool, "population_id": F.lit(f'"{population}"'), "protocol_id": F.lit('"hash-bootstrap"'), "protocol_version": F.lit(1), "replicate_index": replicate, "stratum": I.quoted(stratum), **(extra or {})})
 
 
-def weights(pool: DataFrame, unit: str, stratum: str, replicates: int, population: str, draws: int | None = None, extra: dict[str, Column] | None = None, wide: bool = False) -> DataFrame:
-    """(replicate, stratum, unit, w): n of n draws with replacement in each stratum, counted.
+#: Replicates of a test bootstrap and of one that refits.
+TEST_REPLICATES, REFIT_REPLICATES = 20_000, 2_000
+#: Strata whose sizes travel with a plan; units that are broadcast; draws made in a row.
+MOST_STRATA, MOST_UNITS, RUN = 100_000, 1_000_000, 4096
 
-    Units are numbered in their order within the stratum. `draws` fixes the
-    number of draws a stratum instead; `wide` takes all 256 bits of the digest.
-    """
+
+def numbered(pool: DataFrame, unit: str, stratum: str) -> DataFrame:
+    """(stratum, unit, _place): the distinct units of each stratum, numbered in their order."""
     w = Window.partitionBy(stratum).orderBy(unit)
-    units = pool.select(stratum, unit).distinct().withColumn("_place", F.row_number().over(w).cast("bigint") - 1)
-    sizes = units.groupBy(stratum).agg(F.count("*").alias("_n"))
-    r = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    last = F.lit(draws - 1) if draws else (F.col("_n") - 1).cast("int")
-    r = r.withColumn("_draw", F.explode(F.sequence(F.lit(0), last)))
+    return pool.select(stratum, unit).distinct().withColumn("_place", F.row_number().over(w).cast("bigint") - 1)
+
+
+def drawn(units: DataFrame, stratum: str, replicates: int, population: str, draws: int | None = None, extra: dict[str, Column] | None = None, wide: bool = False) -> DataFrame:
+    """(replicate, stratum, _place): n of n draws with replacement in each stratum, a row each.
+
+    `draws` fixes the number of draws a stratum instead; `wide` takes all 256
+    bits of the digest. Runs of draws are spread over all tasks before they are
+    made, whatever the number of strata. More than MOST_STRATA: ValueError.
+    """
+    spark = units.sparkSession
+    sizes = units.groupBy(stratum).agg(F.count("*").alias("_n")).limit(MOST_STRATA + 1).collect()
+    if len(sizes) > MOST_STRATA:
+        raise ValueError(f"more than {MOST_STRATA} strata")
+    kind = units.schema[stratum].dataType.simpleString()
+    local = F.broadcast(spark.createDataFrame([tuple(r) for r in sizes], f"`{stratum}` {kind}, _n long"))
+    r = spark.range(replicates).select(F.col("id").cast("int").alias("replicate")).crossJoin(local)
+    n = F.lit(draws) if draws else F.col("_n")
+    runs = r.select("*", F.explode(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long"), F.lit(RUN).cast("long"))).alias("_from"))
+    runs = runs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    each = runs.select("replicate", stratum, "_n", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + RUN, n.cast("long")) - 1)).alias("_draw"))
     digest = I.digest(draw_text(population, F.col("replicate"), F.col(stratum), F.col("_n"), F.col("_draw"), extra))
-    place = (I.index256 if wide else I.index64)(digest, F.col("_n"))
-    counted = r.select("replicate", stratum, place.alias("_place")).groupBy("replicate", stratum, "_place").agg(F.count("*").alias("w"))
+    return each.select("replicate", stratum, (I.index256 if wide else I.index64)(digest, F.col("_n")).alias("_place"))
+
+
+def weights(pool: DataFrame, unit: str, stratum: str, replicates: int, population: str, draws: int | None = None, extra: dict[str, Column] | None = None, wide: bool = False) -> DataFrame:
+    """(replicate, stratum, unit, w): how often each unit was drawn."""
+    units = numbered(pool, unit, stratum)
+    counted = drawn(units, stratum, replicates, population, draws, extra, wide).groupBy("replicate", stratum, "_place").agg(F.count("*").alias("w"))
     return counted.join(units, [stratum, "_place"]).select("replicate", stratum, unit, "w")
 
 
-def replicate_means(w: DataFrame, values: DataFrame, unit: str, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """Weighted means of each replicate; a unit may stand for several rows of `values`."""
-    rows = w.join(values, unit)
-    return rows.groupBy("replicate", *(by or [])).agg(*[(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in columns])
+def bootstrap_means(pool: DataFrame, unit: str, stratum: str, columns: list[str], replicates: int = TEST_REPLICATES, population: str = "p", wide: bool = False, by_stratum: bool = False) -> DataFrame:
+    """(replicate, n, columns): the means over all rows of the units drawn, n of them.
+
+    A unit is summed over its rows once; draws meet the sums where they are
+    made, if the units are few enough to be sent there, and leave their task as
+    one row a replicate. `by_stratum`: means of each stratum.
+    """
+    units = numbered(pool, unit, stratum)
+    sums = pool.groupBy(stratum, unit).agg(F.count("*").alias("_rows"), *[F.sum(c).alias(c) for c in columns])
+    held = units.join(sums, [stratum, unit]).drop(unit).persist()
+    try:
+        few = held.count() <= MOST_UNITS
+        met = drawn(units, stratum, replicates, population, wide=wide).join(F.broadcast(held) if few else held, [stratum, "_place"])
+        out = met.groupBy("replicate", *([stratum] if by_stratum else [])).agg(F.sum("_rows").alias("n"), *[(F.sum(c) / F.sum("_rows")).alias(c) for c in columns])
+    finally:
+        held.unpersist()
+    return out
 
 
 def percentile_interval(series: DataFrame, value: str, low: float, high: float, by: list[str] | None = None) -> DataFrame:

@@ -8,9 +8,11 @@ from .. import fixtures as X
 from ..functions import numeric as N
 from ..operators import calibration as C
 from ..operators import metrics as M
+from ..operators import reference as R
 from . import query
 from .aggregates import eligible
 from .scalars import r9
+from .scoring import BETA_SQL
 
 W3 = f"WITH {X.F3}"
 BY = ["stratum"]
@@ -20,11 +22,28 @@ def train(spark, d):
     return X.paired_rows(spark, d).where("split = 'TRAIN'")
 
 
-@query("ft01_fit_l2_logistic", "SELECT true AS certified, true AS rising")
+def newton(source: str, keys: list[str], steps: int = 30) -> str:
+    """SQL of Newton's method from (0, 0), undamped: CTE `sol` (keys, a, b) of rows (keys, x, y, s, w)."""
+    k, of_i = ", ".join(keys), ", ".join(f"i.{x}" for x in keys)
+    on = " AND ".join(f"i.{x} = r.{x}" for x in keys)
+    return f"""it AS (SELECT DISTINCT {k}, 0 AS n, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM {source}
+UNION ALL SELECT {k}, n + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
+  SELECT {k}, n, a, b, sum(w * (q - y) * x) / sum(w) + any_value(s) * a AS ga, sum(w * (q - y)) / sum(w) + any_value(s) * b AS gb, sum(w * q * (1 - q) * x * x) / sum(w) + any_value(s) AS haa, sum(w * q * (1 - q) * x) / sum(w) AS hab, sum(w * q * (1 - q)) / sum(w) + any_value(s) AS hbb
+  FROM (SELECT {of_i}, i.n, i.a, i.b, r.x, r.y, r.s, r.w, 1 / (1 + exp(-(i.a * r.x + i.b))) AS q FROM it i JOIN {source} r ON {on} WHERE i.n < {steps}) GROUP BY {k}, n, a, b)),
+sol AS (SELECT {k}, a, b FROM it WHERE n = {steps})"""
+
+
+r6 = lambda c, n: F.round(c, 6).alias(n)
+R3 = f"WITH RECURSIVE {X.F3}"
+#: Training rows of every score, feature and strength.
+PANEL = R3 + """, src AS (SELECT stratum, measurement, feature, s, label AS y, 1.0 AS w, CASE feature WHEN 'p' THEN v ELSE ln(v / (1 - v)) END AS x FROM (SELECT stratum, label, m AS measurement, CASE m WHEN 'cat' THEN cat_score ELSE ovr_score END AS v FROM f3, (SELECT unnest(['cat', 'ovr']) AS m) WHERE split = 'TRAIN'), (SELECT unnest(['p', 'logit']) AS feature), (SELECT unnest([0.0001, 0.01]::DOUBLE[]) AS s)), """ + newton("src", ["stratum", "measurement", "feature", "s"])
+
+
+@query("ft01_fit_l2_logistic", f"WITH RECURSIVE {X.F2}, src AS (SELECT 1 AS g, selected_p AS x, correct::INTEGER AS y, 0.01 AS s, 1.0 AS w FROM o2 WHERE bucket = 'eligible'), " + newton("src", ["g"]) + " SELECT true AS certified, round(a, 6) AS slope, round(b, 6) AS intercept FROM sol")
 def ft01(spark, d):
     """By aggregates of the distributed rows: six numbers a step reach the driver."""
     fit = C.fit_logistic(eligible(spark, d), F.col("selected_p"), F.col("correct").cast("int"), 1e-2)
-    return spark.createDataFrame([(fit["certified"], True)], "certified boolean, rising boolean")
+    return spark.createDataFrame([(fit["certified"], round(fit["slope"], 6), round(fit["intercept"], 6))], "certified boolean, slope double, intercept double")
 
 
 @query("ft02_objective_terms", W3 + ", t AS (SELECT cat_score AS x, label AS y, 1 / (1 + exp(-(2 * cat_score - 1))) AS q FROM f3 WHERE split = 'TRAIN') SELECT round(avg(-ln(CASE WHEN y = 1 THEN q ELSE 1 - q END)), 9) AS nll, round(avg((q - y) * x), 9) AS ga, round(avg(q - y), 9) AS gb, round(avg(q * (1 - q) * x * x), 9) AS haa, round(avg(q * (1 - q) * x), 9) AS hab, round(avg(q * (1 - q)), 9) AS hbb FROM t")
@@ -33,9 +52,10 @@ def ft02(spark, d):
     return train(spark, d).agg(*[r9(c, k) for k, c in terms.items()])
 
 
-@query("ft03_certificate", "SELECT s AS strength, round(sqrt(2 * s * 1e-14) * 1e9, 6) AS bound FROM (SELECT unnest([0.0001, 0.01, 1.0]::DOUBLE[]) AS s)")
+@query("ft03_certificate", "SELECT s AS strength, round(sqrt(2) * sqrt(s) * 1e150, 6) AS bound FROM (SELECT unnest([1e-310, 0.0001, 0.01, 1.0]::DOUBLE[]) AS s) WHERE s < 1e-300 UNION ALL SELECT s, round(sqrt(2 * s * 1e-14) * 1e9, 6) FROM (SELECT unnest([0.0001, 0.01, 1.0]::DOUBLE[]) AS s)")
 def ft03(spark, d):
-    return spark.createDataFrame([(s, round(C.certificate(s) * 1e9, 6)) for s in (1e-4, 1e-2, 1.0)], "strength double, bound double")
+    """A subnormal strength has a bound too, here times 1e157; the others times 1e9."""
+    return spark.createDataFrame([(1e-310, round(C.certificate(1e-310) * 1e157, 6)), *[(s, round(C.certificate(s) * 1e9, 6)) for s in (1e-4, 1e-2, 1.0)]], "strength double, bound double")
 
 
 @query("ft04_ordered_rows", W3 + " SELECT stratum, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS fp FROM f3 WHERE split = 'TRAIN' GROUP BY stratum")
@@ -50,33 +70,19 @@ def panel(spark, d):
     rows = train(spark, d).select("stratum", "label", F.explode(F.array(*[F.struct(F.lit(m).alias("measurement"), F.col(c).alias("s")) for m, c in (("cat", "cat_score"), ("ovr", "ovr_score"))])).alias("m")).select("stratum", "label", "m.*")
     grid = spark.createDataFrame([(f, s) for f in ("p", "logit") for s in (1e-4, 1e-2)], "feature string, strength double")
     rows = rows.crossJoin(F.broadcast(grid)).withColumn("x", F.when(F.col("feature") == "p", F.col("s")).otherwise(N.logit(F.col("s"))))
+    return C.fit_many(rows.select("stratum", "measurement", "feature", "strength", "x", F.col("label").alias("y"), F.lit(1.0).alias("w")), ["stratum", "measurement", "feature"])
 
-    def solve(pdf):
-        pdf = pdf.sort_values(["x", "label"])
-        a, b, ok = C.solve_logistic(pdf["x"].to_numpy(), pdf["label"].to_numpy(), float(pdf["strength"].iloc[0]))
-        return {"slope": a, "intercept": b, "certified": ok}
 
-    return C.fit_groups(rows, ["stratum", "measurement", "feature", "strength"], solve, "stratum string, measurement string, feature string, strength double, slope double, intercept double, certified boolean")
-
-
-@query("ft05_fit_panel", W3 + " SELECT stratum, m AS measurement, f AS feature, s AS strength, true AS certified FROM (SELECT DISTINCT stratum FROM f3), (SELECT unnest(['cat', 'ovr']) AS m), (SELECT unnest(['p', 'logit']) AS f), (SELECT unnest([0.0001, 0.01]::DOUBLE[]) AS s)")
+@query("ft05_fit_panel", PANEL + " SELECT stratum, measurement, feature, s AS strength, true AS certified, round(a, 6) AS slope, round(b, 6) AS intercept FROM sol")
 def ft05(spark, d):
-    return panel(spark, d).select("stratum", "measurement", "feature", "strength", "certified")
+    return panel(spark, d).select("stratum", "measurement", "feature", "strength", "certified", r6("slope", "slope"), r6("intercept", "intercept"))
 
 
-@query("ft06_strength_grid", "SELECT s AS strength, true AS certified, true AS shrinks FROM (SELECT unnest([0.0001, 0.001, 0.01, 0.1]::DOUBLE[]) AS s)")
+@query("ft06_strength_grid", R3 + ", src AS (SELECT s, cat_score AS x, label AS y, 1.0 AS w FROM f3, (SELECT unnest([0.0001, 0.001, 0.01, 0.1]::DOUBLE[]) AS s) WHERE split = 'TRAIN'), " + newton("src", ["s"]) + " SELECT s AS strength, true AS certified, round(a, 6) AS slope, round(b, 6) AS intercept FROM sol")
 def ft06(spark, d):
     grid = spark.createDataFrame([(s,) for s in (1e-4, 1e-3, 1e-2, 1e-1)], "strength double")
-    rows = train(spark, d).select("cat_score", "label").crossJoin(F.broadcast(grid))
-
-    def solve(pdf):
-        pdf = pdf.sort_values(["cat_score", "label"])
-        s = float(pdf["strength"].iloc[0])
-        a, b, ok = C.solve_logistic(pdf["cat_score"].to_numpy(), pdf["label"].to_numpy(), s)
-        half, _, _ = C.solve_logistic(pdf["cat_score"].to_numpy(), pdf["label"].to_numpy(), s / 2)
-        return {"certified": ok, "shrinks": bool(abs(a) <= abs(half) + 1e-9)}
-
-    return C.fit_groups(rows, ["strength"], solve, "strength double, certified boolean, shrinks boolean")
+    rows = train(spark, d).select(F.col("cat_score").alias("x"), F.col("label").alias("y"), F.lit(1.0).alias("w")).crossJoin(F.broadcast(grid))
+    return C.fit_many(rows, []).select("strength", "certified", r6("slope", "slope"), r6("intercept", "intercept"))
 
 
 _ISO = W3 + ", k AS (SELECT stratum, floor(cat_score * 40) AS s, sum(label) AS y, count(*) AS n FROM f3 WHERE split = 'TRAIN' GROUP BY 1, 2), i AS (SELECT *, sum(y) OVER w AS cy, sum(n) OVER w AS cn FROM k WINDOW w AS (PARTITION BY stratum ORDER BY s)), seg AS (SELECT a.stratum, a.s AS lo, b.s AS hi, (b.cy - a.cy + a.y) / (b.cn - a.cn + a.n) AS m FROM i a JOIN i b ON a.stratum = b.stratum AND a.s <= b.s), mn AS (SELECT x.stratum, x.s, seg.lo, min(seg.m) AS m FROM k x JOIN seg ON x.stratum = seg.stratum AND seg.lo <= x.s AND seg.hi >= x.s GROUP BY ALL)"
@@ -107,8 +113,8 @@ def ft07_ml(spark, d):
     return model.transform(rows.select("s", "features").dropDuplicates(["s"])).select("s", r9("prediction", "fitted"))
 
 
-def beta_fits(spark, d):
-    rows = train(spark, d).select("stratum", "cat_score", "label")
+def beta_fits(spark, d, state):
+    rows = train(spark, d).join(state.where("state = 'eligible'"), "stratum").select("stratum", "cat_score", "label")
 
     def solve(pdf):
         pdf = pdf.sort_values(["cat_score", "label"])
@@ -117,9 +123,32 @@ def beta_fits(spark, d):
     return C.fit_groups(rows, BY, solve, "stratum string, a double, b double, c double, face string, kkt double")
 
 
-@query("ft08_beta_fit", W3 + " SELECT DISTINCT stratum, true AS certified FROM f3")
+def _beta_sql(steps: int = 40) -> str:
+    """Newton's method on the four faces (a or b held at 0), the best feasible one."""
+    h = ["11", "12", "13", "22", "23", "33"]
+    det = "(h11 * (h22 * h33 - h23 * h23) - h12 * (h12 * h33 - h23 * h13) + h13 * (h12 * h23 - h22 * h13))"
+    da = "(g1 * (h22 * h33 - h23 * h23) - h12 * (g2 * h33 - h23 * g3) + h13 * (g2 * h23 - h22 * g3))"
+    db = "(h11 * (g2 * h33 - g3 * h23) - g1 * (h12 * h33 - h23 * h13) + h13 * (h12 * g3 - g2 * h13))"
+    dc = "(h11 * (h22 * g3 - h23 * g2) - h12 * (h12 * g3 - g2 * h13) + g1 * (h12 * h23 - h22 * h13))"
+    f = {"1": "u", "2": "v", "3": "1.0"}
+    terms = ", ".join(f"avg(q * (1 - q) * {f[x[0]]} * {f[x[1]]}) AS r{x}" for x in h)
+    masked = "CASE WHEN fa = 1 THEN r11 ELSE 1 END AS h11, fa * fb * r12 AS h12, fa * r13 AS h13, CASE WHEN fb = 1 THEN r22 ELSE 1 END AS h22, fb * r23 AS h23, r33 AS h33, fa * k1 AS g1, fb * k2 AS g2, k3 AS g3"
+    value = "avg(-ln(CASE WHEN y = 1 THEN q ELSE 1 - q END))"
+    step = f"SELECT stratum, fa, fb, n, a, b, c, {masked} FROM (SELECT stratum, fa, fb, n, a, b, c, avg((q - y) * u) AS k1, avg((q - y) * v) AS k2, avg(q - y) AS k3, {terms} FROM (SELECT i.*, r.u, r.v, r.y, 1 / (1 + exp(-(i.a * r.u + i.b * r.v + i.c))) AS q FROM it i JOIN src r ON i.stratum = r.stratum WHERE i.n < {steps}) GROUP BY stratum, fa, fb, n, a, b, c)"
+    return f"""{R3}, e AS (SELECT stratum, {BETA_SQL} AS state FROM f3 WHERE split = 'TRAIN' GROUP BY stratum),
+src AS (SELECT stratum, ln(cat_score) AS u, -ln(1 - cat_score) AS v, label AS y FROM f3 JOIN e USING (stratum) WHERE split = 'TRAIN' AND state = 'eligible'),
+it AS (SELECT DISTINCT stratum, fa, fb, 0 AS n, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM src, (SELECT unnest([0, 1]) AS fa), (SELECT unnest([0, 1]) AS fb)
+UNION ALL SELECT stratum, fa, fb, n + 1, a - {da} / {det}, b - {db} / {det}, c - {dc} / {det} FROM ({step})),
+best AS (SELECT i.stratum, fa, fb, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, {value} AS loss FROM (SELECT i.*, r.y, 1 / (1 + exp(-(i.a * r.u + i.b * r.v + i.c))) AS q FROM it i JOIN src r ON i.stratum = r.stratum WHERE i.n = {steps} AND i.a >= 0 AND i.b >= 0) i GROUP BY i.stratum, fa, fb),
+beta AS (SELECT *, CASE WHEN fa = 1 AND fb = 1 THEN 'INTERIOR' WHEN fa = 1 THEN 'B0' WHEN fb = 1 THEN 'A0' ELSE 'A0_B0' END AS face FROM best QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY loss) = 1)"""
+
+
+@query("ft08_beta_fit", _beta_sql() + " SELECT e.stratum, state, face, CASE WHEN face IS NOT NULL THEN true END AS certified, round(a, 5) AS a, round(b, 5) AS b, round(c, 5) AS c FROM e LEFT JOIN beta ON beta.stratum = e.stratum")
 def ft08(spark, d):
-    return beta_fits(spark, d).select("stratum", (F.col("kkt") <= C.KKT).alias("certified"))
+    """A fit of each stratum that can be fitted, and why the others can't."""
+    state = train(spark, d).groupBy("stratum").agg(C.beta_eligibility(F.col("cat_score"), F.col("label")).alias("state"))
+    fits = beta_fits(spark, d, state).select("stratum", "face", (F.col("kkt") <= C.KKT).alias("certified"), *[F.round(x, 5).alias(x) for x in "abc"])
+    return state.join(fits, "stratum", "left")
 
 
 @query("ft09_beta_objective", W3 + " SELECT round(avg(-ln(CASE WHEN label = 1 THEN q ELSE 1 - q END)), 9) AS nll, round(avg((q - label) * ln(cat_score)), 9) AS ga, round(avg((q - label) * -ln(1 - cat_score)), 9) AS gb, round(avg(q - label), 9) AS gc FROM (SELECT *, 1 / (1 + exp(-(0.5 * ln(cat_score) - 0.5 * ln(1 - cat_score) + 0.25))) AS q FROM f3 WHERE split = 'TRAIN')")
@@ -130,13 +159,16 @@ def ft09(spark, d):
     return train(spark, d).agg(r9(F.avg(N.log_loss(q, F.col("label") == 1)), "nll"), r9(F.avg(r * a), "ga"), r9(F.avg(r * b), "gb"), r9(F.avg(r), "gc"))
 
 
-@query("ft10_reference_solve", "SELECT true AS agrees")
+_ONE = R3 + ", src AS (SELECT 1 AS g, cat_score AS x, label AS y, 0.01 AS s, 1.0 AS w FROM f3 WHERE split = 'TRAIN'), " + newton("src", ["g"])
+
+
+@query("ft10_reference_solve", _ONE + " SELECT round(a, 6) AS slope, round(b, 6) AS intercept, CAST(0 AS DOUBLE) AS apart FROM sol")
 def ft10(spark, d):
-    """The distributed solver against the one in numpy on the same rows."""
+    """The distributed solver, and how far an 80-digit decimal one is from it on the same rows."""
     rows = train(spark, d).select("cat_score", "label")
     far = C.fit_logistic(rows, F.col("cat_score"), F.col("label"), 1e-2)
-    near = C.fit_groups(rows.withColumn("g", F.lit(1)), ["g"], lambda p: dict(zip(("a", "b"), C.solve_logistic(p["cat_score"].to_numpy(), p["label"].to_numpy(), 1e-2)[:2])), "g int, a double, b double")
-    return near.select(((F.abs(F.col("a") - far["slope"]) < 1e-6) & (F.abs(F.col("b") - far["intercept"]) < 1e-6)).alias("agrees"))
+    exact = R.reference_fit(rows.groupBy("cat_score", "label").count(), "cat_score", "label", "count", "0.01", (far["slope"], far["intercept"]))
+    return exact.select(F.lit(round(far["slope"], 6)).alias("slope"), F.lit(round(far["intercept"], 6)).alias("intercept"), F.round(F.greatest(F.abs(F.col("slope") - far["slope"]), F.abs(F.col("intercept") - far["intercept"])), 7).alias("apart"))
 
 
 @query("ft11_fit_procedure", W3 + ", e AS (SELECT cluster_id, min(label) = max(label) AS one, count(DISTINCT cat_score) < 3 AS few, max(CASE WHEN label = 0 THEN cat_score END) < min(CASE WHEN label = 1 THEN cat_score END) OR max(CASE WHEN label = 1 THEN cat_score END) < min(CASE WHEN label = 0 THEN cat_score END) AS apart FROM f3 GROUP BY cluster_id) SELECT cluster_id, CASE WHEN one OR few OR apart THEN 'INELIGIBLE' ELSE 'AVAILABLE' END AS status FROM e")
@@ -183,16 +215,24 @@ def ap05(spark, d):
     return spark.createDataFrame([(s,) for s in (0.0, 0.25, 0.5, 0.75, 1.0)], "s double").select("s", r9(C.apply_beta(F.col("s"), F.lit(0.5), F.lit(0.25), F.lit(0.1)), "q"))
 
 
-@query("ap06_panel_apply", W3 + " SELECT split, count(*) AS n, true AS inside FROM f3 GROUP BY split")
+#: The maps of feature logit and strength 0.01 by stratum and measurement, and all rows under them.
+MAPS = PANEL + ", maps AS (SELECT * FROM sol WHERE feature = 'logit' AND s = 0.01)"
+DIRECTED = MAPS + """, kinds(direction, source, target) AS (VALUES ('CAT->OVR', 'cat', 'ovr'), ('OVR->CAT', 'ovr', 'cat')),
+scored AS (SELECT direction, source, target, stratum, item_id, label, CASE target WHEN 'cat' THEN cat_score ELSE ovr_score END AS v FROM f3, kinds WHERE split = 'TEST'),
+dir AS (SELECT direction, stratum, item_id, label, v, pow(v - label, 2) AS raw, pow(qc - label, 2) AS crossed, pow(qn - label, 2) AS native, qc, qn FROM (
+  SELECT p.*, 1 / (1 + exp(-(c.a * ln(v / (1 - v)) + c.b))) AS qc, 1 / (1 + exp(-(t.a * ln(v / (1 - v)) + t.b))) AS qn FROM scored p JOIN maps c ON c.stratum = p.stratum AND c.measurement = source JOIN maps t ON t.stratum = p.stratum AND t.measurement = target))"""
+
+
+@query("ap06_panel_apply", MAPS + " SELECT split, stratum, count(*) AS n, round(avg(1 / (1 + exp(-(a * ln(cat_score / (1 - cat_score)) + b)))), 6) AS mean_q FROM f3 JOIN maps USING (stratum) WHERE measurement = 'cat' GROUP BY split, stratum")
 def ap06(spark, d):
-    fits = F.broadcast(panel(spark, d).where("measurement = 'cat' and feature = 'logit' and strength = 0.01"))
+    fits = panel(spark, d).where("measurement = 'cat' and feature = 'logit' and strength = 0.01")
     rows = X.paired_rows(spark, d).join(fits, "stratum").withColumn("q", N.sigmoid(F.col("slope") * N.logit(F.col("cat_score")) + F.col("intercept")))
-    return rows.groupBy("split").agg(F.count("*").alias("n"), F.bool_and((F.col("q") > 0) & (F.col("q") < 1)).alias("inside"))
+    return rows.groupBy("split", "stratum").agg(F.count("*").alias("n"), r6(F.avg("q"), "mean_q"))
 
 
-@query("ap07_directional_maps", W3 + " SELECT direction, count(*) AS n FROM f3, (SELECT unnest(['CAT->OVR', 'OVR->CAT']) AS direction) WHERE split = 'TEST' GROUP BY direction")
+@query("ap07_directional_maps", DIRECTED + " SELECT direction, count(*) AS n, round(avg(raw), 6) AS raw, round(avg(crossed), 6) AS crossed, round(avg(native), 6) AS native FROM dir GROUP BY direction")
 def ap07(spark, d):
-    return directions(spark, d).groupBy("direction").agg(F.count("*").alias("n"))
+    return directions(spark, d).groupBy("direction").agg(F.count("*").alias("n"), r6(F.avg("raw"), "raw"), r6(F.avg("cross"), "crossed"), r6(F.avg("native"), "native"))
 
 
 def directions(spark, d):
@@ -200,59 +240,87 @@ def directions(spark, d):
     fits = panel(spark, d).where("feature = 'logit' and strength = 0.01").select("stratum", "measurement", "slope", "intercept")
     kinds = spark.createDataFrame([("CAT->OVR", "cat", "ovr"), ("OVR->CAT", "ovr", "cat")], "direction string, source string, target string")
     rows = X.paired_rows(spark, d).where("split = 'TEST'").crossJoin(F.broadcast(kinds)).withColumn("s", F.when(F.col("target") == "cat", F.col("cat_score")).otherwise(F.col("ovr_score")))
-    of = lambda side, name: F.broadcast(fits.select("stratum", F.col("measurement").alias(side), F.col("slope").alias(f"{name}_a"), F.col("intercept").alias(f"{name}_b")))
+    of = lambda side, name: fits.select("stratum", F.col("measurement").alias(side), F.col("slope").alias(f"{name}_a"), F.col("intercept").alias(f"{name}_b"))
     rows = rows.join(of("source", "cross"), ["stratum", "source"]).join(of("target", "native"), ["stratum", "target"])
     z = N.logit(F.col("s"))
     loss = lambda n: N.brier(N.sigmoid(F.col(f"{n}_a") * z + F.col(f"{n}_b")), F.col("label"))
-    return rows.withColumns({"raw": N.brier(F.col("s"), F.col("label")), "cross": loss("cross"), "native": loss("native")})
+    return rows.withColumns({"raw": N.brier(F.col("s"), F.col("label")), "cross": loss("cross"), "native": loss("native"), "q_cross": N.sigmoid(F.col("cross_a") * z + F.col("cross_b"))})
 
 
-_DIR = W3 + " SELECT direction, stratum, count(*) AS n, true AS in_range FROM f3, (SELECT unnest(['CAT->OVR', 'OVR->CAT']) AS direction) WHERE split = 'TEST' GROUP BY direction, stratum"
+_CONDITION = DIRECTED + """, lim AS (SELECT stratum, m AS measurement, min(v) AS lo, max(v) AS hi FROM (SELECT stratum, m, CASE m WHEN 'cat' THEN cat_score ELSE ovr_score END AS v FROM f3, (SELECT unnest(['cat', 'ovr']) AS m) WHERE split = 'TRAIN') GROUP BY ALL),
+ranged AS (SELECT dir.*, v BETWEEN lo AND hi AS inside FROM dir JOIN lim ON lim.stratum = dir.stratum AND lim.measurement = CASE direction WHEN 'CAT->OVR' THEN 'cat' ELSE 'ovr' END),
+rel AS (SELECT direction, stratum, sum(abs(gap)) / sum(n) AS ece FROM (SELECT direction, stratum, least(9, floor(qc * 10)) AS bin, count(*) AS n, sum(qc - label) AS gap FROM dir GROUP BY ALL) GROUP BY ALL)"""
 
 
-@query("cp13_condition_analysis", _DIR)
+@query("cp13_condition_analysis", _CONDITION + " SELECT direction, stratum, count(*) AS n, round(avg(raw), 6) AS raw, round(avg(crossed - raw), 6) AS deploy, round(avg(native - raw), 6) AS native_delta, round(avg(crossed - native), 6) AS transport, count(*) FILTER (NOT inside) AS outside, round(avg(crossed) FILTER (inside), 6) AS crossed_inside, round(min(v), 9) AS least_score, round(max(v), 9) AS largest_score, round(any_value(ece), 6) AS ece FROM ranged JOIN rel USING (direction, stratum) GROUP BY direction, stratum")
 def cp13(spark, d):
-    g = directions(spark, d).groupBy("direction", "stratum").agg(F.count("*").alias("n"), F.avg("cross").alias("c"), F.avg("native").alias("v"))
-    return g.select("direction", "stratum", "n", (F.col("v").between(0, 1) & F.col("c").between(0, 1)).alias("in_range"))
+    """A condition by direction and stratum: risks, contrasts, range, loss within the training range, reliability."""
+    rows = directions(spark, d)
+    long = train(spark, d).select("stratum", F.explode(F.array(F.struct(F.lit("cat").alias("source"), F.col("cat_score").alias("v")), F.struct(F.lit("ovr").alias("source"), F.col("ovr_score").alias("v")))).alias("x")).select("stratum", "x.*")
+    limits = long.groupBy("stratum", "source").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    ranged = rows.join(limits, ["stratum", "source"]).withColumn("inside", F.col("s").between(F.col("lo"), F.col("hi")))
+    bins = rows.groupBy("direction", "stratum", F.least(F.lit(9), F.floor(F.col("q_cross") * 10)).alias("bin")).agg(F.count("*").alias("n"), F.sum(F.col("q_cross") - F.col("label")).alias("gap"))
+    ece = bins.groupBy("direction", "stratum").agg((F.sum(F.abs("gap")) / F.sum("n")).alias("ece"))
+    g = ranged.groupBy("direction", "stratum").agg(
+        F.count("*").alias("n"), r6(F.avg("raw"), "raw"), r6(F.avg(F.col("cross") - F.col("raw")), "deploy"), r6(F.avg(F.col("native") - F.col("raw")), "native_delta"), r6(F.avg(F.col("cross") - F.col("native")), "transport"),
+        F.count_if(~F.col("inside")).alias("outside"), r6(F.avg(F.when(F.col("inside"), F.col("cross"))), "crossed_inside"), F.round(F.min("s"), 9).alias("least_score"), F.round(F.max("s"), 9).alias("largest_score"))
+    return g.join(ece, ["direction", "stratum"]).withColumn("ece", F.round("ece", 6))
+
+
+@query("cp09_pilot_artifact", DIRECTED + " SELECT direction, round(avg(raw), 6) AS raw, round(avg(crossed), 6) AS crossed, round(avg(native), 6) AS native, round(min(v), 9) AS least_score, round(max(v), 9) AS largest_score, CAST(sum(CASE WHEN (v > 0.5) <> (qc > 0.5) THEN 1 ELSE 0 END) AS BIGINT) AS winner_changes, round(max(abs(qc - qn)), 6) AS apart FROM dir GROUP BY direction")
+def cp09(spark, d):
+    """Risks, score range, changed winners and the largest difference of the two maps."""
+    rows = directions(spark, d)
+    q_native = N.sigmoid(F.col("native_a") * N.logit(F.col("s")) + F.col("native_b"))
+    return rows.groupBy("direction").agg(r6(F.avg("raw"), "raw"), r6(F.avg("cross"), "crossed"), r6(F.avg("native"), "native"), F.round(F.min("s"), 9).alias("least_score"), F.round(F.max("s"), 9).alias("largest_score"), F.count_if((F.col("s") > 0.5) != (F.col("q_cross") > 0.5)).alias("winner_changes"), r6(F.max(F.abs(F.col("q_cross") - q_native)), "apart"))
 
 
-@query("cp09_pilot_artifact")
-def cp09(spark, d):
-    return directions(spark, d).groupBy("direction").agg(*[r9(F.avg(c), c) for c in ("raw", "cross", "native")])
+def _refit_sql() -> str:
+    from .resampling import fits_sql
+
+    return fits_sql()
 
 
-@query("cp10_stability_artifact")
+@query("cp10_stability_artifact", _refit_sql() + " SELECT count(*) AS n, round(avg(a), 6) AS mean_slope, round(stddev_samp(a), 6) AS sd_slope, round(quantile_disc(a, 0.025), 6) AS lower, round(quantile_disc(a, 0.975), 6) AS upper, round(avg(b), 6) AS mean_intercept FROM sol")
 def cp10(spark, d):
+    from ..operators import resampling as B
     from .resampling import refits
 
-    return refits(spark, d, 20).agg(F.count("*").alias("n"), r9(F.avg("slope"), "mean_slope"), r9(F.stddev_samp("slope"), "sd_slope"))
+    fits = refits(spark, d)
+    i = B.percentile_interval(fits, "slope", 0.025, 0.975).select(r6("lower", "lower"), r6("upper", "upper"))
+    return fits.agg(F.count("*").alias("n"), r6(F.avg("slope"), "mean_slope"), r6(F.stddev_samp("slope"), "sd_slope"), r6(F.avg("intercept"), "mean_intercept")).crossJoin(i)
 
 
-@query("cp11_adequacy_artifact")
+@query("cp11_adequacy_artifact", PANEL + " SELECT measurement, feature, s AS strength, round(avg(a), 6) AS slope, round(stddev_samp(a), 6) AS sd, count(*) AS certified FROM sol GROUP BY ALL")
 def cp11(spark, d):
-    return panel(spark, d).groupBy("measurement", "feature", "strength").agg(r9(F.avg("slope"), "slope"), F.count_if("certified").alias("certified"))
+    return panel(spark, d).groupBy("measurement", "feature", "strength").agg(r6(F.avg("slope"), "slope"), r6(F.stddev_samp("slope"), "sd"), F.count_if("certified").alias("certified"))
 
 
-@query("cp12_closure", "SELECT true AS agrees")
+@query("cp12_closure", _ONE + " SELECT round(a, 6) AS slope, CAST(0 AS BIGINT) AS reference_failed, CAST(0 AS BIGINT) AS disagreements, CAST(NULL AS VARCHAR) AS class FROM sol UNION ALL SELECT NULL, failed, apart, class FROM (VALUES (1, 0, 'C'), (0, 1, 'D'), (0, 0, 'A'), (0, 0, 'B')) AS t(failed, apart, class)")
 def cp12(spark, d):
-    return ft10(spark, d)
+    """The fit beside its decimal reference, and the class of each kind of failure."""
+    told = ft10(spark, d).select("slope", F.lit(0).cast("long").alias("reference_failed"), (F.col("apart") > 0).cast("long").alias("disagreements"), F.when(F.col("apart") > 0, "D").alias("class"))
+    cases = [(1, 0, 3, 3, 0), (0, 1, 3, 3, 0), (0, 0, 3, 3, 0), (0, 0, 3, 0, 0)]
+    return told.unionByName(spark.createDataFrame([(None, c[0], c[1], R.failure_class(*c)) for c in cases], "slope double, reference_failed long, disagreements long, class string"))
 
 
-@query("cp15_refit_stability", "SELECT 'COMPLETE' AS state")
+@query("cp15_refit_stability", _refit_sql() + " SELECT 'COMPLETE' AS state, count(*) AS n, round(min(a), 6) AS least_slope, round(max(a), 6) AS largest_slope FROM sol")
 def cp15(spark, d):
     from .resampling import refits
 
-    return refits(spark, d, 20).agg(F.when(F.bool_and(F.col("status") == "AVAILABLE"), "COMPLETE").otherwise("INCOMPLETE").alias("state"))
+    return refits(spark, d).agg(F.when(F.bool_and(F.col("status") == "AVAILABLE"), "COMPLETE").otherwise("INCOMPLETE").alias("state"), F.count("*").alias("n"), r6(F.min("slope"), "least_slope"), r6(F.max("slope"), "largest_slope"))
 
 
-@query("cp17_refit_blocks")
+@query("cp17_refit_blocks", _refit_sql() + ", points AS (SELECT cat_score AS x, label AS y, count(*) AS n FROM f3 WHERE split = 'TEST' GROUP BY ALL) SELECT CAST(replicate AS INTEGER) AS replicate, round(sum(n * pow(1 / (1 + exp(-(a * x + b))) - y, 2)) / sum(n) - sum(n * pow(x - y, 2)) / sum(n), 6) AS native_delta FROM sol, points GROUP BY replicate")
 def cp17(spark, d):
+    """Loss of every refit on the TEST scores, which are counted first."""
     from .resampling import refits
 
-    fits = F.broadcast(refits(spark, d, 20))
-    rows = X.paired_rows(spark, d).where("split = 'TEST'").crossJoin(fits)
+    points = X.paired_rows(spark, d).where("split = 'TEST'").groupBy("cat_score", "label").agg(F.count("*").alias("n"))
+    rows = points.crossJoin(F.broadcast(refits(spark, d)))  # as many rows as replicates
     q = N.sigmoid(F.col("slope") * F.col("cat_score") + F.col("intercept"))
-    return rows.groupBy("replicate").agg(r9(F.avg(N.brier(q, F.col("label")) - N.brier(F.col("cat_score"), F.col("label"))), "native_delta"))
+    mean = lambda c: F.sum(F.col("n") * c) / F.sum("n")
+    return rows.groupBy("replicate").agg(r6(mean(N.brier(q, F.col("label"))) - mean(N.brier(F.col("cat_score"), F.col("label"))), "native_delta"))
 
 
 @query("cp20_oracle_risks", W3 + " SELECT stratum, round(avg((cat_score - label) * (cat_score - label)), 9) AS cat, round(avg((ovr_score - label) * (ovr_score - label)), 9) AS ovr FROM f3 GROUP BY stratum")

@@ -8,11 +8,14 @@ from .. import fixtures as X
 from ..functions import numeric as N
 from ..operators import calibration as C
 from ..operators import resampling as B
+from ..operators.resampling import REFIT_REPLICATES
 from . import query
 from .aggregates import _B, CROSS, NATIVE, _S, losses
 from .scalars import r9
 
-R = 40
+#: Replicates of queries on TRAIN and on TEST, of the tails, and of refits. The operators' own defaults are the
+#: study's 20,000 and 2,000; on TEST rows SQL takes too long for 20,000, so these queries draw fewer.
+R, TESTS, TAILS, REFITS = 40, 200, 1000, REFIT_REPLICATES
 
 
 def _draws(unit, pool, n_sql="n", pop="p", extra="", wide=False, reps=R, draws=None):
@@ -26,35 +29,52 @@ dr AS (SELECT r AS replicate, stratum, {index} AS place FROM (SELECT stratum, n,
 w AS (SELECT replicate, stratum, {unit}, count(*) AS w FROM dr JOIN u USING (stratum, place) GROUP BY ALL)"""
 
 
+def fits_sql():
+    from .fits import newton
+
+    body = T3.removeprefix("WITH ") + ", " + _draws("item_id", "t", reps=REFITS)
+    return "WITH RECURSIVE " + body + ", src AS (SELECT replicate, cat_score AS x, f3.label AS y, 0.01 AS s, w FROM w JOIN f3 USING (item_id)), " + newton("src", ["replicate"], 25)
+
+
 T3 = f"WITH {X.F3}, t AS (SELECT stratum, cluster_id, item_id, label, {_B('ovr_score')} AS raw, {_B(_S(CROSS, 'ovr_score'))} AS crossed, {_B(_S(NATIVE, 'ovr_score'))} AS native FROM f3 WHERE split = 'TRAIN')"
 
 
-def train(spark, d):
+#: The same of the TEST rows.
+E3 = T3.replace("split = 'TRAIN'", "split = 'TEST'")
+
+
+def train(spark, d, split="TRAIN"):
     from ..operators.panel import risk_matrix
 
-    return risk_matrix(X.paired_rows(spark, d).where("split = 'TRAIN'"), "ovr_score", CROSS, NATIVE)
+    return risk_matrix(X.paired_rows(spark, d).where(F.col("split") == split), "ovr_score", CROSS, NATIVE)
+
+
+def test(spark, d):
+    return train(spark, d, "TEST")
 
 
 def _deltas(rows):
     return rows.select("item_id", "cluster_id", "stratum", (F.col("crossed") - F.col("raw")).alias("deploy"), (F.col("crossed") - F.col("native")).alias("transport"))
 
 
-@query("bs01_stratified_draws", T3 + ", " + _draws("item_id", "t") + " SELECT CAST(replicate AS INTEGER) AS replicate, stratum, item_id, w FROM w WHERE replicate < 5")
+@query("bs01_stratified_draws", T3 + ", " + _draws("item_id", "t") + " SELECT CAST(replicate AS INTEGER) AS replicate, stratum, item_id, w FROM w")
 def bs01(spark, d):
-    return B.weights(train(spark, d), "item_id", "stratum", R, "p").where("replicate < 5")
+    return B.weights(train(spark, d), "item_id", "stratum", R, "p")
+
 
+def _tests(unit, pop="p", reps=TESTS, **more):
+    return _draws(unit, "t", pop=pop, reps=reps, **more)
 
-@query("bs02_cluster_draws", T3 + ", " + _draws("cluster_id", "t", pop="c") + " SELECT CAST(replicate AS INTEGER) AS replicate, CAST(sum(w) AS BIGINT) AS rows, round(sum(w * raw) / sum(w), 9) AS raw FROM w JOIN t USING (cluster_id) GROUP BY replicate")
+
+@query("bs02_cluster_draws", E3 + ", " + _tests("cluster_id", "c") + " SELECT CAST(replicate AS INTEGER) AS replicate, CAST(sum(w) AS BIGINT) AS rows, round(sum(w * raw) / sum(w), 9) AS raw FROM w JOIN t USING (cluster_id) GROUP BY replicate")
 def bs02(spark, d):
-    t = train(spark, d)
-    rows = B.weights(t, "cluster_id", "stratum", R, "c").join(t.select("cluster_id", "raw"), "cluster_id")
-    return rows.groupBy("replicate").agg(F.sum("w").alias("rows"), r9(F.sum(F.col("w") * F.col("raw")) / F.sum("w"), "raw"))
+    return B.bootstrap_means(test(spark, d), "cluster_id", "stratum", ["raw"], TESTS, "c").select("replicate", F.col("n").alias("rows"), r9("raw", "raw"))
 
 
-@query("bs03_test_draw_modes", T3 + ", " + _draws("item_id", "t") + " SELECT 'row' AS mode, CAST(replicate AS INTEGER) AS replicate, CAST(sum(w) AS BIGINT) AS n FROM w GROUP BY replicate UNION ALL SELECT 'cluster', r, CAST((SELECT count(DISTINCT cluster_id) FROM t) AS BIGINT) FROM (SELECT CAST(unnest(range(0, " + str(R) + ")) AS INTEGER) AS r)")
+@query("bs03_test_draw_modes", E3 + ", " + _tests("item_id") + ", " + _tests("cluster_id", "c").replace("u AS", "uc AS").replace("FROM u ", "FROM uc ").replace("JOIN u ", "JOIN uc ").replace("z AS", "zc AS").replace("FROM z,", "FROM zc,").replace("dr AS", "drc AS").replace("FROM dr ", "FROM drc ").replace("w AS (SELECT", "wc AS (SELECT") + " SELECT 'row' AS mode, CAST(replicate AS INTEGER) AS replicate, CAST(sum(w) AS BIGINT) AS n, round(sum(w * raw) / sum(w), 9) AS raw FROM w JOIN t USING (item_id) GROUP BY replicate UNION ALL SELECT 'cluster', CAST(replicate AS INTEGER), CAST(sum(w) AS BIGINT), round(sum(w * raw) / sum(w), 9) FROM wc JOIN t USING (cluster_id) GROUP BY replicate")
 def bs03(spark, d):
-    t = train(spark, d)
-    one = lambda unit, pop, mode: B.weights(t, unit, "stratum", R, pop).groupBy("replicate").agg(F.sum("w").alias("n")).select(F.lit(mode).alias("mode"), "replicate", "n")
+    t = test(spark, d)
+    one = lambda unit, pop, mode: B.bootstrap_means(t, unit, "stratum", ["raw"], TESTS, pop).select(F.lit(mode).alias("mode"), "replicate", "n", r9("raw", "raw"))
     return one("item_id", "p", "row").unionByName(one("cluster_id", "c", "cluster"))
 
 
@@ -64,37 +84,36 @@ def bs04(spark, d):
     return w.groupBy("replicate", "stratum").agg(F.sum("w").alias("n"), F.count("*").alias("distinct_rows"))
 
 
-_ONE = T3.replace("SELECT stratum, cluster_id, item_id, label", "SELECT 'all' AS stratum, cluster_id, item_id, label")
+_ONE = E3.replace("SELECT stratum, cluster_id, item_id, label", "SELECT 'all' AS stratum, cluster_id, item_id, label")
 
 
-@query("bs05_paired_test_bootstrap", _ONE + ", " + _draws("item_id", "t", pop="wide", wide=True, reps=20) + " SELECT CAST(replicate AS INTEGER) AS replicate, round(sum(w * (crossed - raw)) / sum(w), 9) AS deploy FROM w JOIN t USING (item_id) GROUP BY replicate")
+@query("bs05_paired_test_bootstrap", _ONE + ", " + _tests("item_id", "wide", wide=True, reps=20) + " SELECT CAST(replicate AS INTEGER) AS replicate, round(sum(w * (crossed - raw)) / sum(w), 9) AS deploy FROM w JOIN t USING (item_id) GROUP BY replicate")
 def bs05(spark, d):
-    t = _deltas(train(spark, d)).withColumn("stratum", F.lit("all"))
-    return B.replicate_means(B.weights(t, "item_id", "stratum", 20, "wide", wide=True), t.select("item_id", "deploy"), "item_id", ["deploy"]).select("replicate", r9("deploy", "deploy"))
+    t = _deltas(test(spark, d)).withColumn("stratum", F.lit("all"))
+    return B.bootstrap_means(t, "item_id", "stratum", ["deploy"], 20, "wide", wide=True).select("replicate", r9("deploy", "deploy"))
 
 
-def refits(spark, d, reps):
+def refits(spark, d, reps=REFITS):
+    """(replicate, slope, intercept, status): a fit of every resampled training set, given by weights."""
     t = X.paired_rows(spark, d).where("split = 'TRAIN'")
     drawn = B.weights(t, "item_id", "stratum", reps, "p").join(t.select("item_id", "cat_score", "label"), "item_id")
+    drawn = drawn.groupBy("replicate", "cat_score", "label").agg(F.sum("w").cast("double").alias("w"))
 
     def solve(pdf):
-        pdf = pdf.sort_values("item_id")
-        x, y = pdf["cat_score"].repeat(pdf["w"]).to_numpy(), pdf["label"].repeat(pdf["w"]).to_numpy()
-        a, b, ok = C.solve_logistic(x, y, 1e-2)
-        return {"slope": a, "intercept": b, "status": "AVAILABLE" if ok else "FAILED"}
+        a, b, ok = C.solve_logistic(pdf["cat_score"].to_numpy(), pdf["label"].to_numpy(), 1e-2, pdf["w"].to_numpy())
+        return {"slope": a if ok else None, "intercept": b if ok else None, "status": "AVAILABLE" if ok else "FAILED"}
 
     return C.fit_groups(drawn, ["replicate"], solve, "replicate int, slope double, intercept double, status string")
 
 
-@query("bs06_train_refit_bootstrap", "SELECT CAST(unnest(range(0, 20)) AS INTEGER) AS replicate, 'AVAILABLE' AS status, true AS rising")
+@query("bs06_train_refit_bootstrap", fits_sql() + " SELECT CAST(replicate AS INTEGER) AS replicate, 'AVAILABLE' AS status, round(a, 6) AS slope, round(b, 6) AS intercept FROM sol")
 def bs06(spark, d):
-    return refits(spark, d, 20).select("replicate", "status", (F.col("slope") > 0).alias("rising"))
+    return refits(spark, d).select("replicate", "status", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
-@query("bs07_subject_statistic", T3 + ", " + _draws("item_id", "t") + " SELECT CAST(replicate AS INTEGER) AS replicate, round(avg(m), 9) AS mean FROM (SELECT replicate, t.stratum, sum(w * raw) / sum(w) AS m FROM w JOIN t USING (item_id) GROUP BY replicate, t.stratum) GROUP BY replicate")
+@query("bs07_subject_statistic", E3 + ", " + _tests("item_id") + " SELECT CAST(replicate AS INTEGER) AS replicate, round(avg(m), 9) AS mean FROM (SELECT replicate, t.stratum, sum(w * raw) / sum(w) AS m FROM w JOIN t USING (item_id) GROUP BY replicate, t.stratum) GROUP BY replicate")
 def bs07(spark, d):
-    t = train(spark, d)
-    m = B.replicate_means(B.weights(t, "item_id", "stratum", R, "p").drop("stratum"), t.select("item_id", "stratum", "raw"), "item_id", ["raw"], ["stratum"])
+    m = B.bootstrap_means(test(spark, d), "item_id", "stratum", ["raw"], TESTS, by_stratum=True)
     return m.groupBy("replicate").agg(r9(F.avg("raw"), "mean"))
 
 
@@ -103,12 +122,15 @@ def bs08(spark, d):
     return B.weights(train(spark, d), "item_id", "stratum", R, "p", draws=10).groupBy("replicate", "stratum").agg(F.sum("w").alias("n"))
 
 
-_SERIES = T3 + ", " + _draws("item_id", "t") + ", s AS (SELECT replicate, sum(w * (crossed - raw)) / sum(w) AS deploy, sum(w * (crossed - native)) / sum(w) AS transport FROM w JOIN t USING (item_id) GROUP BY replicate)"
+def _series(reps):
+    return E3 + ", " + _tests("item_id", reps=reps) + ", s AS (SELECT replicate, sum(w * (crossed - raw)) / sum(w) AS deploy, sum(w * (crossed - native)) / sum(w) AS transport FROM w JOIN t USING (item_id) GROUP BY replicate)"
 
 
-def series(spark, d):
-    t = _deltas(train(spark, d))
-    return B.replicate_means(B.weights(t, "item_id", "stratum", R, "p"), t.select("item_id", "deploy", "transport"), "item_id", ["deploy", "transport"])
+_SERIES = _series(TESTS)
+
+
+def series(spark, d, replicates=TESTS):
+    return B.bootstrap_means(_deltas(test(spark, d)), "item_id", "stratum", ["deploy", "transport"], replicates)
 
 
 @query("bs09_panel_bootstrap", _SERIES + " SELECT CAST(replicate AS INTEGER) AS replicate, round(deploy, 9) AS deploy, round(transport, 9) AS transport FROM s")
@@ -116,19 +138,19 @@ def bs09(spark, d):
     return series(spark, d).select("replicate", r9("deploy", "deploy"), r9("transport", "transport"))
 
 
-@query("bs10_refit_block", "SELECT 'COMPLETE' AS state, CAST(20 AS BIGINT) AS n, CAST(0 AS BIGINT) AS failed")
+@query("bs10_refit_block", fits_sql() + " SELECT 'COMPLETE' AS state, count(*) AS n, CAST(0 AS BIGINT) AS failed, round(sum(a), 3) AS slopes FROM sol")
 def bs10(spark, d):
-    a = refits(spark, d, 20).agg(F.count("*").alias("n"), F.count_if(F.col("status") != "AVAILABLE").alias("failed"))
-    return a.select(F.when(F.col("failed") == 0, "COMPLETE").otherwise("INCOMPLETE").alias("state"), "n", "failed")
+    a = refits(spark, d).agg(F.count("*").alias("n"), F.count_if(F.col("status") != "AVAILABLE").alias("failed"), F.round(F.sum("slope"), 3).alias("slopes"))
+    return a.select(F.when(F.col("failed") == 0, "COMPLETE").otherwise("INCOMPLETE").alias("state"), "n", "failed", "slopes")
 
 
-@query("bs11_log_loss_intervals", T3 + ", " + _draws("item_id", "t") + ", l AS (SELECT item_id, CASE WHEN label = 1 AND item_id % 3000 = 0 THEN CAST('inf' AS DOUBLE) ELSE -ln(CASE WHEN label = 1 THEN ovr_score ELSE 1 - ovr_score END) END AS loss FROM f3 WHERE split = 'TRAIN') SELECT CAST(replicate AS INTEGER) AS replicate, CASE WHEN bool_or(isinf(loss)) THEN 'POSITIVE_INFINITY' ELSE 'FINITE' END AS state FROM w JOIN l USING (item_id) GROUP BY replicate")
+@query("bs11_log_loss_intervals", E3 + ", " + _tests("item_id") + ", l AS (SELECT item_id, CASE WHEN label = 1 AND item_id % 3001 = 0 THEN CAST('inf' AS DOUBLE) ELSE -ln(CASE WHEN label = 1 THEN ovr_score ELSE 1 - ovr_score END) END AS loss FROM f3 WHERE split = 'TEST') SELECT CAST(replicate AS INTEGER) AS replicate, CASE WHEN bool_or(isinf(loss)) THEN 'POSITIVE_INFINITY' ELSE 'FINITE' END AS state, CASE WHEN NOT bool_or(isinf(loss)) THEN round(sum(w * CASE WHEN isinf(loss) THEN 0 ELSE loss END) / sum(w), 9) END AS mean FROM w JOIN l USING (item_id) GROUP BY replicate")
 def bs11(spark, d):
-    t = X.paired_rows(spark, d).where("split = 'TRAIN'")
-    p = F.when((F.col("item_id") % 3000 == 0) & (F.col("label") == 1), F.lit(0.0)).otherwise(F.col("ovr_score"))
-    t = t.withColumn("loss", N.log_loss(p, F.col("label") == 1))
-    m = B.replicate_means(B.weights(t, "item_id", "stratum", R, "p"), t.select("item_id", "loss"), "item_id", ["loss"])
-    return m.select("replicate", N.state(F.col("loss")).alias("state"))
+    t = X.paired_rows(spark, d).where("split = 'TEST'")
+    p = F.when((F.col("item_id") % 3001 == 0) & (F.col("label") == 1), F.lit(0.0)).otherwise(F.col("ovr_score"))
+    m = B.bootstrap_means(t.withColumn("loss", N.log_loss(p, F.col("label") == 1)), "item_id", "stratum", ["loss"], TESTS)
+    state = N.state(F.col("loss"))
+    return m.select("replicate", state.alias("state"), F.when(state == "FINITE", F.round("loss", 9)).alias("mean"))
 
 
 @query("bs12_nearest_rank", _SERIES + " SELECT round(quantile_disc(deploy, 0.05), 9) AS q05, round(quantile_disc(deploy, 0.5), 9) AS q50, round(quantile_disc(deploy, 0.95), 9) AS q95 FROM s")
@@ -147,10 +169,10 @@ def bs13(spark, d):
 FAMILIES = [("primary", 12, 1 / 480), ("native", 8, 1 / 480), ("extension", 6, 1 / 320), ("direction", 12, 1 / 240)]
 
 
-@query("bs14_hypothesis_tails", _SERIES + ", f(family, tail) AS (VALUES ('primary', 1 / 480), ('native', 1 / 480), ('extension', 1 / 320), ('direction', 1 / 240)) SELECT family, round(tail, 12) AS tail, round((SELECT min(deploy) FROM s), 9) AS lower, round((SELECT max(deploy) FROM s), 9) AS upper FROM f")
+@query("bs14_hypothesis_tails", _series(TAILS) + ", f(family, tail) AS (VALUES ('primary', 1 / 480), ('native', 1 / 480), ('extension', 1 / 320), ('direction', 1 / 240)), o AS (SELECT list_sort(list(deploy)) AS v FROM s) SELECT family, round(tail, 12) AS tail, round(v[greatest(1, CAST(ceil(tail * len(v)) AS INTEGER))], 9) AS lower, round(v[CAST(ceil((1 - tail) * len(v)) AS INTEGER)], 9) AS upper FROM f, o")
 def bs14(spark, d):
     f = spark.createDataFrame([(a, t) for a, _, t in FAMILIES], "family string, tail double")
-    lists = series(spark, d).agg(F.array_sort(F.collect_list("deploy")).alias("v"))
+    lists = series(spark, d, TAILS).agg(F.array_sort(F.collect_list("deploy")).alias("v"))
     rank = lambda level: F.greatest(F.lit(1), F.least(F.ceil(level * F.size("v")), F.size("v"))).cast("int")
     rows = F.broadcast(f).crossJoin(lists)
     return rows.select("family", F.round("tail", 12).alias("tail"), r9(F.element_at("v", rank(F.col("tail"))), "lower"), r9(F.element_at("v", rank(1 - F.col("tail"))), "upper"))

@@ -178,10 +178,10 @@ def fi05(spark, d):
     return X.paired_rows(spark, d).where("item_id % 7 <> 0 and split = 'TRAIN'").select("split", "item_id", "label")
 
 
-_BETA_SQL = "CASE WHEN min(cat_score) <= 0 OR max(cat_score) >= 1 THEN 'endpoint' WHEN min(label) = max(label) THEN 'single class' WHEN count(DISTINCT cat_score) < 3 THEN 'too few scores' WHEN max(CASE WHEN label = 0 THEN cat_score END) < min(CASE WHEN label = 1 THEN cat_score END) OR max(CASE WHEN label = 1 THEN cat_score END) < min(CASE WHEN label = 0 THEN cat_score END) THEN 'separated' ELSE 'eligible' END"
+BETA_SQL = "CASE WHEN min(cat_score) <= 0 OR max(cat_score) >= 1 THEN 'endpoint' WHEN min(label) = max(label) THEN 'single class' WHEN count(DISTINCT cat_score) < 3 THEN 'too few scores' WHEN max(CASE WHEN label = 0 THEN cat_score END) < min(CASE WHEN label = 1 THEN cat_score END) OR max(CASE WHEN label = 1 THEN cat_score END) < min(CASE WHEN label = 0 THEN cat_score END) THEN 'separated' ELSE 'eligible' END"
 
 
-@query("fi06_beta_fit_eligibility", f"WITH {X.F3} SELECT cluster_id, {_BETA_SQL} AS state FROM f3 GROUP BY cluster_id")
+@query("fi06_beta_fit_eligibility", f"WITH {X.F3} SELECT cluster_id, {BETA_SQL} AS state FROM f3 GROUP BY cluster_id")
 def fi06(spark, d):
     from ..operators.calibration import beta_eligibility
 
