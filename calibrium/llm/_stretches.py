@@ -11,8 +11,8 @@ import numpy as np
 
 from ._kernels import U64, mix
 
-#: Rows of the table of intervals that are worked on together.
-ROWS = 256
+#: Cells of the table of intervals that are worked on together, a bound on memory.
+CELLS = 1 << 18
 
 
 def member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -146,8 +146,9 @@ def chains(first: np.ndarray, length: np.ndarray, other: np.ndarray, a: np.ndarr
     of shingles, and shorter ones where these fall short. None lies in another.
     """
     pair, out, reached = Pair(first, length, other, a, b), [], -1
-    for lo in range(0, len(first), ROWS):
-        hi = min(len(first), lo + ROWS)
+    hi = 0
+    while hi < len(first):
+        lo, hi = hi, min(len(first), hi + max(1, CELLS // (len(first) - hi)))
         later, wide_b, shared, from_a, to_a = pair.table(lo, hi)
         wide_a = to_a - from_a
         both = np.minimum(shared, np.minimum(wide_a, wide_b))
