@@ -13,10 +13,10 @@ members outside their centre's component. One that was compared with the centre
 can be linked only to a member that shares more than 0.46 of its own
 differences from that centre (see `rest_of_differences`), so an index of such differences,
 rarest first, gives its candidates; it stays small in a large group of copies
-where nearly all pairs are almost similar. In a bucket of few members
-(`DIRECT`) those the sketch told from the centre are compared with the members of
-other components directly; in a larger one, such as that of a template many
-documents share, they go by their differences from the centre too. Together
+where nearly all pairs are almost similar. Where the sketch told few
+members of a bucket from its centre (`DIRECT`), these are compared with the
+members of other components directly; where it told more, as in a template many
+documents share, all go by their differences from the centre. Together
 that finds the components that all pairs of all buckets would give, and no
 bucket is ever paired with itself.
 
@@ -41,7 +41,7 @@ from ._shared import Tables, components, small_batches
 BANDS, ROWS = 25, 5
 #: Samples folded into a sketch (those of the bands among them), and its bits.
 SAMPLES, SKETCH_BITS = 375, 2048
-#: Members of a bucket that may meet directly: so many rows a member at most.
+#: Members told from a bucket's centre that may meet the others directly: so many rows a member at most.
 DIRECT = 64
 SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
 
@@ -209,10 +209,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = state.where("own <> main").select("bucket").distinct()
     state = tables.cut(state.join(mixed, "bucket").join(told, ["center", "rep"], "left").withColumn("told", F.coalesce("told", F.lit(False))))
 
-    wide = state.groupBy("bucket").agg(F.count("*").alias("members")).where(F.col("members") > DIRECT).select("bucket", F.lit(True).alias("wide"))
+    wide = state.where("own <> main and not told").groupBy("bucket").agg(F.count("*").alias("apart")).where(F.col("apart") > DIRECT).select("bucket", F.lit(True).alias("wide"))
     state = tables.cut(state.join(wide, "bucket", "left").withColumn("wide", F.coalesce("wide", F.lit(False))))
 
-    # By their shared differences from the centre: those compared with it, and all of a large bucket.
+    # By their shared differences from the centre: those compared with it, and all of a wide bucket.
     far = tables.cut(state.where("own <> main and (told or wide)").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct())
     around = pairs.union(state.where("wide and rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b"))).distinct().join(far.select("a").distinct(), "a")
     differ_by = tables.cut(anchored(around.withColumn("info", F.lit(0)), to_text, _differences(shingle), "a long, b long, e array<long>"))
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_difference = x.join(y, ["a", "e"]).where((F.col("x_own") != F.col("y_own")) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     by_difference = by_difference.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b")
 
-    # One of them the sketch told from the centre, in a small bucket: directly.
+    # One of them the sketch told from the centre, where those are few: directly.
     x = state.where("own <> main and not wide").select("bucket", F.col("told").alias("x_told"), F.col("rep").alias("b"), F.col("own").alias("b_own")).join(side("b"), "b")
     y = state.where("rep <> center and not wide").select("bucket", F.col("told").alias("y_told"), F.col("rep").alias("a"), F.col("own").alias("a_own"), "main").join(side("a"), "a")
     more = x.join(y, (x.bucket == y.bucket) & ~(F.col("x_told") & F.col("y_told")) & (F.col("a_own") != F.col("b_own")) & ((F.col("a_own") == F.col("main")) | (F.col("a") < F.col("b"))) & alike)
