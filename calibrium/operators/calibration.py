@@ -157,7 +157,7 @@ def solve_isotonic(score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np
 FACES = {"A0_B0": (False, False), "A0": (False, True), "B0": (True, False), "INTERIOR": (True, True)}
 
 
-def solve_beta(score: np.ndarray, label: np.ndarray, strength: float = 0.0) -> dict[str, float | str]:
+def solve_beta(score: np.ndarray, label: np.ndarray, strength: float = 0.0, start: np.ndarray | None = None) -> dict[str, float | str]:
     """Slopes a, b >= 0 on (ln s, -ln(1 - s)) and an intercept: the best of four faces by damped Newton."""
     f = np.column_stack((np.log(score), -np.log1p(-score), np.ones_like(score)))
     sign = np.where(label == 1, -1.0, 1.0)
@@ -169,7 +169,7 @@ def solve_beta(score: np.ndarray, label: np.ndarray, strength: float = 0.0) -> d
     best: tuple[float, str, np.ndarray, float] | None = None
     for face, free in FACES.items():
         on = np.array([*free, True])
-        v = np.zeros(3)
+        v = np.zeros(3) if start is None else np.where(on, start, 0.0)
         for _ in range(ITERATIONS):
             g = gradient(v)
             if np.abs(g[on]).max() <= KKT / 10:

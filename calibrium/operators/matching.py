@@ -43,3 +43,24 @@ def select_profile(evaluations: DataFrame, profiles: DataFrame, key: str, bindin
 def violations_of_dependency(rows: DataFrame, of: str, on: str) -> DataFrame:
     """Values of `of` that come with several values of `on`; must be empty."""
     return rows.groupBy(of).agg(F.min(on).alias("lo"), F.max(on).alias("hi")).where("lo <> hi")
+
+
+def linkage(results: DataFrame, traces: DataFrame, key: str) -> DataFrame:
+    """`results` with `state`: linked, no trace (a dangling id), or no trace id."""
+    known = traces.select(key).distinct().withColumn("_known", F.lit(True))
+    state = F.when(F.col(key).isNull(), "no trace id").when(F.col("_known"), "linked").otherwise("no trace")
+    return results.join(known, key, "left").withColumn("state", state).drop("_known")
+
+
+def nestedness(small: DataFrame, large: DataFrame, key: str) -> DataFrame:
+    """One row (not_nested, n): keys of `small`, and those that `large` has not."""
+    has = large.select(key).distinct().withColumn("_in", F.lit(True))
+    return small.join(has, key, "left").agg(F.count_if(F.col("_in").isNull()).alias("not_nested"), F.count("*").alias("n"))
+
+
+def merged(panels: list[DataFrame], key: str) -> DataFrame:
+    """(key, copies) of the union of panels; they are disjoint if no key has two copies."""
+    out = panels[0].select(key)
+    for p in panels[1:]:
+        out = out.unionByName(p.select(key))
+    return out.groupBy(key).agg(F.count("*").alias("copies"))

@@ -50,6 +50,13 @@ def solve(rows: list[tuple[Decimal, int, int]], strength: Decimal, start: tuple[
         raise ArithmeticError("the objective gap was not reached")
 
 
+def objective(rows: list[tuple[Decimal, int, int]], strength: Decimal, a: Decimal, b: Decimal) -> Decimal:
+    """The mean loss with its penalty at (a, b)."""
+    with decimal.localcontext(decimal.Context(prec=DIGITS)):
+        total = sum(c * ((1 + (-abs(z := a * x + b)).exp()).ln() + max(-z if y else z, Decimal(0))) for x, y, c in rows)
+        return total / sum(c for *_, c in rows) + strength / 2 * (a * a + b * b)
+
+
 def reference_fit(rows: DataFrame, x: str, y: str, n: str, strength: str, start: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """(slope, intercept, gap) of one training set, given as distinct scores with counts.
 

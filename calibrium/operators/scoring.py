@@ -62,3 +62,17 @@ def coherent_taxonomies(binding: Column, binding_version: Column, truth: Column,
     """Whether two declared taxonomies can both be true: what is unknown contradicts nothing."""
     same_version = binding_version.isNull() | truth_version.isNull() | (binding_version == truth_version)
     return binding.isNull() | truth.isNull() | ((binding == truth) & same_version)
+
+
+def first_violation(rules: list[tuple[str, str]]) -> Column:
+    """Name of the first rule (name, SQL condition) a row breaks, or `ok`."""
+    out = None
+    for name, broken in rules:
+        out = F.when(F.expr(broken), name) if out is None else out.when(F.expr(broken), name)
+    return out.otherwise("ok")
+
+
+def coherent_calibration(calibrated: Column, predicted: Column, profile: Column) -> Column:
+    """Whether a result is calibrated exactly where it has both a prediction and its profile, and else has neither."""
+    both = predicted.isNotNull() & profile.isNotNull()
+    return (calibrated == both) & (predicted.isNotNull() == profile.isNotNull())

@@ -8,6 +8,7 @@ from .. import fixtures as X
 from ..functions import numeric as N
 from ..operators import calibration as C
 from ..operators import metrics as M
+from ..operators.panel import contrasts
 from ..operators import reference as R
 from . import query
 from .aggregates import eligible
@@ -195,10 +196,15 @@ def ap02(spark, d):
     return eligible(spark, d).select(digest(F.concat(F.lit("row"), F.col("item_id").cast("string"))).alias("fp"), "correct", r9(N.sigmoid(PROFILE[0] * F.col("selected_p") + PROFILE[1]), "q"))
 
 
-@query("ap03_apply_to_runtime", f"WITH {X.F2} SELECT item_id, CASE WHEN item_id % 9 = 0 THEN 'already calibrated' ELSE 'calibrated' END AS state, CASE WHEN item_id % 9 <> 0 THEN round(1 / (1 + exp(-(2.5 * selected_p - 0.75))), 9) END AS predicted FROM o2")
+@query("ap03_apply_to_runtime", f"WITH {X.F2}, r AS (SELECT o2.item_id, selected_p, coalesce(toxic = 1, false) AS done, correct IS NULL AS unknown FROM o2 LEFT JOIN labels l ON l.doc_id = o2.item_id) SELECT item_id, CASE WHEN done THEN 'already calibrated' ELSE 'calibrated' END AS state, CASE WHEN NOT done THEN round(1 / (1 + exp(-(2.5 * selected_p - 0.75))), 9) END AS predicted, CASE WHEN NOT done THEN sha256('trace' || item_id) END AS trace FROM r")
 def ap03(spark, d):
-    done = F.col("item_id") % 9 == 0
-    return X.bool_observations(spark, d).select("item_id", F.when(done, "already calibrated").otherwise("calibrated").alias("state"), F.when(~done, F.round(N.sigmoid(PROFILE[0] * F.col("selected_p") + PROFILE[1]), 9)).alias("predicted"))
+    """Evaluations that carry a prediction already (the toxic ones) are refused; the others get one, and their trace's digest."""
+    from ..functions.identity import digest
+
+    marks = X.table(spark, d, "labels").select(F.col("doc_id").alias("item_id"), (F.col("toxic") == 1).alias("done"))
+    o = X.bool_observations(spark, d).join(marks, "item_id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    new = lambda c: F.when(~F.col("done"), c)
+    return o.select("item_id", F.when(F.col("done"), "already calibrated").otherwise("calibrated").alias("state"), new(F.round(N.sigmoid(PROFILE[0] * F.col("selected_p") + PROFILE[1]), 9)).alias("predicted"), new(digest(F.concat(F.lit("trace"), F.col("item_id").cast("string")))).alias("trace"))
 
 
 #: Fixed knots of an isotonic map.
@@ -326,3 +332,59 @@ def cp17(spark, d):
 @query("cp20_oracle_risks", W3 + " SELECT stratum, round(avg((cat_score - label) * (cat_score - label)), 9) AS cat, round(avg((ovr_score - label) * (ovr_score - label)), 9) AS ovr FROM f3 GROUP BY stratum")
 def cp20(spark, d):
     return M.risks(X.paired_rows(spark, d), "label", {"cat": "cat_score", "ovr": "ovr_score"}, ["stratum"]).select("stratum", r9("cat", "cat"), r9("ovr", "ovr"))
+
+
+#: Losses on TEST of the four procedures (feature x strength), fitted on the same score, and on the other one.
+FOUR = PANEL + """, q AS (SELECT f3.stratum, sol.feature, sol.s, avg(pow(1 / (1 + exp(-(sol.a * CASE sol.feature WHEN 'p' THEN ovr_score ELSE ln(ovr_score / (1 - ovr_score)) END + sol.b))) - label, 2)) AS loss, sol.measurement FROM f3 JOIN sol ON sol.stratum = f3.stratum WHERE split = 'TEST' GROUP BY ALL),
+four AS (SELECT n.stratum, n.feature, n.s, n.loss AS native, c.loss AS crossed, (SELECT avg(pow(ovr_score - label, 2)) FROM f3 WHERE f3.stratum = n.stratum AND split = 'TEST') AS raw FROM q n JOIN q c ON n.stratum = c.stratum AND n.feature = c.feature AND n.s = c.s AND n.measurement = 'ovr' AND c.measurement = 'cat')"""
+
+
+def four_procedures(spark, d):
+    """(stratum, feature, strength, native, crossed, raw): mean losses on TEST of each procedure."""
+    score = F.col("ovr_score")
+    rows = X.paired_rows(spark, d).where("split = 'TEST'").select("stratum", "ovr_score", "label")
+    x = F.when(F.col("feature") == "p", score).otherwise(N.logit(score))
+    q = rows.join(panel(spark, d), "stratum").withColumn("loss", N.brier(N.sigmoid(F.col("slope") * x + F.col("intercept")), F.col("label")))
+    means = q.groupBy("stratum", "feature", "strength").agg(F.avg(F.when(F.col("measurement") == "ovr", F.col("loss"))).alias("native"), F.avg(F.when(F.col("measurement") == "cat", F.col("loss"))).alias("crossed"))
+    return means.join(rows.groupBy("stratum").agg(F.avg(N.brier(score, F.col("label"))).alias("raw")), "stratum")
+
+
+@query("ag15_factorial_contrasts", FOUR + " SELECT stratum, round(avg(native) FILTER (feature = 'logit') - avg(native) FILTER (feature = 'p'), 6) AS feature, round(avg(native) FILTER (s < 0.001) - avg(native) FILTER (s > 0.001), 6) AS strength, round(sum(native * CASE WHEN (feature = 'logit') = (s < 0.001) THEN 1 ELSE -1 END), 6) AS interaction FROM four GROUP BY stratum")
+def ag15(spark, d):
+    """Of the four fitted procedures' native losses."""
+    cell = lambda f, low: F.when((F.col("feature") == f) & ((F.col("strength") < 1e-3) == F.lit(low)), F.col("native"))
+    out = contrasts(four_procedures(spark, d), "stratum", {"p_lo": cell("p", True), "p_hi": cell("p", False), "logit_lo": cell("logit", True), "logit_hi": cell("logit", False)})
+    return out.select("stratum", *[F.round(c, 6).alias(c) for c in ("feature", "strength", "interaction")])
+
+
+_CORE4 = FOUR + ", core AS (SELECT stratum, avg(crossed - native) AS penalty, avg(crossed - raw) AS delta, count(*) = 4 AS complete FROM four GROUP BY stratum)"
+
+
+def core_four(spark, d):
+    """Mean transport penalty and deployment delta over exactly four procedures; incomplete with fewer."""
+    return four_procedures(spark, d).groupBy("stratum").agg(F.avg(F.col("crossed") - F.col("native")).alias("penalty"), F.avg(F.col("crossed") - F.col("raw")).alias("delta"), (F.count("*") == 4).alias("complete"))
+
+
+@query("pr04_core_penalty", _CORE4 + " SELECT stratum, round(penalty, 6) AS penalty, round(delta, 6) AS delta, complete FROM core")
+def pr04(spark, d):
+    return core_four(spark, d).select("stratum", r6("penalty", "penalty"), r6("delta", "delta"), "complete")
+
+
+@query("cp19_study", _CORE4 + """, b(block, name, value) AS (SELECT 'risk', stratum || '/' || feature || '/' || CAST(s AS VARCHAR), round(native, 6) FROM four
+UNION ALL SELECT 'deploy', stratum || '/' || feature || '/' || CAST(s AS VARCHAR), round(crossed - raw, 6) FROM four
+UNION ALL SELECT 'core', stratum, round(penalty, 6) FROM core
+UNION ALL SELECT 'fit', stratum || '/' || measurement, round(max(a) - min(a), 5) FROM sol GROUP BY stratum, measurement
+UNION ALL SELECT 'rank', 'penalty and raw', round(corr(x, y), 6) FROM (SELECT rank() OVER (ORDER BY penalty) AS x, rank() OVER (ORDER BY raw) AS y FROM core JOIN (SELECT DISTINCT stratum, raw FROM four) USING (stratum))) SELECT * FROM b""")
+def cp19(spark, d):
+    """The study's blocks one after the other on one table of fits and losses, in long form."""
+    from ..operators import sampling as S
+
+    four, fits = four_procedures(spark, d).persist(), panel(spark, d)
+    cell = F.concat_ws("/", "stratum", "feature", F.when(F.col("strength") < 1e-3, "0.0001").otherwise("0.01"))
+    core = four.groupBy("stratum").agg(F.avg(F.col("crossed") - F.col("native")).alias("penalty"), F.first("raw").alias("raw"))
+    ranks = S.mid_ranks(S.mid_ranks(core.withColumn("g", F.lit(1)), ["g"], "penalty", "x"), ["g"], "raw", "y")
+    out = four.select(F.lit("risk").alias("block"), cell.alias("name"), r6("native", "value"))
+    out = out.unionByName(four.select(F.lit("deploy").alias("block"), cell.alias("name"), r6(F.col("crossed") - F.col("raw"), "value")))
+    out = out.unionByName(core.select(F.lit("core").alias("block"), F.col("stratum").alias("name"), r6("penalty", "value")))
+    out = out.unionByName(fits.groupBy("stratum", "measurement").agg(F.round(F.max("slope") - F.min("slope"), 5).alias("value")).select(F.lit("fit").alias("block"), F.concat_ws("/", "stratum", "measurement").alias("name"), "value"))
+    return out.unionByName(ranks.agg(r6(N.safe_correlation(F.col("x"), F.col("y")), "value")).select(F.lit("rank").alias("block"), F.lit("penalty and raw").alias("name"), "value"))

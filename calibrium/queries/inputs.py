@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import io
 import tarfile
-import tempfile
-from pathlib import Path
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -18,10 +17,12 @@ from .scalars import r9
 
 
 def _folder(spark) -> str:
-    """A folder that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.gettempdir()
-    import uuid
-
+    """A new folder that driver and executors share; a machine's own only where that is all there is."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        base = "file:///tmp/calibrium"
     return f"{base.rstrip('/')}/calibrium-io-{uuid.uuid4().hex}"
 
 
@@ -88,48 +89,58 @@ def io07(spark, d):
     return strict_json.checked(rows, "text").select("depth", F.col("reason").isNull().alias("allowed"))
 
 
-def _profiles():
-    return [{"version": v, "slope": a, "intercept": b, "language": lang} for _, v, lang, a, b in X.PROFILES]
-
+#: Canonical text of a nation's artefact in SQL.
+_ARTEFACT = """'{"domain":' || n_regionkey || ',"name":"' || n_name || '","v":1}'"""
 
-@query("io08_store_put", "SELECT CAST(12 AS BIGINT) AS stored, CAST(12 AS BIGINT) AS again")
-def io08(spark, d):
-    s = store.DirectoryStore(tempfile.mkdtemp())
-    first, second = [{s.put(p) for p in _profiles()} for _ in range(2)]
-    return spark.createDataFrame([(len(first), len(first & second))], "stored long, again long")
 
+def _artefacts(spark, d):
+    """Small artefacts, one of every nation: a driver's number of them."""
+    return {r.n_nationkey: {"v": 1, "name": r.n_name, "domain": int(r.n_regionkey)} for r in X.table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()}
 
-@query("io09_store_get", "SELECT 'read' AS whole, 'its content has another fingerprint' AS damaged, 'absent' AS missing")
-def io09(spark, d):
-    s = store.DirectoryStore(tempfile.mkdtemp())
-    fp = s.put(_profiles()[0])
-    whole = "read" if s.get(fp) == _profiles()[0] else "other"
-    Path(s.path(fp, 1)).write_text('{"version":9}')
-
-    def told(f: str) -> str:
-        try:
-            s.get(f)
-        except store.StoreError as e:
-            return str(e).partition(": ")[2]
-        return "read"
 
-    return spark.createDataFrame([(whole, told(fp), told("0" * 64))], "whole string, damaged string, missing string")
+@query("io08_store_put", f"SELECT n_nationkey, sha256({_ARTEFACT}) AS fp, true AS again, substr(sha256({_ARTEFACT}), 1, 2) AS shard FROM nation")
+def io08(spark, d):
+    s = store.ArtefactStore(spark, _folder(spark))
+    rows = [(k, s.put(a), s.put(dict(reversed(a.items())))) for k, a in _artefacts(spark, d).items()]
+    shards = set(s.files.names(f"{s.folder}/v1"))
+    return spark.createDataFrame([(k, fp, fp == other, next(x for x in shards if fp.startswith(x))) for k, fp, other in rows], "n_nationkey long, fp string, again boolean, shard string")
 
 
-@query("io10_catalog_store", "SELECT CAST(12 AS BIGINT) AS members, true AS same")
+@query("io09_store_get", f"SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN NULL ELSE n_name END AS name, CASE n_regionkey WHEN 0 THEN 'its content has another fingerprint' WHEN 1 THEN 'read' ELSE 'read' END AS state FROM nation UNION ALL SELECT -1, NULL, 'absent'")
+def io09(spark, d):
+    """Every artefact read back; those of the first region are changed behind the store's back."""
+    s = store.ArtefactStore(spark, _folder(spark))
+    out = []
+    for k, a in _artefacts(spark, d).items():
+        fp = s.put(a)
+        if a["domain"] == 0:
+            s.files.publish(s.path(fp), '{"v":1,"name":"other","domain":0}')
+        state = s.told(fp)
+        out.append((k, s.get(fp)["name"] if state == "read" else None, state))
+    return spark.createDataFrame([*out, (-1, None, s.told("0" * 64))], "n_nationkey long, name string, state string")
+
+
+@query("io10_catalog_store", f"SELECT r_regionkey, sha256('{{\"members\":[' || string_agg('\"' || sha256({_ARTEFACT}) || '\"', ',' ORDER BY sha256({_ARTEFACT})) || '],\"v\":1}}') AS fp, count(*) AS members FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey")
 def io10(spark, d):
-    s = store.DirectoryStore(tempfile.mkdtemp())
-    catalog = {"v": 1, "members": sorted(store.fingerprint(p) for p in _profiles())}
-    got = s.get(s.put(catalog))
-    return spark.createDataFrame([(len(got["members"]), got == catalog)], "members long, same boolean")
+    """A snapshot of each region's artefacts, stored and read back."""
+    s = store.ArtefactStore(spark, _folder(spark))
+    by: dict[int, list[str]] = {}
+    for a in _artefacts(spark, d).values():
+        by.setdefault(a["domain"], []).append(store.fingerprint(a))
+    fps = {r: s.put({"v": 1, "members": sorted(m)}) for r, m in by.items()}
+    return spark.createDataFrame([(r, fp, len(s.get(fp)["members"])) for r, fp in fps.items()], "r_regionkey long, fp string, members long")
 
 
-@query("io11_publish_atomically", "SELECT 'second' AS content, CAST(1 AS BIGINT) AS files")
+@query("io11_publish_atomically", "SELECT r_regionkey, r_name AS content, CAST((SELECT count(*) FROM region) AS BIGINT) AS files FROM region")
 def io11(spark, d):
-    folder = Path(tempfile.mkdtemp())
-    for text in ("first", "second"):
-        store.publish(folder / "a.txt", text)
-    return spark.createDataFrame([((folder / "a.txt").read_text(), len(list(folder.iterdir())))], "content string, files long")
+    """Each region's text published over an older one; no file of an attempt is left."""
+    files, folder = store.Files(spark), _folder(spark)
+    regions = X.table(spark, d, "region").select("r_regionkey", "r_name").collect()
+    for text in ("older", None):
+        for r in regions:
+            files.publish(f"{folder}/{r.r_regionkey}.txt", text or r.r_name)
+    n = len([x for x in files.names(folder) if not x.startswith(".") or x.startswith(".new-")])
+    return spark.createDataFrame([(r.r_regionkey, files.read(f"{folder}/{r.r_regionkey}.txt"), n) for r in regions], "r_regionkey long, content string, files long")
 
 
 @query("io12_commit_rows", "SELECT count(*) AS n FROM (SELECT DISTINCT event_id FROM events)")
@@ -137,7 +148,7 @@ def io12(spark, d):
     path = _folder(spark)
     n = 0
     for _ in range(2):  # the second run finds all rows committed
-        n = resume.commit_stream(spark, f"{d}/events.parquet" if Path(f"{d}/events.parquet").is_dir() else _copied(spark, d, path), "event_id long, event_type string", f"{path}/out", f"{path}/state", "event_id")
+        n = resume.commit_stream(spark, _copied(spark, d, path), "event_id long, event_type string", f"{path}/out", f"{path}/state", "event_id")
     return spark.createDataFrame([(n,)], "n long")
 
 
@@ -152,42 +163,64 @@ def io13(spark, d):
     return resume.repeated(X.table(spark, d, "conversations"), "conv_id").select("conv_id", F.col("count").alias("n"))
 
 
-@query("io14_profile_text", "SELECT CAST(12 AS BIGINT) AS n, true AS same")
+@query("io14_profile_text", f"SELECT n_nationkey, {_ARTEFACT} AS text, sha256({_ARTEFACT}) AS fp, 'not JSON' AS cut FROM nation")
 def io14(spark, d):
+    """Artefacts to canonical text and back, and the text without its end refused."""
     from ..functions.identity import canonical_json
 
-    texts = [canonical_json(p) for p in _profiles()]
-    return spark.createDataFrame([(len(texts), all(canonical_json(strict_json.parse(t)) == t for t in texts))], "n long, same boolean")
+    texts = {k: canonical_json(a) for k, a in _artefacts(spark, d).items()}
+    return spark.createDataFrame([(k, canonical_json(strict_json.parse(t)), store.fingerprint(strict_json.parse(t)), strict_json.reason(t[:-1])) for k, t in texts.items()], "n_nationkey long, text string, fp string, cut string")
 
 
-@query("io15_catalog_text", "SELECT true AS same, true AS refused")
+@query("io15_catalog_text", f"SELECT r_regionkey, '{{\"members\":[' || string_agg('\"' || sha256({_ARTEFACT}) || '\"', ',' ORDER BY sha256({_ARTEFACT})) || '],\"v\":1}}' AS text, 'repeated key' AS doubled FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey")
 def io15(spark, d):
     from ..functions.identity import canonical_json
 
-    text = canonical_json({"v": 1, "members": [store.fingerprint(p) for p in _profiles()]})
-    return spark.createDataFrame([(canonical_json(strict_json.parse(text)) == text, strict_json.reason(text[:-1]) is not None)], "same boolean, refused boolean")
+    by: dict[int, list[str]] = {}
+    for a in _artefacts(spark, d).values():
+        by.setdefault(a["domain"], []).append(store.fingerprint(a))
+    texts = {r: canonical_json({"v": 1, "members": sorted(m)}) for r, m in by.items()}
+    return spark.createDataFrame([(r, canonical_json(strict_json.parse(t)), strict_json.reason('{"v":1,' + t[1:])) for r, t in texts.items()], "r_regionkey long, text string, doubled string")
 
 
-@query("io16_evidence_file", f"WITH {X.S1} SELECT count(*) AS n, count(*) FILTER (winner IS NULL) AS invalid FROM s1")
+@query("io16_evidence_file", f"""WITH {X.S1} SELECT item_id, CASE WHEN truth IS NULL THEN 'no truth' WHEN status = 'TAXONOMY_MISS' THEN 'truth is no candidate' WHEN selected_p < 0.2 THEN 'nearly even' ELSE 'ok' END AS verdict, sha256('{{"item":' || item_id || ',"v":1,"winner":"' || winner || '"}}') AS seal FROM s1""")
 def io16(spark, d):
+    """Evidence written with a seal a row, read back, its seals recomputed and its rows judged."""
+    from ..functions import identity as I
+    from ..operators.scoring import first_violation
     from .scoring import observed
 
+    seal = lambda: I.digest(I.record_text({"item": F.col("item_id"), "winner": I.quoted(F.col("winner")), "v": F.lit(1)}))
     path = _folder(spark)
-    observed(spark, d).select("item_id", "winner", "status").write.json(path)
-    return readers.read_json_lines(spark, path, "item_id long, winner string, status string").agg(F.count("*").alias("n"), F.count_if(F.col("winner").isNull()).alias("invalid"))
+    observed(spark, d).select("item_id", "winner", "status", "truth", "selected_p", seal().alias("seal")).write.json(path)
+    back = readers.read_json_lines(spark, path, "item_id long, winner string, status string, truth string, selected_p double, seal string").withColumn("own", seal())
+    rules = [("broken seal", "seal <> own"), ("no truth", "truth is null"), ("truth is no candidate", "status = 'TAXONOMY_MISS'"), ("nearly even", "selected_p < 0.2")]
+    return back.select("item_id", first_violation(rules).alias("verdict"), "seal")
 
 
-@query("io17_evidence_source", f"WITH {X.F1} SELECT item_id, round(v[1], 9) AS first_logit FROM f1")
+@query("io17_evidence_source", f"WITH {X.F1} SELECT item_id, sha256('plan' || item_id % 8) AS plan_fp, round(v[1 + item_id % 8], 9) AS first_logit, round(v[1 + (item_id + 7) % 8], 9) AS last_logit FROM f1")
 def io17(spark, d):
-    """The boundary where a model's forward pass would be: its logits as a table."""
-    return X.choice_evidence(spark, d).select("item_id", r9(F.get("values", F.lit(0)), "first_logit"))
+    """The boundary where a model's forward pass would be: a plan asks for labels in its own order, a table of logits answers."""
+    from ..functions import identity as I
+    from ..sources.evidence import answer
+
+    logits = X.choice_evidence(spark, d).select("item_id", F.map_from_arrays("labels", "values").alias("logits"))
+    turn = (F.col("item_id") % 8).cast("int")
+    order = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.get(F.array(*map(F.lit, X.LABELS)), F.pmod(k + turn, F.lit(8)).cast("int")))
+    plans = X.choice_evidence(spark, d).select("item_id", order.alias("labels"), I.digest(F.concat(F.lit("plan"), turn.cast("string"))).alias("plan_fp"))
+    e = answer(plans, logits, "item_id")
+    return e.select("item_id", "plan_fp", r9(F.get("values", F.lit(0)), "first_logit"), r9(F.element_at("values", -1), "last_logit"))
 
 
-@query("io18_checkpoint_blocks", f"WITH {X.F3} SELECT split, count(*) AS n, round(avg(cat_score), 9) AS mean FROM f3 GROUP BY split")
+@query("io18_checkpoint_blocks", f"WITH {X.F3} SELECT CAST(item_id % 8 AS VARCHAR) AS block, CASE WHEN item_id % 8 < 3 THEN 1 ELSE 2 END AS run, count(*) AS n, round(avg(cat_score), 9) AS mean FROM f3 GROUP BY ALL")
 def io18(spark, d):
-    path = _folder(spark)
-    X.paired_rows(spark, d).select("split", "cat_score").write.partitionBy("split").parquet(path)
-    return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"), r9(F.avg("cat_score"), "mean"))
+    """Eight blocks, of which a first run does three; the second goes on with the others."""
+    from ..streaming.blocks import BlockStore
+
+    rows, done = X.paired_rows(spark, d), BlockStore(spark, _folder(spark))
+    for run, blocks in ((1, range(3)), (2, range(8))):
+        done.run(map(str, blocks), lambda b, run=run: rows.where(F.col("item_id") % 8 == int(b)).agg(F.lit(b).alias("block"), F.lit(run).alias("run"), F.count("*").alias("n"), r9(F.avg("cat_score"), "mean")))
+    return done.rows()
 
 
 @query("ext_stream_windows")

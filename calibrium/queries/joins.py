@@ -38,11 +38,11 @@ def jo03(spark, d):
     return J.completeness(docs.where("doc_id % 11 <> 0").select("doc_id"), docs.where("doc_id % 7 <> 0"), "doc_id", [("short", "n_chars < 100"), ("long", "n_chars > 9000")])
 
 
-@query("jo04_trace_linkage", "SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'no trace id' ELSE 'linked' END AS state FROM conversations")
+@query("jo04_trace_linkage", "SELECT d.doc_id, CASE WHEN d.text IS NULL OR d.n_chars < 200 THEN 'no trace id' WHEN l.doc_id IS NULL THEN 'no trace' ELSE 'linked' END AS state FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def jo04(spark, d):
-    c = X.table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 != 2, F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).alias("trace_id"))
-    t = c.select("trace_id").where("trace_id is not null").distinct().withColumn("_t", F.lit(True))
-    return c.join(t, "trace_id", "left").select("conv_id", "turn", F.when(F.col("trace_id").isNull(), "no trace id").when(F.col("_t"), "linked").otherwise("no trace").alias("state"))
+    """Results are documents, their traces the labels, which most have not; very short ones carry no trace id."""
+    results = X.table(spark, d, "documents").select("doc_id", F.when(F.col("text").isNotNull() & (F.col("n_chars") >= 200), F.col("doc_id")).alias("trace_id"))
+    return J.linkage(results, X.table(spark, d, "labels").select(F.col("doc_id").alias("trace_id")), "trace_id").select("doc_id", "state")
 
 
 @query("jo05_plan_lineage", "SELECT o_orderkey, o_orderkey % 40 = 0 AS mismatch FROM orders")
@@ -90,12 +90,18 @@ def jo10(spark, d):
     return docs.where("doc_id % 10 <> 0").join(docs.where("doc_id % 10 = 0").select("content").distinct(), "content", "left_anti").select("doc_id")
 
 
-@query("jo11_nestedness", W3 + " SELECT count(*) FILTER (item_id % 40 = 0 AND item_id % 20 <> 0) AS not_nested, count(*) FILTER (item_id % 40 = 0) AS n FROM f3")
+_RANKED = W3 + ", k AS (SELECT item_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY sha256('n' || item_id)) AS r, row_number() OVER (PARTITION BY stratum ORDER BY sha256('other' || item_id)) AS o FROM f3 WHERE split = 'TRAIN')"
+
+
+@query("jo11_nestedness", _RANKED + " SELECT pair, count(*) FILTER (small AND NOT large) AS not_nested, count(*) FILTER (small) AS n FROM (SELECT 'by one rank' AS pair, r <= 10 AS small, r <= 20 AS large FROM k UNION ALL SELECT 'by two ranks', r <= 10, o <= 20 FROM k) GROUP BY pair")
 def jo11(spark, d):
-    p = _paired(spark, d).select("item_id")
-    small, large = p.where("item_id % 40 = 0"), p.where("item_id % 20 = 0")
-    missing = small.join(large, "item_id", "left_anti").agg(F.count("*").alias("not_nested"))
-    return missing.crossJoin(F.broadcast(small.agg(F.count("*").alias("n"))))
+    """A selection by rank lies in a larger one by the same rank, and hardly in one by another."""
+    p = _paired(spark, d).where("split = 'TRAIN'")
+    rank = lambda name: F.row_number().over(Window.partitionBy("stratum").orderBy(I.digest(F.concat(F.lit(name), F.col("item_id").cast("string")))))
+    k = p.select("item_id", rank("n").alias("r"), rank("other").alias("o"))
+    small = k.where("r <= 10").select("item_id")
+    one = lambda large, pair: J.nestedness(small, k.where(large).select("item_id"), "item_id").select(F.lit(pair).alias("pair"), "not_nested", "n")
+    return one("r <= 20", "by one rank").unionByName(one("o <= 20", "by two ranks"))
 
 
 @query("jo12_cluster_in_one_stratum", "SELECT user_id, min(event_type) AS lo, max(event_type) AS hi FROM events GROUP BY user_id HAVING min(event_type) <> max(event_type)")
@@ -103,12 +109,21 @@ def jo12(spark, d):
     return J.violations_of_dependency(X.table(spark, d, "events"), "user_id", "event_type")
 
 
-@query("jo13_reindexed_rows", W3 + ", n AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY item_id) AS rn, count(*) OVER (PARTITION BY stratum) AS n FROM f3 WHERE split = 'TRAIN') SELECT stratum, k, item_id FROM (SELECT stratum, n, unnest(range(0, 20)) AS k FROM (SELECT DISTINCT stratum, n FROM n)) x JOIN n USING (stratum) WHERE n.rn = (k * 7) % x.n + 1")
+def _jo13_sql() -> str:
+    from .resampling import T3, _draws
+
+    return T3 + ", " + _draws("item_id", "t", reps=10) + " SELECT CAST(replicate AS INTEGER) AS replicate, t.stratum, item_id, w, round(w * raw, 9) AS raw FROM w JOIN t USING (item_id)"
+
+
+@query("jo13_reindexed_rows", _jo13_sql())
 def jo13(spark, d):
-    w = Window.partitionBy("stratum")
-    rows = _paired(spark, d).where("split = 'TRAIN'").withColumns({"rn": F.row_number().over(w.orderBy("item_id")), "n": F.count("*").over(w)})
-    draws = rows.select("stratum", "n").distinct().select("stratum", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"), "n").select("stratum", F.col("k").cast("bigint").alias("k"), ((F.col("k") * 7) % F.col("n") + 1).alias("rn"))
-    return draws.join(rows.select("stratum", "rn", "item_id"), ["stratum", "rn"]).select("stratum", "k", "item_id")
+    """The rows that ten bootstrap draws name, each as often as it was drawn."""
+    from ..operators.resampling import weights
+    from .resampling import train
+
+    t = train(spark, d)
+    drawn = weights(t, "item_id", "stratum", 10, "p").drop("stratum")
+    return drawn.join(t.select("item_id", "stratum", "raw"), "item_id").select("replicate", "stratum", "item_id", "w", r9(F.col("w") * F.col("raw"), "raw"))
 
 
 _PJ = W7 + " SELECT d.doc_id, f7.profile_fp, round(1 / (1 + exp(-(slope * 0.5 + intercept))), 9) AS q FROM documents d JOIN f7 USING (lang)"
@@ -160,10 +175,16 @@ def so02(spark, d):
     return a.exceptAll(b).select("k", F.lit("missing").alias("side")).unionByName(b.exceptAll(a).select("k", F.lit("extra").alias("side")))
 
 
-@query("so03_key_union", W1 + " SELECT item_id, 9 AS n FROM f1")
+_LIKELY = W4 + ", k AS (SELECT item_id, rotation, list_filter(names, lambda n: p[list_position(names, n)] > 0.125) AS keys FROM f4)"
+
+
+@query("so03_key_union", _LIKELY + " SELECT a.item_id, len(list_distinct(list_concat(a.keys, b.keys))) AS n, len(list_intersect(a.keys, b.keys)) AS common FROM k a JOIN k b ON a.item_id = b.item_id AND a.rotation = 0 AND b.rotation = 1")
 def so03(spark, d):
-    e = X.choice_evidence(spark, d)
-    return e.select("item_id", F.size(F.array_union(F.slice("names", 1, 5), F.concat(F.slice("names", 4, 5), F.array(F.lit("other"))))).alias("n"))
+    """Keys of two distributions: the candidates above an even share under two rotations."""
+    f4 = X.perturbed_records(spark, d)
+    keys = F.transform(F.filter(F.arrays_zip("names", "p"), lambda z: z["p"] > 0.125), lambda z: z["names"])
+    a, b = (f4.where(f"rotation = {r}").select("item_id", keys.alias(c)) for r, c in ((0, "a"), (1, "b")))
+    return a.join(b, "item_id").select("item_id", F.size(F.array_union("a", "b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("common"))
 
 
 @query("so04_key_intersection", W5 + " SELECT case_id, rung FROM f5 WHERE family = 'F' INTERSECT SELECT case_id, rung FROM f5 WHERE family = 'O'")
@@ -172,11 +193,14 @@ def so04(spark, d):
     return f5.where("family = 'F'").select("case_id", "rung").intersect(f5.where("family = 'O'").select("case_id", "rung"))
 
 
-@query("so05_merge_panels", W3 + " SELECT split, item_id, 1 AS copies FROM f3")
+@query("so05_merge_panels", W3 + ", m AS (SELECT 'halves' AS panels, item_id FROM f3 UNION ALL SELECT 'overlapping', item_id FROM f3 WHERE split = 'TRAIN' OR cat_score < 0.5 UNION ALL SELECT 'overlapping', item_id FROM f3 WHERE split = 'TEST') SELECT panels, count(*) AS n, count(*) FILTER (copies > 1) AS repeated FROM (SELECT panels, item_id, count(*) AS copies FROM m GROUP BY ALL) GROUP BY panels")
 def so05(spark, d):
-    p = _paired(spark, d).select("split", "item_id")
-    merged = p.where("split = 'TRAIN'").unionByName(p.where("split = 'TEST'"))
-    return merged.groupBy("split", "item_id").agg(F.count("*").cast("int").alias("copies"))
+    """Panels merge if no item is in two of them."""
+    p = _paired(spark, d).select("split", "item_id", "cat_score")
+    train_, test_ = p.where("split = 'TRAIN'"), p.where("split = 'TEST'")
+    halves, overlapping = J.merged([train_, test_], "item_id"), J.merged([p.where("split = 'TRAIN' or cat_score < 0.5"), test_], "item_id")
+    one = lambda m, name: m.agg(F.count("*").alias("n"), F.count_if(F.col("copies") > 1).alias("repeated")).select(F.lit(name).alias("panels"), "n", "repeated")
+    return one(halves, "halves").unionByName(one(overlapping, "overlapping"))
 
 
 @query("cp05_catalog_from_profiles", W7 + " SELECT profile_fp, version, CAST(row_number() OVER (ORDER BY version, profile_fp) AS INTEGER) AS place FROM f7")

@@ -184,12 +184,27 @@ def bs15(spark, d):
     return s.select("replicate", "deploy").join(s.select("replicate", "transport"), "replicate").select("replicate", r9(F.col("deploy") - F.col("transport"), "v"))
 
 
-@query("bs16_budget_robustness", T3 + ", " + _draws("item_id", "t") + " SELECT CAST(replicate AS INTEGER) AS replicate, round(sum(w * raw) / sum(w) - sum(CASE WHEN item_id % 40 = 0 THEN w * raw ELSE 0 END) / sum(CASE WHEN item_id % 40 = 0 THEN w ELSE 0 END), 9) AS v FROM w JOIN t USING (item_id) GROUP BY replicate")
+#: Rows of the TRAIN set that a smaller budget has: the first half of each stratum by a digest's rank.
+HALF_SQL = "half AS (SELECT item_id FROM (SELECT item_id, row_number() OVER (PARTITION BY stratum ORDER BY sha256('budget' || item_id)) AS k, count(*) OVER (PARTITION BY stratum) AS n FROM f3 WHERE split = 'TRAIN') WHERE 2 * k <= n)"
+
+
+def half(rows):
+    from pyspark.sql import Window
+
+    from ..functions import identity as I
+
+    w = Window.partitionBy("stratum")
+    k = F.row_number().over(w.orderBy(I.digest(F.concat(F.lit("budget"), F.col("item_id").cast("string")))))
+    return rows.select("item_id", k.alias("k"), F.count("*").over(w).alias("n")).where("2 * k <= n").select("item_id")
+
+
+@query("bs16_budget_robustness", T3 + ", " + HALF_SQL + ", " + _draws("item_id", "t") + ", s AS (SELECT replicate, item_id, w * raw AS x, w, item_id IN (SELECT item_id FROM half) AS h FROM w JOIN t USING (item_id)) SELECT CAST(replicate AS INTEGER) AS replicate, round(sum(x) / sum(w) - sum(x) FILTER (h) / sum(w) FILTER (h), 9) AS v FROM s GROUP BY replicate")
 def bs16(spark, d):
+    """Mean loss of a replicate under the whole budget less that under the half of it."""
     t = train(spark, d)
-    rows = B.weights(t, "item_id", "stratum", R, "p").join(t.select("item_id", "raw"), "item_id")
-    half = F.when(F.col("item_id") % 40 == 0, F.col("w")).otherwise(F.lit(0))
-    return rows.groupBy("replicate").agg(r9(F.sum(F.col("w") * F.col("raw")) / F.sum("w") - F.sum(half * F.col("raw")) / F.sum(half), "v"))
+    rows = B.weights(t, "item_id", "stratum", R, "p").join(t.select("item_id", "raw"), "item_id").join(half(t).withColumn("h", F.lit(True)), "item_id", "left")
+    w = F.when(F.col("h"), F.col("w")).otherwise(F.lit(0))
+    return rows.groupBy("replicate").agg(r9(F.sum(F.col("w") * F.col("raw")) / F.sum("w") - F.sum(w * F.col("raw")) / F.sum(w), "v"))
 
 
 @query("bs17_shared_draws", _SERIES + " SELECT round(avg((deploy < 0)::INTEGER), 9) AS deploy_negative, round(avg((transport < 0)::INTEGER), 9) AS transport_negative FROM s")

@@ -185,9 +185,12 @@ def sc35(spark, d):
     return X.paired_rows(spark, d).select("item_id", N.excludes_zero(low, high).alias("excludes"), N.direction_state(low, high).alias("state"))
 
 
-@query("sc36_native_reference_state", f"WITH {X.F3} SELECT stratum, CASE WHEN max(cat_score) - 1 < 0 THEN 'improvement' ELSE 'unresolved' END AS state FROM f3 GROUP BY stratum")
+@query("sc36_native_reference_state", f"WITH {X.F3}, i AS (SELECT cluster_id, quantile_disc(x, 0.25) AS lo, quantile_disc(x, 0.75) AS hi FROM (SELECT cluster_id, pow(cat_score - label, 2) - pow(ovr_score - label, 2) AS x FROM f3) GROUP BY cluster_id) SELECT cluster_id, CASE WHEN hi < 0 THEN 'improvement' WHEN lo > 0 THEN 'degradation' ELSE 'unresolved' END AS state FROM i")
 def sc36(spark, d):
-    return X.paired_rows(spark, d).groupBy("stratum").agg(N.direction_state(F.min("cat_score") - 1, F.max("cat_score") - 1).alias("state"))
+    """By cluster, from the quartiles of its rows' loss differences."""
+    x = N.brier(F.col("cat_score"), F.col("label")) - N.brier(F.col("ovr_score"), F.col("label"))
+    i = X.paired_rows(spark, d).withColumn("x", x).groupBy("cluster_id").agg(F.expr("percentile_disc(0.25) within group (order by x)").alias("lo"), F.expr("percentile_disc(0.75) within group (order by x)").alias("hi"))
+    return i.select("cluster_id", N.direction_state(F.col("lo"), F.col("hi")).alias("state"))
 
 
 @query("sc37_rendering_semantics", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '{\"enable_thinking\":true}' WHEN doc_id % 3 = 1 THEN '{\"enable_thinking\":false}' ELSE '{}' END AS semantics FROM documents")
@@ -209,12 +212,20 @@ def sc39(spark, d):
     return X.table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws("\n\n", F.lit("You decide."), "text").alias("prompt"))
 
 
-@query("sc40_single_token_continuation")
+#: Labels and their one token in the byte-level vocabulary of 50,257, none where they have more.
+CONTINUATIONS = [("yes", 3763), ("no", 645), ("true", 2081), ("false", 3991), ("undecidable", None)]
+
+
+@query("sc40_single_token_continuation", "SELECT conv_id, turn, label, CAST(token_id AS BIGINT) AS token_id FROM conversations, (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else b})" for a, b in CONTINUATIONS) + ") AS t(label, token_id)")
 def sc40(spark, d):
-    from ..sources.verbalizers import single_token_continuations
+    """Labels that the public byte-level tokenizer continues every prompt with by one token."""
+    import public_tokenizers
+
+    from ..sources.verbalizers import library, single_token_continuations
 
-    prompts = X.table(spark, d, "conversations").select(F.col("conv_id").alias("item_id"), "turn", "role").where("turn = 0")
-    return single_token_continuations(prompts, "role", ["yes", "no", "A", "B"])
+    c = X.table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("item_id"), F.concat(F.lit("Is it "), F.coalesce("role", F.lit("")), F.lit("?")).alias("prompt"))
+    found = single_token_continuations(c, "prompt", [a for a, _ in CONTINUATIONS], library(public_tokenizers.path("byte_bpe_50k.json")))
+    return found.select("item_id.conv_id", "item_id.turn", "label", "token_id")
 
 
 @query("sc41_proposition", f"WITH {X.F1} SELECT item_id, n AS name, 'The right category is ' || n || '.' AS proposition FROM (SELECT item_id, unnest(names) AS n FROM f1)")

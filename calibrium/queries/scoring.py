@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
@@ -87,12 +88,15 @@ def pl07(spark, d):
 REGISTRY = [("restricted_logits", "bool-softmax", 1), ("restricted_logits", "choice-softmax", 1)]
 
 
-@query("pl08_resolve_assembler", """WITH p AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'bool-softmax' WHEN doc_id % 3 = 1 THEN 'choice-softmax' ELSE 'other' END AS id, 1 + (doc_id % 2) AS version FROM documents)
-SELECT doc_id, CASE WHEN id <> 'other' AND version = 1 THEN 'resolved' ELSE 'unknown' END AS state FROM p""")
+@query("pl08_resolve_assembler", """WITH p AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'bool-softmax' WHEN 'fr' THEN 'choice-softmax' ELSE lang END AS id, CASE WHEN n_chars < 5000 THEN 1 ELSE 2 END AS version FROM documents)
+SELECT doc_id, CASE WHEN id IN ('bool-softmax', 'choice-softmax') AND version = 1 THEN id || '@1' END AS assembler, CASE WHEN id IN ('bool-softmax', 'choice-softmax') AND version = 1 THEN 'resolved' ELSE 'unknown' END AS state FROM p""")
 def pl08(spark, d):
-    r = spark.createDataFrame(REGISTRY, "strategy string, id string, version bigint").withColumn("known", F.lit(True))
-    p = X.table(spark, d, "documents").select("doc_id", F.lit("restricted_logits").alias("strategy"), F.when(F.col("doc_id") % 3 == 0, "bool-softmax").when(F.col("doc_id") % 3 == 1, "choice-softmax").otherwise("other").alias("id"), (1 + F.col("doc_id") % 2).alias("version"))
-    return p.join(F.broadcast(r), ["strategy", "id", "version"], "left").select("doc_id", F.when(F.col("known"), "resolved").otherwise("unknown").alias("state"))
+    """Dispatch on the whole triple: a known id of an unknown version is unknown."""
+    lang = F.col("lang")
+    p = X.table(spark, d, "documents").select("doc_id", F.lit("restricted_logits").alias("strategy"), F.when(lang == "en", "bool-softmax").when(lang == "fr", "choice-softmax").otherwise(lang).alias("id"), F.when(F.col("n_chars") < 5000, 1).otherwise(2).cast("bigint").alias("version"))
+    r = spark.createDataFrame(REGISTRY, "strategy string, id string, version bigint").withColumn("assembler", F.concat("id", F.lit("@"), F.col("version").cast("string")))
+    found = p.join(F.broadcast(r), ["strategy", "id", "version"], "left")  # a registry is a few fixed rows
+    return found.select("doc_id", "assembler", F.when(F.col("assembler").isNotNull(), "resolved").otherwise("unknown").alias("state"))
 
 
 @query("pl09_assemble_probability", f"WITH {X.S1}, {X.F2} SELECT 'choice' AS family, item_id, round(selected_p, 9) AS q FROM s1 UNION ALL SELECT 'bool', item_id, round(selected_p, 9) FROM o2")
@@ -159,11 +163,25 @@ def _score_by_length(row: dict) -> float:
     return row["n_chars"] / 10000
 
 
-@query("pl18_measure_cell", f"WITH {X.S1} SELECT s1.item_id, s1.winner, round(1 / (1 + exp(-s1.v[1 + s1.item_id % 8])), 9) AS ovr FROM s1")
+@query("pl18_measure_cell", f"""WITH {X.S1}, m AS (SELECT item_id FROM s1 UNION ALL SELECT item_id + 1000000 FROM s1 WHERE item_id < 20)
+SELECT m.item_id, CASE WHEN s1.item_id IS NULL THEN 'MISSING' WHEN truth IS NULL THEN 'INELIGIBLE' ELSE 'SCORED' END AS status, CASE WHEN s1.item_id IS NULL THEN 'no evidence' WHEN truth IS NULL THEN 'UnsupportedDecisionError: no truth' END AS reason,
+  CASE WHEN truth IS NOT NULL THEN winner END AS winner, CASE WHEN truth IS NOT NULL THEN round(1 / (1 + exp(-s1.v[1 + s1.item_id % 8])), 9) END AS ovr FROM m LEFT JOIN s1 USING (item_id)""")
 def pl18(spark, d):
-    manifest = X.choice_evidence(spark, d).select("item_id")
-    s = S.score_choices(X.choice_evidence(spark, d))
-    return manifest.join(s, "item_id").select("item_id", "winner", r9(N.sigmoid(F.get("values", (F.col("item_id") % 8).cast("int"))), "ovr"))
+    """A cell of a manifest: every planned item gets a row, measured, declared unmeasurable, or without evidence."""
+    e = X.choice_evidence(spark, d).select("item_id")
+    manifest = e.unionByName(e.where("item_id < 20").select((F.col("item_id") + 1000000).alias("item_id")))
+    s = S.score_choices(X.choice_evidence(spark, d)).select("item_id", "truth", "winner", F.get("values", (F.col("item_id") % 8).cast("int")).alias("logit"))
+    got = measure.measured(s, _score_with_truth)
+    state = F.coalesce("status", F.lit("MISSING"))
+    return manifest.join(got, "item_id", "left").select("item_id", state.alias("status"), F.when(state == "MISSING", "no evidence").otherwise(F.col("reason")).alias("reason"), F.when(state == "SCORED", F.col("winner")).alias("winner"), r9("score", "ovr"))
+
+
+def _score_with_truth(row: dict) -> float:
+    import math
+
+    if row["truth"] is None:
+        raise measure.UnsupportedDecisionError("no truth")
+    return 1 / (1 + math.exp(-row["logit"]))
 
 
 for _name, _col, _sql in [("fi01_status", "status", "status"), ("fi02_correct", "correct", "correct"), ("fi03_fit_eligible", "fit_eligible", "status = 'RESOLVED' AND adjudicated AS fit_eligible"), ("fi04_bucket", "bucket", "bucket")]:
@@ -173,9 +191,13 @@ for _name, _col, _sql in [("fi01_status", "status", "status"), ("fi02_correct",
         return observed(spark, d).select("item_id", c)
 
 
-@query("fi05_paired_fit_eligible", f"WITH {X.F3} SELECT split, item_id, label FROM f3 WHERE item_id % 7 <> 0 AND split = 'TRAIN'")
+@query("fi05_paired_fit_eligible", f"WITH {X.F3} SELECT split, item_id, label FROM f3 WHERE cat_score >= 0.05 AND ovr_score <= 0.9")
 def fi05(spark, d):
-    return X.paired_rows(spark, d).where("item_id % 7 <> 0 and split = 'TRAIN'").select("split", "item_id", "label")
+    """Rows of which both measurements are scored: the one fails below, the other above a score."""
+    p = X.paired_rows(spark, d)
+    status = lambda bad: F.when(bad, "INELIGIBLE").otherwise("SCORED")
+    p = p.withColumns({"cat_status": status(F.col("cat_score") < 0.05), "ovr_status": status(F.col("ovr_score") > 0.9)})
+    return p.where("cat_status = 'SCORED' and ovr_status = 'SCORED'").select("split", "item_id", "label")
 
 
 BETA_SQL = "CASE WHEN min(cat_score) <= 0 OR max(cat_score) >= 1 THEN 'endpoint' WHEN min(label) = max(label) THEN 'single class' WHEN count(DISTINCT cat_score) < 3 THEN 'too few scores' WHEN max(CASE WHEN label = 0 THEN cat_score END) < min(CASE WHEN label = 1 THEN cat_score END) OR max(CASE WHEN label = 1 THEN cat_score END) < min(CASE WHEN label = 0 THEN cat_score END) THEN 'separated' ELSE 'eligible' END"
@@ -233,10 +255,13 @@ def fi13(spark, d):
     return X.paired_rows(spark, d).select("item_id", ((c >= 0) & (c <= 1) & ~F.isnan(c)).alias("valid"))
 
 
-@query("fi14_structural_check", "SELECT conv_id, turn, CASE WHEN role IS NULL THEN 'no role' WHEN text IS NULL OR trim(text) = '' THEN 'no text' WHEN role NOT IN ('user', 'assistant', 'system') THEN 'unknown role' ELSE 'ok' END AS reason FROM conversations")
+@query("fi14_structural_check", """WITH c AS (SELECT conv_id, turn, role, text, count(*) OVER (PARTITION BY conv_id, turn) AS copies, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations)
+SELECT conv_id, turn, CASE WHEN role IS NULL THEN 'no role' WHEN text IS NULL OR trim(text) = '' THEN 'no text' WHEN role NOT IN ('user', 'assistant', 'system') THEN 'unknown role' WHEN turn < 0 THEN 'negative turn' WHEN copies > 1 THEN 'repeated turn' WHEN place = 1 AND role = 'assistant' THEN 'answer first' WHEN before = role THEN 'same role twice' ELSE 'ok' END AS reason FROM c""")
 def fi14(spark, d):
-    reason = F.when(F.col("role").isNull(), "no role").when(F.col("text").isNull() | (F.trim("text") == ""), "no text").when(~F.col("role").isin("user", "assistant", "system"), "unknown role").otherwise("ok")
-    return X.table(spark, d, "conversations").select("conv_id", "turn", reason.alias("reason"))
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    c = X.table(spark, d, "conversations").withColumns({"copies": F.count("*").over(Window.partitionBy("conv_id", "turn")), "before": F.lag("role").over(order), "place": F.row_number().over(order)})
+    rules = [("no role", "role is null"), ("no text", "text is null or trim(text) = ''"), ("unknown role", "role not in ('user', 'assistant', 'system')"), ("negative turn", "turn < 0"), ("repeated turn", "copies > 1"), ("answer first", "place = 1 and role = 'assistant'"), ("same role twice", "before = role")]
+    return c.select("conv_id", "turn", S.first_violation(rules).alias("reason"))
 
 
 @query("cp01_observation", f"""WITH {X.S1} SELECT item_id, status, correct, winner, round(selected_p, 9) AS selected_p, sha256('{{"selected":"' || winner || '","status":"' || status || '","v":1}}') AS fp FROM s1""")

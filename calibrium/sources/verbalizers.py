@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,6 +17,22 @@ def bytes_as_tokens(text: str) -> list[int]:
     return [int.from_bytes(w.encode()[:6], "big") for w in text.split(" ")]
 
 
+def library(path: str) -> Tokenize:
+    """A vocabulary file of the tokenizers library, loaded where it is used; its path is the caller's."""
+
+    def run(text: str) -> list[int]:
+        return _loaded(path).encode(text, add_special_tokens=False).ids
+
+    return run
+
+
+@functools.lru_cache(maxsize=4)
+def _loaded(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def resolve(tokenize: Tokenize, prompt: str, label: str) -> int | None:
     """The one token that `label` adds to `prompt`; none if it adds more or changes what was there."""
     before, after = tokenize(prompt), tokenize(f"{prompt} {label}")
@@ -31,8 +48,14 @@ def resolve_pair(tokenize: Tokenize, prompt: str, yes: str, no: str) -> tuple[in
 def single_token_continuations(prompts: DataFrame, prompt_col: str, labels: list[str], tokenize: Tokenize = bytes_as_tokens) -> DataFrame:
     """(item_id, label, token_id): token_id is null where the label isn't one token."""
 
+    kind = prompts.schema["item_id"].dataType.simpleString()
+    # a prompt that many items share is looked at once
+    once = prompts.select(F.col(prompt_col).alias("prompt")).distinct()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(i, x, resolve(tokenize, p or "", x)) for i, p in zip(b["item_id"], b["prompt"]) for x in labels], columns=["item_id", "label", "token_id"]).astype({"token_id": "Int64"})
+            yield pd.DataFrame([(p, x, resolve(tokenize, p or "", x)) for p in b["prompt"] for x in labels], columns=["prompt", "label", "token_id"]).astype({"token_id": "Int64"})
 
-    return prompts.select("item_id", F.col(prompt_col).alias("prompt")).mapInPandas(run, "item_id long, label string, token_id long")
+    told = once.mapInPandas(run, "prompt string, label string, token_id long")
+    items = prompts.select("item_id", F.col(prompt_col).alias("prompt"))
+    return items.join(told, items["prompt"].eqNullSafe(told["prompt"])).select(F.col("item_id").cast(kind).alias("item_id"), "label", "token_id")

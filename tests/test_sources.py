@@ -5,8 +5,9 @@ from __future__ import annotations
 import pytest
 
 from calibrium.sources import store, strict_json
-from calibrium.sources.verbalizers import bytes_as_tokens, resolve, resolve_pair
+from calibrium.sources.verbalizers import bytes_as_tokens, library, resolve, resolve_pair, single_token_continuations
 from calibrium.streaming import resume
+from calibrium.streaming.blocks import BlockStore
 
 
 @pytest.mark.parametrize("text, why", [('{"a":1}', None), ('{"a":1,"a":2}', "repeated key"), ('{"a":{"b":1,"b":1}}', "repeated key"), ('{"a":Infinity}', "Infinity is no number"), ("1", "not an object"), ("", "not JSON"), (None, "null"), ('{"a":' + "[" * 64 + "]" * 64 + "}", "too deep")])
@@ -14,11 +15,11 @@ def test_strict_json(text, why):
     assert strict_json.reason(text) == why
 
 
-def test_store_round_trip(tmp_path):
-    s = store.DirectoryStore(tmp_path)
+def test_store_round_trip(spark, tmp_path):
+    s = store.ArtefactStore(spark, f"file://{tmp_path}/store")
     fp = s.put({"slope": 1.5, "name": "é"})
     assert s.put({"name": "é", "slope": 1.5}) == fp and s.get(fp) == {"slope": 1.5, "name": "é"}
-    s.path(fp, 1).write_text('{"slope":1.6}')
+    s.files.publish(s.path(fp), '{"slope":1.6}')
     with pytest.raises(store.StoreError, match="another fingerprint"):
         s.get(fp)
     with pytest.raises(store.StoreError, match="absent"):
@@ -26,6 +27,36 @@ def test_store_round_trip(tmp_path):
     assert not list(tmp_path.rglob(".new-*"))
 
 
+def test_publishing_replaces_whole_texts(spark, tmp_path):
+    f = store.Files(spark)
+    for text in ("first", "second ü"):
+        f.publish(f"file://{tmp_path}/a/b.txt", text)
+    assert f.read(f"file://{tmp_path}/a/b.txt") == "second ü" and "b.txt" in f.names(f"file://{tmp_path}/a")
+    (tmp_path / "folder").mkdir()
+    (tmp_path / "file").write_text("x")
+    assert [f.state(f"file://{tmp_path}/{x}") for x in ("a/b.txt", "folder", "nothing", "file/below")] == ["PRESENT", "DAMAGED", "ABSENT", "DAMAGED"]
+
+
+def test_blocks_go_on_where_they_stopped(spark, tmp_path):
+    s = BlockStore(spark, f"file://{tmp_path}/blocks")
+    work = lambda b: spark.range(int(b)).selectExpr(f"'{b}' as block", "id") if b != "3" else spark.sql("select raise_error('stop') as block, 1L as id")
+    with pytest.raises(Exception, match="stop"):
+        s.run(["1", "2", "3", "4"], work)
+    assert s.done() == {"1", "2"}
+    again = s.run(["1", "2", "3", "4"], lambda b: spark.range(int(b)).selectExpr(f"'{b}' as block", "id"))
+    assert again == ["3", "4"] and s.rows().count() == 10
+
+
+def test_library_continuations(spark):
+    import public_tokenizers
+
+    tokenize = library(public_tokenizers.path("byte_bpe_50k.json"))
+    prompts = spark.createDataFrame([(1, "Is it so?"), (2, "Is it so? "), (3, None), (1, "Is it so?")], "item_id long, prompt string")
+    got = sorted((r.item_id, r.label, r.token_id) for r in single_token_continuations(prompts, "prompt", ["yes", "undecidable"], tokenize).collect())
+    want = sorted((i, x, resolve(tokenize, p or "", x)) for i, p in ((1, "Is it so?"), (2, "Is it so? "), (3, None), (1, "Is it so?")) for x in ("yes", "undecidable"))
+    assert repr(got) == repr(want) and got[2] == (1, "yes", 3763)
+
+
 def test_verbalizers():
     assert resolve(bytes_as_tokens, "a b", "yes") is not None
     assert resolve(bytes_as_tokens, "a b", "two words") is None
