@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Keys swept together, and how many times as many keys as rules, at least.
 SWEEP, OVER_RULES = 512, 4
+#: Hosts with rules whose numbers of parts are sent to every task; beyond it they are joined by a shuffle.
+SENT = 100_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -63,7 +65,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     counts = keys.groupBy("at").agg(F.count("*").alias("n"))
     parts = counts.join(hosts, "at").select("at", F.ceil(F.col("n") / F.greatest(F.lit(SWEEP), F.lit(OVER_RULES) * F.col("n_rules"))).cast("int").alias("parts"))
 
-    dealt = keys.join(parts, "at").select("at", F.pmod(F.xxhash64("url"), F.col("parts")).cast("int").alias("part"), F.concat("at", F.lit(")"), "path").alias("key"), F.lit(1).alias("kind"), "url", "path", F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack"))
+    few = hosts.limit(SENT + 1).count() <= SENT
+    dealt = keys.join(F.broadcast(parts) if few else parts, "at").select("at", F.pmod(F.xxhash64("url"), F.col("parts")).cast("int").alias("part"), F.concat("at", F.lit(")"), "path").alias("key"), F.lit(1).alias("kind"), "url", "path", F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack"))
     opened = stacks.join(parts, "at").select("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.concat("at", F.lit(")"), "path").alias("key"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), "path", "stack")
     sweep = Window.partitionBy("at", "part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # by both: dealt by the host alone, all parts of a host would meet in one task
