@@ -38,9 +38,11 @@ def _cut(is_word: np.ndarray, text_at: int, spans_at: int):
 def cut_spans(rows: DataFrame, is_word: np.ndarray, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """`rows` with the words of their spans cut out of the text, without the spans.
 
-    spans: array<struct<first, end>> of word numbers, ascending and apart; null
-    or none leaves the text as it is, and words past a text's end are not there to cut.
+    spans: array<struct<first, end>> of word numbers, ascending and apart, in the
+    last column of that name; null or none leaves the text as it is, and words
+    past a text's end are not there to cut.
     """
     small_batches(rows.sparkSession)
-    schema = StructType([f for f in rows.schema if f.name != spans_col])
-    return rows.mapInArrow(_cut(is_word, rows.columns.index(text_col), rows.columns.index(spans_col)), schema)
+    at = len(rows.columns) - 1 - rows.columns[::-1].index(spans_col)
+    schema = StructType([f for i, f in enumerate(rows.schema) if i != at])
+    return rows.mapInArrow(_cut(is_word, rows.columns.index(text_col), at), schema)

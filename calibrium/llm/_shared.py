@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share, under spark.checkpoint.dir.
 
-    Only where the session names none (tests, one machine) is one made and set.
+    Only on one machine (a local master, as in tests) is one made and set where
+    the session names none; elsewhere that is a ValueError.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="calibrium-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/calibrium-{name}-{uuid.uuid4().hex}"
