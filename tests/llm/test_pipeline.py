@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from calibrium.llm._shared import Tables
@@ -47,6 +48,25 @@ def test_copies_of_four_fifths_are_near_duplicates(spark):
     assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
 
 
+def test_stages_keep_columns_with_any_names(spark):
+    w = [f"w{k}" for k in range(200)]
+    long = " ".join(w)
+    rows = [(1, long, "en", 1, True, "p"), (2, "before " * 9 + " ".join(w[:150]), "en", 2, False, "q"), (2, "before " * 9 + " ".join(w[:150]), "en", 1, False, "q"), (None, long, "en", 3, True, "r"), (4, None, None, 4, None, None), (5, "  ", "en", 5, True, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars int, _cut boolean, `removal_spans` string").selectExpr("*", "'x' as owner", "'y' as was_cut", "1 as first", "2 as hash", "3 as spans", "array(1) as bands")
+    for stage in (P.drop_near_duplicates, P.cut_repeated_passages):
+        got = stage(spark, docs, str(DATA))
+        assert got.columns == docs.columns and {r.owner for r in got.collect()} == {"x"}
+    near = {(r.doc_id, r.n_chars) for r in P.drop_near_duplicates(spark, docs, str(DATA)).collect()}
+    assert near == {(1, 1), (2, 1), (None, 3), (4, 4), (5, 5)}  # of repeated rows the first by its other columns
+    cut = {(r.doc_id, r.text, r.n_chars, r._cut) for r in P.cut_repeated_passages(spark, docs, str(DATA)).collect()}
+    assert (1, long, 1, True) in cut and (None, long, 3, True) in cut and (4, None, 4, None) in cut
+    assert {tuple(t.split()) for i, t, _, _ in cut if i == 2} == {("before",) * 9}
+    bad = P.drop_contaminated(spark, docs, str(DATA))
+    assert bad.columns == docs.columns and bad.count() == len(rows)
+    known = P.identify_language(spark, docs.withColumn("rejected", F.lit(1)), str(DATA))
+    assert known.columns == [*docs.columns, "rejected"] and 4 not in {r.doc_id for r in known.collect()}
+
+
 def test_run_of_an_empty_table(spark, tmp_path):
     spark.read.parquet(f"{DATA}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
