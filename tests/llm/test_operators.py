@@ -17,6 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from calibrium.llm import _kernels as K
 from calibrium.llm import decontaminate, fingerprints, language_id, lm_scoring, near_dedup, queries, sentencepiece_scan, substring_dedup, token_files, url_rules, warc
 from calibrium.llm._merges import boundary_states, combine, pieces
 from calibrium.llm._shared import ordered_buckets
@@ -503,6 +504,44 @@ def test_near_passages_of_four_fifths(spark):
     assert sum(y - x for x, y in removed(got[2])) == 140
 
 
+def test_recall_of_near_passages_against_all_pairs(spark):
+    # families of passages with words changed at random, so that some are like each other and unlike the first
+    rng, texts = random.Random(11), {}
+    for k in range(60):
+        base = [f"own{k}x{j}" for j in range(rng.choice([55, 70, 90, 140]))]
+        for v in range(4):
+            p = list(base)
+            for j in rng.sample(range(len(p)), max(1, len(p) // 35)):
+                p[j] = f"new{rng.randrange(10**9)}"
+            pad = lambda n: [f"pad{rng.randrange(10**9)}" for _ in range(n)]
+            texts[10 * k + v] = pad(rng.randrange(40)) + p + pad(rng.randrange(40))
+    got = repeats(spark, texts)
+
+    def shingles(w):
+        data = np.frombuffer(" ".join(w).encode(), np.uint8)
+        words_, at = K.hash_words(data, np.array([0, len(data)]), K.SPACED)
+        return K.shingle_hashes(words_, at, 5)[0]
+
+    sh, links = {i: shingles(w) for i, w in texts.items()}, set()
+    for i in texts:
+        for j in range(i + 1, i // 10 * 10 + 4):  # no others share a word
+            if substring_dedup.compare([sh[i], sh[j]], np.array([0, 0]), False)[0]:
+                links.add((i, j))
+    assert len(links) > 100
+    found = sum(got[i].class_id == got[j].class_id for i, j in links)
+    assert found >= 0.9 * len(links), found / len(links)
+    print("recall", found, len(links))
+    # and nothing else is linked
+    assert all((got[i].class_id // 10 == i // 10) and (got[i].repeated == any(i in x for x in links) or not got[i].repeated) for i in texts)
+
+
+@pytest.mark.parametrize("period", [1, 2, 3, 97])
+def test_periodic_texts_stay_small(spark, period):
+    own = [f"p{k % period}" for k in range(100_000)]
+    got = repeats(spark, {1: own, 2: own[7:60_000] + words(70, 90), 3: words(80, 91)})
+    assert got[2].n_removed >= 59_993 - 5 and got[1].n_repeated == 100_000 and not got[3].repeated
+
+
 def test_empty_tables(spark, docs):
     none = frame(spark, docs).limit(0)
     bench = spark.createDataFrame([], "item_id long, text string")
