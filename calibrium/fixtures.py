@@ -130,14 +130,19 @@ f4 AS (SELECT item_id, rotation, names, p, truth, names[list_position(p, list_ma
 
 
 def ladder_records(spark: SparkSession, d: str) -> DataFrame:
-    """A probability for each rung (order priority), case and label family (order status)."""
+    """A probability for each rung (order priority), case and label family (order status).
+
+    A case is about 25 customers, so there are more of them in larger tables, 40 at least.
+    """
     o = table(spark, d, "orders")
     top = o.agg(F.max("o_totalprice").cast("double").alias("top"))
-    by = o.groupBy(F.substring("o_orderpriority", 1, 1).cast("int").alias("rung"), (F.col("o_custkey") % 40).cast("int").alias("case_id"), F.col("o_orderstatus").alias("family"))
+    cases = table(spark, d, "customer").agg(F.greatest(F.lit(40), F.floor(F.count("*") / 25)).alias("cases"))
+    o = o.crossJoin(F.broadcast(cases))
+    by = o.groupBy(F.substring("o_orderpriority", 1, 1).cast("int").alias("rung"), (F.col("o_custkey") % F.col("cases")).cast("int").alias("case_id"), F.col("o_orderstatus").alias("family"))
     return by.agg(F.avg(F.col("o_totalprice").cast("double")).alias("mean")).crossJoin(F.broadcast(top)).select("rung", "case_id", "family", (F.col("mean") / F.col("top")).alias("p"))
 
 
-F5 = """f5 AS (SELECT CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS rung, CAST(o_custkey % 40 AS INTEGER) AS case_id, o_orderstatus AS family,
+F5 = """f5 AS (SELECT CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS rung, CAST(o_custkey % (SELECT greatest(40, count(*) // 25) FROM customer) AS INTEGER) AS case_id, o_orderstatus AS family,
   avg(CAST(o_totalprice AS DOUBLE)) / (SELECT max(CAST(o_totalprice AS DOUBLE)) FROM orders) AS p FROM orders GROUP BY ALL)"""
 
 

@@ -41,7 +41,7 @@ def io02(spark, d):
     return readers.read_json_lines(spark, path, "conv_id long, turn long, role string")
 
 
-@query("io03_load_case_set", "SELECT case_id, CAST(avg(rung) AS DOUBLE) AS mean FROM (SELECT o_custkey % 40 AS case_id, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS rung FROM orders GROUP BY ALL) GROUP BY case_id")
+@query("io03_load_case_set", f"WITH {X.F5} SELECT case_id, CAST(avg(rung) AS DOUBLE) AS mean FROM (SELECT DISTINCT case_id, rung FROM f5) GROUP BY case_id")
 def io03(spark, d):
     path = _folder(spark)
     f5 = X.ladder_records(spark, d).select("case_id", "rung").distinct().groupBy("case_id").agg(F.sort_array(F.collect_list("rung")).alias("rungs"))
