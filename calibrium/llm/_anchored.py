@@ -10,18 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import shuffle_width
+from ._shared import Tables
 
 PER_SALT = 32
 
 
-def anchored(pairs: DataFrame, docs: DataFrame, run, schema: str) -> DataFrame:
-    """Apply `run(batches)` to rows (a, salt, role, b, info, text) in that order.
+def anchored(tables: Tables, pairs: DataFrame, docs: DataFrame, run, schema: str) -> DataFrame:
+    """What `run(batches)` makes of rows (a, salt, role, b, info, text) in that order, as a written table.
 
     pairs: (a, b, info) with distinct (a, b); docs: (doc_id, text). role is 0
     for the anchor's row (b and info null there) and 1 for the others.
     """
-    spark = pairs.sparkSession
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PER_SALT)).cast("int").alias("salts"))
     others = pairs.join(counts, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "b", "info")
     info_type = pairs.schema["info"].dataType
@@ -29,4 +28,4 @@ def anchored(pairs: DataFrame, docs: DataFrame, run, schema: str) -> DataFrame:
     wanted = others.union(anchors)
     # a merge join at any size: the ids wanted grow with the documents
     rows = wanted.join(docs.select(F.col("doc_id").alias("id"), "text").hint("merge"), "id").select("a", "salt", "role", "b", "info", "text")
-    return rows.repartition(shuffle_width(spark), "a", "salt").sortWithinPartitions("a", "salt", "role", "b").mapInArrow(run, schema)
+    return tables.written(rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "b"), run, schema)

@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from ._files import make_folder, opened
 from ._fm_index import FMIndex
 from ._kernels import ALNUM, U64, groups, mix, placed_words, stream, utf8
-from ._shared import shared_folder, small_batches
+from ._shared import Tables, shared_folder, small_batches
 
 #: Words and documents of a shard; characters of benchmark text in a block of phrases.
 SHARD, SHARD_DOCS, BLOCK = 900_000, 100_000, 8 << 20
@@ -54,23 +55,30 @@ def phrases_of(items: list[tuple[str | None, str]], window: int) -> dict[str, np
     return {"rows": rows[first], "lengths": lengths[first], "items_at": np.searchsorted(pair[:, 0], np.arange(len(first) + 1)), "items": pair[:, 1], "names": np.array(list(names), dtype=np.str_) if names else np.empty(0, "U1")}
 
 
-def write_phrases(benchmark: DataFrame, folder: str, window: int, id_col: str, text_col: str) -> list[str]:
-    """Write the phrases of all items in blocks; the blocks' names."""
-    make_folder(folder)
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = int(total // BLOCK) + 1
-    out = []
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()
+def _write_block(folder: str, window: int):
+    """A block's items (block, item, text) to a file of their phrases."""
+
+    def run(key: tuple, items: pa.Table) -> pa.Table:
         data = io.BytesIO()
-        np.savez(data, **phrases_of([(r["item"], r["text"]) for r in rows], window))
-        uri = f"{folder}/phrases-{k:06d}.npz"
+        np.savez(data, **phrases_of(list(zip(items.column("item").to_pylist(), items.column("text").to_pylist())), window))
+        uri = f"{folder}/phrases-{uuid.uuid4().hex}.npz"
         f, path = opened(uri)
         with f.open_output_stream(path) as o:
             o.write(data.getvalue())
-        out.append(uri)
-    return out
+        return pa.table({"uri": [uri]})
+
+    return run
+
+
+def write_phrases(benchmark: DataFrame, folder: str, window: int, id_col: str, text_col: str) -> list[str]:
+    """Write the phrases of all items in blocks, each in a task of its own; the blocks' names."""
+    make_folder(folder)
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null")
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(int(total // BLOCK) + 1)).cast("int")
+    written = items.withColumn("block", block).groupBy("block").applyInArrow(_write_block(folder, window), "uri string")
+    # one name for each block that has items; a task that was run again leaves a file nobody refers to
+    return sorted(r["uri"] for r in Tables(benchmark.sparkSession, "phrases").cut(written).collect())
 
 
 @functools.lru_cache(maxsize=1)

@@ -174,7 +174,7 @@ def score(docs: DataFrame, target_ids: DataFrame, tokenizer: str, vocabulary: in
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marks = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    tokens = tables.cut(docs.mapInArrow(_tokens(tokenizer, kind), "doc_id long, ids binary"))
+    tokens = tables.written(docs, _tokens(tokenizer, kind), "doc_id long, ids binary")
     # a merge join at any size: the labels grow with the documents
     told = tokens.join(marks.hint("merge"), "doc_id", "left").select(F.coalesce("target", F.lit(False)).alias("target"), "ids")
     parts = told.mapInArrow(_count(kind, vocabulary), "gram long, n long, n_target long")

@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(spark)
     tables = Tables(spark, "near-dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = tables.cut(docs.mapInArrow(_signatures(shingle), SIGNATURE))
+    sig = tables.written(docs, _signatures(shingle), SIGNATURE)
     sets = sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     reps = tables.cut(sets)
     info = reps.select("rep", "n_shingles", "sketch")
@@ -198,8 +198,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pairs = members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = tables.cut(pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"))
-    confirm = lambda p: anchored(p.withColumn("info", F.lit(0)), to_text, _confirm(shingle, percent), "a long, b long")
-    edges = tables.cut(confirm(pairs).distinct())
+    confirm = lambda p: anchored(tables, p.withColumn("info", F.lit(0)), to_text, _confirm(shingle, percent), "a long, b long")
+    edges = confirm(pairs)
 
     # Members outside their centre's component.
     root = components(tables, edges)
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # By their shared differences from the centre: those compared with it, and all of a wide bucket.
     far = tables.cut(state.where("own <> main and (told or wide)").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct())
     around = pairs.union(state.where("wide and rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b"))).distinct().join(far.select("a").distinct(), "a")
-    differ_by = tables.cut(anchored(around.withColumn("info", F.lit(0)), to_text, _differences(shingle), "a long, b long, e array<long>"))
+    differ_by = anchored(tables, around.withColumn("info", F.lit(0)), to_text, _differences(shingle), "a long, b long, e array<long>")
     sizes = info.select(F.col("rep").alias("b"), F.col("n_shingles").alias("size"))
     each = differ_by.join(sizes, "b").select("a", "b", "size", F.size("e").alias("n"), F.explode("e").alias("e"))
     often = each.groupBy("a", "e").agg(F.count("*").alias("often"))
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     y = state.where("rep <> center and not wide").select("bucket", F.col("told").alias("y_told"), F.col("rep").alias("a"), F.col("own").alias("a_own"), "main").join(side("a"), "a")
     more = x.join(y, (x.bucket == y.bucket) & ~(F.col("x_told") & F.col("y_told")) & (F.col("a_own") != F.col("b_own")) & ((F.col("a_own") == F.col("main")) | (F.col("a") < F.col("b"))) & alike)
     more = tables.cut(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(by_difference).distinct())
-    edges = tables.cut(edges.union(confirm(more)).distinct())
+    edges = edges.union(confirm(more))
 
     root = components(tables, edges).withColumnRenamed("id", "rep")
     sets = reps.join(root, "rep", "left").select("set_a", "set_b", F.col("n_shingles").alias("n"), F.coalesce("root", "rep").alias("component"))

@@ -217,7 +217,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     big = tables.cut(docs.where(giant).withColumn("gid", F.xxhash64("doc_id", "text")))
     once = big.groupBy("gid").agg(F.first("text").alias("text"))
-    chunks = tables.cut(once.mapInArrow(_chunked(found.most), "gid long, chunk int, behind string, body string, ahead string"))
+    chunks = tables.written(once, _chunked(found.most), "gid long, chunk int, behind string, body string, ahead string")
     spread = chunks.repartition(shuffle_width(spark), "gid", "chunk")
     matrices = spread.mapInArrow(_matrices(model), "gid long, chunk int, side int, matrix binary")
     states = matrices.groupBy("gid").applyInArrow(_states, "gid long, chunk int, enter int, leave int, doc_score double")

@@ -371,7 +371,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = docs.where("doc_id is not null")
     scanned = docs.mapInArrow(_scan(RANGES * width), MEETING)
-    met = tables.cut(scanned.repartition(width, "part").sortWithinPartitions("part").mapInArrow(_meet, MEETING).drop("part", "packed"))
+    met = tables.written(scanned.repartition(width, "part").sortWithinPartitions("part"), _meet, MEETING)
     rows = met.where("kind = 0").select(F.col("a").alias("doc_id"), "h1", "h2", F.col("n").alias("n_words"))
 
     # Documents of the same words: the first stands for all.
@@ -381,7 +381,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     stands = lambda df, c: df.join(first_of, F.col(c) == F.col("_id"), "left").withColumn(c, F.coalesce("rep", c)).drop("_id", "rep")
     pairs = stands(stands(candidates(met), "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = tables.cut(pairs)
-    compared = lambda p, deal: tables.cut(anchored(p.withColumn("info", F.lit(0)), known, _verify(deal), FOUND))
+    compared = lambda p, deal: anchored(tables, p.withColumn("info", F.lit(0)), known, _verify(deal), FOUND)
     found = compared(pairs, True)
 
     again = found.where("kind = 3").select(F.col("one").alias("route"), F.col("two").alias("doc")).distinct()

@@ -217,10 +217,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     make_folder(folder)
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
-    long = rows.where(F.octet_length("html") >= LEAST).groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).where("n > 1").drop("n")
-    judged = rows.join(long, "digest", "left")
-    revisit = F.coalesce(F.col("target") != F.coalesce("page_id", F.lit(-1) + F.col("target")), F.lit(False))
-    judged = judged.select("page_id", "url", "html", "digest", F.when(revisit, F.col("target")).alias("refers_to"), revisit.alias("revisit"))
+    # Digests and ids meet without payloads; payloads are dealt by id and digest, so a page that is
+    # repeated very often is spread.
+    ids = rows.where(F.octet_length("html") >= LEAST).select("page_id", "digest")
+    long = ids.groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).where("n > 1 and target is not null").drop("n")
+    marks = ids.distinct().join(long, "digest").where(~F.col("page_id").eqNullSafe(F.col("target")))
+    marks = marks.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "target")
+    judged = rows.join(marks.hint("merge"), F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    judged = judged.select("page_id", "url", "html", "digest", F.col("target").alias("refers_to"), F.col("target").isNotNull().alias("revisit"))
     return Tables(spark, "warc").cut(judged.mapInArrow(_write(folder), "uri string, n_records long"))
 
 
