@@ -81,5 +81,10 @@ def index256(hex_digest: Column, n: Column) -> Column:
 
 
 def multiset_digest(fingerprints: Column) -> Column:
-    """Digest of a group's fingerprints: of any order, counting repetitions."""
+    """Digest of a group's fingerprints: of any order, counting repetitions.
+
+    The digest is of all fingerprints in one order, so a group meets in one
+    task: 65 bytes a fingerprint, 30 million of them in the 2 GB a value may
+    have. Larger sets are to be digested by parts.
+    """
     return F.sha2(F.array_join(F.array_sort(F.collect_list(fingerprints)), ","), 256)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from calibrium.sources import store, strict_json
+from calibrium.sources.text import normalize, normalize_text
 from calibrium.sources.verbalizers import bytes_as_tokens, library, resolve, resolve_pair, single_token_continuations
 from calibrium.streaming import resume
 from calibrium.streaming.blocks import BlockStore
@@ -15,6 +18,12 @@ def test_strict_json(text, why):
     assert strict_json.reason(text) == why
 
 
+def test_normalized_text(spark):
+    texts = [" a\r\nb\rc\x1f ", "\u00a0e\u0301\r\n ", "", None, "\x0b\x0c", "plain", "ﬁ\r", " \u2003x\x85", "a\x00 "]
+    got = {r.k: r.t for r in spark.createDataFrame(list(enumerate(texts)), "k int, s string").select("k", normalize_text(F.col("s")).alias("t")).collect()}
+    assert got == {k: None if t is None else normalize(t) for k, t in enumerate(texts)}
+
+
 def test_store_round_trip(spark, tmp_path):
     s = store.ArtefactStore(spark, f"file://{tmp_path}/store")
     fp = s.put({"slope": 1.5, "name": "é"})
