@@ -79,3 +79,15 @@ def test_commits_are_idempotent(spark, tmp_path):
     spark.range(5, 15).write.mode("append").parquet(src)
     assert resume.commit_stream(spark, src, "id long", out, state, "id") == 15
     assert resume.repeated(spark.read.parquet(out), "id").count() == 0
+
+
+def test_commits_read_the_parts_of_their_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(resume, "RANGE", 100)
+    src, out, state = (f"file://{tmp_path}/{x}" for x in ("in", "out", "state"))
+    for lo, n in ((0, 250), (200, 350)):
+        spark.range(lo, lo + n).write.mode("append").parquet(src)
+        assert resume.commit_stream(spark, src, "id long", out, state, "id") == lo + n
+    assert {p.name for p in (tmp_path / "out").iterdir() if p.is_dir()} == {f"_part={k}" for k in range(6)}
+    names = [f"file://{tmp_path}/{x}" for x in ("words", "words-out", "words-state")]
+    spark.sql("select explode(split('a b c a', ' ')) as w").write.parquet(names[0])
+    assert resume.commit_stream(spark, names[0], "w string", *names[1:], "w") == 3
