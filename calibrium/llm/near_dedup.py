@@ -13,12 +13,10 @@ members outside their centre's component. One that was compared with the centre
 can be linked only to a member that shares more than 0.46 of its own
 differences from that centre (see `rest_of_differences`), so an index of such differences,
 rarest first, gives its candidates; it stays small in a large group of copies
-where nearly all pairs are almost similar. Where the sketch told few
-members of a bucket from its centre (`DIRECT`), these are compared with the
-members of other components directly; where it told more, as in a template many
-documents share, all go by their differences from one centre of the neighbourhood. Together
-that finds the components that all pairs of all buckets would give, and no
-bucket is ever paired with itself.
+where nearly all pairs are almost similar.
+Members the sketch told from the centre are compared with the members of other
+components directly, by their sketches, in a join of which only pairs alike come
+out. Together that finds the components that all pairs of all buckets would give.
 
 At 85 % similarity 25 bands of 5 miss a pair with probability 4e-7, and the
 sketch bound is five standard deviations wide. A link is missed at no other
@@ -41,8 +39,6 @@ from ._shared import Tables, components, small_batches
 BANDS, ROWS = 25, 5
 #: Samples folded into a sketch (those of the bands among them), and its bits.
 SAMPLES, SKETCH_BITS = 375, 2048
-#: Members told from a bucket's centre that may meet the others directly: so many rows a member at most.
-DIRECT = 64
 SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
 
 
@@ -209,24 +205,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = state.where("own <> main").select("bucket").distinct()
     state = tables.cut(state.join(mixed, "bucket").join(told, ["center", "rep"], "left").withColumn("told", F.coalesce("told", F.lit(False))))
 
-    wide = state.where("own <> main and not told").groupBy("bucket").agg(F.count("*").alias("apart")).where(F.col("apart") > DIRECT).select("bucket", F.lit(True).alias("wide"))
-    state = tables.cut(state.join(wide, "bucket", "left").withColumn("wide", F.coalesce("wide", F.lit(False))))
-
-    # By their shared differences. Those compared with a centre: from it. All of a wide bucket: from a hub,
-    # the heaviest centre among the buckets of the bucket's centre's (and of that one's), which few share out.
-    held_by = members.join(members.select(F.col("center").alias("rep")).distinct(), "rep").join(weight.withColumnRenamed("rep", "center"), "center")
-    heaviest = tables.cut(held_by.groupBy("rep").agg(F.max(F.struct("weight", (-F.col("center")).alias("minus"))).alias("top")).select("rep", (-F.col("top.minus")).alias("over")))
-    hop = lambda df, c, to: df.join(heaviest.withColumnRenamed("rep", c).withColumnRenamed("over", to), c)
-    in_wide = hop(hop(state.where("wide"), "center", "nearer"), "nearer", "hub").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), "own").distinct()
-    in_wide = tables.cut(label(in_wide, "a", "at"))
-    far = state.where("own <> main and told and not wide").select(F.col("center").alias("a"), F.col("rep").alias("b"))
-    far = tables.cut(far.union(in_wide.where("own <> at").select("a", "b")).distinct())
-    around = pairs.union(in_wide.select("a", "b")).distinct().join(far.select("a").distinct(), "a")
+    # Both compared with the centre: by their shared differences from it.
+    far = tables.cut(state.where("own <> main and told").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct())
+    around = pairs.join(far.select("a").distinct(), "a")
     differ_by = anchored(tables, around.withColumn("info", F.lit(0)), to_text, _differences(shingle), "a long, b long, e array<long>")
     sizes = info.select(F.col("rep").alias("b"), F.col("n_shingles").alias("size"))
-    # a hub may be like a member it was never compared with: |D| tells
-    total = F.col("size") + F.col("n_shingles")
-    linked = differ_by.join(sizes, "b").join(info.select(F.col("rep").alias("a"), "n_shingles"), "a").where(F.lit(100) * (total - F.size("e")) >= F.lit(percent) * (total + F.size("e"))).select("a", "b")
     each = differ_by.join(sizes, "b").select("a", "b", "size", F.size("e").alias("n"), F.explode("e").alias("e"))
     often = each.groupBy("a", "e").agg(F.count("*").alias("often"))
     rare = each.join(often.where("often > 1"), ["a", "e"])
@@ -242,12 +225,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_difference = x.join(y, ["a", "e"]).where((F.col("x_own") != F.col("y_own")) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     by_difference = by_difference.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b")
 
-    # One of them the sketch told from the centre, where those are few: directly.
-    x = state.where("own <> main and not wide").select("bucket", F.col("told").alias("x_told"), F.col("rep").alias("b"), F.col("own").alias("b_own")).join(side("b"), "b")
-    y = state.where("rep <> center and not wide").select("bucket", F.col("told").alias("y_told"), F.col("rep").alias("a"), F.col("own").alias("a_own"), "main").join(side("a"), "a")
+    # One of them the sketch told from the centre: directly, by sketches alone; the planner splits a large bucket.
+    x = state.where("own <> main").select("bucket", F.col("told").alias("x_told"), F.col("rep").alias("b"), F.col("own").alias("b_own")).join(side("b"), "b")
+    y = state.where("rep <> center").select("bucket", F.col("told").alias("y_told"), F.col("rep").alias("a"), F.col("own").alias("a_own"), "main").join(side("a"), "a")
     more = x.join(y, (x.bucket == y.bucket) & ~(F.col("x_told") & F.col("y_told")) & (F.col("a_own") != F.col("b_own")) & ((F.col("a_own") == F.col("main")) | (F.col("a") < F.col("b"))) & alike)
     more = tables.cut(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(by_difference).distinct())
-    edges = edges.union(confirm(more)).union(linked)
+    edges = edges.union(confirm(more))
 
     root = components(tables, edges).withColumnRenamed("id", "rep")
     sets = reps.join(root, "rep", "left").select("set_a", "set_b", F.col("n_shingles").alias("n"), F.coalesce("root", "rep").alias("component"))

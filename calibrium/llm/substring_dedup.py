@@ -22,11 +22,14 @@ Candidates are verified on the texts: all stretches of either that the other
 has too, at all places, and chains of equal runs whose sets of shingles are
 similar. Whatever stretch of a passage's length has a context that the first
 document of the key has, but is not itself in it, is dealt again by its whole
-hash. So all equal passages meet, whatever else their documents share.
+hash. So all equal passages meet, whatever else their documents share. Least
+shingles that the first document has, but where the two are not alike, are dealt
+again too, so that near-duplicate passages unlike the first of their keys meet.
 
 Near-duplicate passages without an equal stretch of `WORDS` words are not found
-if they agree under fewer than `ENOUGH` functions with one document each, be it
-that the first of their keys are others, which are unlike them both.
+if they agree under fewer than `ENOUGH` functions, or if the first documents of
+their keys are others, which agree with them under fewer, or if the first ones
+of the second dealing are unlike them as well.
 """
 
 from __future__ import annotations
@@ -134,7 +137,7 @@ def _shard_keys(ids: list[int], shingles: list[np.ndarray], offsets: list[int],
     context = None
     for f, by in enumerate(multipliers(FUNCTIONS)):
         c, l, r = windows(order_keys(every, real, by), REACH // 2, LEAST)
-        add(mix(every[c] * U64(0x9FB21C651E98DF25) + U64(f)), c, (c - l).astype(np.uint8), (r - c).astype(np.uint8), f)
+        add(single_keys(every[c], f), c, (c - l).astype(np.uint8), (r - c).astype(np.uint8), f)
         if f == 0 and len(c):
             context = stretch_hashes(every, HALF)
             for side, at in enumerate((c - HALF + 1, c)):
@@ -226,9 +229,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from met()
 
 
-def least_places(shingles: np.ndarray) -> np.ndarray:
-    """For each stretch of LEAST shingles, the place of its least under the first function."""
-    out, by = np.empty(max(0, len(shingles) - LEAST + 1), np.int64), multipliers(FUNCTIONS)[0]
+def least_places(shingles: np.ndarray, function: int) -> np.ndarray:
+    """For each stretch of LEAST shingles, the place of its least under a function."""
+    out, by = np.empty(max(0, len(shingles) - LEAST + 1), np.int64), multipliers(FUNCTIONS)[function]
     step = MOST - LEAST
     for lo in range(0, len(out), step):
         part = shingles[lo : lo + step + LEAST - 1]
@@ -237,13 +240,18 @@ def least_places(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def single_keys(shingles: np.ndarray, function: int) -> np.ndarray:
+    return mix(shingles * U64(0x9FB21C651E98DF25) + U64(function))
+
+
 def compare(texts: list[np.ndarray], anchor: np.ndarray, deal: bool) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], list[np.ndarray]]:
     """Stretches that texts and their anchors share.
 
     texts: shingles; anchor: for each the number of the text to compare it
     with, its own for an anchor, which stands before the others. Returned:
     (text, first, end) of stretches of others and of anchors, and, for each
-    text, the hashes of stretches of LEAST shingles to be dealt again.
+    text, the routes by which it is dealt again: the hashes of stretches of
+    LEAST shingles, and single keys that the anchor has but outside what is alike.
     """
     every = np.concatenate(texts)
     size = np.array(list(map(len, texts)))
@@ -281,17 +289,34 @@ def compare(texts: list[np.ndarray], anchor: np.ndarray, deal: bool) -> tuple[li
             anchors.append((g, p, q))
 
     if deal and len(whole):
+        routes: list[tuple[np.ndarray, np.ndarray]] = []
         lacking = np.flatnonzero(fits & own & ~equal)
         if len(lacking):
             half = stretch_hashes(every, HALF)
             inside = of[: len(half)] == of[len(every) - len(half) :]
             half_key = keyed(half, group[: len(half)])
             known = np.sort(half_key[inside & ~mine[: len(half)]])
-            c = least_places(every)[lacking]
+            c = least_places(every, 0)[lacking]
             start = np.where(c - HALF + 1 >= lacking, c - HALF + 1, c)
             lacking = lacking[member(half_key[start], known)]
-            for t in np.unique(of[lacking]):
-                again[t] = np.unique(whole[lacking[of[lacking] == t]])
+            routes.append((of[lacking], whole[lacking]))
+        loose = np.zeros(len(every), bool)
+        loose[m[match >= 0]] = True
+        for t, x, y in others:
+            loose[begin[t] + x : begin[t] + y] = False
+        if loose.any():
+            wanted = np.flatnonzero(fits & own)
+            for f in range(FUNCTIONS):
+                c = np.unique(least_places(every, f)[wanted])
+                c = c[loose[c]]
+                routes.append((of[c], ~single_keys(every[c], f)))
+        if routes:
+            text, route = (np.concatenate(x) for x in zip(*routes))
+            order = np.argsort(text, kind="stable")
+            cuts = np.flatnonzero(np.diff(text[order])) + 1
+            for part in np.split(order, cuts):
+                if len(part):
+                    again[int(text[part[0]])] = np.unique(route[part])
     return others, anchors, again
 
 
