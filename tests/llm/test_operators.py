@@ -546,6 +546,8 @@ def test_empty_tables(spark, docs):
     none = frame(spark, docs).limit(0)
     bench = spark.createDataFrame([], "item_id long, text string")
     assert near_dedup.near_duplicates(none).count() == 0
+    assert language_id.identify(none.withColumn("lang", F.lit("x"))).count() == 0
+    assert fingerprints.fingerprint(none).count() == 0 and warc.archive_round_trip(none.selectExpr("doc_id as page_id", "text as url", "text as html")).count() == 0
     assert decontaminate.find_contamination(none, bench).count() == 0
     assert decontaminate.find_contamination(frame(spark, docs), bench).where("contaminated").count() == 0
     assert sentencepiece_scan.encode(none, queries.public_tokenizer("piece_bpe_32k.model")).count() == 0
