@@ -103,7 +103,7 @@ def ft07(spark, d):
     return rows.groupBy("stratum").applyInPandas(run, "stratum string, knot double, fitted double")
 
 
-@query("ft07_isotonic_ml")
+@query("ft07_isotonic_ml", _ISO.replace("SELECT stratum, floor(cat_score * 40) AS s", "SELECT 1 AS stratum, floor(cat_score * 40) AS s") + " SELECT s, round(max(m), 9) AS fitted FROM mn GROUP BY s")
 def ft07_ml(spark, d):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import IsotonicRegression

@@ -223,7 +223,7 @@ def io18(spark, d):
     return done.rows()
 
 
-@query("ext_stream_windows")
+@query("ext_stream_windows", "SELECT event_type, count(*) AS count FROM events GROUP BY event_type")
 def ext_stream(spark, d):
     """An extension: events by type as a stream, counted once each."""
     path = _folder(spark)

@@ -33,7 +33,7 @@ def sc01(spark, d):
     return e.select("item_id", I.record_text({"item": F.col("item_id"), "truth": I.quoted(F.col("truth")), "adjudicated": F.col("adjudicated")}).alias("text"))
 
 
-@query("sc01_canonical_json_arrow")
+@query("sc01_canonical_json_arrow", """SELECT o_orderkey, '{"inner":{"o_custkey":' || o_custkey || '},"o_orderstatus":"' || o_orderstatus || '","o_totalprice":' || CAST(o_totalprice AS VARCHAR) || '}' AS text FROM orders""")
 def sc01_arrow(spark, d):
     o = X.table(spark, d, "orders").select("o_orderkey", F.to_json(F.struct("o_totalprice", "o_orderstatus", F.struct("o_custkey").alias("inner"))).alias("j"))
     return o.select("o_orderkey", I.canonical_text(F.col("j")).alias("text"))

@@ -163,11 +163,15 @@ def field_names(t: DataType) -> list[str]:
     return []
 
 
-@query("su14_no_result_fields", "SELECT 'correct' AS field")
+_DENIED, _CHECKED = ("correct", "quality", "toxic", "label", "truth"), ("conversations", "documents", "embeddings", "events", "labels")
+
+
+@query("su14_no_result_fields", " UNION ALL ".join(f"SELECT '{t}' AS tab, column_name AS field FROM (DESCRIBE {t}) WHERE column_name IN {_DENIED}" for t in _CHECKED) + " UNION ALL SELECT 'nested', 'correct'")
 def su14(spark, d):
-    df = observed(spark, d).select("item_id", F.struct(F.array(F.struct("correct")).alias("list")).alias("inner"))
-    found = sorted({"correct", "brier", "truth"} & set(field_names(df.schema)))
-    return spark.createDataFrame([(x,) for x in found], "field string")
+    """Denied field names in the tables' schemas, and in one that hides one deep inside."""
+    inner = observed(spark, d).select("item_id", F.struct(F.array(F.struct("correct")).alias("list")).alias("inner"))
+    schemas = {t: X.table(spark, d, t).schema for t in _CHECKED} | {"nested": inner.schema}
+    return spark.createDataFrame([(t, f) for t, s in schemas.items() for f in sorted(set(_DENIED) & set(field_names(s)))], "tab string, field string")
 
 
 @query("su15_evidence_blocks", WS + " SELECT item_id, CASE WHEN truth IS NULL THEN 'unavailable' ELSE 'scored' END AS status, CASE WHEN truth IS NOT NULL THEN winner END AS winner, CASE WHEN truth IS NOT NULL THEN round(selected_p, 9) END AS score, CASE WHEN truth IS NULL THEN 'unresolved truth' END AS reason FROM s1")
