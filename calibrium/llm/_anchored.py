@@ -28,4 +28,6 @@ def anchored(tables: Tables, pairs: DataFrame, docs: DataFrame, run, schema: str
     wanted = others.union(anchors)
     # a merge join at any size: the ids wanted grow with the documents
     rows = wanted.join(docs.select(F.col("doc_id").alias("id"), "text").hint("merge"), "id").select("a", "salt", "role", "b", "info", "text")
-    return tables.written(rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "b"), run, schema)
+    out = tables.written(rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "b"), run, schema)
+    tables.free()
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -63,6 +64,15 @@ class Tables:
         out._calibrium_path = folder
         return out
 
+    def free(self) -> None:
+        """Let Spark delete the shuffle files of finished jobs now.
+
+        It does so for what the driver's collector has found unused, which may
+        take half an hour else; meanwhile each shuffle of texts stays on disk.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         delete(self.spark, df._calibrium_path)
 

@@ -64,7 +64,7 @@ MEETING = "part int, kind int, a long, b long, slot int, al int, ar int, bl int,
 _TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 5, *[pa.int64()] * 3, pa.binary()]
 _NAMES = [c.split()[0] for c in MEETING.split(", ")]
 #: kind 0: documents one and two share a passage. 1: words first..end of document `one` are in a document of
-#: smaller id. 2: are in one of larger id. 3: document `two` has a stretch of hash `one` to be dealt again.
+#: smaller id. 2: are in one of larger id. To be dealt again: 3: document `two` by a stretch of hash `one`; 4: by a single key.
 FOUND = "kind int, one long, two long, first int, end int"
 _RECORD = [("key", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("left", "u1"), ("right", "u1"), ("slot", "u1")]
 
@@ -244,14 +244,16 @@ def single_keys(shingles: np.ndarray, function: int) -> np.ndarray:
     return mix(shingles * U64(0x9FB21C651E98DF25) + U64(function))
 
 
-def compare(texts: list[np.ndarray], anchor: np.ndarray, deal: bool) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], list[np.ndarray]]:
+def compare(texts: list[np.ndarray], anchor: np.ndarray, deal: bool) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], list[tuple[int, np.ndarray, np.ndarray]]]:
     """Stretches that texts and their anchors share.
 
     texts: shingles; anchor: for each the number of the text to compare it
     with, its own for an anchor, which stands before the others. Returned:
-    (text, first, end) of stretches of others and of anchors, and, for each
-    text, the routes by which it is dealt again: the hashes of stretches of
-    LEAST shingles, and single keys that the anchor has but outside what is alike.
+    (text, first, end) of stretches of others and of anchors, and (kind, text,
+    route) by which texts are dealt again: the hashes of stretches of LEAST
+    shingles, and single keys where many shingles are the anchor's, but no
+    stretch is alike. Fewer of them can't hide a passage that others share: two
+    near passages have a key of their own wherever the first document has not.
     """
     every = np.concatenate(texts)
     size = np.array(list(map(len, texts)))
@@ -261,7 +263,7 @@ def compare(texts: list[np.ndarray], anchor: np.ndarray, deal: bool) -> tuple[li
     mine = of != group
     others: list[tuple[int, int, int]] = []
     anchors: list[tuple[int, int, int]] = []
-    again = [np.empty(0, U64)] * len(texts)
+    again: list[tuple[int, np.ndarray, np.ndarray]] = []
 
     whole = stretch_hashes(every, LEAST)
     fits = of[: len(whole)] == of[len(every) - len(whole) :]
@@ -289,7 +291,6 @@ def compare(texts: list[np.ndarray], anchor: np.ndarray, deal: bool) -> tuple[li
             anchors.append((g, p, q))
 
     if deal and len(whole):
-        routes: list[tuple[np.ndarray, np.ndarray]] = []
         lacking = np.flatnonzero(fits & own & ~equal)
         if len(lacking):
             half = stretch_hashes(every, HALF)
@@ -299,24 +300,17 @@ def compare(texts: list[np.ndarray], anchor: np.ndarray, deal: bool) -> tuple[li
             c = least_places(every, 0)[lacking]
             start = np.where(c - HALF + 1 >= lacking, c - HALF + 1, c)
             lacking = lacking[member(half_key[start], known)]
-            routes.append((of[lacking], whole[lacking]))
+            again.append((3, of[lacking], whole[lacking]))
         loose = np.zeros(len(every), bool)
         loose[m[match >= 0]] = True
         for t, x, y in others:
             loose[begin[t] + x : begin[t] + y] = False
-        if loose.any():
-            wanted = np.flatnonzero(fits & own)
-            for f in range(FUNCTIONS):
-                c = np.unique(least_places(every, f)[wanted])
-                c = c[loose[c]]
-                routes.append((of[c], ~single_keys(every[c], f)))
-        if routes:
-            text, route = (np.concatenate(x) for x in zip(*routes))
-            order = np.argsort(text, kind="stable")
-            cuts = np.flatnonzero(np.diff(text[order])) + 1
-            for part in np.split(order, cuts):
-                if len(part):
-                    again[int(text[part[0]])] = np.unique(route[part])
+        before = np.concatenate(([0], np.cumsum(loose)))
+        wanted = np.flatnonzero(fits & own & (before[np.minimum(np.arange(len(whole)) + LEAST, len(every))] - before[: len(whole)] >= HALF))
+        for f in range(FUNCTIONS if len(wanted) else 0):
+            c = np.unique(least_places(every, f)[wanted])
+            c = c[loose[c]]
+            again.append((4, of[c], single_keys(every[c], f)))
     return others, anchors, again
 
 
@@ -351,9 +345,9 @@ def _verify(deal: bool):
                 rows += [(1, names[t], None, x, y + SHINGLE - 1) for t, x, y in others] + [(2, names[t], None, x, y + SHINGLE - 1) for t, x, y in anchors]
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], names=["kind", "one", "two", "first", "end"])
-                for t in range(len(texts)):
-                    if n := len(again[t]):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 3, np.int32)), pa.array(again[t].view(np.int64)), pa.array(np.full(n, names[t])), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], names=["kind", "one", "two", "first", "end"])
+                for kind, of, route in again:
+                    n = len(of)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(route.view(np.int64)), pa.array(np.array(names, np.int64)[of]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], names=["kind", "one", "two", "first", "end"])
 
     return run
 
@@ -397,6 +391,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     known = docs.where("doc_id is not null")
     scanned = docs.mapInArrow(_scan(RANGES * width), MEETING)
     met = tables.written(scanned.repartition(width, "part").sortWithinPartitions("part"), _meet, MEETING)
+    tables.free()
     rows = met.where("kind = 0").select(F.col("a").alias("doc_id"), "h1", "h2", F.col("n").alias("n_words"))
 
     # Documents of the same words: the first stands for all.
@@ -409,9 +404,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     compared = lambda p, deal: anchored(tables, p.withColumn("info", F.lit(0)), known, _verify(deal), FOUND)
     found = compared(pairs, True)
 
-    again = found.where("kind = 3").select(F.col("one").alias("route"), F.col("two").alias("doc")).distinct()
-    heads = again.groupBy("route").agg(F.min("doc").alias("a"), F.max("doc").alias("last")).where("a < last").select("route", "a")
-    more = again.join(heads, "route").where("doc <> a").select("a", F.col("doc").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    again = found.where("kind >= 3").select("kind", F.col("one").alias("route"), F.col("two").alias("doc")).distinct()
+    heads = again.groupBy("kind", "route").agg(F.min("doc").alias("a"), F.max("doc").alias("last")).where("a < last").select("kind", "route", "a")
+    more = again.join(heads, ["kind", "route"]).where("doc <> a").groupBy("a", F.col("doc").alias("b")).agg(F.bool_or(F.col("kind") == 3).alias("whole"), F.count("*").alias("agree"))
+    more = more.where(F.col("whole") | (F.col("agree") >= ENOUGH)).select("a", "b").join(pairs, ["a", "b"], "left_anti")
     found = found.where("kind < 3").union(compared(tables.cut(more), False))
 
     of = lambda kind: found.where(F.col("kind") == kind).select(F.col("one").alias("doc_id"), "first", "end")
