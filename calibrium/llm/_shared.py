@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ._files import make_folder, opened
 
@@ -47,7 +47,7 @@ class Tables:
         out._calibrium_path = path
         return out
 
-    def written(self, rows: DataFrame, run, schema: str) -> DataFrame:
+    def written(self, rows: DataFrame, run, schema: str | StructType) -> DataFrame:
         """The rows that `run` makes of `rows`, written where they are made.
 
         As `cut(rows.mapInArrow(run, schema))`, but they don't go back through
@@ -58,12 +58,22 @@ class Tables:
         self.n += 1
         folder = f"{self.folder}/t{self.n}"
         make_folder(folder)
-        kind = StructType.fromDDL(schema)
+        kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
         names = [r["uri"] for r in rows.mapInArrow(_file_writer(folder, run, to_arrow_schema(kind)), "uri string").collect()]
         out = self.spark.read.schema(kind).parquet(*sorted(names)) if names else self.spark.createDataFrame([], kind)
         out._calibrium_path = folder
         return out
 
+    def kept(self, df: DataFrame) -> DataFrame:
+        """As `cut`, by `written`: for operators that run Python anyway."""
+        names, own = [f"c{i}" for i in range(len(df.columns))], df.columns
+        plain = df.toDF(*names)
+        schema = StructType([StructField(n, f.dataType) for n, f in zip(names, df.schema)])
+        out = self.written(plain, iter, schema)
+        path, out = out._calibrium_path, out.toDF(*own)
+        out._calibrium_path = path
+        return out
+
     def free(self) -> None:
         """Let Spark delete the shuffle files of finished jobs now.
 
@@ -134,16 +144,16 @@ def components(tables: Tables, edges: DataFrame) -> DataFrame:
     minimum and its join is split by the adaptive planner.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, seen = tables.cut(e), None
+    e, seen = tables.kept(e), None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = tables.cut(large)
+        large = tables.kept(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         tables.drop(e)
-        e = tables.cut(small)
+        e = tables.kept(small)
         tables.drop(large)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:

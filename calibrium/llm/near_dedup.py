@@ -175,16 +175,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sig = tables.written(docs, _signatures(shingle), SIGNATURE)
     sets = sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    reps = tables.cut(sets)
+    reps = tables.kept(sets)
     info = reps.select("rep", "n_shingles", "sketch")
 
     held = reps.select("rep", F.posexplode("bands").alias("band", "value")).select("rep", F.xxhash64("band", "value").alias("bucket"))
     shared = held.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    held = tables.cut(held.join(shared, "bucket"))
+    held = tables.kept(held.join(shared, "bucket"))
     weight = held.groupBy("rep").agg(F.sum("size").alias("weight"))
     held = held.join(weight, "rep").select("bucket", "rep", "weight")
     centers = held.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("center"))
-    members = tables.cut(held.select("bucket", "rep").join(centers, "bucket"))
+    members = tables.kept(held.select("bucket", "rep").join(centers, "bucket"))
 
     limit = sketch_distance_limit(percent)
     differ = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
@@ -193,20 +193,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     to_text = docs.where("doc_id is not null")
 
     pairs = members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = tables.cut(pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"))
+    pairs = tables.kept(pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"))
     confirm = lambda p: anchored(tables, p.withColumn("info", F.lit(0)), to_text, _confirm(shingle, percent), "a long, b long")
     edges = confirm(pairs)
 
     # Members outside their centre's component.
     root = components(tables, edges)
     label = lambda df, c, to: df.join(root.select(F.col("id").alias(c), F.col("root").alias("_r")), c, "left").withColumn(to, F.coalesce("_r", c)).drop("_r")
-    state = tables.cut(label(label(members, "rep", "own"), "center", "main"))
+    state = tables.kept(label(label(members, "rep", "own"), "center", "main"))
     told = pairs.select(F.col("a").alias("center"), F.col("b").alias("rep"), F.lit(True).alias("told"))
     mixed = state.where("own <> main").select("bucket").distinct()
-    state = tables.cut(state.join(mixed, "bucket").join(told, ["center", "rep"], "left").withColumn("told", F.coalesce("told", F.lit(False))))
+    state = tables.kept(state.join(mixed, "bucket").join(told, ["center", "rep"], "left").withColumn("told", F.coalesce("told", F.lit(False))))
 
     # Both compared with the centre: by their shared differences from it.
-    far = tables.cut(state.where("own <> main and told").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct())
+    far = tables.kept(state.where("own <> main and told").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct())
     around = pairs.join(far.select("a").distinct(), "a")
     differ_by = anchored(tables, around.withColumn("info", F.lit(0)), to_text, _differences(shingle), "a long, b long, e array<long>")
     sizes = info.select(F.col("rep").alias("b"), F.col("n_shingles").alias("size"))
@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     x = state.where("own <> main").select("bucket", F.col("told").alias("x_told"), F.col("rep").alias("b"), F.col("own").alias("b_own")).join(side("b"), "b")
     y = state.where("rep <> center").select("bucket", F.col("told").alias("y_told"), F.col("rep").alias("a"), F.col("own").alias("a_own"), "main").join(side("a"), "a")
     more = x.join(y, (x.bucket == y.bucket) & ~(F.col("x_told") & F.col("y_told")) & (F.col("a_own") != F.col("b_own")) & ((F.col("a_own") == F.col("main")) | (F.col("a") < F.col("b"))) & alike)
-    more = tables.cut(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(by_difference).distinct())
+    more = tables.kept(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(by_difference).distinct())
     edges = edges.union(confirm(more))
 
     root = components(tables, edges).withColumnRenamed("id", "rep")

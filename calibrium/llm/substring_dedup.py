@@ -396,11 +396,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     # Documents of the same words: the first stands for all.
     texts = rows.where(f"doc_id is not null and n_words >= {WORDS}").groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last")
-    copies = tables.cut(rows.join(texts, ["h1", "h2", "n_words"]).where("doc_id > rep").select("doc_id", "rep", F.col("n_words").cast("int").alias("end")).distinct())
+    copies = tables.kept(rows.join(texts, ["h1", "h2", "n_words"]).where("doc_id > rep").select("doc_id", "rep", F.col("n_words").cast("int").alias("end")).distinct())
     first_of = copies.select(F.col("doc_id").alias("_id"), "rep")
     stands = lambda df, c: df.join(first_of, F.col(c) == F.col("_id"), "left").withColumn(c, F.coalesce("rep", c)).drop("_id", "rep")
     pairs = stands(stands(candidates(met), "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = tables.cut(pairs)
+    pairs = tables.kept(pairs)
     compared = lambda p, deal: anchored(tables, p.withColumn("info", F.lit(0)), known, _verify(deal), FOUND)
     found = compared(pairs, True)
 
@@ -408,7 +408,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     heads = again.groupBy("kind", "route").agg(F.min("doc").alias("a"), F.max("doc").alias("last")).where("a < last").select("kind", "route", "a")
     more = again.join(heads, ["kind", "route"]).where("doc <> a").groupBy("a", F.col("doc").alias("b")).agg(F.bool_or(F.col("kind") == 3).alias("whole"), F.count("*").alias("agree"))
     more = more.where(F.col("whole") | (F.col("agree") >= ENOUGH)).select("a", "b").join(pairs, ["a", "b"], "left_anti")
-    found = found.where("kind < 3").union(compared(tables.cut(more), False))
+    found = found.where("kind < 3").union(compared(tables.kept(more), False))
 
     of = lambda kind: found.where(F.col("kind") == kind).select(F.col("one").alias("doc_id"), "first", "end")
     later = of(1).union(copies.select("doc_id", F.lit(0).alias("first"), "end"))
@@ -417,6 +417,6 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeated = merged(later.union(sooner)).select("doc_id", F.col("n").alias("n_repeated"))
     edges = found.where("kind = 0").select(F.col("one").alias("a"), F.col("two").alias("b")).union(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     classes = components(tables, edges).select(F.col("id").alias("doc_id"), F.col("root").alias("class_id"))
-    marks = tables.cut(repeated.join(removed, "doc_id", "left").join(classes, "doc_id", "left"))
+    marks = tables.kept(repeated.join(removed, "doc_id", "left").join(classes, "doc_id", "left"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return rows.join(marks, "doc_id", "left").select("doc_id", "n_words", zero("n_repeated"), zero("n_removed"), F.coalesce("class_id", "doc_id").alias("class_id"), F.col("n_repeated").isNotNull().alias("repeated"), "spans")
