@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -80,8 +81,10 @@ class Tables:
         It does so for what the driver's collector has found unused, which may
         take half an hour else; meanwhile each shuffle of texts stays on disk.
         """
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            time.sleep(0.3)  # Python's references are given up by a thread of their own
+            self.spark._jvm.System.gc()
 
     def drop(self, df: DataFrame) -> None:
         delete(self.spark, df._calibrium_path)
