@@ -60,7 +60,10 @@ class Tables:
         folder = f"{self.folder}/t{self.n}"
         make_folder(folder)
         kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        names = [r["uri"] for r in rows.mapInArrow(_file_writer(folder, run, to_arrow_schema(kind)), "uri string").collect()]
+        made = rows.mapInArrow(_file_writer(folder, run, to_arrow_schema(kind)), "uri string")
+        names = [r["uri"] for r in made.collect()]
+        # its plan has the shuffles; Python would give it up some seconds later
+        self.spark.sparkContext._gateway.detach(made._jdf)
         out = self.spark.read.schema(kind).parquet(*sorted(names)) if names else self.spark.createDataFrame([], kind)
         out._calibrium_path = folder
         return out
