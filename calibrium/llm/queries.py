@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, language_id, lm_scoring, near_dedup, sentencepiece_scan, substring_dedup, token_files, url_rules, warc
+from . import decontaminate, fingerprints, language_id, lexical_search, lm_scoring, near_dedup, sentencepiece_scan, substring_dedup, token_files, url_rules, warc
 
 #: The rules of op3: host, path, verdict.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -71,8 +71,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_repeated", "n_removed", "class_id", "repeated", F.transform(F.coalesce("spans", F.array()), lambda s: F.concat_ws("-", s["first"], s["end"])).alias("removed"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents that score highest for each benchmark item."""
+    return lexical_search.search(lexical_search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_near_dedup, op2_decontaminate, op3_url_rules, op4_warc, op5_fingerprints, op6_sentencepiece, op7_lm_scoring, op8_language_id, op9_token_files, op10_substring_dedup)
+    own = (op1_near_dedup, op2_decontaminate, op3_url_rules, op4_warc, op5_fingerprints, op6_sentencepiece, op7_lm_scoring, op8_language_id, op9_token_files, op10_substring_dedup, op11_lexical_search)
     return {f.__name__: f for f in own}
 
 
@@ -149,5 +154,19 @@ FROM d
 """
 
 
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z0-9\x{{80}}-\x{{10FFFF}}]+')) AS term FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '[a-z0-9\x{{80}}-\x{{10FFFF}}]+')) AS term FROM benchmark),
+sizes AS (SELECT row, count(*) AS n FROM d GROUP BY row),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+tf AS (SELECT row, doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+part AS (SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms)))) AS part FROM tf JOIN sizes USING (row) JOIN weight USING (term), total),
+score AS (SELECT item_id, row, doc_id, CAST(sum(part) AS BIGINT) AS score FROM part JOIN q USING (term) GROUP BY ALL),
+best AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS INTEGER) AS rank FROM score WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM best WHERE rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": OP1_SQL, "op2_decontaminate": OP2_SQL, "op3_url_rules": OP3_SQL, "op4_warc": OP4_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op2_decontaminate": OP2_SQL, "op3_url_rules": OP3_SQL, "op4_warc": OP4_SQL, "op11_lexical_search": OP11_SQL}
