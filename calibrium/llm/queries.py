@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, language_id, lexical_search, lm_scoring, near_dedup, sentencepiece_scan, substring_dedup, token_files, url_rules, warc, whitening
+from . import decontaminate, fingerprints, language_id, lexical_search, lm_scoring, near_dedup, secret_scan, sentencepiece_scan, substring_dedup, token_files, url_rules, warc, whitening
 
 #: The rules of op3: host, path, verdict.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -76,12 +76,16 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(lexical_search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_near_dedup, op2_decontaminate, op3_url_rules, op4_warc, op5_fingerprints, op6_sentencepiece, op7_lm_scoring, op8_language_id, op9_token_files, op10_substring_dedup, op11_lexical_search, op13_whitening)
+    own = (op1_near_dedup, op2_decontaminate, op3_url_rules, op4_warc, op5_fingerprints, op6_sentencepiece, op7_lm_scoring, op8_language_id, op9_token_files, op10_substring_dedup, op11_lexical_search, op12_secret_scan, op13_whitening)
     return {f.__name__: f for f in own}
 
 
