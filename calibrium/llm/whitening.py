@@ -2,11 +2,12 @@
 
 Entries become integers, so sums and deviations are exact. One aggregation has
 the sum of every dimension; a second one, generated as Spark SQL, has the sum of
-the centred products of every pair of dimensions in the upper triangle. The
-driver gets these numbers alone, assembles the covariance and has LAPACK
-decompose it. Projections are generated expressions too, so no row leaves the
-JVM. The covariance of what comes out is summed in the same way and held
-against the identity.
+the centred products of every pair of dimensions in the upper triangle: a column
+for each second dimension, a group for each first one. The driver gets these
+numbers alone, assembles the covariance and has LAPACK decompose it.
+Projections are generated expressions too, so no row leaves the JVM. The
+covariance of what comes out is summed in the same way and held against the
+identity.
 
 The fit list is all rows that are kept; nothing is sampled.
 """
@@ -16,15 +17,15 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import Tables
 
 #: Fixed values of the integer scale: factor and shift.
 FACTOR, SHIFT = 64, 1_000_000
-#: Pairs of one aggregation; more dimensions than these pairs have take several.
-MOST_PAIRS = 4096
+#: Second entries of one row of the aggregation.
+BLOCK = 64
 #: Components whose eigenvalue is a smaller share of the trace have no whitening in doubles.
 LEAST_SHARE = 1e-12
 #: Components of a row, at most.
@@ -43,8 +44,10 @@ def scaled(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     """(vec_id, x): integers of the vectors without null, NaN or infinite entries."""
     vector, entry = F.col("_v"), lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
     rows = rows.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("_v"))
-    rows = rows.where(vector.isNotNull() & ~F.exists(vector, entry))
-    return rows.select("vec_id", F.transform(vector, lambda c: F.floor(FACTOR * c) + F.lit(SHIFT).cast("long")).alias("x"))
+    good = vector.isNotNull() & ~F.exists(vector, entry)
+    # guarded, as Spark may move conditions on x before the one on the vector
+    x = F.when(good, F.transform(vector, lambda c: F.floor(FACTOR * c) + F.lit(SHIFT).cast("long")))
+    return rows.select("vec_id", x.alias("x")).where("x is not null")
 
 
 def _centred(n: int, sums: list[int]) -> list[str]:
@@ -52,18 +55,23 @@ def _centred(n: int, sums: list[int]) -> list[str]:
     return [f"({n}L * x[{i}] - {s}L)" for i, s in enumerate(sums)]
 
 
-def pair_sums(rows: DataFrame, columns: list[str]) -> np.ndarray:
-    """The symmetric matrix of sums of products of every two columns.
+def pair_sums(rows: DataFrame, column: str, size: int) -> np.ndarray:
+    """The symmetric matrix of sums of products of every two entries of an array column.
 
-    The sums are generated SQL over the upper triangle, in one aggregation up to
-    MOST_PAIRS pairs; columns are named and centred by the caller.
+    One aggregation: a row is taken once for each first entry i and block of
+    second entries; generated SQL sums the products of i with each j of the
+    block from i on, the upper triangle. Blocks keep the number of generated
+    sums the same in any dimension, and small enough for compiled code.
     """
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    out = np.zeros((len(columns), len(columns)))
-    for at in range(0, len(pairs), MOST_PAIRS):
-        own = pairs[at : at + MOST_PAIRS]
-        for (i, j), v in zip(own, rows.selectExpr(*[f"sum({columns[i]} * {columns[j]})" for i, j in own]).first()):
-            out[i, j] = out[j, i] = v or 0.0
+    blocks = [b for b in range(-(-size // BLOCK))]
+    flat = rows.selectExpr(column, f"posexplode({column}) AS (i, c)").selectExpr("i", "c", column, f"explode(array({', '.join(map(str, blocks))})) AS b").where(f"i < {BLOCK} * (b + 1)")
+    each = [f"sum(CASE WHEN {BLOCK} * b + {k} >= i THEN c * get({column}, {BLOCK} * b + {k}) END) AS s{k}" for k in range(min(size, BLOCK))]
+    out = np.zeros((size, size))
+    for row in flat.groupBy("i", "b").agg(*map(F.expr, each)).collect():
+        for k in range(min(size, BLOCK)):
+            j = BLOCK * row["b"] + k
+            if row["i"] <= j < size:
+                out[row["i"], j] = out[j, row["i"]] = row[f"s{k}"]
     return out
 
 
@@ -73,9 +81,8 @@ def fit(x: DataFrame, dimensions: int, components: int = COMPONENTS) -> Fit:
     n, sums = row[0], [int(v or 0) for v in row[1:]]
     if not n or not dimensions:
         return Fit(n, sums, np.zeros(0), np.zeros((0, dimensions)), 0.0)
-    names = [f"d{i}" for i in range(dimensions)]
-    centred = x.selectExpr(*[f"cast({e} as double) / {n}D AS {d}" for d, e in zip(names, _centred(n, sums))])
-    covariance = pair_sums(centred, names) / n
+    centred = x.selectExpr(f"array({', '.join(f'cast({e} as double) / {n}D' for e in _centred(n, sums))}) AS d")
+    covariance = pair_sums(centred, "d", dimensions) / n
     values, vectors = np.linalg.eigh(covariance)
     order, trace = np.argsort(-values, kind="stable"), float(np.trace(covariance))
     order = [k for k in order if values[k] > LEAST_SHARE * trace][:components]
@@ -112,17 +119,17 @@ def whiten(rows: DataFrame, components: int = COMPONENTS, id_col: str = "vec_id"
     kind = f"vec_id {x.schema['vec_id'].dataType.simpleString()}, component int, n long, deviation long, whitened double, explained double, identity_error double"
     if not k:
         return spark.createDataFrame([], kind)
-    names, ws = [f"d{i}" for i in range(dimensions)], [f"w{i}" for i in range(k)]
+    names = [f"d{i}" for i in range(dimensions)]
     exact = x.selectExpr("vec_id", *[f"{e} AS {d}" for d, e in zip(names, _centred(f.n, f.sums))])
     square = [f"{d} * {d}" for d in names]
     while len(square) > 1:
         square = [f"({' + '.join(square[i : i + 8])})" for i in range(0, len(square), 8)]
     weights = f.vectors / (f.n * np.sqrt(f.values))[:, None]
     doubles = exact.selectExpr("vec_id", f"{square[0]} AS deviation", *[f"cast({d} as double) AS {d}" for d in names])
-    done = tables.cut(doubles.selectExpr("vec_id", "deviation", *[f"{_dot(names, w)} AS {c}" for c, w in zip(ws, weights)]))
-    means = done.selectExpr(*[f"sum({c}) / {f.n}" for c in ws]).first()
-    covariance = pair_sums(done.selectExpr(*[f"{c} - ({float(m)!r}D) AS {c}" for c, m in zip(ws, means)]), ws) / f.n
-    error = float(np.abs(covariance - np.eye(k)).max())
-    each: list[Column] = [F.struct(F.lit(i + 1).alias("component"), F.col(c).alias("whitened"), F.lit(float(v / f.trace)).alias("explained")) for i, (c, v) in enumerate(zip(ws, f.values))]
-    out = done.select("vec_id", "deviation", F.explode(F.array(*each)).alias("c"))
-    return out.select("vec_id", "c.component", F.lit(f.n).cast("long").alias("n"), "deviation", "c.whitened", "c.explained", F.lit(error).alias("identity_error"))
+    done = tables.cut(doubles.selectExpr("vec_id", "deviation", f"array({', '.join(_dot(names, w) for w in weights)}) AS w"))
+    means = {r["i"]: r["m"] for r in done.selectExpr("posexplode(w) AS (i, c)").groupBy("i").agg((F.sum("c") / f.n).alias("m")).collect()}
+    centred = done.selectExpr(f"zip_with(w, array({', '.join(f'{float(means[i])!r}D' for i in range(k))}), (c, m) -> c - m) AS w")
+    error = float(np.abs(pair_sums(centred, "w", k) / f.n - np.eye(k)).max())
+    shares = f"array({', '.join(f'{float(v / f.trace)!r}D' for v in f.values)})"
+    out = done.selectExpr("vec_id", "deviation", "posexplode(w) AS (i, whitened)")
+    return out.selectExpr("vec_id", "i + 1 AS component", f"{f.n}L AS n", "deviation", "whitened", f"get({shares}, i) AS explained", f"{error!r}D AS identity_error")

@@ -20,9 +20,9 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, v, "x", 5) for i, v in rows], "vec_id long, embedding array<double>, component string, n int")
 
 
-@pytest.mark.parametrize(("n", "d", "most", "pairs"), [(200, 6, 32, 4096), (300, 40, 32, 100), (50, 8, 3, 4096)])
-def test_whitening_equals_numpy(spark, monkeypatch, n, d, most, pairs):
-    monkeypatch.setattr(W, "MOST_PAIRS", pairs)  # several aggregations
+@pytest.mark.parametrize(("n", "d", "most", "block"), [(200, 6, 32, 64), (300, 40, 32, 7), (50, 8, 3, 64)])
+def test_whitening_equals_numpy(spark, monkeypatch, n, d, most, block):
+    monkeypatch.setattr(W, "BLOCK", block)
     good = list(enumerate(vectors(n, d, n)))
     good += [(7, good[7][1]), (None, good[3][1])]
     bad = [(900, None), (901, [None] * d), (902, [float("nan")] + [0.0] * (d - 1)), (903, [float("inf")] + [0.0] * (d - 1)), (904, [1.0]), (905, [])]
