@@ -10,19 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from ..functions.exact import exact_means
 
 #: Fixed values of the solver: objective gap of the certificate, iterations, Armijo share, halvings; KKT bound of beta.
 GAP, ITERATIONS, ARMIJO, HALVINGS, KKT = 1e-14, 100, 1e-4, 60, 1e-10
 
 
-def objective_terms(x: Column, y: Column, a: Column | float, b: Column | float, weight: Column | None = None) -> dict[str, Column]:
-    """Means of the negative log likelihood, its gradient and its Hessian at (a, b)."""
-    mean = F.avg if weight is None else lambda c: F.sum(weight * c) / F.sum(weight)
+def objective_values(x: Column, y: Column, a: Column | float, b: Column | float) -> dict[str, Column]:
+    """A row's negative log likelihood, its gradient and its Hessian at (a, b)."""
     z = x * a + b
     q = N.sigmoid(z)
     r = F.when(y == 1, -N.sigmoid(-z)).otherwise(q)  # no q - 1: it would cancel
     w = q * N.sigmoid(-z)
-    return {"nll": mean(N.softplus(F.when(y == 1, -z).otherwise(z))), "ga": mean(r * x), "gb": mean(r), "haa": mean(w * x * x), "hab": mean(w * x), "hbb": mean(w)}
+    return {"nll": N.softplus(F.when(y == 1, -z).otherwise(z)), "ga": r * x, "gb": r, "haa": w * x * x, "hab": w * x, "hbb": w}
 
 
 def certificate(strength: float) -> float:
@@ -62,10 +62,10 @@ MOST_GROUPS = 100_000
 def fit_many(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, strength, slope, intercept, objective, gradient_norm, certified) of all groups at once.
 
-    rows: (by, strength, x, y, w), w rows of one score and label. The loss is the
-    weighted mean negative log likelihood plus strength / 2 (a^2 + b^2). Every
-    step is one aggregate of six sums for all groups that are not done; only
-    these sums reach the driver, so a group may have any number of rows. Without
+    rows: (by, strength, x, y, w), w (a whole number) rows of one score and label.
+    The loss is the mean negative log likelihood plus strength / 2 (a^2 + b^2).
+    Every step is one aggregate of six exact sums for all groups that are not
+    done, so a fit is the same at any partitioning; only these reach the driver, so a group may have any number of rows. Without
     its certificate a pair is none: both are null. No rows: no groups. More than
     MOST_GROUPS: ValueError.
     """
@@ -81,8 +81,8 @@ def fit_many(rows: DataFrame, by: list[str]) -> DataFrame:
         while open_ := {k: n for k, n in groups.items() if not n.done}:
             points = F.broadcast(spark.createDataFrame([(*k, float(n.point[0]), float(n.point[1])) for k, n in open_.items()], f"{kinds}, _a double, _b double").toDF(*[f"_{c}" for c in keys], "_a", "_b"))
             same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
-            terms = objective_terms(F.col("x"), F.col("y"), F.col("_a"), F.col("_b"), F.col("w"))
-            for r in rows.join(points, same).groupBy(*keys).agg(*[c.alias(f"_{k}") for k, c in terms.items()]).collect():
+            terms = {f"_{k}": c for k, c in objective_values(F.col("x"), F.col("y"), F.col("_a"), F.col("_b")).items()}
+            for r in exact_means(rows.join(points, same), keys, terms, F.col("w")).collect():
                 k = tuple(r[c] for c in keys)
                 (a, b), s = groups[k].point, k[-1]
                 g, h = np.array([r["_ga"] + s * a, r["_gb"] + s * b]), np.array([[r["_haa"] + s, r["_hab"]], [r["_hab"], r["_hbb"] + s]])

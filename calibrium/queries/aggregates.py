@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as X
 from ..functions import identity as I
 from ..functions import numeric as N
+from ..functions.exact import exact_sums
 from ..operators import metrics as M
 from ..operators.panel import risk_matrix
 from . import query
@@ -79,6 +80,29 @@ def ag07(spark, d):
     return o.groupBy("bucket").agg(I.multiset_digest(F.col("f")).alias("fp"), F.count("*").alias("n"))
 
 
+def exact_sql(source: str, key: str, value: str) -> str:
+    """SQL of (key, n, total): sums of values from 0 to 1 whose last bit is 2**-100 or more, exact, rounded once.
+
+    Values are whole numbers of two limbs of 50 bits; their sum, in 128 bits,
+    is rounded to 53 bits by hand, half to even.
+    """
+    return f"""(SELECT {key}, n, CASE WHEN p = 1 THEN t ELSE t // p + CAST(t % p > p // 2 OR (t % p = p // 2 AND (t // p) % 2 = 1) AS INTEGER) END::DOUBLE * p::DOUBLE / pow(2.0::DOUBLE, 100) AS total
+  FROM (SELECT {key}, n, t, CAST(pow(2.0::DOUBLE, greatest(0, CAST(floor(log2(greatest(t, 1)::DOUBLE)) AS INTEGER) - 52)) AS HUGEINT) AS p
+    FROM (SELECT {key}, count(*) AS n, sum(a) * 1125899906842624::HUGEINT + sum(CAST(floor((v - a::DOUBLE / 1125899906842624) * pow(2.0::DOUBLE, 100)) AS HUGEINT)) AS t
+      FROM (SELECT {key}, v, CAST(floor(v * 1125899906842624) AS HUGEINT) AS a FROM (SELECT {key}, {value} AS v FROM {source})) GROUP BY {key})))"""
+
+
+_BRIER3 = lambda c: exact_sql("f3", "stratum", f"({c} - label) * ({c} - label)")
+
+
+@query("ag01_exact_brier", f"WITH {X.F3} SELECT c.stratum, c.n, c.total AS cat_sum, o.total AS ovr_sum, c.total / c.n AS cat_mean, o.total / o.n AS ovr_mean FROM {_BRIER3('cat_score')} c JOIN {_BRIER3('ovr_score')} o ON c.stratum = o.stratum")
+def ag01_exact(spark, d):
+    """Not rounded: every bit of the sums and means is the SQL's."""
+    y = F.col("label")
+    sums = exact_sums(X.paired_rows(spark, d), ["stratum"], {"cat_sum": N.brier(F.col("cat_score"), y), "ovr_sum": N.brier(F.col("ovr_score"), y)})
+    return sums.select("*", (F.col("cat_sum") / F.col("n")).alias("cat_mean"), (F.col("ovr_sum") / F.col("n")).alias("ovr_mean"))
+
+
 #: Fixed maps that stand for fits: cross and native, of either direction.
 CROSS, NATIVE = (3.0, -1.5), (4.0, -2.0)
 _B = lambda p: f"({p} - label) * ({p} - label)"

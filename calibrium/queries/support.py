@@ -8,6 +8,7 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 from .. import fixtures as X
 from ..functions import identity as I
 from ..functions import numeric as N
+from ..functions.exact import exact_means, exact_sums
 from ..operators import calibration as C
 from ..operators import measure
 from ..operators import scoring as S
@@ -19,15 +20,29 @@ from .scoring import observed
 W1, W3, W4, W5, WS = (f"WITH {x}" for x in (X.F1, X.F3, X.F4, X.F5, X.S1))
 
 
-@query("su01_exact_log_loss", f"WITH {E} SELECT y, CASE WHEN bool_or((CASE WHEN y = 1 THEN p ELSE 1 - p END) = 0) THEN NULL ELSE 0.0 END AS mean FROM e GROUP BY y")
+#: Scores near the ends are taken for certain, so that some of them are certain and wrong.
+_SURE = "CASE WHEN cat_score < 0.02 THEN 0.0 WHEN cat_score > 0.98 THEN 1.0 ELSE cat_score END"
+_LOSS = f"l AS (SELECT cluster_id, CASE WHEN q = 0 THEN CAST('inf' AS DOUBLE) ELSE -ln(q) END AS loss FROM (SELECT cluster_id, CASE WHEN label = 1 THEN {_SURE} ELSE 1 - {_SURE} END AS q FROM f3))"
+
+
+def _sure_losses(spark, d):
+    return X.paired_rows(spark, d).select("cluster_id", N.log_loss(F.expr(_SURE), F.col("label") == 1).alias("loss"))
+
+
+@query("su01_exact_log_loss", W3 + ", " + _LOSS + " SELECT cluster_id, count(*) AS n, CASE WHEN bool_or(isinf(loss)) THEN 'POSITIVE_INFINITY' ELSE 'FINITE' END AS state, CASE WHEN NOT bool_or(isinf(loss)) THEN round(avg(loss), 9) END AS mean FROM l GROUP BY cluster_id")
 def su01(spark, d):
-    loss = N.log_loss(F.col("p"), F.col("y") == 1)
-    return edges(spark).groupBy("y").agg(F.when(~F.bool_or(loss == N.INF), F.avg(loss)).alias("mean"))
+    """Exact mean of a cluster's log losses, a value or a state."""
+    m = exact_means(_sure_losses(spark, d), ["cluster_id"], {"mean": F.col("loss")})
+    state = N.state(F.col("mean"))
+    return m.select("cluster_id", "n", state.alias("state"), F.when(state == "FINITE", F.round("mean", 9)).alias("mean"))
 
 
-@query("su02_log_loss_twin", f"WITH {E} SELECT y, count(*) FILTER ((CASE WHEN y = 1 THEN p ELSE 1 - p END) = 0) AS infinite FROM e GROUP BY y")
+@query("su02_log_loss_twin", W3 + ", " + _LOSS + " SELECT cluster_id, count(*) FILTER (isinf(loss)) AS infinite, round(coalesce(sum(loss) FILTER (NOT isinf(loss)), 0), 9) AS finite FROM l GROUP BY cluster_id")
 def su02(spark, d):
-    return edges(spark).groupBy("y").agg(F.count_if(N.log_loss(F.col("p"), F.col("y") == 1) == N.INF).alias("infinite"))
+    """The same losses as a count of infinite ones and the exact sum of the others."""
+    loss = F.col("loss")
+    sums = exact_sums(_sure_losses(spark, d), ["cluster_id"], {"infinite": (loss == N.INF).cast("int"), "finite": F.when(loss != N.INF, loss)})
+    return sums.select("cluster_id", F.col("infinite").cast("long").alias("infinite"), r9("finite", "finite"))
 
 
 @query("su03_item_differences", W3 + " SELECT item_id, round((cat_score - label) * (cat_score - label) - (ovr_score - label) * (ovr_score - label), 12) AS d FROM f3")
