@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import tarfile
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -17,13 +16,7 @@ from .scalars import r9
 
 
 def _folder(spark) -> str:
-    """A new folder that driver and executors share; a machine's own only where that is all there is."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no shared folder")
-        base = "file:///tmp/calibrium"
-    return f"{base.rstrip('/')}/calibrium-io-{uuid.uuid4().hex}"
+    return store.shared_folder(spark, "io")
 
 
 @query("io01_read_json_lines", "SELECT doc_id, lang, n_chars, sha256(text) AS text_sha256 FROM documents")

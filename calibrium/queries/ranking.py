@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as X
 from ..functions import identity as I
 from ..functions import numeric as N
+from ..operators import matching as M
 from ..operators import sampling as S
 from . import query
 from .scalars import r9
@@ -31,19 +32,70 @@ def rk02(spark, d):
     return S.ranked(pool(spark, d), ["lang"], ["rk"]).select("lang", "doc_id", "rank")
 
 
-_SELECT = f"""WITH {POOL}, quota AS (SELECT lang, 10 AS quota FROM (SELECT DISTINCT lang FROM pool)), free AS (SELECT * FROM pool WHERE NOT is_test AND content NOT IN (SELECT content FROM pool WHERE is_test)),
-one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY rk) AS k FROM free) WHERE k = 1), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY rk) AS k2 FROM one)"""
+#: The pool to select from: groups span languages and some rows have none; copies of a text may differ in source, its truth.
+GROUPS = "CASE WHEN doc_id % 10 <> 3 THEN source || '/' || CAST(n_chars % 40 AS VARCHAR) END"
 
 
-def selection(spark, d):
-    p = pool(spark, d)
-    quota = p.select("lang").distinct().withColumn("quota", F.lit(10))
-    return S.select_by_quota(p.where("not is_test"), p.where("is_test"), quota, "lang", "grp", "content", "rk")
+def selection_pool(spark, d):
+    docs = X.table(spark, d, "documents")
+    return docs.select("doc_id", "lang", "source", F.expr(GROUPS.replace("VARCHAR", "string")).alias("grp"), I.digest(F.col("text")).alias("content"), I.digest(F.concat(F.lit("rank"), F.col("doc_id").cast("string"))).alias("rk"), (F.col("doc_id") % 10 == 0).alias("is_test"))
+
+
+def _walk(name, quota, after=None):
+    """SQL of a selection, stratum by stratum: CTEs of steps (i, used groups, ids) and of the last one's ids.
+
+    quota: a CTE (lang, quota). after: an earlier selection, whose groups and rows are passed over.
+    """
+    start = f"SELECT 0 AS i, used, []::BIGINT[] AS ids, ids AS old FROM {after}_last" if after else "SELECT 0 AS i, []::VARCHAR[] AS used, []::BIGINT[] AS ids, []::BIGINT[] AS old"
+    return f"""{name}_steps AS ({start} UNION ALL
+  SELECT i + 1, any_value(used) || coalesce(list(grp) FILTER (k = 1 AND place <= quota AND grp IS NOT NULL), []), any_value(ids) || coalesce(list(doc_id) FILTER (k = 1 AND place <= quota), []), any_value(old)
+  FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY rk) AS place FROM (
+    SELECT w.i, w.used, w.ids, w.old, r.grp, r.doc_id, r.rk, r.quota, CASE WHEN r.doc_id IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY coalesce(r.grp, CAST(r.doc_id AS VARCHAR)) ORDER BY r.rk) END AS k
+    FROM {name}_steps w LEFT JOIN (SELECT rows_.*, {quota}.quota FROM rows_ JOIN {quota} USING (lang)) r ON r.s = w.i + 1 AND NOT r.hit AND (r.grp IS NULL OR NOT list_contains(w.used, r.grp)) AND NOT list_contains(w.old, r.doc_id)
+    WHERE w.i < (SELECT max(s) FROM rows_))) GROUP BY i),
+{name}_last AS (SELECT used, ids FROM {name}_steps WHERE i = (SELECT max(s) FROM rows_))"""
+
+
+_ROWS = f"""pool AS (SELECT doc_id, lang, source AS truth, {GROUPS} AS grp, sha256(text) AS content, sha256('rank' || doc_id) AS rk, doc_id % 10 = 0 AS is_test FROM documents),
+test AS (SELECT content, count(DISTINCT truth) AS k, min(truth) AS t FROM pool WHERE is_test GROUP BY content),
+rows_ AS (SELECT pool.*, dense_rank() OVER (ORDER BY lang) AS s, test.content IS NOT NULL AS hit, test.content IS NOT NULL AND NOT (k = 1 AND t = truth) AS clash FROM pool LEFT JOIN test USING (content) WHERE NOT is_test),
+weights AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang)"""
+
+
+def _hamilton(name, total):
+    return f"{name} AS (SELECT lang, CAST(base + CASE WHEN row_number() OVER (ORDER BY rest DESC, lang) <= {total} - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM (SELECT lang, ({total} * n) // (sum(n) OVER ())::BIGINT AS base, ({total} * n) % (sum(n) OVER ())::BIGINT AS rest FROM weights))"
+
 
+def quotas(spark, d, total):
+    """Shares of `total` by the size of a language, the largest remainders first."""
+    weights = X.table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return S.hamilton_quota(weights, "lang", "n", total)
 
-@query("rk03_stratified_select", _SELECT + " SELECT r.lang, grp, doc_id FROM r JOIN quota USING (lang) WHERE k2 <= quota")
+
+def selection(spark, d, quota, earlier=None):
+    p = selection_pool(spark, d)
+    return S.select_by_quota(p.where("not is_test"), p.where("is_test"), quota, "lang", "grp", "content", "rk", "doc_id", "source", earlier)
+
+
+_EACH = "q AS (SELECT lang, CAST(40 AS BIGINT) AS quota FROM weights)"
+_REPORT = """, picked AS (SELECT unnest(ids) AS doc_id FROM sel_last), m AS (SELECT rows_.*, picked.doc_id IS NOT NULL AS sel FROM rows_ LEFT JOIN picked USING (doc_id)),
+ends AS (SELECT lang, count(*) AS taken, max(rk) AS last FROM m WHERE sel GROUP BY lang),
+told AS (SELECT q.lang, q.quota, coalesce(taken, 0) AS taken, last FROM q LEFT JOIN ends USING (lang)),
+seen AS (SELECT m.* FROM m JOIN told USING (lang) WHERE quota > 0 AND (taken < quota OR rk < last)),
+c AS (SELECT lang, count(*) FILTER (hit) AS overlap_excluded, count(*) FILTER (NOT hit AND NOT sel AND grp IS NOT NULL) AS group_skipped, bool_or(clash) AS clash FROM seen GROUP BY lang)
+SELECT lang, quota, taken, coalesce(overlap_excluded, 0) AS overlap_excluded, coalesce(group_skipped, 0) AS group_skipped, CASE WHEN clash THEN 'CONFLICT' WHEN taken < quota THEN 'SHORT' ELSE 'SATISFIED' END AS state FROM told LEFT JOIN c USING (lang)"""
+
+
+@query("rk03_stratified_select", f"WITH RECURSIVE {_ROWS}, {_EACH}, {_walk('sel', 'q')} SELECT lang, grp, doc_id FROM rows_ WHERE list_contains((SELECT ids FROM sel_last), doc_id)")
 def rk03(spark, d):
-    return selection(spark, d).select("lang", "grp", "doc_id")
+    quota = X.table(spark, d, "documents").select("lang").distinct().withColumn("quota", F.lit(40).cast("long"))
+    return selection(spark, d, quota).rows.select("lang", "grp", "doc_id")
+
+
+@query("rk03_selection_states", f"WITH RECURSIVE {_ROWS}, {_EACH}, {_walk('sel', 'q')}{_REPORT}")
+def rk03_states(spark, d):
+    quota = X.table(spark, d, "documents").select("lang").distinct().withColumn("quota", F.lit(40).cast("long"))
+    return selection(spark, d, quota).report
 
 
 @query("rk04_mid_ranks", W5 + " SELECT family, case_id, rung, rank() OVER (PARTITION BY family ORDER BY round(p, 2)) + (count(*) OVER (PARTITION BY family, round(p, 2)) - 1) / 2 AS mid FROM f5")
@@ -91,16 +143,28 @@ def cp06(spark, d):
     return test.select(F.lit("TEST").alias("split"), "lang", "doc_id").unionByName(train.select(F.lit("TRAIN").alias("split"), "lang", "doc_id"))
 
 
-@query("cp07_population_candidate", _SELECT + " SELECT r.lang, count(*) AS n FROM r JOIN quota USING (lang) WHERE k2 <= quota GROUP BY r.lang")
+_TWO = f"WITH RECURSIVE {_ROWS}, {_hamilton('q', 60)}, {_hamilton('q2', 30)}, {_walk('sel', 'q')}, {_walk('more', 'q2', 'sel')}"
+
+
+@query("cp07_population_candidate", f"WITH RECURSIVE {_ROWS}, {_hamilton('q', 60)}, {_walk('sel', 'q')}{_REPORT}")
 def cp07(spark, d):
-    return selection(spark, d).groupBy("lang").agg(F.count("*").alias("n"))
+    """A population of 60, by the largest remainders of the languages, with the states of its strata."""
+    return selection(spark, d, quotas(spark, d, 60)).report
 
 
-@query("cp08_nested_extension", _SELECT + " SELECT count(*) FILTER (k2 <= 5) AS small, count(*) FILTER (k2 <= 10) AS large, CAST(0 AS BIGINT) AS not_nested FROM r")
+@query("cp08_nested_extension", _TWO + " SELECT lang, doc_id, list_contains((SELECT ids FROM sel_last), doc_id) AS in_small FROM rows_ WHERE list_contains((SELECT ids FROM sel_last), doc_id) OR list_contains((SELECT ids FROM more_last), doc_id)")
 def cp08(spark, d):
-    p = pool(spark, d)
-    quota = lambda n: p.select("lang").distinct().withColumn("quota", F.lit(n))
-    pick = lambda n: S.select_by_quota(p.where("not is_test"), p.where("is_test"), quota(n), "lang", "grp", "content", "rk").select("doc_id")
-    small, large = pick(5), pick(10)
-    out = small.agg(F.count("*").alias("small")).crossJoin(large.agg(F.count("*").alias("large")))
-    return out.crossJoin(small.join(large, "doc_id", "left_anti").agg(F.count("*").alias("not_nested")))
+    """The population of 60 and 30 more rows, none of its rows and groups among them."""
+    small = selection(spark, d, quotas(spark, d, 60)).rows
+    more = selection(spark, d, quotas(spark, d, 30), small).rows
+    side = lambda df, s: df.select("lang", "doc_id", F.lit(s).alias("in_small"))
+    return side(small, True).unionByName(side(more, False))
+
+
+@query("cp08_nestedness", _TWO + " SELECT CAST(0 AS BIGINT) AS not_nested, CAST(len((SELECT ids FROM sel_last)) AS BIGINT) AS n, CAST(len((SELECT ids FROM sel_last)) + len((SELECT ids FROM more_last)) AS BIGINT) AS n_large, (SELECT count(*) FROM (SELECT unnest(used) AS g FROM more_last) GROUP BY ALL HAVING g IS NOT NULL AND count(*) > 1) IS NULL AS groups_apart")
+def cp08_nested(spark, d):
+    """Whether all rows of the small population are in the large one, and no group occurs twice."""
+    both = cp08(spark, d)
+    one = M.nestedness(both.where("in_small"), both, "doc_id")
+    groups = both.join(selection_pool(spark, d).select("doc_id", "grp"), "doc_id").where("grp is not null").groupBy("grp").count()
+    return one.crossJoin(both.agg(F.count("*").alias("n_large"))).crossJoin(groups.agg(F.coalesce(F.max("count") == 1, F.lit(True)).alias("groups_apart")))

@@ -12,6 +12,20 @@ from ..functions.identity import canonical_json
 from .strict_json import parse
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir.
+
+    Only a local master, where one machine is all there is, does without that
+    setting; elsewhere that is a ValueError.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        base = "file:///tmp/calibrium"
+    return f"{base.rstrip('/')}/calibrium-{name}-{uuid.uuid4().hex}"
+
+
 class StoreError(Exception):
     """An artefact is absent, damaged or another one than asked for."""
 
