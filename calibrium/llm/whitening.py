@@ -5,7 +5,7 @@ the sum of every dimension; a second one, generated as Spark SQL, has the sum of
 the centred products of every pair of dimensions in the upper triangle: a column
 for each second dimension, a group for each first one. The driver gets these
 numbers alone, assembles the covariance and has LAPACK decompose it.
-Projections are generated expressions too, so no row leaves the JVM. The
+Projections are array functions of literals, so no row leaves the JVM. The
 covariance of what comes out is summed in the same way and held against the
 identity.
 
@@ -50,9 +50,14 @@ def scaled(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     return rows.select("vec_id", x.alias("x")).where("x is not null")
 
 
-def _centred(n: int, sums: list[int]) -> list[str]:
-    """SQL of n (x - mean), exact, of each dimension."""
-    return [f"({n}L * x[{i}] - {s}L)" for i, s in enumerate(sums)]
+def _literal(values) -> str:
+    """SQL of an array of doubles."""
+    return f"array({', '.join(f'{float(v)!r}D' for v in values)})"
+
+
+def _centred(n: int, sums: list[int]) -> str:
+    """SQL of n (x - mean), exact, of all dimensions."""
+    return f"zip_with(x, array({', '.join(f'{s}L' for s in sums)}), (v, s) -> {n}L * v - s)"
 
 
 def pair_sums(rows: DataFrame, column: str, size: int) -> np.ndarray:
@@ -81,7 +86,7 @@ def fit(x: DataFrame, dimensions: int, components: int = COMPONENTS) -> Fit:
     n, sums = row[0], [int(v or 0) for v in row[1:]]
     if not n or not dimensions:
         return Fit(n, sums, np.zeros(0), np.zeros((0, dimensions)), 0.0)
-    centred = x.selectExpr(f"array({', '.join(f'cast({e} as double) / {n}D' for e in _centred(n, sums))}) AS d")
+    centred = x.selectExpr(f"transform({_centred(n, sums)}, v -> cast(v AS double) / {n}D) AS d")
     covariance = pair_sums(centred, "d", dimensions) / n
     values, vectors = np.linalg.eigh(covariance)
     order, trace = np.argsort(-values, kind="stable"), float(np.trace(covariance))
@@ -89,14 +94,6 @@ def fit(x: DataFrame, dimensions: int, components: int = COMPONENTS) -> Fit:
     return Fit(n, sums, values[order], vectors[:, order].T, trace)
 
 
-def _dot(names: list[str], weights: np.ndarray) -> str:
-    """SQL of a weighted sum, as a balanced tree."""
-    terms = [f"{d} * {float(w)!r}D" for d, w in zip(names, weights)]
-    while len(terms) > 1:
-        terms = [f"({' + '.join(terms[i : i + 8])})" for i in range(0, len(terms), 8)]
-    return terms[0]
-
-
 def whiten(rows: DataFrame, components: int = COMPONENTS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, component, n, deviation, whitened, explained, identity_error).
 
@@ -119,17 +116,12 @@ def whiten(rows: DataFrame, components: int = COMPONENTS, id_col: str = "vec_id"
     kind = f"vec_id {x.schema['vec_id'].dataType.simpleString()}, component int, n long, deviation long, whitened double, explained double, identity_error double"
     if not k:
         return spark.createDataFrame([], kind)
-    names = [f"d{i}" for i in range(dimensions)]
-    exact = x.selectExpr("vec_id", *[f"{e} AS {d}" for d, e in zip(names, _centred(f.n, f.sums))])
-    square = [f"{d} * {d}" for d in names]
-    while len(square) > 1:
-        square = [f"({' + '.join(square[i : i + 8])})" for i in range(0, len(square), 8)]
-    weights = f.vectors / (f.n * np.sqrt(f.values))[:, None]
-    doubles = exact.selectExpr("vec_id", f"{square[0]} AS deviation", *[f"cast({d} as double) AS {d}" for d in names])
-    done = tables.cut(doubles.selectExpr("vec_id", "deviation", f"array({', '.join(_dot(names, w) for w in weights)}) AS w"))
+    exact = x.selectExpr("vec_id", f"{_centred(f.n, f.sums)} AS d")
+    weights = f"array({', '.join(_literal(v) for v in f.vectors / (f.n * np.sqrt(f.values))[:, None])})"
+    done = tables.cut(exact.selectExpr("vec_id", "aggregate(d, 0L, (s, v) -> s + v * v) AS deviation", f"transform({weights}, v -> aggregate(zip_with(d, v, (a, b) -> a * b), 0D, (s, p) -> s + p)) AS w"))
     means = {r["i"]: r["m"] for r in done.selectExpr("posexplode(w) AS (i, c)").groupBy("i").agg((F.sum("c") / f.n).alias("m")).collect()}
-    centred = done.selectExpr(f"zip_with(w, array({', '.join(f'{float(means[i])!r}D' for i in range(k))}), (c, m) -> c - m) AS w")
+    centred = done.selectExpr(f"zip_with(w, {_literal(means[i] for i in range(k))}, (c, m) -> c - m) AS w")
     error = float(np.abs(pair_sums(centred, "w", k) / f.n - np.eye(k)).max())
-    shares = f"array({', '.join(f'{float(v / f.trace)!r}D' for v in f.values)})"
+    shares = _literal(v / f.trace for v in f.values)
     out = done.selectExpr("vec_id", "deviation", "posexplode(w) AS (i, whitened)")
     return out.selectExpr("vec_id", "i + 1 AS component", f"{f.n}L AS n", "deviation", "whitened", f"get({shares}, i) AS explained", f"{error!r}D AS identity_error")
