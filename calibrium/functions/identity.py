@@ -63,16 +63,22 @@ def digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def _small(n: Column) -> Column:
+    """n, whose products with 32-bit words fit a long."""
+    n = n.cast("bigint")
+    return F.when(n < 1 << 31, n).otherwise(F.raise_error(F.lit("a pool of 2**31 or more")).cast("bigint"))
+
+
 def index64(hex_digest: Column, n: Column) -> Column:
-    """The first 64 bits of a digest modulo n, in 64-bit integers; n below 2**31."""
+    """The first 64 bits of a digest modulo n, in 64-bit integers; n from 2**31 on is an error."""
     word = lambda at: F.conv(F.substring(hex_digest, at, 8), 16, 10).cast("bigint")
-    n = n.cast("bigint")
+    n = _small(n)
     return ((word(1) % n) * (F.lit(1 << 32).cast("bigint") % n) + word(9)) % n
 
 
 def index256(hex_digest: Column, n: Column) -> Column:
-    """All 256 bits of a digest modulo n, eight digits at a time; n below 2**31."""
-    n = n.cast("bigint")
+    """All 256 bits of a digest modulo n, eight digits at a time; n from 2**31 on is an error."""
+    n = _small(n)
     word = [F.conv(F.substring(hex_digest, 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(8)]
     acc = F.lit(0).cast("bigint")
     for w in word:

@@ -6,6 +6,13 @@ a row was drawn. So draws are reduced to weights before they meet the rows.
 
 from __future__ import annotations
 
+import functools
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +26,10 @@ def draw_text(population: str, replicate: Column, stratum: Column, pool: Column,
 
 #: Replicates of a test bootstrap and of one that refits.
 TEST_REPLICATES, REFIT_REPLICATES = 20_000, 2_000
-#: Strata whose sizes travel with a plan; units that are broadcast; draws made in a row.
-MOST_STRATA, MOST_UNITS, RUN = 100_000, 1_000_000, 4096
+#: Strata whose sizes travel with a plan; bytes of sums that are sent to all tasks; draws made in a row.
+MOST_STRATA, MOST_BYTES, RUN = 100_000, 64 << 20, 4096
+#: Counts that a task holds at once, at most, as a block of replicates.
+COUNTS = 4 << 20
 
 
 def numbered(pool: DataFrame, unit: str, stratum: str) -> DataFrame:
@@ -58,23 +67,83 @@ def weights(pool: DataFrame, unit: str, stratum: str, replicates: int, populatio
     return counted.join(units, [stratum, "_place"]).select("replicate", stratum, unit, "w")
 
 
+def _draw_parts(population: str, replicate: int, stratum: str, pool: int, extra: dict[str, str]) -> tuple[bytes, bytes]:
+    """What stands before and after the draw's number in its canonical text."""
+    fields = {"draw_index": -1, "pool_size": pool, "population_id": population, "protocol_id": "hash-bootstrap", "protocol_version": 1, "replicate_index": replicate, "stratum": stratum, **extra}
+    head, _, tail = I.canonical_json(fields).partition('"draw_index":-1')
+    return f'{head}"draw_index":'.encode(), tail.encode()
+
+
+def places_drawn(population: str, replicate: int, stratum: str, pool: int, draws: int, wide: bool = False, extra: dict[str, str] | None = None) -> np.ndarray:
+    """The places that a replicate draws in a stratum, in order; as `drawn`, in one task."""
+    head, tail = _draw_parts(population, replicate, stratum, pool, extra or {})
+    sha, numbers = hashlib.sha256, _numbers(draws)
+    digests = b"".join([sha(head + k + tail).digest() for k in numbers])
+    if not wide:
+        return (np.frombuffer(digests, ">u8")[::4] % np.uint64(pool)).astype(np.int64)
+    if pool >= 1 << 31:
+        raise ValueError("256-bit indices are for pools under 2**31")
+    acc = np.zeros(draws, np.uint64)
+    for word in np.frombuffer(digests, ">u4").reshape(-1, 8).T.astype(np.uint64):
+        acc = ((acc << np.uint64(32)) + word) % np.uint64(pool)
+    return acc.astype(np.int64)
+
+
+@functools.lru_cache(2)
+def _numbers(n: int) -> list[bytes]:
+    return [b"%d" % k for k in range(n)]
+
+
+def _series(strata: Broadcast, population: str, wide: bool):
+    """Blocks of replicates to their sums: counts of a block (replicates x units) times the units' sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for stratum, sums in strata.value.items():
+                    n, at = len(sums), low
+                    finite, odd = np.where(np.isfinite(sums), sums, 0.0), np.flatnonzero(~np.isfinite(sums).all(axis=1))
+                    while at < high:
+                        own = range(at, min(high, at + max(1, COUNTS // n)))
+                        counts = np.stack([np.bincount(places_drawn(population, r, stratum, n, n, wide), minlength=n) for r in own]).astype(np.float64)
+                        made = counts @ finite
+                        for i in odd:  # infinite sums count where they are drawn, and only there
+                            made[counts[:, i] > 0] += np.where(np.isfinite(sums[i]), 0.0, sums[i])
+                        yield pa.RecordBatch.from_pydict({"replicate": pa.array(own, pa.int32()), "stratum": pa.array([stratum] * len(own), pa.string()), "sums": pa.FixedSizeListArray.from_arrays(pa.array(made.ravel()), made.shape[1]).cast(pa.list_(pa.float64()))})
+                        at = own.stop
+
+    return run
+
+
 def bootstrap_means(pool: DataFrame, unit: str, stratum: str, columns: list[str], replicates: int = TEST_REPLICATES, population: str = "p", wide: bool = False, by_stratum: bool = False) -> DataFrame:
     """(replicate, n, columns): the means over all rows of the units drawn, n of them.
 
-    A unit is summed over its rows once; draws meet the sums where they are
-    made, if the units are few enough to be sent there, and leave their task as
-    one row a replicate. `by_stratum`: means of each stratum.
+    A unit is summed over its rows once, for all columns; a replicate is drawn
+    once for all of them. Where the sums of all units are few enough to be sent
+    to every task, a task counts the draws of a block of replicates and
+    multiplies the counts with the sums; else draws are rows that are joined
+    with them. `by_stratum`: means of each stratum (a text). Strata and units
+    that are null are left out.
     """
-    units = numbered(pool, unit, stratum)
-    sums = pool.groupBy(stratum, unit).agg(F.count("*").alias("_rows"), *[F.sum(c).alias(c) for c in columns])
-    held = units.join(sums, [stratum, unit]).drop(unit).persist()
-    try:
-        few = held.count() <= MOST_UNITS
-        met = drawn(units, stratum, replicates, population, wide=wide).join(F.broadcast(held) if few else held, [stratum, "_place"])
-        out = met.groupBy("replicate", *([stratum] if by_stratum else [])).agg(F.sum("_rows").alias("n"), *[(F.sum(c) / F.sum("_rows")).alias(c) for c in columns])
-    finally:
-        held.unpersist()
-    return out
+    spark = pool.sparkSession
+    pool = pool.where(F.col(stratum).isNotNull() & F.col(unit).isNotNull())
+    sums = pool.groupBy(stratum, unit).agg(F.count("*").cast("double").alias("_rows"), *[F.sum(c).alias(c) for c in columns])
+    keys = ["replicate", *([stratum] if by_stratum else [])]
+    means = lambda df: df.groupBy(*keys).agg(F.sum("_rows").cast("bigint").alias("n"), *[(F.sum(c) / F.sum("_rows")).alias(c) for c in columns])
+    n, strings = sums.agg(F.count("*"), F.countDistinct(stratum)).first()
+    if n * (len(columns) + 1) * 8 > MOST_BYTES or strings > MOST_STRATA:
+        units = numbered(pool, unit, stratum)
+        return means(drawn(units, stratum, replicates, population, wide=wide).join(units.join(sums, [stratum, unit]).drop(unit), [stratum, "_place"]))
+    got = sums.select(F.col(stratum).cast("string").alias("_s"), unit, "_rows", *columns).orderBy("_s", unit).toArrow()
+    names = np.array(got.column("_s").to_pylist(), object)
+    matrix = np.column_stack([got.column(i).to_numpy() for i in range(2, got.num_columns)]) if got.num_rows else np.zeros((0, len(columns) + 1))
+    cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)] if len(names) else [0]
+    strata = spark.sparkContext.broadcast({str(names[a]): np.ascontiguousarray(matrix[a:b]) for a, b in zip(cuts, cuts[1:])})
+    tasks = max(1, min(replicates, 4 * spark.sparkContext.defaultParallelism))
+    edges = [replicates * k // tasks for k in range(tasks + 1)]
+    blocks = spark.createDataFrame(list(zip(edges, edges[1:])), "low long, high long").repartition(tasks, "low")
+    made = blocks.mapInArrow(_series(strata, population, wide), "replicate int, stratum string, sums array<double>")
+    return means(made.select("replicate", F.col("stratum").alias(stratum), *[F.get("sums", F.lit(i)).alias(c) for i, c in enumerate(["_rows", *columns])]))
 
 
 def percentile_interval(series: DataFrame, value: str, low: float, high: float, by: list[str] | None = None) -> DataFrame:

@@ -122,6 +122,43 @@ def bs08(spark, d):
     return B.weights(train(spark, d), "item_id", "stratum", R, "p", draws=10).groupBy("replicate", "stratum").agg(F.sum("w").alias("n"))
 
 
+#: The configurations of the panel: two scores, four maps of a score (None: itself), two losses.
+MAPS = {"raw": None, "crossed": CROSS, "native": NATIVE, "shrunk": (2.0, -1.0)}
+CONFIGS = [(s, m, k) for s in ("cat", "ovr") for m in MAPS for k in ("brier", "log")]
+PANEL = [f"{s}_{m}_{k}" for s, m, k in CONFIGS]
+#: Contrasts of a score and loss: name, terms.
+CONTRASTS = {f"{s}_{c}_{k}": (f"{s}_{a}_{k}", f"{s}_{b}_{k}") for s in ("cat", "ovr") for k in ("brier", "log") for c, a, b in (("deploy", "crossed", "raw"), ("gain", "native", "raw"), ("transport", "crossed", "native"))}
+
+
+def _panel_sql():
+    q = lambda s, m: f"{s}_score" if MAPS[m] is None else _S(MAPS[m], f"{s}_score")
+    loss = {"brier": lambda p: _B(p), "log": lambda p: f"-ln(CASE WHEN label = 1 THEN {p} ELSE 1 - {p} END)"}
+    return f"WITH {X.F3}, t AS (SELECT stratum, cluster_id, item_id, " + ", ".join(f"{loss[k](q(s, m))} AS {n}" for (s, m, k), n in zip(CONFIGS, PANEL)) + " FROM f3 WHERE split = 'TEST')"
+
+
+def panel_losses(spark, d):
+    """Losses of all configurations, a row a TEST item."""
+    rows, y = X.paired_rows(spark, d).where("split = 'TEST'"), F.col("label")
+    q = lambda s, m: F.col(f"{s}_score") if MAPS[m] is None else N.sigmoid(MAPS[m][0] * F.col(f"{s}_score") + MAPS[m][1])
+    loss = {"brier": lambda p: N.brier(p, y), "log": lambda p: N.log_loss(p, y == 1)}
+    return rows.select("stratum", "cluster_id", "item_id", *[loss[k](q(s, m)).alias(n) for (s, m, k), n in zip(CONFIGS, PANEL)])
+
+
+def panel_series(spark, d, replicates=TESTS):
+    """(replicate, n, means of all configurations, their contrasts): one draw serves all of them."""
+    s = B.bootstrap_means(panel_losses(spark, d), "item_id", "stratum", PANEL, replicates)
+    return s.withColumns({n: F.col(a) - F.col(b) for n, (a, b) in CONTRASTS.items()})
+
+
+_PANEL = _panel_sql() + ", " + _tests("item_id") + ", s0 AS (SELECT replicate, CAST(sum(w) AS BIGINT) AS n, " + ", ".join(f"sum(w * {c}) / sum(w) AS {c}" for c in PANEL) + " FROM w JOIN t USING (item_id) GROUP BY replicate), s AS (SELECT *, " + ", ".join(f"{a} - {b} AS {n}" for n, (a, b) in CONTRASTS.items()) + " FROM s0)"
+_LONG = "l AS (" + " UNION ALL ".join(f"SELECT '{n}' AS name, {n} AS v FROM s" for n in CONTRASTS) + ")"
+
+
+def _long(series):
+    """(name, v) of all contrasts."""
+    return series.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("v")) for n in CONTRASTS])).alias("x")).select("x.*")
+
+
 def _series(reps):
     return E3 + ", " + _tests("item_id", reps=reps) + ", s AS (SELECT replicate, sum(w * (crossed - raw)) / sum(w) AS deploy, sum(w * (crossed - native)) / sum(w) AS transport FROM w JOIN t USING (item_id) GROUP BY replicate)"
 
@@ -133,9 +170,17 @@ def series(spark, d, replicates=TESTS):
     return B.bootstrap_means(_deltas(test(spark, d)), "item_id", "stratum", ["deploy", "transport"], replicates)
 
 
-@query("bs09_panel_bootstrap", _SERIES + " SELECT CAST(replicate AS INTEGER) AS replicate, round(deploy, 9) AS deploy, round(transport, 9) AS transport FROM s")
+@query("bs09_panel_bootstrap", _PANEL + " SELECT CAST(replicate AS INTEGER) AS replicate, n, " + ", ".join(f"round({c}, 9) AS {c}" for c in [*PANEL, *CONTRASTS]) + " FROM s")
 def bs09(spark, d):
-    return series(spark, d).select("replicate", r9("deploy", "deploy"), r9("transport", "transport"))
+    """Sixteen configurations and twelve contrasts of each replicate."""
+    return panel_series(spark, d).select("replicate", "n", *[r9(c, c) for c in [*PANEL, *CONTRASTS]])
+
+
+@query("bs09_panel_intervals")
+def bs09_intervals(spark, d):
+    """Intervals of the panel's contrasts from all 20,000 replicates; too many draws for the SQL."""
+    i = B.percentile_interval(_long(panel_series(spark, d, B.TEST_REPLICATES)), "v", 0.025, 0.975, ["name"])
+    return i.select("name", "n", r9("lower", "lower"), r9("median", "median"), r9("upper", "upper"), "excludes_zero")
 
 
 @query("bs10_refit_block", fits_sql() + " SELECT 'COMPLETE' AS state, count(*) AS n, CAST(0 AS BIGINT) AS failed, round(sum(a), 3) AS slopes FROM sol")
@@ -207,20 +252,32 @@ def bs16(spark, d):
     return rows.groupBy("replicate").agg(r9(F.sum(F.col("w") * F.col("raw")) / F.sum("w") - F.sum(w * F.col("raw")) / F.sum(w), "v"))
 
 
-@query("bs17_shared_draws", _SERIES + " SELECT round(avg((deploy < 0)::INTEGER), 9) AS deploy_negative, round(avg((transport < 0)::INTEGER), 9) AS transport_negative FROM s")
+@query("bs17_shared_draws", _PANEL + ", " + _LONG + " SELECT name, count(*) FILTER (v < 0) AS negative, count(*) FILTER (v > 0) AS positive, round(avg((v < 0)::INTEGER), 9) AS share FROM l GROUP BY name")
 def bs17(spark, d):
-    share = lambda c, n: r9(F.avg((F.col(c) < 0).cast("int").cast("double")), n)
-    return series(spark, d).agg(share("deploy", "deploy_negative"), share("transport", "transport_negative"))
+    """Signs of each configuration's contrast over the same draws."""
+    v = F.col("v")
+    return _long(panel_series(spark, d)).groupBy("name").agg(F.count_if(v < 0).alias("negative"), F.count_if(v > 0).alias("positive"), r9(F.avg((v < 0).cast("int").cast("double")), "share"))
 
 
-@query("cp14_contrast_intervals", _SERIES + ", i AS (SELECT 'deploy' AS name, quantile_disc(deploy, 0.05) AS lo, quantile_disc(deploy, 0.95) AS hi FROM s UNION ALL SELECT 'transport', quantile_disc(transport, 0.05), quantile_disc(transport, 0.95) FROM s) SELECT name, round(lo, 9) AS lower, round(hi, 9) AS upper, CASE WHEN hi < 0 THEN 'improvement' WHEN lo > 0 THEN 'degradation' ELSE 'unresolved' END AS state FROM i")
+@query("cp14_contrast_intervals", _PANEL + ", " + _LONG + ", i AS (SELECT name, quantile_disc(v, 0.05) AS lo, quantile_disc(v, 0.95) AS hi FROM l GROUP BY name) SELECT name, round(lo, 9) AS lower, round(hi, 9) AS upper, CASE WHEN hi < 0 THEN 'improvement' WHEN lo > 0 THEN 'degradation' ELSE 'unresolved' END AS state FROM i")
 def cp14(spark, d):
-    s = series(spark, d)
-    long = s.select(F.explode(F.array(F.struct(F.lit("deploy").alias("name"), F.col("deploy").alias("v")), F.struct(F.lit("transport").alias("name"), F.col("transport").alias("v")))).alias("x")).select("x.*")
-    i = B.percentile_interval(long, "v", 0.05, 0.95, ["name"])
+    i = B.percentile_interval(_long(panel_series(spark, d)), "v", 0.05, 0.95, ["name"])
     return i.select("name", r9("lower", "lower"), r9("upper", "upper"), N.direction_state(F.col("lower"), F.col("upper")).alias("state"))
 
 
+#: Effects of a 2 x 2 design, score by map, on the Brier loss of a replicate.
+EFFECTS = {"score": "(ovr_crossed_brier + ovr_native_brier) / 2 - (cat_crossed_brier + cat_native_brier) / 2", "map": "(cat_crossed_brier + ovr_crossed_brier) / 2 - (cat_native_brier + ovr_native_brier) / 2", "interaction": "(ovr_crossed_brier - cat_crossed_brier) - (ovr_native_brier - cat_native_brier)"}
+
+
+@query("cp14_factorial_intervals", _PANEL + ", l AS (" + " UNION ALL ".join(f"SELECT '{n}' AS effect, {e} AS v FROM s" for n, e in EFFECTS.items()) + ") SELECT effect, round(quantile_disc(v, 0.05), 9) AS lower, round(quantile_disc(v, 0.5), 9) AS median, round(quantile_disc(v, 0.95), 9) AS upper FROM l GROUP BY effect")
+def cp14_factorial(spark, d):
+    """Main effects and interaction of score and map, by replicate, with their intervals."""
+    s = panel_series(spark, d)
+    long = s.select(F.explode(F.array(*[F.struct(F.lit(n).alias("effect"), F.expr(e).alias("v")) for n, e in EFFECTS.items()])).alias("x")).select("x.*")
+    i = B.percentile_interval(long, "v", 0.05, 0.95, ["effect"])
+    return i.select("effect", r9("lower", "lower"), r9("median", "median"), r9("upper", "upper"))
+
+
 @query("cp16_point_estimates", T3.replace("split = 'TRAIN'", "split = 'TEST'") + " SELECT stratum, round(avg(raw), 9) AS raw, round(avg(crossed - raw), 9) AS deploy, round(avg(crossed - native), 9) AS transport FROM t GROUP BY stratum")
 def cp16(spark, d):
     r = losses(spark, d)
