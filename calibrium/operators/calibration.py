@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -194,6 +194,112 @@ def solve_beta(score: np.ndarray, label: np.ndarray, strength: float = 0.0, star
     return {"a": float(best[2][0]), "b": float(best[2][1]), "c": float(best[2][2]), "face": best[1], "kkt": best[3]}
 
 
+def beta_values(s: Column, y: Column, a: Column, b: Column, c: Column) -> dict[str, Column]:
+    """A row's negative log likelihood at (a, b, c), its gradient and the upper triangle of its Hessian."""
+    u, v = F.log(s), -F.log1p(-s)
+    z = a * u + b * v + c
+    q = N.sigmoid(z)
+    r = F.when(y == 1, -N.sigmoid(-z)).otherwise(q)
+    w = q * N.sigmoid(-z)
+    return {"f": N.softplus(F.when(y == 1, -z).otherwise(z)), "g0": r * u, "g1": r * v, "g2": r, "h00": w * u * u, "h01": w * u * v, "h02": w * u, "h11": w * v * v, "h12": w * v, "h22": w}
+
+
+class _FaceNewton:
+    """Damped Newton of many problems side by side, each on the coordinates that are on."""
+
+    def __init__(self, on: np.ndarray, start: np.ndarray):
+        n = len(on)
+        self.on, self.point = on, np.where(on, start, 0.0)
+        self.best, self.value, self.norm = self.point.copy(), np.full(n, np.inf), np.full(n, np.inf)
+        self.gradient, self.step, self.size = np.zeros((n, 3)), np.zeros((n, 3)), np.ones(n)
+        self.steps, self.halvings, self.done = np.zeros(n, int), np.zeros(n, int), np.zeros(n, bool)
+
+    def told(self, at: np.ndarray, value: np.ndarray, g: np.ndarray, h: np.ndarray) -> None:
+        """Values, gradients and Hessians of the problems `at`, at their points.
+
+        A point is taken if the value falls enough, or, where rounding hides
+        that, if the gradient is at most half as long; else the step is halved.
+        """
+        norm = np.abs(np.where(self.on[at], g, 0.0)).max(axis=1)
+        falls = value <= self.value[at] - ARMIJO * self.size[at] * (self.gradient[at] * self.step[at]).sum(axis=1) + 1e-16
+        ok = falls | (norm <= self.norm[at] / 2) | ~np.isfinite(self.value[at])
+        good, bad = at[ok], at[~ok]
+        self.best[good], self.value[good], self.norm[good], self.gradient[good] = self.point[good], value[ok], norm[ok], g[ok]
+        both = self.on[good][:, :, None] & self.on[good][:, None, :]
+        held = np.where(both, h[ok], 0.0) + np.eye(3) * np.where(self.on[good], 1e-14, 1.0)[:, None, :]
+        if len(good):
+            self.step[good] = np.linalg.solve(held, np.where(self.on[good], g[ok], 0.0)[:, :, None])[:, :, 0]
+        self.size[good], self.halvings[good] = 1.0, 0
+        self.steps[good] += 1
+        self.size[bad] /= 2
+        self.halvings[bad] += 1
+        self.point[at] = self.best[at] - self.size[at][:, None] * self.step[at]
+        self.done[at] = (self.norm[at] <= KKT / 10) | (self.steps[at] > ITERATIONS) | (self.halvings[at] > HALVINGS)
+
+
+def fit_beta_many(rows: DataFrame, by: list[str], strength: float = 0.0, starts: Sequence[tuple[float, float, float]] = ((0.0, 0.0, 0.0),)) -> DataFrame:
+    """(by, start, a, b, c, face, objective, kkt) of all groups, from each of the starts.
+
+    rows: (by, s, y, w), w (a whole number) rows of one score inside (0, 1) and
+    label. Slopes a, b >= 0 on (ln s, -ln(1 - s)) and an intercept: Newton on
+    four faces (a or b held at 0), for all groups, faces and starts at once. A
+    step is one aggregate of ten exact sums a problem, which alone reach the
+    driver, so a group may have any number of rows. Of the faces whose slopes are
+    feasible and whose optimality residual is at most KKT the least objective
+    counts, of equal ones the first in FACES; without one, face is FAILED and the
+    numbers are null. Groups are taken MOST_GROUPS problems at a time.
+    """
+    spark = rows.sparkSession
+    rows = rows.groupBy(*by, "s", "y").agg(F.sum("w").alias("w")).persist()
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+    schema = f"{kinds}{', ' if by else ''}start int, a double, b double, c double, face string, objective double, kkt double"
+    try:
+        each = len(FACES) * len(starts)
+        parts = 1 + rows.select(*by).distinct().count() * each // MOST_GROUPS
+        out = []
+        for part in range(parts):
+            own = rows.where(F.pmod(F.xxhash64(*by), F.lit(parts)) == part) if by and parts > 1 else rows
+            groups = [tuple(r) for r in own.select(*by).distinct().collect()] if by else [()] * (own.limit(1).count())
+            out += _fit_faces(spark, own, by, kinds, groups, strength, starts)
+    finally:
+        rows.unpersist()
+    return spark.createDataFrame(out, schema)
+
+
+def _fit_faces(spark, rows: DataFrame, by: list[str], kinds: str, groups: list[tuple], strength: float, starts) -> list[tuple]:
+    names, k, m = list(FACES), len(FACES), len(starts)
+    on = np.array([(*FACES[f], True) for f in names] * (len(groups) * m)).reshape(-1, 3)
+    first = np.array([p for p in starts for _ in names] * len(groups), float).reshape(-1, 3)
+    newton, number = _FaceNewton(on, first), {g: i for i, g in enumerate(groups)}
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    while not newton.done.all():
+        open_ = np.flatnonzero(~newton.done)
+        points = [(*groups[i // (k * m)], int(i), *map(float, newton.point[i])) for i in open_]
+        table = spark.createDataFrame(points, f"{kinds}{', ' if by else ''}_p long, _a double, _b double, _c double").toDF(*[f"_{c}" for c in by], "_p", "_a", "_b", "_c")
+        met = rows.join(F.broadcast(table), same) if by else rows.crossJoin(F.broadcast(table))
+        terms = beta_values(F.col("s"), F.col("y"), F.col("_a"), F.col("_b"), F.col("_c"))
+        got = exact_means(met, ["_p"], terms, F.col("w")).toArrow()
+        at, x = got.column("_p").to_numpy(), {c: got.column(c).to_numpy() for c in terms}
+        here = newton.point[at]
+        g = np.column_stack([x["g0"], x["g1"], x["g2"]]) + strength * here
+        h = np.array([[x["h00"], x["h01"], x["h02"]], [x["h01"], x["h11"], x["h12"]], [x["h02"], x["h12"], x["h22"]]]).transpose(2, 0, 1) + strength * np.eye(3)
+        newton.told(at, x["f"] + strength / 2 * (here * here).sum(axis=1), g, h)
+    off = np.where(newton.on[:, :2], 0.0, -newton.gradient[:, :2]).max(axis=1)
+    kkt = np.maximum(newton.norm, off)
+    good = (newton.best[:, :2] >= 0).all(axis=1) & (kkt <= KKT)
+    out = []
+    for g in groups:
+        for j in range(m):
+            own = [(number[g] * m + j) * k + f for f in range(k)]
+            fine = [i for i in own if good[i]]
+            if not fine:
+                out.append((*g, j, None, None, None, "FAILED", None, None))
+                continue
+            i = min(fine, key=lambda i: newton.value[i])  # of equal ones the first
+            out.append((*g, j, *map(float, newton.best[i]), names[i % k], float(newton.value[i]), float(kkt[i])))
+    return out
+
+
 def beta_eligibility(score: Column, label: Column) -> Column:
     """Whether a group can be fitted: ends, one class, few scores, separation, in this order."""
     one, zero = F.when(label == 1, score), F.when(label == 0, score)

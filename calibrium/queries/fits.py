@@ -8,6 +8,7 @@ from .. import fixtures as X
 from ..functions import numeric as N
 from ..functions.exact import exact_means
 from ..operators import calibration as C
+from ..operators import isotonic as Iso
 from ..operators import metrics as M
 from ..operators.panel import contrasts
 from ..operators import reference as R
@@ -87,42 +88,62 @@ def ft06(spark, d):
     return C.fit_many(rows, []).select("strength", "certified", r6("slope", "slope"), r6("intercept", "intercept"))
 
 
-_ISO = W3 + ", k AS (SELECT stratum, floor(cat_score * 40) AS s, sum(label) AS y, count(*) AS n FROM f3 WHERE split = 'TRAIN' GROUP BY 1, 2), i AS (SELECT *, sum(y) OVER w AS cy, sum(n) OVER w AS cn FROM k WINDOW w AS (PARTITION BY stratum ORDER BY s)), seg AS (SELECT a.stratum, a.s AS lo, b.s AS hi, (b.cy - a.cy + a.y) / (b.cn - a.cn + a.n) AS m FROM i a JOIN i b ON a.stratum = b.stratum AND a.s <= b.s), mn AS (SELECT x.stratum, x.s, seg.lo, min(seg.m) AS m FROM k x JOIN seg ON x.stratum = seg.stratum AND seg.lo <= x.s AND seg.hi >= x.s GROUP BY ALL)"
+def iso_sql(source: str, keys: str) -> str:
+    """SQL of the max-min formula: CTE `iso` (keys, x, fitted) of rows (keys, x, y)."""
+    same = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys.split(", "))
+    x = ", ".join(f"x.{k}" for k in keys.split(", "))
+    return f"""k AS (SELECT {keys}, x, sum(y) AS y, count(*) AS n FROM {source} GROUP BY ALL), i AS (SELECT *, sum(y) OVER w AS cy, sum(n) OVER w AS cn FROM k WINDOW w AS (PARTITION BY {keys} ORDER BY x)),
+seg AS (SELECT {", ".join(f"a.{k}" for k in keys.split(", "))}, a.x AS lo, b.x AS hi, (b.cy - a.cy + a.y) / (b.cn - a.cn + a.n) AS m FROM i a JOIN i b ON {same("a", "b")} AND a.x <= b.x),
+mn AS (SELECT {x}, x.x, seg.lo, min(seg.m) AS m FROM k x JOIN seg ON {same("x", "seg")} AND seg.lo <= x.x AND seg.hi >= x.x GROUP BY ALL), iso AS (SELECT {keys}, x, max(m) AS fitted FROM mn GROUP BY ALL)"""
 
 
-@query("ft07_isotonic", _ISO + " SELECT stratum, s AS knot, round(max(m), 9) AS fitted FROM mn GROUP BY stratum, s")
-def ft07(spark, d):
-    """Pooled neighbours in groups; the SQL is the max-min formula."""
-    import pandas as pd
+#: Rows of both scores: TRAIN rows for fits, all rows to apply them to.
+_MEASURED = "m3 AS (SELECT item_id, stratum, split, label, m AS measurement, CASE m WHEN 'cat' THEN cat_score ELSE ovr_score END AS v FROM f3, (SELECT unnest(['cat', 'ovr']) AS m)), tr AS (SELECT stratum, measurement, v AS x, label AS y FROM m3 WHERE split = 'TRAIN')"
+ISO = W3 + ", " + _MEASURED + ", " + iso_sql("tr", "stratum, measurement")
+
+
+def measured(spark, d):
+    """A row for each item and score."""
+    each = F.array(*[F.struct(F.lit(m).alias("measurement"), F.col(c).alias("v")) for m, c in (("cat", "cat_score"), ("ovr", "ovr_score"))])
+    return X.paired_rows(spark, d).select("item_id", "stratum", "split", "label", F.explode(each).alias("m")).select("item_id", "stratum", "split", "label", "m.measurement", "m.v")
 
-    rows = train(spark, d).select("stratum", F.floor(F.col("cat_score") * 40).cast("double").alias("s"), F.col("label").cast("double").alias("label"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        knots, fitted = C.solve_isotonic(pdf["s"].to_numpy(), pdf["label"].to_numpy())
-        return pd.DataFrame({"stratum": pdf["stratum"].iloc[0], "knot": knots, "fitted": fitted.round(9)})
+def isotonic_fits(spark, d):
+    rows = measured(spark, d).where("split = 'TRAIN'")
+    return Iso.fit_isotonic_many(rows.select("stratum", "measurement", F.col("v").alias("s"), F.col("label").alias("y"), F.lit(1).cast("long").alias("w")), ["stratum", "measurement"])
 
-    return rows.groupBy("stratum").applyInPandas(run, "stratum string, knot double, fitted double")
+
+@query("ft07_isotonic", ISO + " SELECT stratum, measurement, min(x) AS lo, max(x) AS hi, round(fitted, 9) AS fitted FROM iso GROUP BY stratum, measurement, round(fitted, 9)")
+def ft07(spark, d):
+    """Blocks of equal value on the full scores of every stratum; the SQL is the max-min formula."""
+    blocks = isotonic_fits(spark, d).withColumn("fitted", F.round(F.col("total") / F.col("n"), 9))
+    return blocks.groupBy("stratum", "measurement", "fitted").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-@query("ft07_isotonic_ml", _ISO.replace("SELECT stratum, floor(cat_score * 40) AS s", "SELECT 1 AS stratum, floor(cat_score * 40) AS s") + " SELECT s, round(max(m), 9) AS fitted FROM mn GROUP BY s")
+@query("ft07_isotonic_ml", W3 + ", tr AS (SELECT 1 AS g, cat_score AS x, label AS y FROM f3 WHERE split = 'TRAIN'), " + iso_sql("tr", "g") + " SELECT x AS s, round(fitted, 9) AS fitted FROM iso")
 def ft07_ml(spark, d):
+    """The library's own regression on the same scores, all strata together."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import IsotonicRegression
 
-    rows = train(spark, d).select(F.floor(F.col("cat_score") * 40).cast("double").alias("s"), F.col("label").cast("double").alias("label"))
+    rows = train(spark, d).select(F.col("cat_score").alias("s"), F.col("label").cast("double").alias("label"))
     rows = VectorAssembler(inputCols=["s"], outputCol="features").transform(rows)
     model = IsotonicRegression(featuresCol="features", labelCol="label").fit(rows)
     return model.transform(rows.select("s", "features").dropDuplicates(["s"])).select("s", r9("prediction", "fitted"))
 
 
-def beta_fits(spark, d, state):
-    rows = train(spark, d).join(state.where("state = 'eligible'"), "stratum").select("stratum", "cat_score", "label")
+def beta_rows(rows, by, state):
+    """Rows of the groups that can be fitted."""
+    good = rows.join(state.where("state = 'eligible'").select(*by), by)
+    return good.select(*by, F.col("cat_score").alias("s"), F.col("label").alias("y"), F.lit(1).cast("long").alias("w"))
+
 
-    def solve(pdf):
-        pdf = pdf.sort_values(["cat_score", "label"])
-        return C.solve_beta(pdf["cat_score"].to_numpy(), pdf["label"].to_numpy())
+def beta_states(rows, by):
+    return rows.groupBy(*by).agg(C.beta_eligibility(F.col("cat_score"), F.col("label")).alias("state"))
 
-    return C.fit_groups(rows, BY, solve, "stratum string, a double, b double, c double, face string, kkt double")
+
+def beta_fits(spark, d, state):
+    return C.fit_beta_many(beta_rows(train(spark, d), BY, state), BY)
 
 
 def _beta_sql(steps: int = 40) -> str:
@@ -148,7 +169,7 @@ beta AS (SELECT *, CASE WHEN fa = 1 AND fb = 1 THEN 'INTERIOR' WHEN fa = 1 THEN
 @query("ft08_beta_fit", _beta_sql() + " SELECT e.stratum, state, face, CASE WHEN face IS NOT NULL THEN true END AS certified, round(a, 5) AS a, round(b, 5) AS b, round(c, 5) AS c FROM e LEFT JOIN beta ON beta.stratum = e.stratum")
 def ft08(spark, d):
     """A fit of each stratum that can be fitted, and why the others can't."""
-    state = train(spark, d).groupBy("stratum").agg(C.beta_eligibility(F.col("cat_score"), F.col("label")).alias("state"))
+    state = beta_states(train(spark, d), BY)
     fits = beta_fits(spark, d, state).select("stratum", "face", (F.col("kkt") <= C.KKT).alias("certified"), *[F.round(x, 5).alias(x) for x in "abc"])
     return state.join(fits, "stratum", "left")
 
@@ -173,13 +194,46 @@ def ft10(spark, d):
     return exact.select(F.lit(round(far["slope"], 6)).alias("slope"), F.lit(round(far["intercept"], 6)).alias("intercept"), F.round(F.greatest(F.abs(F.col("slope") - far["slope"]), F.abs(F.col("intercept") - far["intercept"])), 7).alias("apart"))
 
 
-@query("ft11_fit_procedure", W3 + ", e AS (SELECT cluster_id, min(label) = max(label) AS one, count(DISTINCT cat_score) < 3 AS few, max(CASE WHEN label = 0 THEN cat_score END) < min(CASE WHEN label = 1 THEN cat_score END) OR max(CASE WHEN label = 1 THEN cat_score END) < min(CASE WHEN label = 0 THEN cat_score END) AS apart FROM f3 GROUP BY cluster_id) SELECT cluster_id, CASE WHEN one OR few OR apart THEN 'INELIGIBLE' ELSE 'AVAILABLE' END AS status FROM e")
+#: Procedures of a study: two logistic ones by feature, isotonic and beta.
+PROCEDURES = ("P-logistic", "L-logistic", "I-isotonic", "B-beta")
+
+
+def fit_procedure(procedure, rows, by):
+    """(by, status, reason) of one procedure on rows (by, cat_score, label): AVAILABLE, INELIGIBLE or FAILED.
+
+    The logit has no value at the ends, and a beta map is not fitted to groups
+    without an optimum; these are INELIGIBLE with their reason. A fit that does
+    not reach its certificate is FAILED. Nothing is clipped, and no procedure
+    stands in for another.
+    """
+    s, y = F.col("cat_score"), F.col("label")
+    if procedure == "I-isotonic":
+        return rows.groupBy(*by).agg(F.lit("AVAILABLE").alias("status"), F.lit(None).cast("string").alias("reason"))
+    if procedure == "B-beta":
+        state = beta_states(rows, by)
+        fits = C.fit_beta_many(beta_rows(rows, by, state), by).select(*by, "face")
+        told = state.join(fits, by, "left")
+        return told.select(*by, F.when(F.col("state") != "eligible", "INELIGIBLE").when(F.col("face") == "FAILED", "FAILED").otherwise("AVAILABLE").alias("status"), F.when(F.col("state") != "eligible", F.col("state")).when(F.col("face") == "FAILED", "no accepted optimum").alias("reason"))
+    if procedure not in PROCEDURES:
+        raise ValueError(f"no procedure {procedure}")
+    state = rows.groupBy(*by).agg(F.when((F.lit(procedure == "L-logistic")) & ((F.min(s) <= 0) | (F.max(s) >= 1)), "endpoint").alias("ends"))
+    x = s if procedure == "P-logistic" else N.logit(s)
+    good = rows.join(state.where("ends is null").select(*by), by)
+    fits = C.fit_many(good.select(*by, F.lit(1e-2).alias("strength"), x.alias("x"), y.alias("y"), F.lit(1).cast("long").alias("w")), by).select(*by, "certified")
+    told = state.join(fits, by, "left")
+    return told.select(*by, F.when(F.col("ends").isNotNull(), "INELIGIBLE").when(F.col("certified"), "AVAILABLE").otherwise("FAILED").alias("status"), F.coalesce("ends", F.when(~F.col("certified"), "not certified")).alias("reason"))
+
+
+#: TRAIN rows of a stratum and a third of its users, with scores near the ends taken for certain in one of the thirds.
+_THIRDS = "f3t AS (SELECT stratum || '/' || (ascii(right(cluster_id, 1)) % 3) AS part, label, CASE WHEN ascii(right(cluster_id, 1)) % 3 = 0 AND cat_score > 0.98 THEN 1.0 ELSE cat_score END AS cat_score FROM f3 WHERE split = 'TRAIN')"
+
+
+@query("ft11_fit_procedure", W3 + ", " + _THIRDS + f", e AS (SELECT part, {BETA_SQL} AS state, max(cat_score) >= 1 AS ends FROM f3t GROUP BY part), p(procedure) AS (VALUES ('P-logistic'), ('L-logistic'), ('I-isotonic'), ('B-beta')), r AS (SELECT procedure, part, CASE WHEN procedure = 'B-beta' AND state <> 'eligible' THEN state WHEN procedure = 'L-logistic' AND ends THEN 'endpoint' END AS reason FROM e, p) SELECT procedure, part, CASE WHEN reason IS NULL THEN 'AVAILABLE' ELSE 'INELIGIBLE' END AS status, reason FROM r")
 def ft11(spark, d):
-    rows = X.paired_rows(spark, d).select("cluster_id", "cat_score", "label")
-    state = rows.groupBy("cluster_id").agg(C.beta_eligibility(F.col("cat_score"), F.col("label")).alias("state"))
-    good = rows.join(state.where("state = 'eligible'"), "cluster_id")
-    fits = C.fit_groups(good, ["cluster_id"], lambda p: {"status": "AVAILABLE" if C.solve_beta(p["cat_score"].to_numpy(), p["label"].to_numpy(), 1e-6)["face"] != "FAILED" else "FAILED"}, "cluster_id string, status string")
-    return fits.unionByName(state.where("state <> 'eligible'").select("cluster_id", F.lit("INELIGIBLE").alias("status")))
+    third = F.ascii(F.substring("cluster_id", -1, 1)) % 3
+    rows = train(spark, d).select(F.concat_ws("/", "stratum", third.cast("string")).alias("part"), "label", F.when((third == 0) & (F.col("cat_score") > 0.98), 1.0).otherwise(F.col("cat_score")).alias("cat_score"))
+    out = [fit_procedure(p, rows, ["part"]).select(F.lit(p).alias("procedure"), "part", "status", "reason") for p in PROCEDURES]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 PROFILE = (2.5, -0.75)
@@ -208,13 +262,11 @@ def ap03(spark, d):
     return o.select("item_id", F.when(F.col("done"), "already calibrated").otherwise("calibrated").alias("state"), new(F.round(N.sigmoid(PROFILE[0] * F.col("selected_p") + PROFILE[1]), 9)).alias("predicted"), new(digest(F.concat(F.lit("trace"), F.col("item_id").cast("string")))).alias("trace"))
 
 
-#: Fixed knots of an isotonic map.
-KNOTS = [(0.2, 0.1), (0.4, 0.3), (0.7, 0.35), (0.9, 0.8)]
-
-
-@query("ap04_apply_isotonic", W3 + " SELECT item_id, round(CASE WHEN cat_score <= 0.2 THEN 0.1 WHEN cat_score <= 0.4 THEN 0.1 + 0.2 * (cat_score - 0.2) / 0.2 WHEN cat_score <= 0.7 THEN 0.3 + 0.05 * (cat_score - 0.4) / 0.3 WHEN cat_score <= 0.9 THEN 0.35 + 0.45 * (cat_score - 0.7) / 0.2 ELSE 0.8 END, 8) AS fitted FROM f3")
+@query("ap04_apply_isotonic", ISO + """ SELECT r.item_id, r.measurement, round(CASE WHEN a.x IS NULL THEN b.fitted WHEN b.x IS NULL OR a.x = b.x THEN a.fitted ELSE a.fitted + (b.fitted - a.fitted) * (r.v - a.x) / (b.x - a.x) END, 8) AS fitted
+FROM m3 r ASOF LEFT JOIN iso a ON r.stratum = a.stratum AND r.measurement = a.measurement AND r.v >= a.x ASOF LEFT JOIN iso b ON r.stratum = b.stratum AND r.measurement = b.measurement AND r.v <= b.x""")
 def ap04(spark, d):
-    return C.apply_isotonic(X.paired_rows(spark, d), "cat_score", KNOTS).select("item_id", F.round("fitted", 8).alias("fitted"))
+    """All isotonic fits applied to all rows, in one as-of join."""
+    return Iso.apply_isotonic_many(measured(spark, d), ["stratum", "measurement"], "v", isotonic_fits(spark, d)).select("item_id", "measurement", F.round("fitted", 8).alias("fitted"))
 
 
 @query("ap05_apply_beta", "SELECT s, round(CASE WHEN s = 0 THEN 0 WHEN s = 1 THEN 1 ELSE 1 / (1 + exp(-(0.5 * ln(s) - 0.25 * ln(1 - s) + 0.1))) END, 9) AS q FROM (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS s)")

@@ -270,27 +270,22 @@ def su25(spark, d):
 def _su26_sql() -> str:
     from .fits import _beta_sql
 
-    return _beta_sql() + " SELECT stratum, round(a, 5) AS a, true AS agrees FROM beta"
+    return _beta_sql() + " SELECT stratum, face, round(a, 5) AS a, round(b, 5) AS b, round(c, 5) AS c, CAST(4 AS BIGINT) AS starts, CAST(0 AS DOUBLE) AS apart, CAST(0 AS DOUBLE) AS objective_apart FROM beta"
 
 
 @query("su26_alternative_starts", _su26_sql())
 def su26(spark, d):
-    """Beta fits from four other starts, beside that from the origin."""
-    import numpy as np
-
-    from .fits import train
-
-    state = train(spark, d).groupBy("stratum").agg(C.beta_eligibility(F.col("cat_score"), F.col("label")).alias("state"))
-    rows = train(spark, d).join(state.where("state = 'eligible'"), "stratum").select("stratum", "cat_score", "label")
-
-    def run(pdf):
-        s, y = pdf["cat_score"].to_numpy(), pdf["label"].to_numpy()
-        base = C.solve_beta(s, y)
-        others = [C.solve_beta(s, y, start=np.array(v)) for v in ((1.0, 1.0, 0.0), (0.2, 2.0, -0.5), (2.0, 0.2, 0.5), (0.0, 0.0, 1.0))]
-        apart = max(abs(o[k] - base[k]) for o in others for k in "abc")
-        return {"a": round(base["a"], 5), "agrees": bool(apart < 1e-6 and all(o["face"] == base["face"] for o in others))}
-
-    return C.fit_groups(rows, ["stratum"], run, "stratum string, a double, agrees boolean")
+    """Beta fits from four other starts beside that from the origin: how far numbers and objectives lie apart, to 6 digits."""
+    from .fits import BY, beta_rows, beta_states, train
+
+    rows = train(spark, d)
+    starts = ((0.0, 0.0, 0.0), (1.0, 1.0, 0.0), (0.2, 2.0, -0.5), (2.0, 0.2, 0.5), (0.0, 0.0, 1.0))
+    fits = C.fit_beta_many(beta_rows(rows, BY, beta_states(rows, BY)), BY, starts=starts)
+    one = fits.where("start = 0").select("stratum", *[F.col(c).alias(f"{c}0") for c in ("face", "a", "b", "c", "objective")])
+    far = F.greatest(*[F.abs(F.col(c) - F.col(f"{c}0")) for c in "abc"])
+    far = F.when(F.col("face") == F.col("face0"), far).otherwise(F.lit(N.INF))
+    told = fits.where("start > 0").join(one, "stratum").groupBy("stratum", "face0", "a0", "b0", "c0").agg(F.count("*").alias("starts"), F.round(F.max(far), 6).alias("apart"), F.round(F.max(F.abs(F.col("objective") - F.col("objective0"))), 9).alias("objective_apart"))
+    return told.select("stratum", F.col("face0").alias("face"), *[F.round(f"{c}0", 5).alias(c) for c in "abc"], "starts", "apart", "objective_apart")
 
 
 @query("su27_resolve_verbalizers", "SELECT pair, CAST(yes AS BIGINT) AS yes, CAST(no AS BIGINT) AS no, yes IS NOT NULL AS usable FROM (VALUES ('yes/no', 3763, 645), ('true/false', 2081, 3991), ('yes/yes', NULL, NULL), ('yes/undecidable', NULL, NULL)) AS t(pair, yes, no)")

@@ -75,3 +75,21 @@ def test_isotonic_application(spark):
     rows = spark.createDataFrame([(x,) for x in (0.0, 0.2, 0.3, 0.4, 0.95)], "s double")
     got = [r.fitted for r in C.apply_isotonic(rows, "s", [(0.2, 0.1), (0.4, 0.3)]).orderBy("s").collect()]
     assert np.allclose(got, [0.1, 0.1, 0.2, 0.3, 0.3])
+
+
+def test_beta_fits_of_all_groups_equal_single_ones(spark):
+    rng = np.random.default_rng(4)
+    data = []
+    for g, (a, b, c) in enumerate([(1.0, 1.0, 0.0), (0.1, 2.0, -0.3), (2.0, 0.0, 0.2), (-1.0, -0.8, 0.0)]):
+        s = np.round(rng.random(400) * 0.98 + 0.01, 4)
+        y = rng.random(400) < 1 / (1 + np.exp(-(a * np.log(s) - b * np.log1p(-s) + c)))
+        data += [(g, float(u), int(v), int(w)) for u, v, w in zip(s, y, rng.integers(1, 4, 400))]
+    fits = {(r.g, r.start): r for r in C.fit_beta_many(spark.createDataFrame(data, "g int, s double, y int, w long"), ["g"], starts=((0.0, 0.0, 0.0), (1.0, 0.5, 0.2))).collect()}
+    for g in range(4):
+        own = [(s, y) for k, s, y, w in data if k == g for _ in range(w)]
+        want = C.solve_beta(np.array([s for s, _ in own]), np.array([y for _, y in own]))
+        for start in (0, 1):
+            r = fits[g, start]
+            assert r.face == want["face"] and r.kkt <= C.KKT
+            assert max(abs(r.a - want["a"]), abs(r.b - want["b"]), abs(r.c - want["c"])) < 1e-7
+    assert len({fits[g, 0].face for g in range(4)}) > 1
