@@ -334,20 +334,22 @@ def cp09(spark, d):
     return rows.groupBy("direction").agg(r6(F.avg("raw"), "raw"), r6(F.avg("cross"), "crossed"), r6(F.avg("native"), "native"), F.round(F.min("s"), 9).alias("least_score"), F.round(F.max("s"), 9).alias("largest_score"), F.count_if((F.col("s") > 0.5) != (F.col("q_cross") > 0.5)).alias("winner_changes"), r6(F.max(F.abs(F.col("q_cross") - q_native)), "apart"))
 
 
-def _refit_sql() -> str:
+def _refit_sql(draws=None) -> str:
     from .resampling import fits_sql
 
-    return fits_sql()
+    return fits_sql(draws)
 
 
-@query("cp10_stability_artifact", _refit_sql() + " SELECT count(*) AS n, round(avg(a), 6) AS mean_slope, round(stddev_samp(a), 6) AS sd_slope, round(quantile_disc(a, 0.025), 6) AS lower, round(quantile_disc(a, 0.975), 6) AS upper, round(avg(b), 6) AS mean_intercept FROM sol")
+@query("cp10_stability_artifact", _refit_sql() + " SELECT m AS measurement, count(*) AS n, round(avg(a), 6) AS mean_slope, round(stddev_samp(a), 6) AS sd_slope, round(quantile_disc(a, 0.025), 6) AS lower, round(quantile_disc(a, 0.975), 6) AS upper, round(avg(b), 6) AS mean_intercept FROM sol GROUP BY m")
 def cp10(spark, d):
+    """Spread of both maps over the refits."""
     from ..operators import resampling as B
-    from .resampling import refits
+    from .resampling import SCORES, refits
 
-    fits = refits(spark, d)
-    i = B.percentile_interval(fits, "slope", 0.025, 0.975).select(r6("lower", "lower"), r6("upper", "upper"))
-    return fits.agg(F.count("*").alias("n"), r6(F.avg("slope"), "mean_slope"), r6(F.stddev_samp("slope"), "sd_slope"), r6(F.avg("intercept"), "mean_intercept")).crossJoin(i)
+    each = F.array(*[F.struct(F.lit(m).alias("measurement"), F.col(f"{m}_slope").alias("slope"), F.col(f"{m}_intercept").alias("intercept")) for m in SCORES])
+    fits = refits(spark, d).select(F.explode(each).alias("x")).select("x.*")
+    i = B.percentile_interval(fits, "slope", 0.025, 0.975, ["measurement"]).select("measurement", r6("lower", "lower"), r6("upper", "upper"))
+    return fits.groupBy("measurement").agg(F.count("*").alias("n"), r6(F.avg("slope"), "mean_slope"), r6(F.stddev_samp("slope"), "sd_slope"), r6(F.avg("intercept"), "mean_intercept")).join(i, "measurement")
 
 
 @query("cp11_adequacy_artifact", PANEL + " SELECT measurement, feature, s AS strength, round(avg(a), 6) AS slope, round(stddev_samp(a), 6) AS sd, count(*) AS certified FROM sol GROUP BY ALL")
@@ -363,23 +365,35 @@ def cp12(spark, d):
     return told.unionByName(spark.createDataFrame([(None, c[0], c[1], R.failure_class(*c)) for c in cases], "slope double, reference_failed long, disagreements long, class string"))
 
 
-@query("cp15_refit_stability", _refit_sql() + " SELECT 'COMPLETE' AS state, count(*) AS n, round(min(a), 6) AS least_slope, round(max(a), 6) AS largest_slope FROM sol")
-def cp15(spark, d):
+#: Losses of the replicates' maps on the TEST rows: of ovr scores as they are, under the map of cat and under their own.
+_ON_OVR = ", points AS (SELECT ovr_score AS x, label AS y, count(*) AS n FROM f3 WHERE split = 'TEST' GROUP BY ALL), raw AS (SELECT sum(n * pow(x - y, 2)) / sum(n) AS v FROM points), risk AS (SELECT replicate, m, sum(n * pow(1 / (1 + exp(-(a * x + b))) - y, 2)) / sum(n) AS v FROM sol, points GROUP BY ALL), two AS (SELECT replicate, any_value(v) FILTER (m = 'cat') AS crossed, any_value(v) FILTER (m = 'ovr') AS native FROM risk GROUP BY replicate)"
+
+
+def _on_ovr(spark, d, draws=None):
+    """(replicate, status, deploy, native_delta, transport) of the refits, on the TEST scores of ovr."""
     from .resampling import refits
 
-    return refits(spark, d).agg(F.when(F.bool_and(F.col("status") == "AVAILABLE"), "COMPLETE").otherwise("INCOMPLETE").alias("state"), F.count("*").alias("n"), r6(F.min("slope"), "least_slope"), r6(F.max("slope"), "largest_slope"))
+    raw = exact_means(X.paired_rows(spark, d).where("split = 'TEST'"), [], {"raw": N.brier(F.col("ovr_score"), F.col("label"))}).select("raw")
+    rows = refits(spark, d, draws=draws).crossJoin(F.broadcast(raw))
+    return rows.select("replicate", "status", (F.col("cat_on_ovr") - F.col("raw")).alias("deploy"), (F.col("ovr_on_ovr") - F.col("raw")).alias("native_delta"), (F.col("cat_on_ovr") - F.col("ovr_on_ovr")).alias("transport"))
 
 
-@query("cp17_refit_blocks", _refit_sql() + ", points AS (SELECT cat_score AS x, label AS y, count(*) AS n FROM f3 WHERE split = 'TEST' GROUP BY ALL) SELECT CAST(replicate AS INTEGER) AS replicate, round(sum(n * pow(1 / (1 + exp(-(a * x + b))) - y, 2)) / sum(n) - sum(n * pow(x - y, 2)) / sum(n), 6) AS native_delta FROM sol, points GROUP BY replicate")
-def cp17(spark, d):
-    """Loss of every refit on the TEST scores, which are counted first."""
-    from .resampling import refits
+@query("cp15_refit_stability", _refit_sql(10) + _ON_OVR + ", d AS (SELECT unnest([crossed - (SELECT v FROM raw), native - (SELECT v FROM raw), crossed - native]) AS v, unnest(['deploy', 'native_delta', 'transport']) AS name FROM two) SELECT name, 'COMPLETE' AS state, count(*) AS n, round(quantile_disc(v, 0.025), 6) AS lower, round(quantile_disc(v, 0.5), 6) AS median, round(quantile_disc(v, 0.975), 6) AS upper FROM d GROUP BY name")
+def cp15(spark, d):
+    """Ten draws of each stratum: how much the loss differences hang on the training set."""
+    from ..operators import resampling as B
+
+    rows = _on_ovr(spark, d, 10)
+    long = rows.select("status", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in ("deploy", "native_delta", "transport")])).alias("x")).select("status", "x.*")
+    state = long.groupBy("name").agg(F.when(F.bool_and(F.col("status") == "AVAILABLE"), "COMPLETE").otherwise("INCOMPLETE").alias("state"))
+    i = B.percentile_interval(long, "v", 0.025, 0.975, ["name"])
+    return i.join(state, "name").select("name", "state", "n", r6("lower", "lower"), r6("median", "median"), r6("upper", "upper"))
 
-    points = X.paired_rows(spark, d).where("split = 'TEST'").groupBy("cat_score", "label").agg(F.count("*").alias("n"))
-    rows = points.crossJoin(F.broadcast(refits(spark, d)))  # as many rows as replicates
-    q = N.sigmoid(F.col("slope") * F.col("cat_score") + F.col("intercept"))
-    mean = lambda c: F.sum(F.col("n") * c) / F.sum("n")
-    return rows.groupBy("replicate").agg(r6(mean(N.brier(q, F.col("label"))) - mean(N.brier(F.col("cat_score"), F.col("label"))), "native_delta"))
+
+@query("cp17_refit_blocks", _refit_sql() + _ON_OVR + " SELECT CAST(replicate AS INTEGER) AS replicate, 'AVAILABLE' AS status, round(crossed - (SELECT v FROM raw), 6) AS deploy, round(native - (SELECT v FROM raw), 6) AS native_delta, round(crossed - native, 6) AS transport FROM two")
+def cp17(spark, d):
+    """Loss differences of every refit on the TEST scores."""
+    return _on_ovr(spark, d).select("replicate", "status", r6("deploy", "deploy"), r6("native_delta", "native_delta"), r6("transport", "transport"))
 
 
 @query("cp20_oracle_risks", W3 + " SELECT stratum, round(avg((cat_score - label) * (cat_score - label)), 9) AS cat, round(avg((ovr_score - label) * (ovr_score - label)), 9) AS ovr FROM f3 GROUP BY stratum")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as X
 from ..functions import numeric as N
-from ..operators import calibration as C
+from ..operators import refits as RF
 from ..operators import resampling as B
 from ..operators.resampling import REFIT_REPLICATES
 from . import query
@@ -29,11 +29,16 @@ dr AS (SELECT r AS replicate, stratum, {index} AS place FROM (SELECT stratum, n,
 w AS (SELECT replicate, stratum, {unit}, count(*) AS w FROM dr JOIN u USING (stratum, place) GROUP BY ALL)"""
 
 
-def fits_sql():
+def fits_sql(draws=None, feature="v", sure=None):
+    """SQL of all refits: CTEs w of draws and sol (replicate, m, a, b) of both maps.
+
+    sure: SQL of a TRAIN score that is taken for certain; replicates that draw it are in `gone`, not in sol.
+    """
     from .fits import newton
 
-    body = T3.removeprefix("WITH ") + ", " + _draws("item_id", "t", reps=REFITS)
-    return "WITH RECURSIVE " + body + ", src AS (SELECT replicate, cat_score AS x, f3.label AS y, 0.01 AS s, w FROM w JOIN f3 USING (item_id)), " + newton("src", ["replicate"], 25)
+    body = T3.removeprefix("WITH ") + ", " + _draws("item_id", "t", reps=REFITS, draws=draws)
+    gone = f"SELECT DISTINCT replicate FROM w JOIN f3 USING (item_id) WHERE {sure}" if sure else "SELECT 0 AS replicate WHERE false"
+    return "WITH RECURSIVE " + body + f", gone AS ({gone}), src AS (SELECT replicate, m, {feature} AS x, y, 0.01 AS s, w FROM (SELECT replicate, m, CASE m WHEN 'cat' THEN cat_score ELSE ovr_score END AS v, f3.label AS y, w FROM w JOIN f3 USING (item_id), (SELECT unnest(['cat', 'ovr']) AS m) WHERE replicate NOT IN (SELECT replicate FROM gone))), " + newton("src", ["replicate", "m"], 25)
 
 
 T3 = f"WITH {X.F3}, t AS (SELECT stratum, cluster_id, item_id, label, {_B('ovr_score')} AS raw, {_B(_S(CROSS, 'ovr_score'))} AS crossed, {_B(_S(NATIVE, 'ovr_score'))} AS native FROM f3 WHERE split = 'TRAIN')"
@@ -93,22 +98,21 @@ def bs05(spark, d):
     return B.bootstrap_means(t, "item_id", "stratum", ["deploy"], 20, "wide", wide=True).select("replicate", r9("deploy", "deploy"))
 
 
-def refits(spark, d, reps=REFITS):
-    """(replicate, slope, intercept, status): a fit of every resampled training set, given by weights."""
-    t = X.paired_rows(spark, d).where("split = 'TRAIN'")
-    drawn = B.weights(t, "item_id", "stratum", reps, "p").join(t.select("item_id", "cat_score", "label"), "item_id")
-    drawn = drawn.groupBy("replicate", "cat_score", "label").agg(F.sum("w").cast("double").alias("w"))
+SCORES = {"cat": "cat_score", "ovr": "ovr_score"}
 
-    def solve(pdf):
-        a, b, ok = C.solve_logistic(pdf["cat_score"].to_numpy(), pdf["label"].to_numpy(), 1e-2, pdf["w"].to_numpy())
-        return {"slope": a if ok else None, "intercept": b if ok else None, "status": "AVAILABLE" if ok else "FAILED"}
 
-    return C.fit_groups(drawn, ["replicate"], solve, "replicate int, slope double, intercept double, status string")
+def refits(spark, d, reps=REFITS, draws=None, feature="p", sure=None):
+    """Both maps of every resampled training set, and their losses on the TEST rows."""
+    rows = X.paired_rows(spark, d)
+    own = rows.where("split = 'TRAIN'")
+    if sure is not None:
+        own = own.withColumn("cat_score", F.when(sure(own), 1.0).otherwise(F.col("cat_score")))
+    return RF.refit(own, rows.where("split = 'TEST'"), "item_id", "stratum", SCORES, "label", 1e-2, reps, feature=feature, draws=draws)
 
 
-@query("bs06_train_refit_bootstrap", fits_sql() + " SELECT CAST(replicate AS INTEGER) AS replicate, 'AVAILABLE' AS status, round(a, 6) AS slope, round(b, 6) AS intercept FROM sol")
+@query("bs06_train_refit_bootstrap", fits_sql() + " SELECT CAST(replicate AS INTEGER) AS replicate, 'AVAILABLE' AS status, round(any_value(a) FILTER (m = 'cat'), 6) AS cat_slope, round(any_value(b) FILTER (m = 'cat'), 6) AS cat_intercept, round(any_value(a) FILTER (m = 'ovr'), 6) AS ovr_slope, round(any_value(b) FILTER (m = 'ovr'), 6) AS ovr_intercept FROM sol GROUP BY replicate")
 def bs06(spark, d):
-    return refits(spark, d).select("replicate", "status", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
+    return refits(spark, d).select("replicate", "status", *[F.round(f"{m}_{p}", 6).alias(f"{m}_{p}") for m in SCORES for p in ("slope", "intercept")])
 
 
 @query("bs07_subject_statistic", E3 + ", " + _tests("item_id") + " SELECT CAST(replicate AS INTEGER) AS replicate, round(avg(m), 9) AS mean FROM (SELECT replicate, t.stratum, sum(w * raw) / sum(w) AS m FROM w JOIN t USING (item_id) GROUP BY replicate, t.stratum) GROUP BY replicate")
@@ -183,10 +187,17 @@ def bs09_intervals(spark, d):
     return i.select("name", "n", r9("lower", "lower"), r9("median", "median"), r9("upper", "upper"), "excludes_zero")
 
 
-@query("bs10_refit_block", fits_sql() + " SELECT 'COMPLETE' AS state, count(*) AS n, CAST(0 AS BIGINT) AS failed, round(sum(a), 3) AS slopes FROM sol")
+_LARGEST = "(SELECT max(cat_score) FROM f3 WHERE split = 'TRAIN')"
+
+
+@query("bs10_refit_block", fits_sql(feature="ln(v / (1 - v))", sure=f"cat_score = {_LARGEST}") + " SELECT CASE WHEN (SELECT count(*) FROM gone) > 0 THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS state, CAST(2000 AS BIGINT) AS planned, (SELECT count(*) FROM gone) AS failed, count(*) FILTER (m = 'cat') AS available, round(sum(a) FILTER (m = 'cat'), 3) AS cat_slopes, round(sum(a) FILTER (m = 'ovr'), 3) AS ovr_slopes FROM sol")
 def bs10(spark, d):
-    a = refits(spark, d).agg(F.count("*").alias("n"), F.count_if(F.col("status") != "AVAILABLE").alias("failed"), F.round(F.sum("slope"), 3).alias("slopes"))
-    return a.select(F.when(F.col("failed") == 0, "COMPLETE").otherwise("INCOMPLETE").alias("state"), "n", "failed", "slopes")
+    """Maps on logits, with the largest TRAIN score taken for certain: a replicate that draws it fails, and with it the block."""
+    top = X.paired_rows(spark, d).where("split = 'TRAIN'").agg(F.max("cat_score")).first()[0]
+    fits = refits(spark, d, feature="logit", sure=lambda rows: F.col("cat_score") == top)
+    bad = F.col("status") != "AVAILABLE"
+    a = fits.agg(F.count("*").alias("planned"), F.count_if(bad).alias("failed"), F.count_if(~bad).alias("available"), F.round(F.sum("cat_slope"), 3).alias("cat_slopes"), F.round(F.sum("ovr_slope"), 3).alias("ovr_slopes"))
+    return a.select(F.when(F.col("failed") == 0, "COMPLETE").otherwise("INCOMPLETE").alias("state"), "planned", "failed", "available", "cat_slopes", "ovr_slopes")
 
 
 @query("bs11_log_loss_intervals", E3 + ", " + _tests("item_id") + ", l AS (SELECT item_id, CASE WHEN label = 1 AND item_id % 3001 = 0 THEN CAST('inf' AS DOUBLE) ELSE -ln(CASE WHEN label = 1 THEN ovr_score ELSE 1 - ovr_score END) END AS loss FROM f3 WHERE split = 'TEST') SELECT CAST(replicate AS INTEGER) AS replicate, CASE WHEN bool_or(isinf(loss)) THEN 'POSITIVE_INFINITY' ELSE 'FINITE' END AS state, CASE WHEN NOT bool_or(isinf(loss)) THEN round(sum(w * CASE WHEN isinf(loss) THEN 0 ELSE loss END) / sum(w), 9) END AS mean FROM w JOIN l USING (item_id) GROUP BY replicate")
