@@ -13,12 +13,12 @@ from . import query
 from .aggregates import _B, CROSS, NATIVE, _S, losses
 from .scalars import r9
 
-#: Replicates of queries on TRAIN and on TEST, of the tails, and of refits. The operators' own defaults are the
-#: study's 20,000 and 2,000; on TEST rows SQL takes too long for 20,000, so these queries draw fewer.
-R, TESTS, TAILS, REFITS = 40, 200, 1000, REFIT_REPLICATES
+#: Replicates of queries on TEST rows, of the tails, and of all queries on TRAIN rows. The operators' own defaults are
+#: the study's 20,000 and 2,000; on TEST rows SQL takes too long for 20,000, so queries with SQL draw fewer.
+TESTS, TAILS, REFITS = 200, 1000, REFIT_REPLICATES
 
 
-def _draws(unit, pool, n_sql="n", pop="p", extra="", wide=False, reps=R, draws=None):
+def _draws(unit, pool, n_sql="n", pop="p", extra="", wide=False, reps=REFITS, draws=None):
     """SQL of draws (replicate, stratum, unit): CTEs u and dr."""
     text = f"""'{{{extra}"draw_index":' || k || ',"pool_size":' || n || ',"population_id":"{pop}","protocol_id":"hash-bootstrap","protocol_version":1,"replicate_index":' || r || ',"stratum":"' || stratum || '"}}'"""
     h = f"sha256({text})"
@@ -62,9 +62,11 @@ def _deltas(rows):
     return rows.select("item_id", "cluster_id", "stratum", (F.col("crossed") - F.col("raw")).alias("deploy"), (F.col("crossed") - F.col("native")).alias("transport"))
 
 
-@query("bs01_stratified_draws", T3 + ", " + _draws("item_id", "t") + " SELECT CAST(replicate AS INTEGER) AS replicate, stratum, item_id, w FROM w")
+@query("bs01_stratified_draws", T3 + ", " + _draws("item_id", "t") + " SELECT CAST(replicate AS INTEGER) AS replicate, stratum, CAST(sum(w) AS BIGINT) AS n, count(*) AS distinct_rows, CAST(sum(w * item_id) AS BIGINT) AS item_sum, CAST(sum(w * w * item_id) AS BIGINT) AS square_sum FROM w GROUP BY replicate, stratum")
 def bs01(spark, d):
-    return B.weights(train(spark, d), "item_id", "stratum", R, "p")
+    """How often each row is drawn, as sums over the rows of every replicate and stratum."""
+    w = B.weights(train(spark, d), "item_id", "stratum", REFITS, "p")
+    return w.groupBy("replicate", "stratum").agg(F.sum("w").alias("n"), F.count("*").alias("distinct_rows"), F.sum(F.col("w") * F.col("item_id")).alias("item_sum"), F.sum(F.col("w") * F.col("w") * F.col("item_id")).alias("square_sum"))
 
 
 def _tests(unit, pop="p", reps=TESTS, **more):
@@ -85,17 +87,17 @@ def bs03(spark, d):
 
 @query("bs04_train_refit_draws", T3 + ", " + _draws("item_id", "t", pop="p", extra='"budget_identity":"N500",') + " SELECT CAST(replicate AS INTEGER) AS replicate, stratum, CAST(sum(w) AS BIGINT) AS n, count(*) AS distinct_rows FROM w GROUP BY replicate, stratum")
 def bs04(spark, d):
-    w = B.weights(train(spark, d), "item_id", "stratum", R, "p", extra={"budget_identity": F.lit('"N500"')})
+    w = B.weights(train(spark, d), "item_id", "stratum", REFITS, "p", extra={"budget_identity": F.lit('"N500"')})
     return w.groupBy("replicate", "stratum").agg(F.sum("w").alias("n"), F.count("*").alias("distinct_rows"))
 
 
 _ONE = E3.replace("SELECT stratum, cluster_id, item_id, label", "SELECT 'all' AS stratum, cluster_id, item_id, label")
 
 
-@query("bs05_paired_test_bootstrap", _ONE + ", " + _tests("item_id", "wide", wide=True, reps=20) + " SELECT CAST(replicate AS INTEGER) AS replicate, round(sum(w * (crossed - raw)) / sum(w), 9) AS deploy FROM w JOIN t USING (item_id) GROUP BY replicate")
+@query("bs05_paired_test_bootstrap", _ONE + ", " + _tests("item_id", "wide", wide=True) + " SELECT CAST(replicate AS INTEGER) AS replicate, round(sum(w * (crossed - raw)) / sum(w), 9) AS deploy FROM w JOIN t USING (item_id) GROUP BY replicate")
 def bs05(spark, d):
     t = _deltas(test(spark, d)).withColumn("stratum", F.lit("all"))
-    return B.bootstrap_means(t, "item_id", "stratum", ["deploy"], 20, "wide", wide=True).select("replicate", r9("deploy", "deploy"))
+    return B.bootstrap_means(t, "item_id", "stratum", ["deploy"], TESTS, "wide", wide=True).select("replicate", r9("deploy", "deploy"))
 
 
 SCORES = {"cat": "cat_score", "ovr": "ovr_score"}
@@ -123,7 +125,7 @@ def bs07(spark, d):
 
 @query("bs08_fixed_count_draws", T3 + ", " + _draws("item_id", "t", draws=10) + " SELECT CAST(replicate AS INTEGER) AS replicate, stratum, CAST(sum(w) AS BIGINT) AS n FROM w GROUP BY replicate, stratum")
 def bs08(spark, d):
-    return B.weights(train(spark, d), "item_id", "stratum", R, "p", draws=10).groupBy("replicate", "stratum").agg(F.sum("w").alias("n"))
+    return B.weights(train(spark, d), "item_id", "stratum", REFITS, "p", draws=10).groupBy("replicate", "stratum").agg(F.sum("w").alias("n"))
 
 
 #: The configurations of the panel: two scores, four maps of a score (None: itself), two losses.
@@ -258,7 +260,7 @@ def half(rows):
 def bs16(spark, d):
     """Mean loss of a replicate under the whole budget less that under the half of it."""
     t = train(spark, d)
-    rows = B.weights(t, "item_id", "stratum", R, "p").join(t.select("item_id", "raw"), "item_id").join(half(t).withColumn("h", F.lit(True)), "item_id", "left")
+    rows = B.weights(t, "item_id", "stratum", REFITS, "p").join(t.select("item_id", "raw"), "item_id").join(half(t).withColumn("h", F.lit(True)), "item_id", "left")
     w = F.when(F.col("h"), F.col("w")).otherwise(F.lit(0))
     return rows.groupBy("replicate").agg(r9(F.sum(F.col("w") * F.col("raw")) / F.sum("w") - F.sum(w * F.col("raw")) / F.sum(w), "v"))
 
