@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .queries import QUERIES, SQL, Query
-from .queries import aggregates, fits, inputs, joins, ranking, resampling, scalars, scoring, shift, support  # noqa: F401
+from .queries import aggregates, fits, inputs, joins, ranking, resampling, scalars, scoring, shift, study, support  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,29 @@ def _round(parts: list) -> float:
         return math.inf if total > 0 else -math.inf
 
 
+def partial_sums(rows: DataFrame, by: list[str], values: Mapping[str, Column], weight: Column | None = None) -> DataFrame:
+    """(_k0, ..., i, e, high, low): each group's sums of value i by exponent; value -1 counts the rows."""
+    keys = [f"_k{i}" for i in range(len(by))]
+    w = F.lit(1).cast("long") if weight is None else weight.cast("long")
+    each = [F.struct(F.lit(i).alias("i"), v.cast("double").alias("v")) for i, v in enumerate([F.lit(0.0), *values.values()], -1)]
+    long = rows.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], w.alias("_w"), F.explode(F.array(*each)).alias("_x"))
+    long = split(long.selectExpr(*keys, "_w", "_x.i", "_x.v AS _v"), "_v", [*keys, "_w", "i"]).where("e is not null")
+    return long.groupBy(*keys, "i", "e").agg(F.expr("sum(_w * high)").alias("high"), F.expr("sum(CASE WHEN i < 0 THEN _w ELSE _w * low END)").alias("low"))
+
+
+def collected_means(rows: DataFrame, by: list[str], values: Mapping[str, Column], weight: Column | None = None) -> dict[tuple, list[float]]:
+    """As `exact_means`, of few groups, on the driver: a list of means for each key. Groups without rows are not there."""
+    n: dict[tuple, int] = {}
+    parts: dict[tuple, list[list]] = {}
+    for r in partial_sums(rows, by, values, weight).toArrow().to_pylist():
+        key = tuple(r[f"_k{i}"] for i in range(len(by)))
+        if r["i"] < 0:
+            n[key] = r["low"]
+        else:
+            parts.setdefault(key, [[] for _ in values])[r["i"]].append(r)
+    return {k: [_round(g) / n[k] for g in own] for k, own in parts.items() if n[k]}
+
+
 def exact_sums(rows: DataFrame, by: list[str], values: Mapping[str, Column], weight: Column | None = None, mean: bool = False) -> DataFrame:
     """(by, n, values): the exact sum of each value, rounded once, by group.
 
@@ -72,12 +95,7 @@ def exact_sums(rows: DataFrame, by: list[str], values: Mapping[str, Column], wei
     beyond, an overflow is an error.
     """
     names, keys = list(values), [f"_k{i}" for i in range(len(by))]
-    w = F.lit(1).cast("long") if weight is None else weight.cast("long")
-    each = [F.struct(F.lit(i).alias("i"), v.cast("double").alias("v")) for i, v in enumerate([F.lit(0.0), *values.values()], -1)]
-    long = rows.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], w.alias("_w"), F.explode(F.array(*each)).alias("_x"))
-    long = split(long.selectExpr(*keys, "_w", "_x.i", "_x.v AS _v"), "_v", [*keys, "_w", "i"]).where("e is not null")
-    # the value numbered -1 counts the rows
-    sums = long.groupBy(*keys, "i", "e").agg(F.expr("sum(_w * high)").alias("high"), F.expr("sum(CASE WHEN i < 0 THEN _w ELSE _w * low END)").alias("low"))
+    sums = partial_sums(rows, by, values, weight)
     one = sums.groupBy(*keys).agg(F.expr("coalesce(sum(CASE WHEN i < 0 THEN low END), 0L)").alias("n"), F.expr("collect_list(CASE WHEN i >= 0 THEN struct(i, e, high, low) END)").alias("parts"))
 
     @F.arrow_udf("array<double>")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from ..functions.exact import exact_means
+from ..functions.exact import collected_means, exact_means
 
 #: Fixed values of the solver: objective gap of the certificate, iterations, Armijo share, halvings; KKT bound of beta.
 GAP, ITERATIONS, ARMIJO, HALVINGS, KKT = 1e-14, 100, 1e-4, 60, 1e-10
@@ -59,6 +59,17 @@ class _Newton:
 MOST_GROUPS = 100_000
 
 
+#: Groups whose sums by exponent are rounded on the driver; those of more are rounded in tasks.
+ROUNDED_HERE = 2_000
+
+
+def _means(rows: DataFrame, keys: list[str], terms: dict[str, Column], groups: int) -> dict[tuple, list[float]]:
+    """Exact means of rows of weight `w`, by key."""
+    if groups <= ROUNDED_HERE:
+        return collected_means(rows, keys, terms, F.col("w"))
+    return {tuple(r[c] for c in keys): [r[c] for c in terms] for r in exact_means(rows, keys, terms, F.col("w")).collect()}
+
+
 def fit_many(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, strength, slope, intercept, objective, gradient_norm, certified) of all groups at once.
 
@@ -82,11 +93,10 @@ def fit_many(rows: DataFrame, by: list[str]) -> DataFrame:
             points = F.broadcast(spark.createDataFrame([(*k, float(n.point[0]), float(n.point[1])) for k, n in open_.items()], f"{kinds}, _a double, _b double").toDF(*[f"_{c}" for c in keys], "_a", "_b"))
             same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
             terms = {f"_{k}": c for k, c in objective_values(F.col("x"), F.col("y"), F.col("_a"), F.col("_b")).items()}
-            for r in exact_means(rows.join(points, same), keys, terms, F.col("w")).collect():
-                k = tuple(r[c] for c in keys)
+            for k, (nll, ga, gb, haa, hab, hbb) in _means(rows.join(points, same), keys, terms, len(open_)).items():
                 (a, b), s = groups[k].point, k[-1]
-                g, h = np.array([r["_ga"] + s * a, r["_gb"] + s * b]), np.array([[r["_haa"] + s, r["_hab"]], [r["_hab"], r["_hbb"] + s]])
-                groups[k].told(r["_nll"] + s / 2 * (a * a + b * b), g, h)
+                g, h = np.array([ga + s * a, gb + s * b]), np.array([[haa + s, hab], [hab, hbb + s]])
+                groups[k].told(nll + s / 2 * (a * a + b * b), g, h)
     finally:
         rows.unpersist()
     out = []
@@ -278,8 +288,8 @@ def _fit_faces(spark, rows: DataFrame, by: list[str], kinds: str, groups: list[t
         table = spark.createDataFrame(points, f"{kinds}{', ' if by else ''}_p long, _a double, _b double, _c double").toDF(*[f"_{c}" for c in by], "_p", "_a", "_b", "_c")
         met = rows.join(F.broadcast(table), same) if by else rows.crossJoin(F.broadcast(table))
         terms = beta_values(F.col("s"), F.col("y"), F.col("_a"), F.col("_b"), F.col("_c"))
-        got = exact_means(met, ["_p"], terms, F.col("w")).toArrow()
-        at, x = got.column("_p").to_numpy(), {c: got.column(c).to_numpy() for c in terms}
+        got = sorted(_means(met, ["_p"], terms, len(open_)).items())
+        at, x = np.array([p for (p,), _ in got]), dict(zip(terms, np.array([v for _, v in got]).T))
         here = newton.point[at]
         g = np.column_stack([x["g0"], x["g1"], x["g2"]]) + strength * here
         h = np.array([[x["h00"], x["h01"], x["h02"]], [x["h01"], x["h11"], x["h12"]], [x["h02"], x["h12"], x["h22"]]]).transpose(2, 0, 1) + strength * np.eye(3)
