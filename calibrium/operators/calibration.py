@@ -6,8 +6,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions import numeric as N
 from ..functions.exact import collected_means, exact_means
@@ -59,6 +62,11 @@ class _Newton:
 MOST_GROUPS = 100_000
 
 
+def _local(spark, rows: list[tuple], kind: StructType) -> DataFrame:
+    """A small table that travels with the plan."""
+    return spark.createDataFrame(pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*rows), to_arrow_schema(kind))], schema=to_arrow_schema(kind)), kind)
+
+
 #: Groups whose sums by exponent are rounded on the driver; those of more are rounded in tasks.
 ROUNDED_HERE = 2_000
 
@@ -89,10 +97,10 @@ def fit_many(rows: DataFrame, by: list[str]) -> DataFrame:
             raise ValueError(f"more than {MOST_GROUPS} groups")
         kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
         groups = {tuple(r): _Newton(r["strength"]) for r in found}
+        terms = {f"_{k}": c for k, c in objective_values(F.col("x"), F.col("y"), F.col("_a"), F.col("_b")).items()}
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
         while open_ := {k: n for k, n in groups.items() if not n.done}:
-            points = F.broadcast(spark.createDataFrame([(*k, float(n.point[0]), float(n.point[1])) for k, n in open_.items()], f"{kinds}, _a double, _b double").toDF(*[f"_{c}" for c in keys], "_a", "_b"))
-            same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
-            terms = {f"_{k}": c for k, c in objective_values(F.col("x"), F.col("y"), F.col("_a"), F.col("_b")).items()}
+            points = F.broadcast(_local(spark, [(*k, float(n.point[0]), float(n.point[1])) for k, n in open_.items()], StructType([*[StructField(f"_{c}", rows.schema[c].dataType) for c in keys], StructField("_a", DoubleType()), StructField("_b", DoubleType())])))
             for k, (nll, ga, gb, haa, hab, hbb) in _means(rows.join(points, same), keys, terms, len(open_)).items():
                 (a, b), s = groups[k].point, k[-1]
                 g, h = np.array([ga + s * a, gb + s * b]), np.array([[haa + s, hab], [hab, hbb + s]])
@@ -282,12 +290,13 @@ def _fit_faces(spark, rows: DataFrame, by: list[str], kinds: str, groups: list[t
     first = np.array([p for p in starts for _ in names] * len(groups), float).reshape(-1, 3)
     newton, number = _FaceNewton(on, first), {g: i for i, g in enumerate(groups)}
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    terms = beta_values(F.col("s"), F.col("y"), F.col("_a"), F.col("_b"), F.col("_c"))
+    kind = StructType([*[StructField(f"_{c}", rows.schema[c].dataType) for c in by], StructField("_p", LongType()), *[StructField(c, DoubleType()) for c in ("_a", "_b", "_c")]])
     while not newton.done.all():
         open_ = np.flatnonzero(~newton.done)
         points = [(*groups[i // (k * m)], int(i), *map(float, newton.point[i])) for i in open_]
-        table = spark.createDataFrame(points, f"{kinds}{', ' if by else ''}_p long, _a double, _b double, _c double").toDF(*[f"_{c}" for c in by], "_p", "_a", "_b", "_c")
+        table = _local(spark, points, kind)
         met = rows.join(F.broadcast(table), same) if by else rows.crossJoin(F.broadcast(table))
-        terms = beta_values(F.col("s"), F.col("y"), F.col("_a"), F.col("_b"), F.col("_c"))
         got = sorted(_means(met, ["_p"], terms, len(open_)).items())
         at, x = np.array([p for (p,), _ in got]), dict(zip(terms, np.array([v for _, v in got]).T))
         here = newton.point[at]
