@@ -44,3 +44,37 @@ def test_an_infinite_loss_counts_only_where_it_is_drawn(spark):
 
 def test_no_rows(spark):
     assert B.bootstrap_means(pool(spark).where("false"), "unit", "stratum", ["a"], 5).count() == 0
+
+
+@pytest.mark.parametrize("draws", [None, 7, 90])
+def test_weights_are_counts_of_the_places_drawn_in_any_chunks(spark, monkeypatch, draws):
+    p = pool(spark).where("stratum is not null and unit is not null")
+    run = lambda: sorted(map(tuple, B.weights(p, "unit", "stratum", 6, "q", draws, {"budget_identity": "N1"}).collect()))
+    whole = run()
+    want = []
+    for s in ("s0", "s1", "s2"):
+        units = sorted({r.unit for r in p.where(F.col("stratum") == s).collect()})
+        for r in range(6):
+            places = B.places_drawn("q", r, s, len(units), draws or len(units), False, {"budget_identity": "N1"}).tolist()
+            want += [(r, s, units[k], places.count(k)) for k in set(places)]
+    assert whole == sorted(want)
+    for name, value in (("CHUNK", 4), ("RUN", 5), ("PIECE", 2)):
+        monkeypatch.setattr(B, name, value)
+    assert run() == whole
+
+
+def test_sums_meet_draws_in_chunks_without_rows_of_draws(spark, monkeypatch):
+    """Draws were rows, each with a digest in hexadecimal, that were joined with the sums."""
+    few = {r.replicate: r for r in B.bootstrap_means(pool(spark), "unit", "stratum", ["a", "b"], 12, "q").collect()}
+    for name, value in (("MOST_BYTES", 0), ("CHUNK", 4), ("RUN", 5)):
+        monkeypatch.setattr(B, name, value)
+    many = B.bootstrap_means(pool(spark), "unit", "stratum", ["a", "b"], 12, "q")
+    assert "sha2" not in many._jdf.queryExecution().optimizedPlan().toString()
+    for r in many.collect():
+        assert r.n == few[r.replicate].n and abs(r.a - few[r.replicate].a) < 1e-12 and abs(r.b - few[r.replicate].b) < 1e-12
+
+
+def test_a_unit_has_its_columns_with_its_weight(spark):
+    p = pool(spark).where("stratum is not null and unit is not null")
+    got = B.weights(p, "i", "stratum", 3, "q", carry=["a", "unit"]).collect()
+    assert got and all(r.a == r.i % 7 / 8 and r.unit == f"u{r.i // 2}" and r.stratum == f"s{r.i % 3}" for r in got)
