@@ -63,3 +63,15 @@ def test_refits_equal_single_fits(spark, monkeypatch, feature, draws):
 def test_no_training_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert R.refit(none, none, "unit", "stratum", {"cat": "cat"}, "label", 1e-2, 5).count() == 0
+
+
+def test_equal_test_scores_are_one_point(spark, monkeypatch):
+    """The rows of the test set were counted against the limit, and met every replicate, though only their distinct scores matter."""
+    train, test = spark.createDataFrame(rows(60, 1), SCHEMA), spark.createDataFrame(rows(4, 2), SCHEMA)
+    run = lambda held: {r.replicate: r for r in R.refit(train, held, "unit", "stratum", {"cat": "cat", "ovr": "ovr"}, "label", 1e-2, 5, "q").collect()}
+    want = run(test)
+    monkeypatch.setattr(B, "MOST_BYTES", 60 * 8 * 4 // R.SENT)
+    monkeypatch.setattr(R, "_refit_rows", None)
+    got = run(test.crossJoin(spark.range(100)).drop("id"))
+    for r, one in want.items():
+        assert got[r].status == one.status == "AVAILABLE" and got[r].cat_slope == one.cat_slope and abs(got[r].cat_on_ovr - one.cat_on_ovr) < 1e-12
