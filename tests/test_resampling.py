@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +79,27 @@ def test_a_unit_has_its_columns_with_its_weight(spark):
     p = pool(spark).where("stratum is not null and unit is not null")
     got = B.weights(p, "i", "stratum", 3, "q", carry=["a", "unit"]).collect()
     assert got and all(r.a == r.i % 7 / 8 and r.unit == f"u{r.i // 2}" and r.stratum == f"s{r.i % 3}" for r in got)
+
+
+def test_sums_and_ranks_of_units_drawn_without_a_row_for_each(spark, monkeypatch):
+    """Both were aggregates of `weights`, whose rows were two thirds of the draws; a rank met them in two more shuffles."""
+    p = pool(spark).where("stratum is not null and unit is not null").withColumn("v", F.when(F.col("i") % 5 > 0, F.col("b")))
+    w = B.weights(p, "i", "stratum", 6, "q", carry=["v"]).collect()
+    sums = {"n": lambda c, i: c.sum(), "ids": lambda c, i: B.whole_dot(c * c, i)}
+    ranks = lambda: {(r.replicate, r.stratum): (r.n, r.lo, r.mid) for r in B.bootstrap_ranks(p, "i", "stratum", "v", 6, "q", {"lo": 0.0, "mid": 0.5}).collect()}
+    got, told = {(r.replicate, r.stratum): (r.n, r.ids) for r in B.drawn_sums(p, "i", "stratum", 6, "q", ["i"], sums).collect()}, ranks()
+    assert len(got) == 18 and got.keys() == told.keys()
+    for (k, s), (n, ids) in got.items():
+        own = [r for r in w if (r.replicate, r.stratum) == (k, s)]
+        drawn = sorted(v for r in own if r.v is not None for v in [r.v] * r.w)
+        assert (n, ids) == (20, sum(r.w * r.w * r.i for r in own))
+        assert told[k, s] == (len(drawn), drawn[0], drawn[math.ceil(len(drawn) / 2) - 1])
+    for name, value in (("CHUNK", 4), ("RUN", 5), ("PIECE", 2)):
+        monkeypatch.setattr(B, name, value)
+    assert ranks() == told
+    monkeypatch.setattr(B, "MOST_BYTES", 0)
+    assert ranks() == told
+
+
+def test_products_beyond_64_bits_are_whole():
+    assert B.whole_dot(np.array([3, 1]), np.array([2**62, -5])) == 3 * 2**62 - 5
