@@ -54,3 +54,13 @@ def test_what_is_not_finite(spark):
     none = exact_sums(spark.createDataFrame([], "g string, v double"), [], {"v": F.col("v")}).first()
     assert (none.n, none.v) == (0, 0.0)
     assert exact_means(spark.createDataFrame([], "g string, v double"), [], {"v": F.col("v")}).first().v is None
+
+
+def test_no_row_is_made_for_a_value_and_too_many_are_an_error(spark):
+    """Each value of a row was a row of its own, eleven of them in a step of a fit."""
+    frame = spark.createDataFrame([(None, 0.1, 2.0, 1), ("a", 0.2, 3.0, 2**36)], "g string, v double, u double, w long")
+    made = exact_sums(frame, ["g"], {"v": F.col("v"), "u": F.col("u")})
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.g, r.n, r.v, r.u) for r in made.collect()} == {(None, 1, 0.1, 2.0), ("a", 1, 0.2, 3.0)}
+    with pytest.raises(Exception, match="2\\*\\*35"):
+        exact_sums(frame, ["g"], {"v": F.col("v")}, F.col("w")).collect()
