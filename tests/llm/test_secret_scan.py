@@ -145,3 +145,41 @@ def test_long_candidates_are_read_whole():
     x = np.frombuffer(row["windows"], np.uint8).reshape(-1, S.WIDE)
     inner = b"".join(bytes(w[S.BEFORE : S.BEFORE + S.OWN]).rstrip(b"\0") for w in x)
     assert inner.decode() == text
+
+
+def test_all_windows_train_and_calibrate_at_any_size(spark, monkeypatch):
+    """A model came from at most 1,500 windows of a stratum, its thresholds from a fifth of those."""
+    monkeypatch.setattr(S, "TOGETHER", 1000)
+    monkeypatch.setattr(S, "PART", 1000)
+    seen, whole = [], S.calibrated
+    monkeypatch.setattr(S, "calibrated", lambda model, counts, learned: seen.append(counts) or whole(model, counts, learned))
+    texts = [sentence(10) + " " + secret(i % 3) + " " + sentence(4) if i % 2 else sentence(25) for i in range(4000)]
+    x, keys, _, labels = windows(texts)[0][0]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tables = S.Tables(spark, "secrets")
+    fit = lambda n: S.fit(tables.written(docs.repartition(n), S._find, S.ROW), tables)
+    model, again = fit(3), fit(5)
+    assert all(np.allclose(a, b) for a, b in zip(model, again))  # the same at any partitioning
+    # each distinct window outside the parts' share is counted, once
+    _, first = np.unique(keys, return_index=True)
+    held = first[(keys[first].view(np.int64) >> 40) % 5 == 4]
+    assert seen[0].sum(axis=(1, 2)).tolist() == [len(held)] * 3
+    assert seen[0][:, 1].sum(axis=1).tolist() == [int((labels[held] >> k & 1).sum()) for k in range(3)]
+    fresh = [sentence(6) + " " + secret(i % 3) + " " + sentence(6) for i in range(150)]
+    fx, _, _, fl = windows(fresh)[0][0]
+    told = (S.scores(model, fx) >= model.thresholds).any(axis=1)
+    assert told[fl > 0].mean() >= 0.95 and told[fl == 0].mean() <= 0.01
+    bare = [sentence(6) + " " + draw(HEX, 23) + " " + sentence(6) for _ in range(60)]
+    bx, _, _, _ = windows(bare)[0][0]
+    near = np.array([bytes(w[S.BEFORE : S.BEFORE + 23]).strip(HEX.encode()) == b"" for w in bx])
+    assert (S.scores(model, bx) >= model.thresholds).any(axis=1)[near].mean() >= 0.5
+
+
+def test_thresholds_from_counts():
+    """The highest level that finds the share of all labelled findings."""
+    counts = np.zeros((3, 2, int(2 * S.FAR / S.LEVEL)), np.int64)
+    counts[0, 1, [900, 1000, 1100]] = 1, 9, 90
+    counts[0, 0, 100] = 1000
+    model = S.calibrated(S._Network(np.random.default_rng(1)).model(), counts, np.array([True, True, False]))
+    at = lambda level: 1 / (1 + np.exp(-(model.scale[0] * (level * S.LEVEL - S.FAR) + model.shift[0])))
+    assert np.isclose(model.thresholds[0], at(1000)) and np.isinf(model.thresholds[1:]).all()
