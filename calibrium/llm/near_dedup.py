@@ -173,6 +173,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(spark)
     tables = Tables(spark, "near-dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    tables.free()  # also makes the driver's heap smaller, which hundreds of plans have widened
     sig = tables.written(docs, _signatures(shingle), SIGNATURE)
     sets = sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     reps = tables.kept(sets)
@@ -199,6 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Members outside their centre's component.
     root = components(tables, edges)
+    tables.free()
     label = lambda df, c, to: df.join(root.select(F.col("id").alias(c), F.col("root").alias("_r")), c, "left").withColumn(to, F.coalesce("_r", c)).drop("_r")
     state = tables.kept(label(label(members, "rep", "own"), "center", "main"))
     told = pairs.select(F.col("a").alias("center"), F.col("b").alias("rep"), F.lit(True).alias("told"))
@@ -233,6 +235,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = edges.union(confirm(more))
 
     root = components(tables, edges).withColumnRenamed("id", "rep")
+    tables.free()
     sets = reps.join(root, "rep", "left").select("set_a", "set_b", F.col("n_shingles").alias("n"), F.coalesce("root", "rep").alias("component"))
     found = sig.where("n_shingles > 0 and doc_id is not null").join(sets, ["set_a", "set_b"]).where("n = n_shingles").select("doc_id", "n_shingles", "component")
     none = sig.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
