@@ -93,3 +93,21 @@ def test_beta_fits_of_all_groups_equal_single_ones(spark):
             assert r.face == want["face"] and r.kkt <= C.KKT
             assert max(abs(r.a - want["a"]), abs(r.b - want["b"]), abs(r.c - want["c"])) < 1e-7
     assert len({fits[g, 0].face for g in range(4)}) > 1
+
+
+def test_a_step_has_as_few_tasks_as_its_rows_need(spark, monkeypatch):
+    """Every step had a task for each shuffle partition, most of them of a few rows."""
+    seen, means = [], C._means
+    monkeypatch.setattr(C, "_means", lambda rows, *more: (seen.append(rows.rdd.getNumPartitions()), means(rows, *more))[1])
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        rows = spark.range(400).select(F.lit(0.01).alias("strength"), (F.col("id") % 200 / 200 + 0.001).alias("x"), (F.hash("id") % 2 == 0).cast("int").alias("y"), F.lit(1).cast("long").alias("w"))
+        C.fit_many(rows, [])
+        C.fit_beta_many(rows.withColumnRenamed("x", "s"), [])
+        assert set(seen) == {1}
+        monkeypatch.setattr(C, "STEP_ROWS", 100)
+        seen.clear()
+        C.fit_many(rows, [])
+        assert 1 < max(seen) <= 4
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
